@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, packing, search, sharding, store, urls
+from . import decontaminate, language, ngram_join, packing, search, sharding, store, urls
 from .common import fold_of, table
 
 
@@ -22,6 +22,10 @@ def op4_lpt_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op6_sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -91,6 +95,7 @@ QUERIES = {
     "op1_token_store": op1_token_store,
     "op2_topk_search": op2_topk_search,
     "op4_lpt_shards": op4_lpt_shards,
+    "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op6_sequence_packing": op6_sequence_packing,
     "op7_url_list_join": op7_url_list_join,
     "op9_edit_decontamination": op9_edit_decontamination,

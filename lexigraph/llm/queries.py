@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, ngram_join, packing, search, sharding, store, urls
+from . import decontaminate, language, lines, ngram_join, packing, search, sharding, store, urls
 from .common import fold_of, table
 
 
@@ -80,6 +80,10 @@ FROM seen s LEFT JOIN hits h ON h.host = s.host AND h.fetched_at = s.fetched_at
 """
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", F.size("removed").alias("n_removed"), "removed", "text")
+
+
 def op9_edit_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -98,6 +102,7 @@ QUERIES = {
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op6_sequence_packing": op6_sequence_packing,
     "op7_url_list_join": op7_url_list_join,
+    "op8_line_dedup": op8_line_dedup,
     "op9_edit_decontamination": op9_edit_decontamination,
     "op10_language_id": op10_language_id,
 }

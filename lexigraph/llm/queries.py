@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, lines, ngram_join, packing, search, sharding, store, urls
+from . import decontaminate, language, lines, ngram_join, packing, search, sharding, store, suffix_tree, urls
 from .common import fold_of, table
 
 
@@ -17,6 +17,10 @@ def op2_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op3_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op4_lpt_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.lpt_shards(table(spark, sf_dir, "documents"), shards=8)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -98,6 +102,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_store": op1_token_store,
     "op2_topk_search": op2_topk_search,
+    "op3_suffix_tree_lm": op3_suffix_tree_lm,
     "op4_lpt_shards": op4_lpt_shards,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op6_sequence_packing": op6_sequence_packing,

@@ -82,12 +82,8 @@ def labels(sets: list[np.ndarray], trees: int, levels: int) -> np.ndarray:
     return out
 
 
-def ngram_jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, trees: int = 24, recall: float = 0.999) -> DataFrame:
-    """One row per document: ``doc_id, class_id, n_links, text_class, n_copies``.
-
-    class_id is the least doc_id that links reach; n_links the number of other documents with a similarity of at least the threshold;
-    text_class the least doc_id with the same text, n_copies the number of documents that have it.
-    """
+def text_facts(docs: DataFrame, n: int, threshold: float, trees: int, recall: float) -> DataFrame:
+    """One row per distinct text: ``node`` (its xxhash64), whether it has words, its copies, links and first id, and the first text and id of its class."""
     levels = prefix_length(trees, threshold, recall)
     bits = 8 + 8 * levels
     slots = slots_of(docs)
@@ -120,6 +116,8 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, tree
                 if (node := batch.column(0)[int(i)].as_py()) in seen:
                     keep[i] = False
                 seen.add(node)
+            if len(seen) > 1_000_000:
+                seen.clear()
             if keep.any():
                 yield batch.filter(pa.array(keep))
 
@@ -127,13 +125,35 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, tree
     found = stored(verified(texts, near, lambda t: shingles(t, n), threshold), "verified")
     counts = found.filter(F.col("b").isNull()).groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("others"))
     known = stored(copies.join(classes(found), "node", "left").withColumn("root", F.coalesce("root", "node")), "classes")
-    least = stored(known.groupBy("root").agg(F.min("first_id").alias("class_id")), "class-ids")
-    facts = stored(known.join(least, "root").join(counts, "node", "left").select("node", "class_id", "n_copies", F.col("first_id").alias("text_class"), "worded", F.coalesce("others", F.lit(0)).alias("others")), "facts")
-    worded = F.coalesce("worded", F.lit(False))
-    return keyed.select("doc_id", "node").join(facts, "node").select(
+    least = stored(known.groupBy("root").agg(F.min(F.struct(F.col("first_id").isNull(), F.col("first_id").alias("id"), F.col("node").alias("text"))).alias("head")), "class-heads")
+    facts = known.join(least, "root").join(counts, "node", "left")
+    return stored(facts.select("node", F.coalesce("worded", F.lit(False)).alias("worded"), "n_copies", "first_id", "head", F.coalesce("others", F.lit(0)).alias("others")), "facts")
+
+
+def ngram_jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, trees: int = 24, recall: float = 0.999) -> DataFrame:
+    """One row per document: ``doc_id, class_id, n_links, text_class, n_copies``.
+
+    class_id is the least doc_id that links reach; n_links the number of other documents with a similarity of at least the threshold;
+    text_class the least doc_id with the same text, n_copies the number of documents that have it.
+    """
+    facts = text_facts(docs, n, threshold, trees, recall)
+    worded = F.col("worded")
+    return docs.select("doc_id", F.xxhash64("text").alias("node")).join(facts, "node").select(
         "doc_id",
-        F.when(worded, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"),
+        F.when(worded, F.col("head.id")).otherwise(F.col("doc_id")).alias("class_id"),
         F.when(worded, F.col("others") + F.col("n_copies") - 1).otherwise(F.lit(0)).cast("long").alias("n_links"),
-        F.when(worded, F.col("text_class")).otherwise(F.col("doc_id")).alias("text_class"),
+        F.when(worded, F.col("first_id")).otherwise(F.col("doc_id")).alias("text_class"),
         F.when(worded, F.col("n_copies")).otherwise(F.lit(1)).cast("long").alias("n_copies"),
     )
+
+
+def keep_one(docs: DataFrame, n: int = 5, threshold: float = 0.8, trees: int = 24, recall: float = 0.999) -> DataFrame:
+    """The documents, unchanged, without those whose class has one with a lesser id; documents without words stay.
+
+    Rows with equal id and text are one document, and stay or go together.
+    """
+    facts = text_facts(docs, n, threshold, trees, recall)
+    stays = facts.filter(~F.col("worded") | (F.col("head.text") == F.col("node"))).select(F.col("node").alias("_node"), "worded", F.col("first_id").alias("_first"))
+    marked = docs.withColumn("_key", F.xxhash64("text"))
+    kept = marked.join(stays, (F.col("_key") == F.col("_node")) & (~F.col("worded") | F.col("doc_id").eqNullSafe(F.col("_first"))), "left_semi")
+    return kept.select(*docs.columns)

@@ -91,12 +91,12 @@ def sync_summary(spark, sf):
     return index.sync_summary(index.sync_diff(*_states(spark, sf)))
 
 
-@registered(f"WITH {S.DOCS} SELECT d.doc_id, d.source_id, l.quality FROM docs d LEFT JOIN labels l USING (doc_id) WHERE d.source_id <> 'src0'")
+@registered(f"WITH {S.DOCS} SELECT d.doc_id, d.source_id, CAST(coalesce(l.quality, -1) AS INTEGER) AS quality FROM docs d LEFT JOIN labels l USING (doc_id) WHERE d.source_id <> 'src0'")
 def remove_source_cascade(spark, sf):
     d = docs(spark, sf)
     labels = read(spark, sf, "labels").join(d.select("doc_id", "document_id"), "doc_id")
     _, left, kept = index.delete_source("src0", d.select("source_id").distinct(), d, labels)
-    return left.select("doc_id", "source_id").join(kept.select("doc_id", "quality"), "doc_id", "left")
+    return left.select("doc_id", "source_id").join(kept.select("doc_id", "quality"), "doc_id", "left").fillna(-1, ["quality"])
 
 
 @registered(f"WITH {S.DOCS} SELECT doc_id, 'new' AS state FROM docs WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) UNION ALL SELECT doc_id, 'old' FROM docs WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)")

@@ -11,6 +11,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Caches of this process's operators.
+CACHES: list[dict] = []
+
+
+def only(*mine: dict) -> None:
+    """Empty the caches of other operators: a Python worker is used again by later stages, and its memory is theirs."""
+    for c in CACHES:
+        if not any(c is m for m in mine):
+            c.clear()
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 

@@ -9,10 +9,13 @@ from __future__ import annotations
 
 import os
 import re
-from itertools import chain
+from array import array
+from itertools import accumulate, chain
 
 import numpy as np
 
+from .common import CACHES, only
+
 #: White space on which this module splits: it is such for Python, for the pre-tokenizers and for Unicode.
 _SPACE = " \t\n\r\x0b\x0c"
 #: Unicode white space beyond it; texts that hold any are encoded whole.
@@ -27,13 +30,17 @@ def encoder(name: str) -> "WordEncoder":
     """The process's encoder of the vocabulary file ``name`` (a path, or a name known to the public_tokenizers module)."""
     if name not in _encoders:
         _encoders[name] = WordEncoder(name)
-    return _encoders[name]
+        CACHES.append(_encoders[name].recent)
+        CACHES.append(_encoders[name].older)
+    e = _encoders[name]
+    only(e.recent, e.older)
+    return e
 
 
 class WordEncoder:
     """Ids of texts as numpy arrays; ``keep`` bounds the words held in each of the two cache generations."""
 
-    def __init__(self, name: str, keep: int = 250_000):
+    def __init__(self, name: str, keep: int = 500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -51,8 +58,21 @@ class WordEncoder:
         self.dropped_space = normalizer is not None  # then white space leaves no ids, else it joins the next word
         self.units = (_WORD if self.dropped_space else _SPACED_WORD).findall
 
-    def _raw(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _raw(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of words that are not in the cache. Where white space leaves no ids, words are encoded as one text, and its ids dealt out by their offsets."""
+        if not self.dropped_space:
+            return self._raw(words)
+        out = []
+        for at in range(0, len(words), 256):
+            part = words[at : at + 256]
+            found = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            raw, begins = array("I", found.ids).tobytes(), [o[0] for o in found.offsets]
+            ends = np.searchsorted(begins, list(accumulate(len(w) + 1 for w in part))).tolist()
+            out += [raw[4 * a : 4 * b] for a, b in zip([0, *ends], ends)]
+        return out
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text, as unsigned 32-bit integers; a null text has none."""
@@ -61,24 +81,23 @@ class WordEncoder:
         places: list[int] = []
         for i, t in enumerate(texts):
             if t and _OTHER_SPACE.search(t):
-                out[i] = np.array(self._raw([t])[0], dtype="<u4")
+                out[i] = np.frombuffer(self._raw([t])[0], dtype="<u4")
             else:
                 units.append(self.units(t) if t else [])
                 places.append(i)
         if len(self.recent) > self.keep:
-            self.older, self.recent = self.recent, {}
+            self.older.clear()
+            self.older.update(self.recent)
+            self.recent.clear()
         recent, older = self.recent, self.older
-        missing = [u for u in set(chain.from_iterable(units)) if u not in recent]
         new = []
-        for u in missing:
+        for u in set(chain.from_iterable(units)).difference(recent):
             if (ids := older.get(u)) is not None:
                 recent[u] = ids
             else:
                 new.append(u)
         for at in range(0, len(new), 8192):
-            part = new[at : at + 8192]
-            for u, ids in zip(part, self._raw(part)):
-                recent[u] = np.array(ids, dtype="<u4").tobytes()
+            recent.update(zip(new[at : at + 8192], self._words(new[at : at + 8192])))
         get = recent.__getitem__
         for i, us in zip(places, units):
             out[i] = np.frombuffer(b"".join(map(get, us)), dtype="<u4")

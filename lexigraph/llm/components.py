@@ -1,7 +1,7 @@
 """Connected components of links between 64-bit nodes: union-find within tasks, then alternating large and small stars.
 
 Each task first shrinks its links to a forest. Then every node is linked to the least node it knows, through its larger and its smaller neighbours in turn, until
-nothing changes; the number of rounds grows with the logarithm of a component's size. Every step is written to the shared folder. Joins have a plain exchange
+all links end at roots; the number of rounds grows with the logarithm of a component's size. Every step is written to the shared folder. Joins have a plain exchange
 on both sides, so that Spark can split a node that holds a large share of the links.
 """
 
@@ -60,16 +60,23 @@ def _shrunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield link_batch(sets.links())
 
 
-def components(links: DataFrame) -> DataFrame:
-    """``node, root``: every node of ``links (a, b)`` with the least node of its component. Loops and repeated links are harmless; no links, no rows."""
-    known = links.filter(F.col("a").isNotNull() & F.col("b").isNotNull()).select("a", "b").mapInArrow(_shrunk, LINKS)
+def _are_stars(links: DataFrame) -> bool:
+    """Whether every node has one link down, to a node that has none: then nothing can change."""
+    ends = links.groupBy("u").agg(F.count(F.lit(1)).alias("n"))
+    roots = links.select(F.col("v").alias("u")).distinct()
+    return ends.filter("n > 1").isEmpty() and ends.join(roots, "u", "left_semi").isEmpty()
+
+
+def components(links: DataFrame, shrink: bool = True) -> DataFrame:
+    """``node, root``: every node of ``links (a, b)`` with the least node of its component. Loops and repeated links are harmless; no links, no rows.
+
+    Without ``shrink`` the links are taken as they come: for those that tasks have made forests of already.
+    """
+    known = links.filter(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b"))).select("a", "b")
+    if shrink:
+        known = known.mapInArrow(_shrunk, LINKS)
     now = stored(known.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
-    before = None
-    while True:
-        mark = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor("v")).first()
-        if mark == before:
-            break
-        before = mark
+    while not _are_stars(now):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = stored(both.join(least, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large-star")

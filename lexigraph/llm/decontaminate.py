@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import only, slices
 
 MATCHES = "doc_id long, item_id long, distance int, budget int, start long, stop long"
 #: Characters of items in one automaton.
@@ -136,6 +136,7 @@ def matches(docs: DataFrame, items: DataFrame, rate: float = 0.08) -> DataFrame:
 
 def _matcher(shared, rate: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only()
         finder = Finder(shared.value, rate)
         for ids, texts in slices(batches, 1):
             rows = [(i, item, d, b, s, e) for i, t in zip(ids, texts) if t for item, d, b, s, e in finder.find(normal(t))]
@@ -156,6 +157,7 @@ def keep_clean(docs: DataFrame, items: DataFrame, rate: float = 0.08) -> DataFra
 
 def _filter(shared, rate: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only()
         finder = Finder(shared.value, rate)
         for batch in batches:
             keep = []

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import only, slices
 
 UNKNOWN = "und"
 #: Codes of a piece; longer texts are taken in pieces that overlap by the longest order less one.
@@ -90,6 +90,7 @@ def learn(docs: DataFrame, use: Column, orders: tuple[int, ...] = (1, 2, 3), buc
         some = some.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < int((1 << 20) * rows / n))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only()
         sums: dict[str, np.ndarray] = {}
         seen: dict[str, int] = {}
         for langs, texts in slices(batches, 1):
@@ -164,6 +165,7 @@ def predict(docs: DataFrame, model: dict, key: str = "doc_id") -> DataFrame:
     kind = docs.schema[key].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only()
         for batch in batches:
             langs, scores = [], []
             for (texts,) in slices(iter([batch.select(["text"])]), 0):
@@ -182,6 +184,7 @@ def keep_identified(docs: DataFrame, model: dict, least: float = 0.5) -> DataFra
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only()
         for batch in batches:
             keep = []
             for (texts,) in slices(iter([batch.select(["text"])]), 0):

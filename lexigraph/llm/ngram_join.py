@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stored
+from .common import CACHES, only, slices, stored
 from .similar import KEYS, Sender, candidate_links, classes, is_wanted, mix, slots_of, verified, wanted_map
 from .components import components
 
@@ -35,6 +35,7 @@ class _Words(dict):
 
 
 _words = _Words()
+CACHES.append(_words)
 
 
 def shingles(texts: list[str | None], n: int = 5) -> list[np.ndarray]:
@@ -90,6 +91,7 @@ def text_facts(docs: DataFrame, n: int, threshold: float, trees: int, recall: fl
     keyed = docs.select("doc_id", F.xxhash64("text").alias("node"), "text")
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only(_words)
         sender, seen = Sender(slots, bits), set()
         for nodes, texts in slices(batches, 1, limit=1 << 19):
             new = {}
@@ -97,14 +99,14 @@ def text_facts(docs: DataFrame, n: int, threshold: float, trees: int, recall: fl
                 if node not in seen and t and not t.isspace():
                     new[node] = t
             seen.update(new)
-            if len(seen) > 1_000_000:
+            if len(seen) > 250_000:
                 seen.clear()
             if new:
                 keys = labels(shingles(list(new.values()), n), trees, levels)
                 yield from sender.add(keys, np.repeat(np.array(list(new), dtype=np.int64)[:, None], trees, axis=1))
         yield from sender.flush()
 
-    near = stored(components(candidate_links(keyed.select("node", "text").mapInArrow(send, KEYS), bits)), "candidates")
+    near = stored(components(candidate_links(keyed.select("node", "text").mapInArrow(send, KEYS), bits), shrink=False), "candidates")
     copies = stored(keyed.groupBy("node").agg(F.count(F.lit(1)).alias("n_copies"), F.min("doc_id").alias("first_id"), F.max(F.col("text").rlike(r"\S")).alias("worded")), "copies")
     wanted = wanted_map(near)
 
@@ -116,7 +118,7 @@ def text_facts(docs: DataFrame, n: int, threshold: float, trees: int, recall: fl
                 if (node := batch.column(0)[int(i)].as_py()) in seen:
                     keep[i] = False
                 seen.add(node)
-            if len(seen) > 1_000_000:
+            if len(seen) > 250_000:
                 seen.clear()
             if keep.any():
                 yield batch.filter(pa.array(keep))

@@ -19,7 +19,7 @@ from .components import LINKS, UnionFind, components, link_batch
 
 KEYS = "slot int, linked boolean, a binary, b binary"
 #: (key, node) pairs that a task holds before it sends them on.
-HELD = 1 << 21
+HELD = 1 << 19
 #: Bits of the map of wanted nodes: its size is fixed, and with it that of the broadcast.
 MAP_BITS = 1 << 26
 TILE = 128
@@ -175,8 +175,9 @@ def _compare(rows: list[tuple], key, shingles, threshold: float) -> list[tuple]:
     shared = np.repeat(lengths > 1, lengths)
     column, owner = column[shared], owner[shared]
     common = np.zeros((len(sets), len(sets)), dtype=np.float64)
-    width = 1 << 14
-    bounds = np.searchsorted(column, np.arange(0, (column[-1] + 1 if len(column) else 0) + width, width))
+    columns = int(column[-1]) + 1 if len(column) else 0
+    width = min(1 << 14, max(columns, 1))
+    bounds = np.searchsorted(column, np.arange(0, columns + width, width))
     for k, (i, j) in enumerate(zip(bounds, bounds[1:])):
         x = np.zeros((len(sets), width), dtype=np.float32)
         x[owner[i:j], column[i:j] - k * width] = 1
@@ -197,4 +198,4 @@ def _compare(rows: list[tuple], key, shingles, threshold: float) -> list[tuple]:
 
 def classes(found: DataFrame) -> DataFrame:
     """``node, root`` of the verified links."""
-    return components(found.filter(F.col("b").isNotNull()).select("a", "b"))
+    return components(found.filter(F.col("b").isNotNull()).select("a", "b"), shrink=False)

@@ -45,9 +45,31 @@ def pack(lengths: list[int], capacity: int = 1024, linear: float = 1.0, quadrati
             rests.append((n % capacity, item, full * capacity))
     opened = -(-sum(r[0] for r in rests) // capacity)
     room = [capacity] * opened
-    cheapest = [(0.0, s) for s in range(opened)]
-    roomiest: list[tuple[int, int]] = []  # built when a piece first fits nowhere
     cost = [0.0] * opened
+    # A tree over the values of room left: each node has the cheapest (cost, sequence) of a range of values.
+    leaves = 1 << capacity.bit_length()
+    with_room: list[list[tuple[float, int]]] = [[] for _ in range(capacity + 1)]  # a heap for each value: sequences enter it once
+    none = (float("inf"), -1)
+    least = [none] * (2 * leaves)
+
+    def renew(r: int) -> None:
+        i = leaves + r
+        least[i] = with_room[r][0] if with_room[r] else none
+        while i := i >> 1:
+            least[i] = min(least[2 * i], least[2 * i + 1])
+
+    def cheapest(n: int) -> int:
+        """The sequence of lowest cost, of all with room for ``n``; -1 if there is none."""
+        best, i = least[leaves + n], leaves + n
+        while i > 1:
+            if not i & 1:
+                best = min(best, least[i + 1])
+            i >>= 1
+        return best[1]
+
+    if opened:
+        with_room[capacity] = [(0.0, s) for s in range(opened)]
+        renew(capacity)
 
     def put(item: int, start: int, n: int, s: int) -> None:
         out.append((item, start, n, sequences + s, capacity - room[s]))
@@ -56,18 +78,15 @@ def pack(lengths: list[int], capacity: int = 1024, linear: float = 1.0, quadrati
 
     waiting: list[tuple[int, int, int]] = []
     for n, item, start in sorted(rests, key=lambda r: (-r[0], r[1])):
-        aside = []
-        while cheapest and room[cheapest[0][1]] < n and len(aside) < 64:
-            aside.append(heapq.heappop(cheapest))
-        if cheapest and room[cheapest[0][1]] >= n:
-            _, s = heapq.heappop(cheapest)
-            put(item, start, n, s)
-            if room[s]:
-                heapq.heappush(cheapest, (cost[s], s))
-        else:
+        s = cheapest(n)
+        if s < 0:
             waiting.append((n, item, start))
-        for x in aside:  # too full for this length, but shorter ones follow
-            heapq.heappush(cheapest, x)
+            continue
+        heapq.heappop(with_room[room[s]])
+        renew(room[s])
+        put(item, start, n, s)
+        heapq.heappush(with_room[room[s]], (cost[s], s))
+        renew(room[s])
     roomiest = [(-r, s) for s, r in enumerate(room) if r]
     heapq.heapify(roomiest)
     for n, item, start in waiting:

@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -110,6 +111,24 @@ def test_short_pieces_are_spread_by_cost():
     assert len(set(big)) == len(big)
 
 
+def test_no_rest_is_cut_while_a_sequence_has_room():
+    r = random.Random(5)
+    lengths = [min(1023, int(r.lognormvariate(5.8, 0.9)) + 1) for _ in range(1500)]
+    rows = packing.pack(lengths, 1024)
+    room, cost = [1024] * -(-sum(lengths) // 1024), [0.0] * -(-sum(lengths) // 1024)
+    waiting, want = [], {}
+    for i in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
+        n = lengths[i]
+        s = min((s for s in range(len(room)) if room[s] >= n), key=lambda s: (cost[s], s), default=None)
+        if s is None:
+            waiting.append(i)
+        else:
+            want[i] = s
+            room[s] -= n
+            cost[s] += n + n * n / 512
+    assert {r[0]: r[3] for r in rows if r[0] in want and r[2] == lengths[r[0]]} == want and len(waiting) < 150
+
+
 def test_packed_documents(spark, table, prose):
     rows = [(i, prose(i, 30 * i)) for i in range(20)] + [(30, None), (31, ""), (32, prose(3, 4000)), (None, "no id"), (5, "twice"), (5, "twice")]
     got = packing.pack_documents(table(rows)).toPandas()

@@ -1,16 +1,19 @@
 """Language-model scoring with a probabilistic suffix tree over words.
 
-The root predicts each token by its smoothed count. A deeper state is a context of one or two preceding words. A context is retained if it was seen often enough and its next-symbol
-distribution diverges from that of its parent (the context without its first word): the leave-one-out log-likelihood ratio of the symbols that followed it, child against parent, must exceed ``divergence`` nats. Its distribution
+The root predicts each token by its smoothed count. A deeper state is a context of one to ``depth`` preceding words, any words. A context is retained if it was seen often enough and its next-symbol
+distribution diverges from that of its parent (its longest retained suffix): the leave-one-out log-likelihood ratio of the symbols that followed it, child against parent, must exceed ``divergence`` nats. Its distribution
 is its counts of symbols that followed it at least twice, smoothed by the parent's distribution with weight ``smoothing``, so every state's probabilities sum to one. A token is scored by the
-longest retained suffix of the words before it. The ``stop`` most frequent words are no contexts without another word; where neither preceding word is another one, the root scores.
+longest retained suffix of the words before it. With ``stop``, contexts all of whose words are among the ``stop`` most frequent ones are not retained; by default every word is a context. The start of a document is no context without a word after it.
 
-Text is handled in blocks. Each block sends its distinct (context word, next, word before) triples, with counts of its training documents, to the slot of the context word as packed arrays. A slot thus sees
-the whole subtree of a word: it tests the contexts and answers each block with a line through the root's probability, P = A + B * root, for each triple, and with the counts of the context words. The answers meet the
-block's documents again for scoring. Nothing that grows with the corpus is broadcast: only the ``head`` most frequent words are, whose counts the tests use (rarer words count there as the least of them).
+Text is read once, in blocks. The tree grows a level for each round: a block sends its distinct (context, next) pairs, with counts of its training documents and the parent's probability, to slots as packed arrays.
+A slot counts the pairs, tests the contexts and answers each block; the answers meet the block's state again. The pairs of a context that makes up much of a slot are dealt over ``SALTS`` slots, and the driver adds up the sums of the test (the number of such contexts is bounded by that of slots).
+Word counts are looked up the same way, so tests use exact counts and nothing that grows with the corpus is broadcast.
+
+A context is made longer only where that can lead to a retained one; what is left out is left out with certainty: contexts seen fewer than ``least`` times, and those with no more than one symbol that followed twice, of count n and
+probability p, where n log(1/p), the most that the ratio of any longer context can be, isn't above ``divergence``. The rounds end when no context is left.
 
 Words are identified by 64-bit hashes, followers within a context by 32 bits. A null text is an empty one: its only token is the end. A null id counts as the empty text in the choice of the fold. Repeated rows count and are scored each. An empty table gives no rows;
-with no training documents all counts are 0. Other columns of the input are not looked at. The input must give the same rows in the same order when it is read twice, as tables of files do; other inputs are to be written first. A difference is an error.
+with no training documents all counts are 0. Other columns of the input are not looked at.
 """
 
 from __future__ import annotations
@@ -22,19 +25,24 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import CACHES, only, slices, stored
+from .common import CACHES, fresh_path, only, slices
 from .similar import mix, slots_of
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-END, START, BEFORE = (np.uint64(xxhash.xxh3_64_intdigest(x)) for x in ("\0end", "\0start", "\0before"))
+END, START = (np.uint64(xxhash.xxh3_64_intdigest(x)) for x in ("\0end", "\0start"))
 #: Characters of a block; a longer text is a block of its own.
 BLOCK = 6 << 20
-_ONE = np.uint64(1)
 #: Slots for each shuffle partition: a slot is unpacked whole, one at a time.
 SLOTS = 8
+#: Slots of a hot context, and the share of a slot from which a context is hot.
+SALTS, HOT = 64, 0.25
+#: Flags of a context.
+_HOT, _BARRED = 1, 2
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
+MESSAGE = "block long, slot int, packed binary"
 
 
 class _Words(dict):
@@ -63,11 +71,11 @@ def tokens(text: str | None) -> np.ndarray:
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
-    """Arrays, each with its type, as one compressed string."""
+    """Arrays, each with its type, as one compressed string; the first bytes of an array's values come first, then the second ones."""
     out = b""
     for a in arrays:
         out += f"{a.dtype.str}:{len(a)};".encode()
-    return zstandard.ZstdCompressor(level=1).compress(out + b"\n" + b"".join(a.tobytes() for a in arrays))
+    return zstandard.ZstdCompressor(level=1).compress(out + b"\n" + b"".join(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.dtype.itemsize).T.tobytes() for a in arrays))
 
 
 def _unpack(raw: bytes) -> list[np.ndarray]:
@@ -77,7 +85,7 @@ def _unpack(raw: bytes) -> list[np.ndarray]:
     for field in head.decode().split(";")[:-1]:
         kind, n = field.split(":")
         size = np.dtype(kind).itemsize * int(n)
-        out.append(np.frombuffer(body, dtype=kind, count=int(n), offset=at))
+        out.append(np.frombuffer(body, dtype=np.uint8, count=size, offset=at).reshape(-1, int(n)).T.copy().view(kind).reshape(-1) if size else np.zeros(0, dtype=kind))
         at += size
     return out
 
@@ -100,277 +108,321 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list
         yield part << 24 | number, ids, texts
 
 
-class _Block:
-    """The distinct triples of a block, by slot, and the triple of each token."""
-
-    def __init__(self, ids: list, texts: list, stop: np.ndarray, slots: int):
+def _message(block: int, slot: int, packed: bytes) -> pa.RecordBatch:
+    return pa.record_batch([pa.array([block]), pa.array([slot], pa.int32()), pa.array([packed], pa.binary())], names=["block", "slot", "packed"])
+
+
+def _heads(x: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, dtype=np.int64)
+
+
+def _retained(whole: np.ndarray, kept: np.ndarray, gain: np.ndarray, smoothing: float, least: int, divergence: float) -> np.ndarray:
+    """Which contexts stay, by the sums over their symbols: all counts, counts of at least two, and the latter's part of the ratio."""
+    rest = np.maximum(whole - 1 + smoothing, smoothing)
+    ratio = gain - kept * np.log(rest) + (whole - kept) * np.log(smoothing / rest)
+    return (whole >= least) & (kept > 0) & (ratio > divergence)
+
+
+def count_words(messages: list[bytes], top: int) -> tuple[list[bytes], bytes]:
+    """For each block's words their counts; the sum and number of the words, and the ``top`` most frequent."""
+    parts = [_unpack(m) for m in messages]
+    words, place = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    count = np.bincount(place, weights=np.concatenate([p[1] for p in parts]).astype(np.float64)).astype(np.int64)
+    ends = np.cumsum([len(p[0]) for p in parts])[:-1]
+    best = np.lexsort((words.view(np.int64), -count))[:top]
+    return [_pack(x) for x in np.split(count[place], ends)], _pack(np.array([count.sum(), (count > 0).sum()]), words[best], count[best])
+
+
+def weigh_contexts(messages: list[bytes], smoothing: float, least: int, divergence: float) -> tuple[list[bytes], bytes]:
+    """For each block's pairs: their counts, and of its contexts the weight (0: not retained) and whether longer ones are to be tested. Then the sums of hot contexts, and how many are to be made longer."""
+    parts = [_unpack(m) for m in messages]
+    lengths = [p[2].astype(np.int64) for p in parts]
+    keys, run = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    flags = np.zeros(len(keys), dtype=np.uint8)
+    flags[run] = np.concatenate([p[1] for p in parts])
+    context = np.repeat(run, np.concatenate(lengths))
+    code = context.astype(np.uint64) << np.uint64(32) | np.concatenate([p[3] for p in parts])
+    pairs, one, pair = np.unique(code, return_index=True, return_inverse=True)
+    of = context[one]
+    parent = np.concatenate([p[5] for p in parts])[one].astype(np.float64)
+    count = np.bincount(pair, weights=np.concatenate([p[4] for p in parts]).astype(np.float64))
+    twice = count >= 2
+    n, seen, p2 = of[twice], count[twice], parent[twice]
+    total = lambda weights: np.bincount(n, weights=weights, minlength=len(keys))
+    whole = np.bincount(of, weights=count, minlength=len(keys))
+    kept, symbols = total(seen), np.bincount(n, minlength=len(keys))
+    gain = total(seen * np.log((seen - 1 + smoothing * p2) / p2))
+    hot = flags & _HOT > 0
+    stays = _retained(whole, kept, gain, smoothing, least, divergence) & (flags == 0)
+    share = np.where(stays, 1 / (kept + smoothing), 0.0)
+    p2 = np.where(stays[n], (seen + smoothing * p2) * share[n], p2)
+    longer = hot | (whole >= least) & (kept > 0) & ((symbols > 1) | (total(seen * -np.log(p2)) > divergence))
+    out = []
+    at = run_at = 0
+    for p in parts:
+        r = run[run_at : run_at + len(p[0])]
+        out.append(_pack(count[pair[at : at + len(p[3])]].astype(np.uint32), share[r], np.packbits(longer[r])))
+        at, run_at = at + len(p[3]), run_at + len(p[0])
+    mine = hot & (flags & _BARRED == 0)
+    return out, _pack(keys[mine], whole[mine], kept[mine], gain[mine], np.array([longer.sum()]))
+
+
+class _State:
+    """What a block knows between rounds: its documents' words and sums, the places whose contexts are tested, and the pairs sent for them."""
+
+    FIELDS = "ids null lengths train vocabulary word count base score known at doc offset parent bounds runs flags hot".split()
+
+    RISING = ("at", "doc", "offset")  # packed as differences
+
+    def __init__(self, raw: bytes | None = None):
+        for f, a in zip(self.FIELDS, _unpack(raw) if raw else []):
+            setattr(self, f, np.cumsum(a, dtype=np.uint32) if f in self.RISING else a)
+
+    def packed(self) -> bytes:
+        return _pack(*(np.diff(getattr(self, f), prepend=np.uint32(0)) if f in self.RISING else getattr(self, f) for f in self.FIELDS))
+
+    @classmethod
+    def of(cls, ids: list, texts: list) -> "_State":
+        self = cls()
         streams = [tokens(t) for t in texts]
-        self.lengths = np.array([len(s) for s in streams])
-        x = np.concatenate(streams)
+        self.ids, self.null = np.array([i or 0 for i in ids], dtype=np.int64), np.array([i is None for i in ids])
+        self.lengths, self.train = np.array([len(x) for x in streams]), np.array([in_training(i) for i in ids])
+        self.vocabulary, word = np.unique(np.concatenate(streams), return_inverse=True)
+        self.word = word.astype(np.uint32)
+        self.base = self.score = np.zeros(len(ids))
+        self.known = np.zeros(len(ids), dtype=np.int64)
+        self.at = self.doc = self.offset = self.word[:0]
+        self.parent, self.flags, self.hot = np.zeros(0, dtype=np.float32), np.zeros(0, dtype=np.uint8), np.zeros(0, dtype=np.uint64)
+        self.count = self.bounds = self.runs = np.zeros(0, dtype=np.int64)
+        return self
+
+    def ask_words(self, slots: int) -> Iterator[tuple[int, bytes]]:
+        n = np.bincount(self.word, weights=np.repeat(self.train, self.lengths), minlength=len(self.vocabulary)).astype(np.int64)
+        slot = (mix(self.vocabulary) % np.uint64(slots)).astype(np.int64)
+        order = np.argsort(slot, kind="stable")
+        self.vocabulary, n = self.vocabulary[order], n[order]
+        rank = np.empty(len(order), dtype=np.uint32)
+        rank[order] = np.arange(len(order))
+        self.word = rank[self.word]
+        self.bounds = np.searchsorted(slot[order], np.arange(slots + 1))
+        for s, (i, j) in enumerate(zip(self.bounds, self.bounds[1:])):
+            if j > i:
+                yield s, _pack(self.vocabulary[i:j], n[i:j])
+
+    def _add(self, doc: np.ndarray, p: np.ndarray) -> None:
+        """The final probabilities of some places, by document."""
+        self.score = self.score + np.bincount(doc, weights=np.log10(p), minlength=len(self.ids))
+
+    def take_words(self, answers: dict[int, bytes], model: dict) -> tuple[np.ndarray, ...]:
+        """Places, their documents and offsets in these, their probabilities at the root, and the counts of the words before them."""
+        self.count = np.concatenate([_unpack(answers[s])[0] for s in sorted(answers)])
+        count = self.count[self.word]
+        root = (count + 0.5) / (model["total"] + 0.5 * (model["distinct"] + 1))
         starts = np.cumsum(self.lengths) - self.lengths
-        self.mark = int(np.bitwise_xor.reduce(mix(x + np.arange(len(x), dtype=np.uint64)))) & (1 << 63) - 1
-        self.train = np.array([in_training(i) for i in ids], dtype=bool)
-        trained = np.repeat(self.train, self.lengths)
-        self.vocabulary, w = np.unique(np.concatenate([x, np.array([START, BEFORE])]), return_inverse=True)
-        w, start, before = w[:-2], w[-2], w[-1]
-        u = np.concatenate([[start], w[:-1]])
-        t = np.concatenate([[before, start], w[:-2]])[: len(w)]
-        u[starts] = start
-        t[starts] = before
-        second = starts[self.lengths > 1] + 1
-        t[second] = start
-        self.word = w
-        light = ~np.isin(self.vocabulary, stop)
-        light[[start, before]] = False
-        self.light = light
-        low, mid, high = w.astype(np.uint64), t.astype(np.uint64), u.astype(np.uint64) << np.uint64(42)
-        one, two = light[u], ~light[u] & light[t]
-        code = np.zeros(len(w), dtype=np.uint64)
-        code[one] = high[one] | low[one] << np.uint64(21) | mid[one]
-        code[two] = _ONE << np.uint64(63) | high[two] | mid[two] << np.uint64(21) | low[two]
-        stated = np.flatnonzero(one | two)
-        codes, triple = np.unique(code[stated], return_inverse=True)
-        counts = np.bincount(triple, weights=trained[stated], minlength=len(codes)).astype(np.uint32)
-        field = np.uint64((1 << 21) - 1)
-        pair = codes >> np.uint64(63) == 1
-        first, middle, last = codes >> np.uint64(42) & field, codes >> np.uint64(21) & field, codes & field
-        symbol, back = np.where(pair, last, middle).astype(np.int64), np.where(pair, middle, last).astype(np.int64)
-        v = self.vocabulary
-        key = v[first.astype(np.int64)] & ~_ONE
-        key[pair] = mix(v[first[pair].astype(np.int64)] * np.uint64(0x9E3779B97F4A7C15) + mix(v[back[pair]])) | _ONE
-        slot = (mix(key) % np.uint64(slots)).astype(np.int64)
+        self.base, self.known = np.add.reduceat(np.log10(root), starts), np.add.reduceat((count > 0).astype(np.int64), starts)
+        before = np.concatenate([[0], count[:-1]])
+        before[starts] = np.iinfo(np.int64).max
+        place, doc = np.arange(len(count)), np.repeat(np.arange(len(self.ids)), self.lengths)
+        return place, doc, place - starts[doc], root, before
+
+    def take(self, level: int, answers: dict[int, bytes], model: dict) -> tuple[np.ndarray, ...]:
+        """The same after the contexts of ``level`` words are tested; places where no longer context can be retained are scored."""
+        if not len(self.at):
+            none = np.zeros(0, dtype=np.int64)
+            return none, none, none, np.zeros(0), none
+        parts = [_unpack(answers[s]) for s in sorted(answers)]
+        seen = np.concatenate([p[0] for p in parts]).astype(np.int64)
+        share = np.concatenate([p[1] for p in parts])
+        ends = np.cumsum([len(p[1]) for p in parts])[:-1]
+        longer = np.concatenate([np.unpackbits(p[2], count=len(p[1])) for p in parts]).astype(bool)
+        hot = self.flags & _HOT > 0
+        if len(model["hot"]) and hot.any():
+            i = np.minimum(np.searchsorted(model["hot"], self.hot), len(model["hot"]) - 1)
+            share[hot] = np.where(model["hot"][i] == self.hot, model["share"][i], 0.0)
+        run = np.repeat(np.arange(len(share)), self.runs)
+        share, longer = share[run], longer[run]
+        p = self.parent.astype(np.float64)
+        a = model["smoothing"]
+        p = np.where(share > 0, (np.where(seen >= 2, seen, 0) + a * p) * share, p)
+        at = self.at.astype(np.int64)
+        entry = self._pairs(level, at, self.offset, model["slots"], lambda keys, one: np.isin(keys, self.hot))[3]
+        p, longer, seen = p[entry], longer[entry], seen[entry]
+        # A context one word longer ends in the pair of the place before; where that wasn't sent, its count is not known, and not hot.
+        held = np.full(len(self.word) + 1, -1, dtype=np.int64)
+        held[at + 1] = seen
+        before = held[at]
+        before[self.offset == 0] = -1
+        on = longer & (self.offset >= level)
+        self._add(self.doc[~on], p[~on])
+        return at[on], self.doc[on].astype(np.int64), self.offset[on].astype(np.int64), p[on], np.where(before[on] < 0, model["least"], before[on])
+
+    def _shrink(self, at: np.ndarray, offset: np.ndarray, depth: int) -> np.ndarray:
+        """Keep only the words of the places ``at`` and of their longest contexts; the places' new numbers."""
+        needed = np.zeros(len(self.word), dtype=bool)
+        for j in range(depth + 1):
+            needed[at[offset >= j] - j] = True
+        used, word = np.unique(self.word[needed], return_inverse=True)
+        self.vocabulary, self.word = self.vocabulary[used], word.astype(np.uint32)
+        return (np.cumsum(needed) - 1)[at]
+
+    def _pairs(self, level: int, at: np.ndarray, offset: np.ndarray, slots: int, is_hot) -> tuple[np.ndarray, ...]:
+        """Of the contexts of some places: keys, a place of each; of their distinct pairs in order of slots: a place of each, each place's pair, slot, context and follower; and the contexts that are hot."""
+        h = np.zeros(len(at), dtype=np.uint64)
+        for j in range(1, level + 1):
+            h = mix(h * _SPREAD + np.where(offset >= j, self.vocabulary[self.word[np.maximum(at - j, 0)]], START))
+        keys, one, context = np.unique(h, return_index=True, return_inverse=True)
+        hot = is_hot(keys, one)
+        code = context.astype(np.uint64) << np.uint64(32) | self.word[at]
+        _, first, entry = np.unique(code, return_index=True, return_inverse=True)
+        context = context[first]
+        follower = (mix(self.vocabulary[self.word[at[first]]]) >> np.uint64(32)).astype(np.uint32)
+        salt = np.where(hot[context], follower % np.uint32(SALTS), 0).astype(np.uint64)
+        slot = (mix(keys[context] + salt * _SPREAD) % np.uint64(slots)).astype(np.int64)
         order = np.argsort(slot, kind="stable")
         rank = np.empty(len(order), dtype=np.int64)
         rank[order] = np.arange(len(order))
-        self.triple = np.full(len(w), -1, dtype=np.int64)
-        self.triple[stated] = rank[triple]
-        self.slot, self.key, self.counts = slot[order], key[order], counts[order]
-        self.follower = (mix(v[symbol[order]]) >> np.uint64(32)).astype(np.uint32)
-        back32 = (mix(v[back[order]] + _ONE) >> np.uint64(32)).astype(np.uint32)
-        self.back = np.where(pair[order], np.uint32(0), back32)
-        self.first, self.pair = first[order].astype(np.int64), pair[order]
-        self.bounds = np.searchsorted(self.slot, np.arange(slots + 1))
-
-    def messages(self) -> Iterator[tuple[int, bytes]]:
-        for s, (i, j) in enumerate(zip(self.bounds, self.bounds[1:])):
+        return keys, one, first[order], rank[entry], slot[order], context[order], follower[order], hot
+
+    def ask(self, level: int, at: np.ndarray, doc: np.ndarray, offset: np.ndarray, p: np.ndarray, before: np.ndarray, model: dict, slots: int) -> Iterator[tuple[int, bytes]]:
+        """Send the pairs of the places whose context of ``level`` words was seen often enough; the others are scored."""
+        on = before >= model["least"]
+        self._add(doc[~on], p[~on])
+        at, doc, offset, p, before = at[on], doc[on], offset[on], p[on], before[on]
+        if len(at) * 4 < len(self.word):
+            at = self._shrink(at, offset, model["depth"])
+        self.at, self.doc, self.offset = (x.astype(np.uint32) for x in (at, doc, offset))
+        if not len(at):
+            self.count = self.count[:0]
+            self.parent, self.bounds, self.runs, self.flags, self.hot = self.parent[:0], self.bounds[:0], self.runs[:0], self.flags[:0], self.hot[:0]
+            return
+        stop = np.isin(self.vocabulary, model["stop"])
+        light = np.zeros(len(at), dtype=bool)
+        for j in range(1, level + 1):
+            light |= (offset >= j) & ~stop[self.word[np.maximum(at - j, 0)]]
+        keys, one, first, entry, slot, context, follower, hot = self._pairs(level, at, offset, slots, lambda keys, one: before[one] > model["hot_from"])
+        flags = np.where(hot, _HOT, 0) | np.where(light[one], 0, _BARRED)
+        count = np.bincount(entry, weights=self.train[doc], minlength=len(first)).astype(np.uint32)
+        self.parent = p[first].astype(np.float32)
+        heads = _heads(slot * len(keys) + context)
+        self.runs = np.diff(np.append(heads, len(first))).astype(np.uint32)
+        self.flags = flags[context[heads]].astype(np.uint8)
+        key = keys[context[heads]]
+        self.hot = key[self.flags & _HOT > 0]
+        self.count = self.bounds = self.runs[:0]
+        bounds, run_bounds = np.searchsorted(slot, np.arange(slots + 1)), np.searchsorted(slot[heads], np.arange(slots + 1))
+        for s, (i, j, a, b) in enumerate(zip(bounds, bounds[1:], run_bounds, run_bounds[1:])):
             if j > i:
-                runs = np.flatnonzero(np.concatenate([[True], self.key[i + 1 : j] != self.key[i : j - 1]]))
-                lengths = np.diff(np.append(runs, j - i)).astype(np.uint32)
-                yield s, _pack(self.key[i:j][runs], lengths, self.follower[i:j], self.back[i:j], self.counts[i:j])
-
-
-class Tests:
-    """What a slot does: counts, divergence tests and answers."""
-
-    def __init__(self, head32: np.ndarray, head_counts: np.ndarray, total: int, distinct: int, smoothing: float, least: int, divergence: float):
-        order = np.argsort(head32, kind="stable")
-        self.head, self.counts = head32[order], head_counts[order]
-        self.cut = int(head_counts.min(initial=1)) if distinct > len(head32) else 0
-        self.norm = total + 0.5 * (distinct + 1)
-        self.a, self.least, self.divergence = smoothing, least, divergence
-
-    def root(self, follower: np.ndarray) -> np.ndarray:
-        if not len(self.head):
-            return np.full(len(follower), 0.5 / self.norm)
-        at = np.minimum(np.searchsorted(self.head, follower), len(self.head) - 1)
-        c = np.where(self.head[at] == follower, self.counts[at], self.cut)
-        return (c + 0.5) / self.norm
-
-    def test(self, context: np.ndarray, count: np.ndarray, parent: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of (context, symbol) pairs with counts and the parent's probabilities: which contexts stay, and each one's kept and whole count."""
-        whole = np.bincount(context, weights=count, minlength=n)
-        twice = count >= 2
-        kept = np.bincount(context, weights=np.where(twice, count, 0), minlength=n)
-        rest = whole[context] - 1 + self.a
-        gain = np.where(twice, count * np.log(np.maximum(count - 1 + self.a * parent, 1e-300) / (rest * parent)), 0.0)
-        ratio = np.bincount(context, weights=gain, minlength=n)
-        ratio += (whole - kept) * np.log(self.a / np.maximum(whole - 1 + self.a, self.a))
-        return (whole >= self.least) & (kept > 0) & (ratio > self.divergence), kept, whole
-
-    def answer(self, messages: list[bytes]) -> list[bytes]:
-        """For each block's message: counts of its context words, and of its triples those with a state and their lines."""
-        parts = [_unpack(m) for m in messages]
-        key = np.concatenate([np.repeat(p[0], p[1]) for p in parts])
-        follower, back = np.concatenate([p[2] for p in parts]), np.concatenate([p[3] for p in parts])
-        count = np.concatenate([p[4] for p in parts]).astype(np.float64)
-        keys, context = np.unique(key, return_inverse=True)
-        code = context.astype(np.uint64) << np.uint64(32) | follower
-        pairs, pair = np.unique(code, return_inverse=True)
-        pair_count = np.bincount(pair, weights=count)
-        pair_context = (pairs >> np.uint64(32)).astype(np.int64)
-        root = self.root((pairs & np.uint64(0xFFFFFFFF)).astype(np.uint32))
-        stays, kept, whole = self.test(pair_context, pair_count, root, len(keys))
-        share = np.where(stays, 1 / (kept + self.a), 0.0)
-        a1 = (np.where(pair_count >= 2, pair_count, 0) * share[pair_context])[pair]
-        b1 = np.where(stays, self.a * share, 1.0)[context]
-
-        code = context.astype(np.uint64) << np.uint64(32) | back
-        longer, deep = np.unique(code, return_inverse=True)
-        code = mix(deep.astype(np.uint64) << np.uint64(32) | follower)
-        _, one, triple = np.unique(code, return_index=True, return_inverse=True)
-        triple_count = np.bincount(triple, weights=count)
-        parent = a1[one] + b1[one] * root[pair[one]]
-        stays, kept, _ = self.test(deep[one], triple_count, parent, len(longer))
-        stays &= (keys[(longer >> np.uint64(32)).astype(np.int64)] & _ONE) == 0  # a pair of words is a whole context already
-        share = np.where(stays, 1 / (kept + self.a), 0.0)
-        mine = stays[deep]
-        b2 = np.where(mine, self.a * share[deep], 1.0)
-        a2 = np.where(triple_count >= 2, triple_count, 0)[triple] * share[deep] + b2 * a1
-        b2 = b2 * b1
-        out, at = [], 0
-        for p in parts:
-            n = len(p[2])
-            run = at + np.cumsum(p[1]) - p[1]
-            state = b2[at : at + n] != 1.0
-            out.append(_pack(whole[context[run.astype(np.int64)]].astype(np.uint64), np.packbits(state), a2[at : at + n][state].astype(np.float32), b2[at : at + n][state].astype(np.float32)))
-            at += n
-        return out
-
-
-def _score(block: _Block, ids: list, answers: dict[int, bytes], model: dict) -> list[tuple]:
-    v = block.vocabulary
-    count = np.zeros(len(v))
-    for h, c in model["stop"]:
-        at = np.searchsorted(v, h)
-        if at < len(v) and v[at] == h:
-            count[at] = c
-    n = len(block.key)
-    a, b = np.zeros(n), np.ones(n)
-    for s, (i, j) in enumerate(zip(block.bounds, block.bounds[1:])):
-        if j > i:
-            whole, bits, aa, bb = _unpack(answers[s])
-            state = np.unpackbits(bits, count=j - i).astype(bool)
-            a[i:j][state], b[i:j][state] = aa, bb
-            runs = np.flatnonzero(np.concatenate([[True], block.key[i + 1 : j] != block.key[i : j - 1]]))
-            single = ~block.pair[i:j][runs]
-            count[block.first[i:j][runs][single]] = whole[single]
-    known = count[block.word]
-    root = (known + 0.5) / (model["total"] + 0.5 * (model["distinct"] + 1))
-    p = root.copy()
-    stated = block.triple >= 0
-    p[stated] = a[block.triple[stated]] + b[block.triple[stated]] * root[stated]
-    starts = np.cumsum(block.lengths) - block.lengths
-    base, score, seen = (np.add.reduceat(x, starts) for x in (np.log10(root), np.log10(p), (known > 0).astype(np.int64)))
-    return list(zip(ids, (~block.train).tolist(), block.lengths.tolist(), seen.tolist(), [model["total"]] * len(ids), base.tolist(), score.tolist()))
-
-
-def score_documents(docs: DataFrame, stop: int = 256, head: int = 1 << 16, smoothing: float = 2.0, least: int = 4, divergence: float = 4.0) -> DataFrame:
+                yield s, _pack(key[a:b], self.flags[a:b], self.runs[a:b], follower[i:j], count[i:j], self.parent[i:j])
+
+    def rows(self, model: dict) -> pa.RecordBatch:
+        n = len(self.ids)
+        columns = [pa.array(self.ids, mask=self.null.astype(bool)), pa.array(~self.train.astype(bool)), pa.array(self.lengths), pa.array(self.known), pa.array(np.full(n, model["total"], dtype=np.int64)), pa.array(self.base), pa.array(self.score)]
+        return pa.record_batch(columns, names=[f.split()[0] for f in SCORES.split(", ")])
+
+
+def score_documents(docs: DataFrame, stop: int = 0, depth: int = 2, smoothing: float = 2.0, least: int = 4, divergence: float = 4.0) -> DataFrame:
     """One row per document of ``docs (doc_id, text)``; see SCORES. Held-out documents (crc32 of the id, modulo 5, is 1) teach nothing."""
     spark = docs.sparkSession
     slots = SLOTS * slots_of(docs)
     docs = docs.select("doc_id", "text", F.spark_partition_id().alias("part"))  # of the scan, wherever it stands in a plan
+    model = {"slots": slots, "depth": depth, "smoothing": smoothing, "least": least, "hot": np.zeros(0, dtype=np.uint64)}
 
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only(_words)
-        held: list[np.ndarray] = []
-        size = 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal held, size
-            if held:
-                h, c = np.unique(np.concatenate(held), return_counts=True)
-                slot = (mix(h) % np.uint64(slots)).astype(np.int64)
-                order = np.argsort(slot, kind="stable")
-                bounds = np.searchsorted(slot[order], np.arange(slots + 1))
-                rows = [(s, _pack(h[order[i:j]], c[order[i:j]].astype(np.uint64))) for s, (i, j) in enumerate(zip(bounds, bounds[1:])) if j > i]
-                yield pa.record_batch([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["slot", "packed"])
-            held, size = [], 0
-
-        for ids, texts, _ in slices(batches, 1):
-            for i, t in zip(ids, texts):
-                if in_training(i):
-                    held.append(tokens(t))
-                    size += len(held[-1])
-            if size >= 1 << 22:
-                yield from flush()
-        yield from flush()
-
-    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
-        for batch in batches:
-            for slot, packed in zip(*(c.to_pylist() for c in batch.columns)):
-                held.setdefault(slot, []).append(packed)
-        for slot in list(held):
-            parts = [_unpack(m) for m in held.pop(slot)]
-            h, place = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-            c = np.bincount(place, weights=np.concatenate([p[1] for p in parts]).astype(np.float64)).astype(np.int64)
-            top = np.lexsort((h, -c))[:head]
-            first = np.zeros(len(top), dtype=np.int64)
-            more = np.zeros(len(top), dtype=np.int64)
-            first[:1], more[:1] = c.sum(), len(c)
-            yield pa.record_batch([pa.array(h[top].view(np.int64)), pa.array(c[top]), pa.array(first), pa.array(more)], names=["word", "n", "tokens", "words"])
-
-    counted = stored(docs.mapInArrow(words, "slot int, packed binary").repartition("slot").mapInArrow(total, "word long, n long, tokens long, words long"), "words")
-    sums = counted.agg(F.sum("tokens"), F.sum("words")).first()
-    top = counted.select("word", "n").orderBy(F.desc("n"), "word").limit(head).collect()
-    hashes = np.array([r[0] for r in top], dtype=np.int64).view(np.uint64)
-    counts = np.array([r[1] for r in top], dtype=np.int64)
-    commonest = [(h, int(c)) for h, c in zip(hashes[:stop], counts[:stop])]
-    if END not in hashes[:stop] and (hashes == END).any():
-        commonest.append((END, int(counts[hashes == END][0])))
-    elif END not in hashes:
-        own = counted.filter(F.col("word") == int(END.astype(np.int64))).agg(F.sum("n")).first()[0]
-        commonest.append((END, int(own or 0)))
-    model = {"total": int(sums[0] or 0), "distinct": int(sums[1] or 0), "stop": commonest}
-    tests = Tests((mix(hashes) >> np.uint64(32)).astype(np.uint32), counts, model["total"], model["distinct"], smoothing, least, divergence)
-    shared = spark.sparkContext.broadcast((model, tests))
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stops = np.array([h for h, _ in shared.value[0]["stop"]], dtype=np.uint64)
-        for number, ids, texts in _blocks(batches):
-            block = _Block(ids, texts, stops, slots)
-            for s, packed in block.messages():
-                yield pa.record_batch([pa.array([number]), pa.array([s], pa.int32()), pa.array([block.mark]), pa.array([packed], pa.binary())], names=["block", "slot", "mark", "packed"])
-
-    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                held.setdefault(row[1], []).append(row)
-        for slot in list(held):
-            rows = held.pop(slot)
-            for (number, _, mark, _), packed in zip(rows, shared.value[1].answer([r[3] for r in rows])):
-                yield pa.record_batch([pa.array([number]), pa.array([slot], pa.int32()), pa.array([mark]), pa.array([packed], pa.binary())], names=["block", "slot", "mark", "packed"])
-
-    def carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, ids, texts in _blocks(batches):
-            raw = pa.BufferOutputStream()
-            part = pa.record_batch([pa.array(ids, pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "text"])
-            with pa.ipc.new_stream(raw, part.schema) as out:
-                out.write_batch(part)
-            packed = zstandard.ZstdCompressor(level=3).compress(raw.getvalue().to_pybytes())
-            yield pa.record_batch([pa.array([number]), pa.array([-1], pa.int32()), pa.array([0]), pa.array([packed], pa.binary())], names=["block", "slot", "mark", "packed"])
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stops = np.array([h for h, _ in shared.value[0]["stop"]], dtype=np.uint64)
-        current, text, answers, marks = None, None, {}, set()
-
-        def done() -> Iterator[pa.RecordBatch]:
-            if current is None:
-                return
-            part = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(text)).read_all()
-            ids = part.column(0).to_pylist()
-            block = _Block(ids, part.column(1).to_pylist(), stops, slots)
-            if marks - {block.mark}:
-                raise ValueError("the input did not give the same rows twice: write it to a table first")
-            rows = _score(block, ids, answers, shared.value[0])
-            kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=[f.split()[0] for f in SCORES.split(", ")])
-
-        for batch in batches:
-            for i in range(batch.num_rows):
-                number, slot, mark, packed = (c[i].as_py() for c in batch.columns)
-                if number != current:
-                    yield from done()
-                    current, text, answers, marks = number, None, {}, set()
-                if slot < 0:
-                    text = packed
-                else:
-                    answers[slot] = packed
-                    marks.add(mark)
-        yield from done()
-
-    schema = "block long, slot int, mark long, packed binary"
-    answers = docs.mapInArrow(send, schema).repartition("slot").mapInArrow(answer, schema)
-    met = answers.unionByName(docs.mapInArrow(carry, schema)).repartition("block").sortWithinPartitions("block", "slot")
-    return met.mapInArrow(score, SCORES)
+            state = _State.of(ids, texts)
+            for s, packed in state.ask_words(slots):
+                yield _message(number, s, packed)
+            yield _message(number, _place(number), state.packed())
+
+    def answer(level: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            only()
+            held: dict[int, list] = {}
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    block, slot, packed = (c[i].as_py() for c in batch.columns)
+                    if slot < 0:
+                        yield _message(block, slot, packed)
+                    else:
+                        held.setdefault(slot, []).append((block, packed))
+            for slot in list(held):
+                rows = held.pop(slot)
+                messages = [r[1] for r in rows]
+                answers, sums = weigh_contexts(messages, smoothing, least, divergence) if level else count_words(messages, stop)
+                for (block, _), packed in zip(rows, answers):
+                    yield _message(block, slot, packed)
+                yield _message(-1, slot, sums)
+
+        return run
+
+    def step(level: int, shared, last: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            model = shared.value
+            current, state, answers = None, None, {}
+
+            def done() -> Iterator[pa.RecordBatch]:
+                if current is None:
+                    return
+                places = state.take(level, answers, model) if level else state.take_words(answers, model)
+                if last:
+                    state._add(places[1], places[3])
+                    yield state.rows(model)
+                    return
+                for s, packed in state.ask(level + 1, *places, model, slots):
+                    yield _message(current, s, packed)
+                yield _message(current, _place(current), state.packed())
+
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    number, slot, packed = (c[i].as_py() for c in batch.columns)
+                    if number != current:
+                        yield from done()
+                        current, state, answers = number, None, {}
+                    if slot < 0:
+                        state = _State(packed)
+                    else:
+                        answers[slot] = packed
+            yield from done()
+
+        return run
+
+    sent, path = docs.mapInArrow(begin, MESSAGE), None
+    for level in range(depth + 1):
+        old, path = path, fresh_path(spark, "suffix-tree")
+        sent.repartition("slot").mapInArrow(answer(level), MESSAGE).write.option("compression", "none").parquet(path)
+        if old:
+            _delete(spark, old)
+        del sent, old
+        spark.sparkContext._jvm.System.gc()  # lets Spark remove the files of shuffles that are done with
+        answered = spark.read.schema(MESSAGE).parquet(path)
+        sums = [_unpack(r[0]) for r in answered.filter("block = -1").select("packed").toLocalIterator()]
+        if level == 0:
+            model["total"], model["distinct"] = (sum(int(s[0][i]) for s in sums) for i in (0, 1))
+            words, counts = (np.concatenate([np.zeros(0, dtype=t), *(s[i] for s in sums)]) for i, t in ((1, np.uint64), (2, np.int64)))
+            model["stop"] = words[np.lexsort((words.view(np.int64), -counts))[:stop]]
+            model["hot_from"] = max(least, HOT * model["total"] / slots)
+            more = True
+        else:
+            keys, place = np.unique(np.concatenate([np.zeros(0, dtype=np.uint64), *(s[0] for s in sums)]), return_inverse=True)
+            whole, kept, gain = (np.bincount(place, weights=np.concatenate([np.zeros(0), *(s[i] for s in sums)]), minlength=len(keys)) for i in (1, 2, 3))
+            stays = _retained(whole, kept, gain, smoothing, least, divergence)
+            model["hot"], model["share"] = keys, np.where(stays, 1 / (kept + smoothing), 0.0)
+            more = any(s[4][0] for s in sums)
+        last = level == depth or not more
+        shared = spark.sparkContext.broadcast(dict(model))
+        met = answered.filter("block <> -1").repartition("block").sortWithinPartitions("block", "slot")
+        sent = met.mapInArrow(step(level, shared, last), SCORES if last else MESSAGE)
+        if last:
+            return sent
+
+
+def _place(block: int) -> int:
+    """The slot of a block's state: no slot of messages, and another one for each block."""
+    return -1 - (zlib.crc32(block.to_bytes(8, "little")) >> 2)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

@@ -165,3 +165,53 @@ def test_suffix_tree_without_training(spark, table):
     got = suffix_tree.score_documents(table([(i, "a b c") for i in held])).collect()
     assert len(got) == 3 and all(r["n_known"] == 0 and r["train_tokens"] == 0 and r["score"] == r["base_score"] == 0.0 for r in got)
     assert suffix_tree.score_documents(table([])).count() == 0
+
+
+def deep_tree_by_hand(rows, depth, smoothing=2.0, least=4, divergence=4.0):
+    """Scores with every context of up to ``depth`` words, tested whether or not its suffixes stay; and the retained contexts."""
+    streams = {i: (t or "").lower().split() + [None] for i, t in rows}
+    train = [s for i, s in streams.items() if suffix_tree.in_training(i)]
+    count = Counter(w for s in train for w in s)
+    total, distinct = sum(count.values()), len(count)
+    followers = {}
+    for s in train:
+        for i, w in enumerate(s):
+            for k in range(1, min(depth, i + 1) + 1):
+                context = tuple((["^"] + s)[i + 1 - k : i + 1])
+                if context != ("^",):
+                    followers.setdefault(context, Counter())[w] += 1
+    states = {}
+
+    def p(context, w):
+        while context and context not in states:
+            context = context[1:]
+        if not context:
+            return (count[w] + 0.5) / (total + 0.5 * (distinct + 1))
+        kept, n = states[context]
+        return (kept.get(w, 0) + smoothing * p(context[1:], w)) / (n + smoothing)
+
+    for context in sorted(followers, key=len):
+        c = followers[context]
+        n, kept = sum(c.values()), {w: k for w, k in c.items() if k >= 2}
+        gain = sum(k * math.log((k - 1 + smoothing * p(context[1:], w)) / ((n - 1 + smoothing) * p(context[1:], w))) for w, k in kept.items())
+        gain += (n - sum(kept.values())) * math.log(smoothing / (n - 1 + smoothing))
+        if n >= least and kept and gain > divergence:
+            states[context] = (kept, sum(kept.values()))
+    return {i: sum(math.log10(p(tuple((["^"] + s)[max(0, k + 1 - depth) : k + 1]), w)) for k, w in enumerate(s)) for i, s in streams.items()}, states
+
+
+def test_every_word_is_a_context(spark, table, prose):
+    rows = [(i, "the of " + prose(i % 17, 60 + i % 17) + " of the " + prose(1000 + i, 20)) for i in range(90)] + [(200, None), (203, prose(3, 9000))]
+    want, states = deep_tree_by_hand(rows, 2)
+    assert ("of",) in states
+    got = {r["doc_id"]: r["score"] for r in suffix_tree.score_documents(table(rows)).collect()}
+    assert all(math.isclose(got[i], x, rel_tol=1e-5) for i, x in want.items())
+
+
+def test_hot_contexts_are_dealt_over_slots(spark, table, prose, monkeypatch):
+    monkeypatch.setattr(suffix_tree, "HOT", 0.01)
+    monkeypatch.setattr(suffix_tree, "BLOCK", 2000)
+    rows = [(i, "the of " + prose(i % 17, 60 + i % 17) + " of the " + prose(1000 + i, 20)) for i in range(90)]
+    want, states = deep_tree_by_hand(rows, 2)
+    got = {r["doc_id"]: r["score"] for r in suffix_tree.score_documents(table(rows)).collect()}
+    assert all(math.isclose(got[i], x, rel_tol=1e-5) for i, x in want.items())

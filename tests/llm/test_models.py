@@ -215,3 +215,13 @@ def test_hot_contexts_are_dealt_over_slots(spark, table, prose, monkeypatch):
     want, states = deep_tree_by_hand(rows, 2)
     got = {r["doc_id"]: r["score"] for r in suffix_tree.score_documents(table(rows)).collect()}
     assert all(math.isclose(got[i], x, rel_tol=1e-5) for i, x in want.items())
+
+def test_tests_use_exact_counts_of_rare_words(spark, table):
+    train = [i for i in range(100) if suffix_tree.in_training(i)]
+    common = " ".join(f"w{k}" for k in range(66_000))
+    rows = [(i, common) for i in train[:5]] + [(i, "before after") for i in train[5:9]]
+    total, distinct = 5 * 66_001 + 4 * 3, 66_003
+    gain = lambda c: 4 * math.log((3 + 2 * (q := (c + 0.5) / (total + 0.5 * (distinct + 1)))) / (5 * q))
+    middle = (gain(4) + gain(1)) / 2  # "after" occurs 4 times; as rare words used to count once, it would diverge more
+    got = {r["doc_id"]: r for r in suffix_tree.score_documents(table(rows), divergence=middle).collect()}
+    assert gain(5) < gain(4) < middle and all(math.isclose(got[i]["score"], got[i]["base_score"], rel_tol=1e-6) for i in train[5:9])

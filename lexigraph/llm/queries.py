@@ -18,7 +18,7 @@ def op2_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_tree.score_documents(table(spark, sf_dir, "documents"))
+    return suffix_tree.score_documents(table(spark, sf_dir, "documents"), depth=8)
 
 
 def op4_lpt_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -225,3 +225,14 @@ def test_tests_use_exact_counts_of_rare_words(spark, table):
     middle = (gain(4) + gain(1)) / 2  # "after" occurs 4 times; as rare words used to count once, it would diverge more
     got = {r["doc_id"]: r for r in suffix_tree.score_documents(table(rows), divergence=middle).collect()}
     assert gain(5) < gain(4) < middle and all(math.isclose(got[i]["score"], got[i]["base_score"], rel_tol=1e-6) for i in train[5:9])
+
+def test_longer_contexts_by_hand(spark, table, prose, monkeypatch):
+    monkeypatch.setattr(suffix_tree, "BLOCK", 2000)
+    shared = " a b c d e "
+    rows = [(i, prose(i % 17, 30) + " " + " ".join(f"{x} m n o p {y}" for x, y in (("left", "one"), ("right", "two"))) + shared + f"x{i % 3}" + shared + f"x{i % 3} " + prose(1000 + i, 20)) for i in range(90)] + [(200, None), (201, "left m n o p")]
+    want, states = deep_tree_by_hand(rows, 8)
+    assert max(map(len, states)) > 4
+    for hot in (suffix_tree.HOT, 0.01):
+        monkeypatch.setattr(suffix_tree, "HOT", hot)
+        got = {r["doc_id"]: r["score"] for r in suffix_tree.score_documents(table(rows), depth=8).collect()}
+        assert all(math.isclose(got[i], x, rel_tol=1e-5) for i, x in want.items())

@@ -152,10 +152,14 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, tree
 def keep_one(docs: DataFrame, n: int = 5, threshold: float = 0.8, trees: int = 24, recall: float = 0.999) -> DataFrame:
     """The documents, unchanged, without those whose class has one with a lesser id; documents without words stay.
 
-    Rows with equal id and text are one document, and stay or go together.
+    Of rows with equal id and text, one stays, or none.
     """
     facts = text_facts(docs, n, threshold, trees, recall)
-    stays = facts.filter(~F.col("worded") | (F.col("head.text") == F.col("node"))).select(F.col("node").alias("_node"), "worded", F.col("first_id").alias("_first"))
+    stays = facts.filter(~F.col("worded") | (F.col("head.text") == F.col("node"))).select(
+        F.col("node").alias("_node"), "worded", F.col("first_id").alias("_first"), (F.col("worded") & (F.col("n_copies") > 1)).alias("_copied")
+    )
     marked = docs.withColumn("_key", F.xxhash64("text"))
-    kept = marked.join(stays, (F.col("_key") == F.col("_node")) & (~F.col("worded") | F.col("doc_id").eqNullSafe(F.col("_first"))), "left_semi")
-    return kept.select(*docs.columns)
+    here = (F.col("_key") == F.col("_node")) & (~F.col("worded") | F.col("doc_id").eqNullSafe(F.col("_first")))
+    single = marked.join(stays.filter(~F.col("_copied")), here, "left_semi")
+    copied = marked.join(stored(stays.filter("_copied"), "copied-texts"), here, "left_semi").dropDuplicates(["_key", "doc_id"])
+    return single.unionByName(copied).select(*docs.columns)

@@ -76,6 +76,15 @@ def test_one_of_each_class_stays(spark, table, prose):
     assert ngram_join.ngram_jaccard_join(table([])).count() == 0
 
 
+def test_one_of_repeated_rows_stays(spark, table):
+    text, other = "alpha beta gamma delta epsilon\nsecond line of it", "quite another text that has no copy"
+    rows = [(1, text)] * 3 + [(2, text), (3, other), (4, " "), (4, " ")]
+    assert sorted(r["doc_id"] for r in ngram_join.keep_one(table(rows).repartition(3)).collect()) == [1, 3, 4, 4]
+    assert [r["text"] for r in ngram_join.keep_one(table([(None, text)] * 3)).collect()] == [text]
+    both = ngram_join.keep_one(lines.dedup_lines(table([(None, text), (None, text), (5, other), (5, other)])).drop("n_lines", "removed"))
+    assert sorted(r["text"] for r in both.collect()) == [text, other] and both.count() == 2
+
+
 def test_prefixes_are_shortened_to_the_recall():
     n = ngram_join.prefix_length(24, 0.8, 0.999)
     assert 1 - (1 - 0.8**n) ** 24 >= 0.999 > 1 - (1 - 0.8 ** (n + 1)) ** 24

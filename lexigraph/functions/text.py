@@ -203,7 +203,8 @@ def fixed_chunks(c: Column, size: int = 1000, overlap: int = 100) -> Column:
     text = chunk_ready(c)
     cut = F.transform(windows(F.length(text), size, overlap), lambda w: F.struct(w["begin"].alias("begin"), w["end"].alias("end"), trimmed(F.substr(text, w["begin"] + 1, w["end"] - w["begin"])).alias("content")))
     full = F.filter(cut, lambda w: w["content"] != "")
-    return F.transform(full, lambda w, i: F.struct(i.alias("index"), w["begin"].alias("begin"), w["end"].alias("end"), w["content"].alias("content")))
+    numbered = F.transform(full, lambda w, i: F.struct(i.alias("index"), w["begin"].alias("begin"), w["end"].alias("end"), w["content"].alias("content")))
+    return F.when(c.isNotNull(), numbered)
 
 
 def chunk_estimate(n: Column, size: int, overlap: int) -> Column:
@@ -300,5 +301,6 @@ def bytes_text(n: Column) -> Column:
     units = "KMGTPE"
     out = F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B")))
     for i, u in enumerate(units):
-        out = out.when(n < 1024 ** (i + 2), F.format_string(f"%.1f {u}B", n / F.lit(float(1024 ** (i + 1)))))
+        part = F.format_string(f"%.1f {u}B", n / F.lit(float(1024 ** (i + 1))))
+        out = out.when(n < F.lit(float(1024 ** (i + 2))), part) if u != units[-1] else out.when(n.isNotNull(), part)
     return out

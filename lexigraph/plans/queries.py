@@ -71,6 +71,17 @@ def source_rollup(spark, sf):
     return index.source_rollup(docs(spark, sf))
 
 
+def _amount(e: str) -> str:
+    steps = "".join(f" WHEN {e} < {1024 ** (i + 2)} THEN printf('%.1f {u}B', {e} / {float(1024 ** (i + 1))})" for i, u in enumerate("KMGTP"))
+    return f"CASE WHEN {e} < 1024 THEN {e} || ' B'{steps} END"
+
+
+@registered(f"WITH {S.DOCS}, t AS (SELECT source_id, CAST(sum(size) AS BIGINT) AS n FROM docs GROUP BY source_id) SELECT source_id, {_amount('n')} AS stored, {_amount('n * 1048576')} AS million_fold FROM t")
+def bytes_text(spark, sf):
+    sizes = docs(spark, sf).groupBy("source_id").agg(F.sum("size").alias("n"))
+    return sizes.select("source_id", T.bytes_text(F.col("n")).alias("stored"), T.bytes_text(F.col("n") * 1048576).alias("million_fold"))
+
+
 def _states(spark, sf):
     """A scan, and an older state: unlabelled documents are new, those of low quality had another content, benchmark items have vanished."""
     d = docs(spark, sf).join(read(spark, sf, "labels").select("doc_id", "quality"), "doc_id", "left")

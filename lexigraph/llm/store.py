@@ -126,6 +126,7 @@ def write(docs: DataFrame, vocabulary: str, path: str, end_id: int = 1) -> None:
         encode = encoder(vocabulary).encode
         end = np.array([end_id], dtype="<u4")
         sent: set[bytes] = set()
+        row = TaskContext.get().partitionId() << 40  # recipes are dealt out by number, so copies of a text don't meet in one task
         for ids, texts, keys in slices(batches, 1):
             rows: list[tuple] = []
             for doc, key, stream in zip(ids, keys, encode(texts)):
@@ -140,7 +141,8 @@ def write(docs: DataFrame, vocabulary: str, path: str, end_id: int = 1) -> None:
                         sent.add(a)
                         width = 2 if chunk.max() < 1 << 16 else 4
                         rows.append(("chunk", int.from_bytes(a[:7], "little"), a, width, chunk.astype(f"<u{width}").tobytes(), None, None, None, None, None, None))
-                rows.append(("recipe", key & (1 << 56) - 1, None, None, None, doc, key, len(stream), merkle(addresses), b"".join(addresses), np.array(lengths, dtype="<u4").tobytes()))
+                row += 1
+                rows.append(("recipe", row, None, None, None, doc, key, len(stream), merkle(addresses), b"".join(addresses), np.array(lengths, dtype="<u4").tobytes()))
             if len(sent) > 1 << 20:
                 sent.clear()
             yield _batch(rows, PARTS)

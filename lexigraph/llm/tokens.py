@@ -1,8 +1,10 @@
-"""Encoding of whole texts with a public tokenizer, one encoder call per distinct word.
+"""Encoding of whole texts with a public tokenizer, one encoder call per distinct piece of a word.
 
 Both vocabularies split a text before every run of ASCII white space, and never merge across such a
-place, so the ids of a text are the ids of its words in order. A bounded cache of words then replaces
-most of the encoder's work. Texts with other white space, for which that need not hold, are encoded whole.
+place, so the ids of a text are the ids of its words in order; a bounded cache of words replaces most of the
+encoder's work. Words of letters known to be plain are split further, by the pattern of the vocabulary's own
+pre-tokenizer, and their pieces go to its merge model; all other words are encoded whole. Texts with other white space, or with the
+string of a special token, for which neither need hold, are encoded whole.
 """
 
 from __future__ import annotations
@@ -10,9 +12,9 @@ from __future__ import annotations
 import os
 import re
 from array import array
-from itertools import accumulate, chain
 
 import numpy as np
+import regex
 
 from .common import CACHES, only
 
@@ -22,23 +24,62 @@ _SPACE = " \t\n\r\x0b\x0c"
 _OTHER_SPACE = re.compile("[" + "".join(map(chr, (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))) + "]")
 _SPACED_WORD = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
 _WORD = re.compile(f"[^{_SPACE}]+")
+#: Words of these characters are normalised by lower case alone: ASCII and the letters of Latin-1.
+_PLAIN = re.compile(f"[{_SPACE}!-~À-ÖØ-öø-ÿ]+")
+# The patterns by which the pre-tokenizers of the two vocabularies split.
+_SPLITS = {
+    True: regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"),
+    False: regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"),
+}
+#: Longer words are not held in the caches, so that these are bounded in characters too.
+LONGEST = 64
 
 _encoders: dict[str, "WordEncoder"] = {}
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies write for each byte: printable ones for themselves, others from 256 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+_LETTERS = _byte_letters()
+
+
+class _Cache(dict):
+    """Ids of strings in two generations: what is used again moves to the younger one, the older one is dropped when that is full."""
+
+    def __init__(self, make, keep: int):
+        self.make, self.keep, self.older = make, keep, {}
+
+    def __missing__(self, key: str) -> bytes:
+        ids = self.older.get(key)
+        if ids is None:
+            ids = self.make(key)
+        if len(key) <= LONGEST:
+            self[key] = ids
+        return ids
+
+    def age(self) -> None:
+        if len(self) > self.keep:
+            self.older.clear()
+            self.older.update(self)
+            self.clear()
+
+
 def encoder(name: str) -> "WordEncoder":
     """The process's encoder of the vocabulary file ``name`` (a path, or a name known to the public_tokenizers module)."""
     if name not in _encoders:
         _encoders[name] = WordEncoder(name)
-        CACHES.append(_encoders[name].recent)
-        CACHES.append(_encoders[name].older)
+        CACHES.extend(_encoders[name].caches)
     e = _encoders[name]
-    only(e.recent, e.older)
+    only(*e.caches)
     return e
 
 
 class WordEncoder:
-    """Ids of texts as numpy arrays; ``keep`` bounds the words held in each of the two cache generations."""
+    """Ids of texts as numpy arrays; ``keep`` bounds the words, and the pieces, held in each of the two generations of their cache."""
 
     def __init__(self, name: str, keep: int = 500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -50,55 +91,42 @@ class WordEncoder:
 
             path = public_tokenizers.path(name)
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # strings of special tokens in a text are ordinary text
-        self.keep = keep
-        self.recent: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.merge = self.tokenizer.model.tokenize
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         normalizer = self.tokenizer.normalizer
-        self.dropped_space = normalizer is not None  # then white space leaves no ids, else it joins the next word
+        self.dropped_space = normalizer is not None  # then white space leaves no ids and case is dropped, else it joins the next word
         self.units = (_WORD if self.dropped_space else _SPACED_WORD).findall
+        self.split = _SPLITS[self.dropped_space].findall
+        self.words, self.pieces = _Cache(self._word, keep), _Cache(self._piece, keep)
+        self.caches = [self.words, self.words.older, self.pieces, self.pieces.older]
 
-    def _raw(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
 
-    def _words(self, words: list[str]) -> list[bytes]:
-        """Ids of words that are not in the cache. Where white space leaves no ids, words are encoded as one text, and its ids dealt out by their offsets."""
-        if not self.dropped_space:
-            return self._raw(words)
-        out = []
-        for at in range(0, len(words), 256):
-            part = words[at : at + 256]
-            found = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            raw, begins = array("I", found.ids).tobytes(), [o[0] for o in found.offsets]
-            ends = np.searchsorted(begins, list(accumulate(len(w) + 1 for w in part))).tolist()
-            out += [raw[4 * a : 4 * b] for a, b in zip([0, *ends], ends)]
-        return out
+    def _piece(self, piece: str) -> bytes:
+        if piece.isascii() and piece[-1] > " ":
+            letters = piece if piece[0] > " " else _LETTERS[32] + piece[1:]
+        else:
+            letters = "".join([_LETTERS[b] for b in piece.encode()])
+        return array("I", [t.id for t in self.merge(letters)]).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        if not _PLAIN.fullmatch(word):
+            return self._whole(word)
+        return b"".join(map(self.pieces.__getitem__, self.split(word.lower() if self.dropped_space else word)))
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text, as unsigned 32-bit integers; a null text has none."""
-        out: list[np.ndarray | None] = [None] * len(texts)
-        units: list[list[str]] = []
-        places: list[int] = []
-        for i, t in enumerate(texts):
-            if t and _OTHER_SPACE.search(t):
-                out[i] = np.frombuffer(self._raw([t])[0], dtype="<u4")
-            else:
-                units.append(self.units(t) if t else [])
-                places.append(i)
-        if len(self.recent) > self.keep:
-            self.older.clear()
-            self.older.update(self.recent)
-            self.recent.clear()
-        recent, older = self.recent, self.older
-        new = []
-        for u in set(chain.from_iterable(units)).difference(recent):
-            if (ids := older.get(u)) is not None:
-                recent[u] = ids
+        self.words.age()
+        self.pieces.age()
+        get, units = self.words.__getitem__, self.units
+        out = []
+        for t in texts:
+            if not t:
+                raw = b""
+            elif _OTHER_SPACE.search(t) or any(s in t for s in self.special):
+                raw = self._whole(t)
             else:
-                new.append(u)
-        for at in range(0, len(new), 8192):
-            recent.update(zip(new[at : at + 8192], self._words(new[at : at + 8192])))
-        get = recent.__getitem__
-        for i, us in zip(places, units):
-            out[i] = np.frombuffer(b"".join(map(get, us)), dtype="<u4")
+                raw = b"".join(map(get, units(t)))
+            out.append(np.frombuffer(raw, dtype="<u4"))
         return out

@@ -1,3 +1,4 @@
+import functools
 import random
 import zlib
 
@@ -7,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from lexigraph.llm import packing, store
-from lexigraph.llm.tokens import encoder
+from lexigraph.llm.tokens import WordEncoder, encoder
 
 
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
@@ -26,7 +27,7 @@ def expected(rows, name, end):
 
 def test_store_round_trip(spark, table, prose, tmp_path):
     shared = prose(9, 900)
-    rows = [(i, prose(i, 40 + 13 * i)) for i in range(12)] + [(20, None), (21, ""), (22, prose(1, 53)), (23, shared + " tail one"), (24, "head " + shared), (25, prose(5, 12_000)), (3, "same id, other text"), (26, prose(2, 66)), (26, prose(2, 66))]
+    rows = [(i, prose(i, 40 + 13 * i)) for i in range(12)] + [(20, None), (21, ""), (22, prose(1, 53)), (23, shared + " tail one"), (24, "head " + shared), (25, prose(5, 12_000)), (3, "same id, other text"), (26, prose(2, 66)), (26, prose(2, 66)), (27, "ends <|endoftext|> here <|startoftext|>")]
     path = f"file://{tmp_path}/store"
     got = store.token_store(table(rows), path=path).toPandas()
     assert len(got) == len(rows)

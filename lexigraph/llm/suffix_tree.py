@@ -3,17 +3,19 @@
 The root predicts each token by its smoothed count. A deeper state is a context of one to ``depth`` preceding words, any words. A context is retained if it was seen often enough and its next-symbol
 distribution diverges from that of its parent (its longest retained suffix): the leave-one-out log-likelihood ratio of the symbols that followed it, child against parent, must exceed ``divergence`` nats. Its distribution
 is its counts of symbols that followed it at least twice, smoothed by the parent's distribution with weight ``smoothing``, so every state's probabilities sum to one. A token is scored by the
-longest retained suffix of the words before it. With ``stop``, contexts all of whose words are among the ``stop`` most frequent ones are not retained; by default every word is a context. The start of a document is no context without a word after it.
+longest retained suffix of the words before it. The start of a document is no context without a word after it.
 
 Text is read once, in blocks. The tree grows a level for each round: a block sends its distinct (context, next) pairs, with counts of its training documents and the parent's probability, to slots as packed arrays.
 A slot counts the pairs, tests the contexts and answers each block; the answers meet the block's state again. The pairs of a context that makes up much of a slot are dealt over ``SALTS`` slots, and the driver adds up the sums of the test (the number of such contexts is bounded by that of slots).
 Word counts are looked up the same way, so tests use exact counts and nothing that grows with the corpus is broadcast.
 
-A context is made longer only where that can lead to a retained one; what is left out is left out with certainty: contexts seen fewer than ``least`` times, and those with no more than one symbol that followed twice, of count n and
-probability p, where n log(1/p), the most that the ratio of any longer context can be, isn't above ``divergence``. The rounds end when no context is left.
+What can change no result is not sent. A context is made longer only where that can lead to a retained one; left out with certainty are contexts seen fewer than ``least`` times, all that hold such a one, and those with no more than one symbol that followed twice, of count n and
+probability p, where n log(1/p), the most that the ratio of any longer context can be, isn't above ``divergence``. A pair whose shorter form was seen once can't be seen twice: only its context is asked for, and how often it was seen. The rounds end when no context is left.
 
-Words are identified by 64-bit hashes, followers within a context by 32 bits. A null text is an empty one: its only token is the end. A null id counts as the empty text in the choice of the fold. Repeated rows count and are scored each. An empty table gives no rows;
+Words are identified by 64-bit hashes, followers within a context by 32 bits; the parents' probabilities go from round to round with 16 bits of mantissa. A null text is an empty one: its only token is the end. A null id counts as the empty text in the choice of the fold. Repeated rows count and are scored each. An empty table gives no rows;
 with no training documents all counts are 0. Other columns of the input are not looked at.
+
+Every round writes two tables, states with messages and answers, to the shared folder, and the next one starts from these; they are deleted when the round after has been written.
 """
 
 from __future__ import annotations
@@ -32,22 +34,26 @@ from .common import CACHES, fresh_path, only, slices
 from .similar import mix, slots_of
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-END, START = (np.uint64(xxhash.xxh3_64_intdigest(x)) for x in ("\0end", "\0start"))
+#: Hashes of strings that no word can be, as they hold a space.
+END, START = (np.uint64(xxhash.xxh3_64_intdigest(x)) for x in (" end", " start"))
 #: Characters of a block; a longer text is a block of its own.
 BLOCK = 6 << 20
 #: Slots for each shuffle partition: a slot is unpacked whole, one at a time.
-SLOTS = 8
+SLOTS = 4
 #: Slots of a hot context, and the share of a slot from which a context is hot.
 SALTS, HOT = 64, 0.25
-#: Flags of a context.
-_HOT, _BARRED = 1, 2
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 MESSAGE = "block long, slot int, packed binary"
+_NONE = np.zeros(0, dtype=np.int64)
 
 
 class _Words(dict):
+    """Hashes of words; long words are not held."""
+
     def __missing__(self, word: bytes) -> int:
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= 64:
+            self[word] = h
         return h
 
 
@@ -112,8 +118,21 @@ def _message(block: int, slot: int, packed: bytes) -> pa.RecordBatch:
     return pa.record_batch([pa.array([block]), pa.array([slot], pa.int32()), pa.array([packed], pa.binary())], names=["block", "slot", "packed"])
 
 
-def _heads(x: np.ndarray) -> np.ndarray:
-    return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, dtype=np.int64)
+def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct values of an array by first occurrence, a place of each, and each place's number among them."""
+    if not len(x):
+        return x, _NONE, _NONE
+    coded = pa.array(x).dictionary_encode()
+    run = coded.indices.to_numpy().astype(np.int64)
+    values = coded.dictionary.to_numpy()
+    one = np.empty(len(values), dtype=np.int64)
+    one[run[::-1]] = np.arange(len(run) - 1, -1, -1)
+    return values, one, run
+
+
+def _short(p: np.ndarray) -> np.ndarray:
+    """Probabilities as 32-bit numbers with 16 bits of mantissa."""
+    return ((p.astype(np.float32).view(np.uint32) + np.uint32(0x40)) & np.uint32(0xFFFFFF80)).view(np.float32)
 
 
 def _retained(whole: np.ndarray, kept: np.ndarray, gain: np.ndarray, smoothing: float, least: int, divergence: float) -> np.ndarray:
@@ -123,54 +142,51 @@ def _retained(whole: np.ndarray, kept: np.ndarray, gain: np.ndarray, smoothing:
     return (whole >= least) & (kept > 0) & (ratio > divergence)
 
 
-def count_words(messages: list[bytes], top: int) -> tuple[list[bytes], bytes]:
-    """For each block's words their counts; the sum and number of the words, and the ``top`` most frequent."""
+def count_words(messages: list[bytes]) -> tuple[list[bytes], bytes]:
+    """For each block's words their counts; and the sum and number of the words."""
     parts = [_unpack(m) for m in messages]
-    words, place = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-    count = np.bincount(place, weights=np.concatenate([p[1] for p in parts]).astype(np.float64)).astype(np.int64)
+    words, _, place = _distinct(np.concatenate([p[0] for p in parts]))
+    count = np.bincount(place, weights=np.concatenate([p[1] for p in parts]).astype(np.float64), minlength=len(words)).astype(np.int64)
     ends = np.cumsum([len(p[0]) for p in parts])[:-1]
-    best = np.lexsort((words.view(np.int64), -count))[:top]
-    return [_pack(x) for x in np.split(count[place], ends)], _pack(np.array([count.sum(), (count > 0).sum()]), words[best], count[best])
+    return [_pack(x.astype(np.uint32) if count.max(initial=0) < 1 << 32 else x) for x in np.split(count[place], ends)], _pack(np.array([count.sum(), (count > 0).sum()]))
 
 
 def weigh_contexts(messages: list[bytes], smoothing: float, least: int, divergence: float) -> tuple[list[bytes], bytes]:
-    """For each block's pairs: their counts, and of its contexts the weight (0: not retained) and whether longer ones are to be tested. Then the sums of hot contexts, and how many are to be made longer."""
+    """For each block's pairs their counts, and of its contexts the counts kept (0: not retained) and whether longer ones are to be tested. Then the sums of hot contexts, and how many are to be made longer.
+
+    A message: keys of contexts, whether each is hot, its training places, its number of pairs; of the pairs the follower, training places, and parent's probability.
+    """
     parts = [_unpack(m) for m in messages]
-    lengths = [p[2].astype(np.int64) for p in parts]
-    keys, run = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-    flags = np.zeros(len(keys), dtype=np.uint8)
-    flags[run] = np.concatenate([p[1] for p in parts])
-    context = np.repeat(run, np.concatenate(lengths))
-    code = context.astype(np.uint64) << np.uint64(32) | np.concatenate([p[3] for p in parts])
-    pairs, one, pair = np.unique(code, return_index=True, return_inverse=True)
-    of = context[one]
-    parent = np.concatenate([p[5] for p in parts])[one].astype(np.float64)
-    count = np.bincount(pair, weights=np.concatenate([p[4] for p in parts]).astype(np.float64))
+    keys, _, run = _distinct(np.concatenate([p[0] for p in parts]))
+    hot = np.zeros(len(keys), dtype=bool)
+    hot[run] = np.concatenate([p[1] for p in parts]) > 0
+    whole = np.bincount(run, weights=np.concatenate([p[2] for p in parts]).astype(np.float64), minlength=len(keys))
+    context = np.repeat(run, np.concatenate([p[3] for p in parts]).astype(np.int64))
+    pairs, one, pair = _distinct(context.astype(np.uint64) << np.uint64(32) | np.concatenate([p[4] for p in parts]))
+    parent = np.concatenate([p[6] for p in parts])[one].astype(np.float64)
+    count = np.bincount(pair, weights=np.concatenate([p[5] for p in parts]).astype(np.float64), minlength=len(pairs))
     twice = count >= 2
-    n, seen, p2 = of[twice], count[twice], parent[twice]
+    n, seen, p2 = context[one[twice]], count[twice], parent[twice]
     total = lambda weights: np.bincount(n, weights=weights, minlength=len(keys))
-    whole = np.bincount(of, weights=count, minlength=len(keys))
     kept, symbols = total(seen), np.bincount(n, minlength=len(keys))
     gain = total(seen * np.log((seen - 1 + smoothing * p2) / p2))
-    hot = flags & _HOT > 0
-    stays = _retained(whole, kept, gain, smoothing, least, divergence) & (flags == 0)
-    share = np.where(stays, 1 / (kept + smoothing), 0.0)
-    p2 = np.where(stays[n], (seen + smoothing * p2) * share[n], p2)
+    stays = _retained(whole, kept, gain, smoothing, least, divergence) & ~hot
+    p2 = np.where(stays[n], (seen + smoothing * p2) / (kept[n] + smoothing), p2)
     longer = hot | (whole >= least) & (kept > 0) & ((symbols > 1) | (total(seen * -np.log(p2)) > divergence))
+    known = np.where(stays, kept, 0).astype(np.uint32)
     out = []
     at = run_at = 0
     for p in parts:
         r = run[run_at : run_at + len(p[0])]
-        out.append(_pack(count[pair[at : at + len(p[3])]].astype(np.uint32), share[r], np.packbits(longer[r])))
-        at, run_at = at + len(p[3]), run_at + len(p[0])
-    mine = hot & (flags & _BARRED == 0)
-    return out, _pack(keys[mine], whole[mine], kept[mine], gain[mine], np.array([longer.sum()]))
+        out.append(_pack(count[pair[at : at + len(p[4])]].astype(np.uint32), known[r], np.packbits(longer[r])))
+        at, run_at = at + len(p[4]), run_at + len(p[0])
+    return out, _pack(keys[hot], whole[hot], kept[hot], gain[hot], np.array([longer.sum()]))
 
 
 class _State:
-    """What a block knows between rounds: its documents' words and sums, the places whose contexts are tested, and the pairs sent for them."""
+    """What a block knows between rounds: its documents' words and sums, and the places whose contexts are tested."""
 
-    FIELDS = "ids null lengths train vocabulary word count base score known at doc offset parent bounds runs flags hot".split()
+    FIELDS = "ids null lengths train vocabulary word count base score known at doc offset p single rare".split()
 
     RISING = ("at", "doc", "offset")  # packed as differences
 
@@ -187,66 +203,71 @@ class _State:
         streams = [tokens(t) for t in texts]
         self.ids, self.null = np.array([i or 0 for i in ids], dtype=np.int64), np.array([i is None for i in ids])
         self.lengths, self.train = np.array([len(x) for x in streams]), np.array([in_training(i) for i in ids])
-        self.vocabulary, word = np.unique(np.concatenate(streams), return_inverse=True)
+        self.vocabulary, _, word = _distinct(np.concatenate(streams))
         self.word = word.astype(np.uint32)
         self.base = self.score = np.zeros(len(ids))
         self.known = np.zeros(len(ids), dtype=np.int64)
         self.at = self.doc = self.offset = self.word[:0]
-        self.parent, self.flags, self.hot = np.zeros(0, dtype=np.float32), np.zeros(0, dtype=np.uint8), np.zeros(0, dtype=np.uint64)
-        self.count = self.bounds = self.runs = np.zeros(0, dtype=np.int64)
+        self.p, self.single = np.zeros(0, dtype=np.float32), np.zeros(0, dtype=np.uint8)
+        self.count, self.rare = _NONE, np.zeros(len(self.word) // 8 + 1, dtype=np.uint8)
         return self
 
     def ask_words(self, slots: int) -> Iterator[tuple[int, bytes]]:
         n = np.bincount(self.word, weights=np.repeat(self.train, self.lengths), minlength=len(self.vocabulary)).astype(np.int64)
         slot = (mix(self.vocabulary) % np.uint64(slots)).astype(np.int64)
         order = np.argsort(slot, kind="stable")
-        self.vocabulary, n = self.vocabulary[order], n[order]
+        self.vocabulary, n = self.vocabulary[order], n[order].astype(np.uint32)
+        self._renumber(order)
+        bounds = np.searchsorted(slot[order], np.arange(slots + 1))
+        for s, (i, j) in enumerate(zip(bounds, bounds[1:])):
+            if j > i:
+                yield s, _pack(self.vocabulary[i:j], n[i:j])
+
+    def _renumber(self, order: np.ndarray) -> None:
         rank = np.empty(len(order), dtype=np.uint32)
         rank[order] = np.arange(len(order))
         self.word = rank[self.word]
-        self.bounds = np.searchsorted(slot[order], np.arange(slots + 1))
-        for s, (i, j) in enumerate(zip(self.bounds, self.bounds[1:])):
-            if j > i:
-                yield s, _pack(self.vocabulary[i:j], n[i:j])
 
     def _add(self, doc: np.ndarray, p: np.ndarray) -> None:
         """The final probabilities of some places, by document."""
         self.score = self.score + np.bincount(doc, weights=np.log10(p), minlength=len(self.ids))
 
     def take_words(self, answers: dict[int, bytes], model: dict) -> tuple[np.ndarray, ...]:
-        """Places, their documents and offsets in these, their probabilities at the root, and the counts of the words before them."""
-        self.count = np.concatenate([_unpack(answers[s])[0] for s in sorted(answers)])
+        """Places, their documents and offsets in these, their probabilities at the root, whether their words can't follow twice, and the counts of the words before them."""
+        self.count = np.concatenate([_unpack(answers[s])[0] for s in sorted(answers)]).astype(np.int64)
+        order = np.argsort(-np.bincount(self.word, minlength=len(self.vocabulary)), kind="stable")  # frequent words get small numbers
+        self.vocabulary, self.count = self.vocabulary[order], self.count[order]
+        self._renumber(order)
         count = self.count[self.word]
-        root = (count + 0.5) / (model["total"] + 0.5 * (model["distinct"] + 1))
+        root = self._root(model)[self.word]
         starts = np.cumsum(self.lengths) - self.lengths
         self.base, self.known = np.add.reduceat(np.log10(root), starts), np.add.reduceat((count > 0).astype(np.int64), starts)
         before = np.concatenate([[0], count[:-1]])
-        before[starts] = np.iinfo(np.int64).max
+        before[starts] = 0  # the start alone is no context
         place, doc = np.arange(len(count)), np.repeat(np.arange(len(self.ids)), self.lengths)
-        return place, doc, place - starts[doc], root, before
+        return place, doc, place - starts[doc], root, count < 2, before
+
+    def _root(self, model: dict) -> np.ndarray:
+        return (self.count + 0.5) / (model["total"] + 0.5 * (model["distinct"] + 1))
 
     def take(self, level: int, answers: dict[int, bytes], model: dict) -> tuple[np.ndarray, ...]:
         """The same after the contexts of ``level`` words are tested; places where no longer context can be retained are scored."""
         if not len(self.at):
-            none = np.zeros(0, dtype=np.int64)
-            return none, none, none, np.zeros(0), none
+            return _NONE, _NONE, _NONE, np.zeros(0), _NONE, _NONE
         parts = [_unpack(answers[s]) for s in sorted(answers)]
-        seen = np.concatenate([p[0] for p in parts]).astype(np.int64)
-        share = np.concatenate([p[1] for p in parts])
-        ends = np.cumsum([len(p[1]) for p in parts])[:-1]
+        counts, kept = (np.concatenate([p[i] for p in parts]).astype(np.int64) for i in (0, 1))
         longer = np.concatenate([np.unpackbits(p[2], count=len(p[1])) for p in parts]).astype(bool)
-        hot = self.flags & _HOT > 0
-        if len(model["hot"]) and hot.any():
-            i = np.minimum(np.searchsorted(model["hot"], self.hot), len(model["hot"]) - 1)
-            share[hot] = np.where(model["hot"][i] == self.hot, model["share"][i], 0.0)
-        run = np.repeat(np.arange(len(share)), self.runs)
-        share, longer = share[run], longer[run]
-        p = self.parent.astype(np.float64)
+        at, single = self.at.astype(np.int64), self.single.astype(bool)
+        key, run, entry, *_ = self._pairs(level, at, self.offset, single, model["slots"], lambda keys, one: np.isin(keys, model["hot"]))
+        if len(model["hot"]):
+            i = np.minimum(np.searchsorted(model["hot"], key), len(model["hot"]) - 1)
+            kept = np.where(model["hot"][i] == key, model["kept"][i], kept)
+        seen = np.ones(len(at), dtype=np.int64)
+        seen[~single] = counts[entry]
+        kept, longer = kept[run], longer[run]
         a = model["smoothing"]
-        p = np.where(share > 0, (np.where(seen >= 2, seen, 0) + a * p) * share, p)
-        at = self.at.astype(np.int64)
-        entry = self._pairs(level, at, self.offset, model["slots"], lambda keys, one: np.isin(keys, self.hot))[3]
-        p, longer, seen = p[entry], longer[entry], seen[entry]
+        p = (_short(self._root(model))[self.word[at]] if level == 1 else self.p).astype(np.float64)
+        p = np.where(kept > 0, (np.where(seen >= 2, seen, 0) + a * p) / (kept + a), p)
         # A context one word longer ends in the pair of the place before; where that wasn't sent, its count is not known, and not hot.
         held = np.full(len(self.word) + 1, -1, dtype=np.int64)
         held[at + 1] = seen
@@ -254,65 +275,79 @@ class _State:
         before[self.offset == 0] = -1
         on = longer & (self.offset >= level)
         self._add(self.doc[~on], p[~on])
-        return at[on], self.doc[on].astype(np.int64), self.offset[on].astype(np.int64), p[on], np.where(before[on] < 0, model["least"], before[on])
+        return at[on], self.doc[on].astype(np.int64), self.offset[on].astype(np.int64), p[on], seen[on] < 2, before[on]
 
     def _shrink(self, at: np.ndarray, offset: np.ndarray, depth: int) -> np.ndarray:
         """Keep only the words of the places ``at`` and of their longest contexts; the places' new numbers."""
         needed = np.zeros(len(self.word), dtype=bool)
         for j in range(depth + 1):
             needed[at[offset >= j] - j] = True
-        used, word = np.unique(self.word[needed], return_inverse=True)
-        self.vocabulary, self.word = self.vocabulary[used], word.astype(np.uint32)
+        order, _, word = _distinct(self.word[needed])
+        self.rare = np.packbits(np.unpackbits(self.rare, count=len(self.word))[needed])
+        self.vocabulary, self.word = self.vocabulary[order], word.astype(np.uint32)
+        self.count = self.count[order] if len(self.count) else self.count
         return (np.cumsum(needed) - 1)[at]
 
-    def _pairs(self, level: int, at: np.ndarray, offset: np.ndarray, slots: int, is_hot) -> tuple[np.ndarray, ...]:
-        """Of the contexts of some places: keys, a place of each; of their distinct pairs in order of slots: a place of each, each place's pair, slot, context and follower; and the contexts that are hot."""
+    def _pairs(self, level: int, at: np.ndarray, offset: np.ndarray, single: np.ndarray, slots: int, is_hot) -> tuple[np.ndarray, ...]:
+        """Contexts and pairs of some places, in order of slots: the key of each run of pairs, each place's run, each pair's number for the places that send one; a place of each pair, its run and follower; slot and heat of each run."""
         h = np.zeros(len(at), dtype=np.uint64)
         for j in range(1, level + 1):
             h = mix(h * _SPREAD + np.where(offset >= j, self.vocabulary[self.word[np.maximum(at - j, 0)]], START))
-        keys, one, context = np.unique(h, return_index=True, return_inverse=True)
+        keys, one, context = _distinct(h)
         hot = is_hot(keys, one)
-        code = context.astype(np.uint64) << np.uint64(32) | self.word[at]
-        _, first, entry = np.unique(code, return_index=True, return_inverse=True)
-        context = context[first]
+        sends = np.flatnonzero(~single)
+        _, first, pair = _distinct(context[sends].astype(np.uint64) << np.uint64(32) | self.word[at[sends]])
+        first = sends[first]
         follower = (mix(self.vocabulary[self.word[at[first]]]) >> np.uint64(32)).astype(np.uint32)
-        salt = np.where(hot[context], follower % np.uint32(SALTS), 0).astype(np.uint64)
-        slot = (mix(keys[context] + salt * _SPREAD) % np.uint64(slots)).astype(np.int64)
+        salted = context[first] * SALTS + np.where(hot[context[first]], follower % np.uint32(SALTS), 0)
+        lone = np.ones(len(keys), dtype=bool)
+        lone[context[first]] = False
+        runs, _, of = _distinct(np.concatenate([salted, np.flatnonzero(lone) * SALTS]))
+        key = keys[runs // SALTS]
+        slot = (mix(key + (runs % SALTS).astype(np.uint64) * _SPREAD) % np.uint64(slots)).astype(np.int64)
         order = np.argsort(slot, kind="stable")
         rank = np.empty(len(order), dtype=np.int64)
         rank[order] = np.arange(len(order))
-        return keys, one, first[order], rank[entry], slot[order], context[order], follower[order], hot
-
-    def ask(self, level: int, at: np.ndarray, doc: np.ndarray, offset: np.ndarray, p: np.ndarray, before: np.ndarray, model: dict, slots: int) -> Iterator[tuple[int, bytes]]:
+        home = np.empty(len(keys), dtype=np.int64)
+        home[runs[order] // SALTS] = np.arange(len(order))  # of a hot context any of its runs
+        pair_run = rank[of[: len(first)]]
+        by_run = np.argsort(pair_run, kind="stable")
+        number = np.empty(len(first), dtype=np.int64)
+        number[by_run] = np.arange(len(first))
+        run = home[context]
+        run[sends] = pair_run[pair]
+        return key[order], run, number[pair], first[by_run], pair_run[by_run], follower[by_run], slot[order], hot[runs[order] // SALTS]
+
+    def ask(self, level: int, at: np.ndarray, doc: np.ndarray, offset: np.ndarray, p: np.ndarray, single: np.ndarray, before: np.ndarray, model: dict) -> Iterator[tuple[int, bytes]]:
         """Send the pairs of the places whose context of ``level`` words was seen often enough; the others are scored."""
-        on = before >= model["least"]
+        rare = np.unpackbits(self.rare, count=len(self.word)).astype(bool)
+        on = (before >= model["least"]) | (before < 0) & ~((offset > 0) & rare[np.maximum(at - 1, 0)])
+        rare[at[~on & (offset > 0)]] = True  # and so is every context that ends here, with the next word
+        self.rare = np.packbits(rare)
         self._add(doc[~on], p[~on])
-        at, doc, offset, p, before = at[on], doc[on], offset[on], p[on], before[on]
+        at, doc, offset, p, single, before = at[on], doc[on], offset[on], p[on], single[on], before[on]
         if len(at) * 4 < len(self.word):
             at = self._shrink(at, offset, model["depth"])
         self.at, self.doc, self.offset = (x.astype(np.uint32) for x in (at, doc, offset))
+        self.single, self.p = single.astype(np.uint8), _short(p)
+        if level == 1:
+            self.p = self.p[:0]  # known from the words' counts
+        else:
+            self.count = _NONE
         if not len(at):
-            self.count = self.count[:0]
-            self.parent, self.bounds, self.runs, self.flags, self.hot = self.parent[:0], self.bounds[:0], self.runs[:0], self.flags[:0], self.hot[:0]
             return
-        stop = np.isin(self.vocabulary, model["stop"])
-        light = np.zeros(len(at), dtype=bool)
-        for j in range(1, level + 1):
-            light |= (offset >= j) & ~stop[self.word[np.maximum(at - j, 0)]]
-        keys, one, first, entry, slot, context, follower, hot = self._pairs(level, at, offset, slots, lambda keys, one: before[one] > model["hot_from"])
-        flags = np.where(hot, _HOT, 0) | np.where(light[one], 0, _BARRED)
-        count = np.bincount(entry, weights=self.train[doc], minlength=len(first)).astype(np.uint32)
-        self.parent = p[first].astype(np.float32)
-        heads = _heads(slot * len(keys) + context)
-        self.runs = np.diff(np.append(heads, len(first))).astype(np.uint32)
-        self.flags = flags[context[heads]].astype(np.uint8)
-        key = keys[context[heads]]
-        self.hot = key[self.flags & _HOT > 0]
-        self.count = self.bounds = self.runs[:0]
-        bounds, run_bounds = np.searchsorted(slot, np.arange(slots + 1)), np.searchsorted(slot[heads], np.arange(slots + 1))
-        for s, (i, j, a, b) in enumerate(zip(bounds, bounds[1:], run_bounds, run_bounds[1:])):
-            if j > i:
-                yield s, _pack(key[a:b], self.flags[a:b], self.runs[a:b], follower[i:j], count[i:j], self.parent[i:j])
+        slots = model["slots"]
+        key, run, entry, first, pair_run, follower, slot, hot = self._pairs(level, at, offset, single, slots, lambda keys, one: before[one] > model["hot_from"])
+        train = self.train[doc].astype(np.float64)
+        total = np.bincount(run, weights=train, minlength=len(key)).astype(np.uint32)
+        size = np.bincount(pair_run, minlength=len(key)).astype(np.uint32)
+        count = np.bincount(entry, weights=train[~single], minlength=len(first)).astype(np.uint32)
+        parent = _short(p[first])
+        run_bounds = np.searchsorted(slot, np.arange(slots + 1))
+        bounds = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])[run_bounds]
+        for s in np.flatnonzero(np.diff(run_bounds)):
+            a, b, i, j = run_bounds[s], run_bounds[s + 1], bounds[s], bounds[s + 1]
+            yield int(s), _pack(key[a:b], hot[a:b].astype(np.uint8), total[a:b], size[a:b], follower[i:j], count[i:j], parent[i:j])
 
     def rows(self, model: dict) -> pa.RecordBatch:
         n = len(self.ids)
@@ -320,8 +355,10 @@ class _State:
         return pa.record_batch(columns, names=[f.split()[0] for f in SCORES.split(", ")])
 
 
-def score_documents(docs: DataFrame, stop: int = 0, depth: int = 2, smoothing: float = 2.0, least: int = 4, divergence: float = 4.0) -> DataFrame:
-    """One row per document of ``docs (doc_id, text)``; see SCORES. Held-out documents (crc32 of the id, modulo 5, is 1) teach nothing."""
+def score_documents(docs: DataFrame, depth: int = 2, smoothing: float = 2.0, least: int = 2, divergence: float = 4.0) -> DataFrame:
+    """One row per document of ``docs (doc_id, text)``; see SCORES. Held-out documents (crc32 of the id, modulo 5, is 1) teach nothing. ``least`` is 2 at least."""
+    if least < 2:
+        raise ValueError("a context seen once says nothing when it is left out itself: least must be 2 or more")
     spark = docs.sparkSession
     slots = SLOTS * slots_of(docs)
     docs = docs.select("doc_id", "text", F.spark_partition_id().alias("part"))  # of the scan, wherever it stands in a plan
@@ -333,7 +370,7 @@ def score_documents(docs: DataFrame, stop: int = 0, depth: int = 2, smoothing: f
             state = _State.of(ids, texts)
             for s, packed in state.ask_words(slots):
                 yield _message(number, s, packed)
-            yield _message(number, _place(number), state.packed())
+            yield _message(number, -1, state.packed())
 
     def answer(level: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -342,14 +379,11 @@ def score_documents(docs: DataFrame, stop: int = 0, depth: int = 2, smoothing: f
             for batch in batches:
                 for i in range(batch.num_rows):
                     block, slot, packed = (c[i].as_py() for c in batch.columns)
-                    if slot < 0:
-                        yield _message(block, slot, packed)
-                    else:
-                        held.setdefault(slot, []).append((block, packed))
+                    held.setdefault(slot, []).append((block, packed))
             for slot in list(held):
                 rows = held.pop(slot)
                 messages = [r[1] for r in rows]
-                answers, sums = weigh_contexts(messages, smoothing, least, divergence) if level else count_words(messages, stop)
+                answers, sums = weigh_contexts(messages, smoothing, least, divergence) if level else count_words(messages)
                 for (block, _), packed in zip(rows, answers):
                     yield _message(block, slot, packed)
                 yield _message(-1, slot, sums)
@@ -358,6 +392,7 @@ def score_documents(docs: DataFrame, stop: int = 0, depth: int = 2, smoothing: f
 
     def step(level: int, shared, last: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            only()
             model = shared.value
             current, state, answers = None, None, {}
 
@@ -369,9 +404,9 @@ def score_documents(docs: DataFrame, stop: int = 0, depth: int = 2, smoothing: f
                     state._add(places[1], places[3])
                     yield state.rows(model)
                     return
-                for s, packed in state.ask(level + 1, *places, model, slots):
+                for s, packed in state.ask(level + 1, *places, model):
                     yield _message(current, s, packed)
-                yield _message(current, _place(current), state.packed())
+                yield _message(current, -1, state.packed())
 
             for batch in batches:
                 for i in range(batch.num_rows):
@@ -387,41 +422,48 @@ def score_documents(docs: DataFrame, stop: int = 0, depth: int = 2, smoothing: f
 
         return run
 
-    sent, path = docs.mapInArrow(begin, MESSAGE), None
+    def written(df: DataFrame, *old: str) -> str:
+        """Write a round's table, then drop those that it was made from."""
+        path = fresh_path(spark, "suffix-tree")
+        df.write.option("compression", "none").parquet(path)
+        for o in old:
+            _delete(spark, o)
+        return path
+
+    def messages(df: DataFrame) -> DataFrame:
+        return df.withColumn("message", F.col("slot") >= 0)
+
+    read = lambda path: spark.read.schema(MESSAGE + ", message boolean").parquet(path)
+    sent, old = docs.mapInArrow(begin, MESSAGE), []
     for level in range(depth + 1):
-        old, path = path, fresh_path(spark, "suffix-tree")
-        sent.repartition("slot").mapInArrow(answer(level), MESSAGE).write.option("compression", "none").parquet(path)
-        if old:
-            _delete(spark, old)
-        del sent, old
+        path = fresh_path(spark, "suffix-tree")
+        messages(sent).write.partitionBy("message").option("compression", "none").parquet(path)
+        del sent
+        for o in old:
+            _delete(spark, o)
         spark.sparkContext._jvm.System.gc()  # lets Spark remove the files of shuffles that are done with
-        answered = spark.read.schema(MESSAGE).parquet(path)
+        answers = written(read(path).filter("message").drop("message").repartition("slot").mapInArrow(answer(level), MESSAGE), f"{path}/message=true")
+        spark.sparkContext._jvm.System.gc()
+        old = [path, answers]
+        answered = spark.read.schema(MESSAGE).parquet(answers)
         sums = [_unpack(r[0]) for r in answered.filter("block = -1").select("packed").toLocalIterator()]
         if level == 0:
             model["total"], model["distinct"] = (sum(int(s[0][i]) for s in sums) for i in (0, 1))
-            words, counts = (np.concatenate([np.zeros(0, dtype=t), *(s[i] for s in sums)]) for i, t in ((1, np.uint64), (2, np.int64)))
-            model["stop"] = words[np.lexsort((words.view(np.int64), -counts))[:stop]]
             model["hot_from"] = max(least, HOT * model["total"] / slots)
             more = True
         else:
             keys, place = np.unique(np.concatenate([np.zeros(0, dtype=np.uint64), *(s[0] for s in sums)]), return_inverse=True)
             whole, kept, gain = (np.bincount(place, weights=np.concatenate([np.zeros(0), *(s[i] for s in sums)]), minlength=len(keys)) for i in (1, 2, 3))
-            stays = _retained(whole, kept, gain, smoothing, least, divergence)
-            model["hot"], model["share"] = keys, np.where(stays, 1 / (kept + smoothing), 0.0)
+            model["hot"], model["kept"] = keys, np.where(_retained(whole, kept, gain, smoothing, least, divergence), kept, 0).astype(np.int64)
             more = any(s[4][0] for s in sums)
         last = level == depth or not more
         shared = spark.sparkContext.broadcast(dict(model))
-        met = answered.filter("block <> -1").repartition("block").sortWithinPartitions("block", "slot")
+        met = read(path).filter("not message").drop("message").unionByName(answered.filter("block <> -1")).repartition("block").sortWithinPartitions("block", "slot")
         sent = met.mapInArrow(step(level, shared, last), SCORES if last else MESSAGE)
         if last:
             return sent
 
 
-def _place(block: int) -> int:
-    """The slot of a block's state: no slot of messages, and another one for each block."""
-    return -1 - (zlib.crc32(block.to_bytes(8, "little")) >> 2)
-
-
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)

@@ -104,60 +104,27 @@ def test_pieces_count_every_ngram_once(monkeypatch):
     assert all((np.bincount(h, minlength=65)[:64] == w).all() for h, w in zip(found, whole))
 
 
-def tree_by_hand(rows, stop, smoothing, least, divergence):
-    """The same model over plain dictionaries, for a vocabulary that the head holds whole."""
+def test_suffix_tree_by_hand(spark, table, prose):
+    rows = [(i, prose(i % 17, 60 + i % 17) + " " + prose(1000 + i, 20)) for i in range(90)] + [(200, None), (201, ""), (202, "UPPER lower\x0bTab\x1cé É"), (203, prose(3, 9000))]
     words = lambda t: [re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in re.findall(r"[^\x20\x09-\x0D]+", t or "")] + [None]
-    train = [words(t) for i, t in rows if suffix_tree.in_training(i)]
-    count = Counter(w for s in train for w in s)
+    count = Counter(w for i, t in rows if suffix_tree.in_training(i) for w in words(t))
     total, distinct = sum(count.values()), len(count)
-    root = lambda w: (count[w] + 0.5) / (total + 0.5 * (distinct + 1))
-    followers = {}
-    for s in train:
-        for i, w in enumerate(s):
-            u, t = (s[i - 1] if i else "^"), (s[i - 2] if i > 1 else "^" if i == 1 else "^^")
-            light = lambda x: x not in stop and not str(x).startswith("^")
-            if light(u):
-                followers.setdefault((u,), Counter())[w] += 1
-                followers.setdefault((t, u), Counter())[w] += 1
-            elif light(t):
-                followers.setdefault((t, u), Counter())[w] += 1
-    states = {}
-
-    def p(context, w):
-        while context and context not in states:
-            context = context[1:]
-        if not context:
-            return root(w)
-        kept, n = states[context]
-        return (kept.get(w, 0) + smoothing * p(context[1:], w)) / (n + smoothing)
-
-    for context in sorted(followers, key=len):
-        c = followers[context]
-        n, kept = sum(c.values()), {w: k for w, k in c.items() if k >= 2}
-        gain = sum(k * math.log((k - 1 + smoothing * p(context[1:], w)) / ((n - 1 + smoothing) * p(context[1:], w))) for w, k in kept.items())
-        gain += (n - sum(kept.values())) * math.log(smoothing / (n - 1 + smoothing))
-        if n >= least and kept and gain > divergence:
-            states[context] = (kept, sum(kept.values()))
-    out = {}
-    for i, t in rows:
-        s = words(t)
-        logs = [math.log10(p(((s[k - 2] if k > 1 else "^"), s[k - 1]) if k else (), w)) for k, w in enumerate(s)]
-        out[i] = (len(s), sum(count[w] > 0 for w in s), total, sum(math.log10(root(w)) for w in s), sum(logs))
-    return out, len(states)
+    for least in (2, 4):
+        want, states = deep_tree_by_hand([(i, " ".join(w for w in words(t) if w).replace("\x1c", "|")) for i, t in rows], 2, least=least)
+        assert len(states) > 20
+        for r in suffix_tree.score_documents(table(rows).repartition(3), smoothing=2.0, least=least, divergence=4.0).collect():
+            i, s = r["doc_id"], words(dict(rows)[r["doc_id"]])
+            base = sum(math.log10((count[w] + 0.5) / (total + 0.5 * (distinct + 1))) for w in s)
+            assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["held_out"]) == (len(s), sum(count[w] > 0 for w in s), total, zlib.crc32(str(i).encode()) % 5 == 1)
+            assert math.isclose(r["base_score"], base, rel_tol=1e-9) and math.isclose(r["score"], want[i], rel_tol=1e-5), i
 
 
-def test_suffix_tree_by_hand(spark, table, prose):
-    rows = [(i, prose(i % 17, 60 + i % 17) + " " + prose(1000 + i, 20)) for i in range(90)] + [(200, None), (201, ""), (202, "UPPER lower\x0bTab\x1cé É"), (203, prose(3, 9000))]
-    got = {r["doc_id"]: r for r in suffix_tree.score_documents(table(rows), stop=5, smoothing=2.0, least=4, divergence=4.0).collect()}
-    counts = Counter(w for i, t in rows if suffix_tree.in_training(i) for w in (re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower()) + [None]))
-    hashed = lambda w: int(suffix_tree.END) if w is None else suffix_tree._words[w.encode()]
-    top = sorted(counts, key=lambda w: (-counts[w], np.uint64(hashed(w)).astype(np.int64)))[:5]
-    want, states = tree_by_hand(rows, set(top), 2.0, 4, 4.0)
-    assert states > 20
-    for i, (n, known, total, base, score) in want.items():
-        r = got[i]
-        assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["held_out"]) == (n, known, total, zlib.crc32(str(i).encode()) % 5 == 1)
-        assert math.isclose(r["base_score"], base, rel_tol=1e-9) and math.isclose(r["score"], score, rel_tol=1e-5), i
+def test_documents_that_occur_twice_score_apart(spark, table, prose):
+    rows = [(i, prose(i, 120)) for i in range(300) if suffix_tree.in_training(i)]
+    twice = rows[:10]
+    copies = zip([i for i in range(1000, 1100) if suffix_tree.in_training(i)], twice)
+    got = {r["doc_id"]: r["score"] / r["base_score"] for r in suffix_tree.score_documents(table(rows + [(i, t) for i, (_, t) in copies]), depth=8).collect()}
+    assert max(got[i] for i, _ in twice) < min(got[i] for i, _ in rows[10:])
 
 
 def test_suffix_tree_without_training(spark, table):
@@ -167,7 +134,7 @@ def test_suffix_tree_without_training(spark, table):
     assert suffix_tree.score_documents(table([])).count() == 0
 
 
-def deep_tree_by_hand(rows, depth, smoothing=2.0, least=4, divergence=4.0):
+def deep_tree_by_hand(rows, depth, smoothing=2.0, least=2, divergence=4.0):
     """Scores with every context of up to ``depth`` words, tested whether or not its suffixes stay; and the retained contexts."""
     streams = {i: (t or "").lower().split() + [None] for i, t in rows}
     train = [s for i, s in streams.items() if suffix_tree.in_training(i)]

@@ -5,7 +5,7 @@ distribution diverges from that of its parent (its longest retained suffix): the
 is its counts of symbols that followed it at least twice, smoothed by the parent's distribution with weight ``smoothing``, so every state's probabilities sum to one. A token is scored by the
 longest retained suffix of the words before it. The start of a document is no context without a word after it.
 
-Text is read once, in blocks. The tree grows a level for each round: a block sends its distinct (context, next) pairs, with counts of its training documents and the parent's probability, to slots as packed arrays.
+Text is read once, in blocks. The tree grows a level for each round: a block's state, as it was written, sends its distinct (context, next) pairs, with counts of its training documents and the parent's probability, to slots as packed arrays.
 A slot counts the pairs, tests the contexts and answers each block; the answers meet the block's state again. The pairs of a context that makes up much of a slot are dealt over ``SALTS`` slots, and the driver adds up the sums of the test (the number of such contexts is bounded by that of slots).
 Word counts are looked up the same way, so tests use exact counts and nothing that grows with the corpus is broadcast.
 
@@ -15,7 +15,7 @@ probability p, where n log(1/p), the most that the ratio of any longer context c
 Words are identified by 64-bit hashes, followers within a context by 32 bits; the parents' probabilities go from round to round with 16 bits of mantissa. A null text is an empty one: its only token is the end. A null id counts as the empty text in the choice of the fold. Repeated rows count and are scored each. An empty table gives no rows;
 with no training documents all counts are 0. Other columns of the input are not looked at.
 
-Every round writes two tables, states with messages and answers, to the shared folder, and the next one starts from these; they are deleted when the round after has been written.
+Every round writes two tables to the shared folder, states and answers, and the next one starts from these; they are deleted when the next states have been written.
 """
 
 from __future__ import annotations
@@ -81,7 +81,7 @@ def _pack(*arrays: np.ndarray) -> bytes:
     out = b""
     for a in arrays:
         out += f"{a.dtype.str}:{len(a)};".encode()
-    return zstandard.ZstdCompressor(level=1).compress(out + b"\n" + b"".join(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.dtype.itemsize).T.tobytes() for a in arrays))
+    return zstandard.ZstdCompressor(level=3).compress(out + b"\n" + b"".join(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.dtype.itemsize).T.tobytes() for a in arrays))
 
 
 def _unpack(raw: bytes) -> list[np.ndarray]:
@@ -186,7 +186,7 @@ def weigh_contexts(messages: list[bytes], smoothing: float, least: int, divergen
 class _State:
     """What a block knows between rounds: its documents' words and sums, and the places whose contexts are tested."""
 
-    FIELDS = "ids null lengths train vocabulary word count base score known at doc offset p single rare".split()
+    FIELDS = "ids null lengths train vocabulary word count base score known at doc offset p single hot rare".split()
 
     RISING = ("at", "doc", "offset")  # packed as differences
 
@@ -204,29 +204,31 @@ class _State:
         self.ids, self.null = np.array([i or 0 for i in ids], dtype=np.int64), np.array([i is None for i in ids])
         self.lengths, self.train = np.array([len(x) for x in streams]), np.array([in_training(i) for i in ids])
         self.vocabulary, _, word = _distinct(np.concatenate(streams))
-        self.word = word.astype(np.uint32)
+        self._reorder(word, np.argsort(-np.bincount(word), kind="stable"))  # frequent words get small numbers
         self.base = self.score = np.zeros(len(ids))
         self.known = np.zeros(len(ids), dtype=np.int64)
         self.at = self.doc = self.offset = self.word[:0]
         self.p, self.single = np.zeros(0, dtype=np.float32), np.zeros(0, dtype=np.uint8)
-        self.count, self.rare = _NONE, np.zeros(len(self.word) // 8 + 1, dtype=np.uint8)
+        self.count, self.hot, self.rare = _NONE, self.single, np.zeros(len(self.word) // 8 + 1, dtype=np.uint8)
         return self
 
-    def ask_words(self, slots: int) -> Iterator[tuple[int, bytes]]:
-        n = np.bincount(self.word, weights=np.repeat(self.train, self.lengths), minlength=len(self.vocabulary)).astype(np.int64)
+    def _reorder(self, word: np.ndarray, order: np.ndarray) -> None:
+        rank = np.empty(len(order), dtype=np.uint32)
+        rank[order] = np.arange(len(order))
+        self.vocabulary, self.word = self.vocabulary[order], rank[word]
+
+    def _slots(self, slots: int) -> tuple[np.ndarray, np.ndarray]:
+        """The words' numbers in order of slots, and the bounds of these."""
         slot = (mix(self.vocabulary) % np.uint64(slots)).astype(np.int64)
         order = np.argsort(slot, kind="stable")
-        self.vocabulary, n = self.vocabulary[order], n[order].astype(np.uint32)
-        self._renumber(order)
-        bounds = np.searchsorted(slot[order], np.arange(slots + 1))
+        return order, np.searchsorted(slot[order], np.arange(slots + 1))
+
+    def ask_words(self, slots: int) -> Iterator[tuple[int, bytes]]:
+        n = np.bincount(self.word, weights=np.repeat(self.train, self.lengths), minlength=len(self.vocabulary)).astype(np.uint32)
+        order, bounds = self._slots(slots)
         for s, (i, j) in enumerate(zip(bounds, bounds[1:])):
             if j > i:
-                yield s, _pack(self.vocabulary[i:j], n[i:j])
-
-    def _renumber(self, order: np.ndarray) -> None:
-        rank = np.empty(len(order), dtype=np.uint32)
-        rank[order] = np.arange(len(order))
-        self.word = rank[self.word]
+                yield s, _pack(self.vocabulary[order[i:j]], n[order[i:j]])
 
     def _add(self, doc: np.ndarray, p: np.ndarray) -> None:
         """The final probabilities of some places, by document."""
@@ -234,10 +236,14 @@ class _State:
 
     def take_words(self, answers: dict[int, bytes], model: dict) -> tuple[np.ndarray, ...]:
         """Places, their documents and offsets in these, their probabilities at the root, whether their words can't follow twice, and the counts of the words before them."""
-        self.count = np.concatenate([_unpack(answers[s])[0] for s in sorted(answers)]).astype(np.int64)
-        order = np.argsort(-np.bincount(self.word, minlength=len(self.vocabulary)), kind="stable")  # frequent words get small numbers
-        self.vocabulary, self.count = self.vocabulary[order], self.count[order]
-        self._renumber(order)
+        count = np.empty(len(self.vocabulary), dtype=np.int64)
+        count[self._slots(model["slots"])[0]] = np.concatenate([_unpack(answers[s])[0] for s in sorted(answers)])
+        # Words seen once or never are in no context, and follow none twice: two numbers do for all of them.
+        often = np.flatnonzero(count >= 2)
+        number = count.astype(np.uint32)
+        number[often] = np.arange(2, len(often) + 2)
+        self.word = number[self.word]
+        self.vocabulary, self.count = np.concatenate([np.array([0, 1], dtype=np.uint64), self.vocabulary[often]]), np.concatenate([[0, 1], count[often]])
         count = self.count[self.word]
         root = self._root(model)[self.word]
         starts = np.cumsum(self.lengths) - self.lengths
@@ -250,6 +256,10 @@ class _State:
     def _root(self, model: dict) -> np.ndarray:
         return (self.count + 0.5) / (model["total"] + 0.5 * (model["distinct"] + 1))
 
+    def _before(self, level: int, model: dict) -> np.ndarray:
+        """The kept places' probabilities before their contexts of ``level`` words are tested."""
+        return _short(self._root(model))[self.word[self.at]] if level == 1 else self.p
+
     def take(self, level: int, answers: dict[int, bytes], model: dict) -> tuple[np.ndarray, ...]:
         """The same after the contexts of ``level`` words are tested; places where no longer context can be retained are scored."""
         if not len(self.at):
@@ -266,7 +276,7 @@ class _State:
         seen[~single] = counts[entry]
         kept, longer = kept[run], longer[run]
         a = model["smoothing"]
-        p = (_short(self._root(model))[self.word[at]] if level == 1 else self.p).astype(np.float64)
+        p = self._before(level, model).astype(np.float64)
         p = np.where(kept > 0, (np.where(seen >= 2, seen, 0) + a * p) / (kept + a), p)
         # A context one word longer ends in the pair of the place before; where that wasn't sent, its count is not known, and not hot.
         held = np.full(len(self.word) + 1, -1, dtype=np.int64)
@@ -318,8 +328,8 @@ class _State:
         run[sends] = pair_run[pair]
         return key[order], run, number[pair], first[by_run], pair_run[by_run], follower[by_run], slot[order], hot[runs[order] // SALTS]
 
-    def ask(self, level: int, at: np.ndarray, doc: np.ndarray, offset: np.ndarray, p: np.ndarray, single: np.ndarray, before: np.ndarray, model: dict) -> Iterator[tuple[int, bytes]]:
-        """Send the pairs of the places whose context of ``level`` words was seen often enough; the others are scored."""
+    def select(self, level: int, at: np.ndarray, doc: np.ndarray, offset: np.ndarray, p: np.ndarray, single: np.ndarray, before: np.ndarray, model: dict) -> None:
+        """Keep the places whose context of ``level`` words was seen often enough; the others are scored."""
         rare = np.unpackbits(self.rare, count=len(self.word)).astype(bool)
         on = (before >= model["least"]) | (before < 0) & ~((offset > 0) & rare[np.maximum(at - 1, 0)])
         rare[at[~on & (offset > 0)]] = True  # and so is every context that ends here, with the next word
@@ -329,20 +339,24 @@ class _State:
         if len(at) * 4 < len(self.word):
             at = self._shrink(at, offset, model["depth"])
         self.at, self.doc, self.offset = (x.astype(np.uint32) for x in (at, doc, offset))
-        self.single, self.p = single.astype(np.uint8), _short(p)
+        self.single, self.hot, self.p = single.astype(np.uint8), np.packbits(before > model["hot_from"]), _short(p)
         if level == 1:
             self.p = self.p[:0]  # known from the words' counts
         else:
             self.count = _NONE
-        if not len(at):
+
+    def ask(self, level: int, model: dict) -> Iterator[tuple[int, bytes]]:
+        """The pairs of the places that were kept, by slot."""
+        if not len(self.at):
             return
-        slots = model["slots"]
-        key, run, entry, first, pair_run, follower, slot, hot = self._pairs(level, at, offset, single, slots, lambda keys, one: before[one] > model["hot_from"])
-        train = self.train[doc].astype(np.float64)
+        slots, at, single = model["slots"], self.at.astype(np.int64), self.single.astype(bool)
+        hottest = np.unpackbits(self.hot, count=len(at)).astype(bool)
+        key, run, entry, first, pair_run, follower, slot, hot = self._pairs(level, at, self.offset, single, slots, lambda keys, one: hottest[one])
+        train = self.train[self.doc].astype(np.float64)
         total = np.bincount(run, weights=train, minlength=len(key)).astype(np.uint32)
         size = np.bincount(pair_run, minlength=len(key)).astype(np.uint32)
         count = np.bincount(entry, weights=train[~single], minlength=len(first)).astype(np.uint32)
-        parent = _short(p[first])
+        parent = self._before(level, model)[first]
         run_bounds = np.searchsorted(slot, np.arange(slots + 1))
         bounds = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])[run_bounds]
         for s in np.flatnonzero(np.diff(run_bounds)):
@@ -367,10 +381,20 @@ def score_documents(docs: DataFrame, depth: int = 2, smoothing: float = 2.0, lea
     def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only(_words)
         for number, ids, texts in _blocks(batches):
-            state = _State.of(ids, texts)
-            for s, packed in state.ask_words(slots):
-                yield _message(number, s, packed)
-            yield _message(number, -1, state.packed())
+            yield _message(number, -1, _State.of(ids, texts).packed())
+
+    def ask(level: int, shared):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            only()
+            model = shared.value
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    block, _, packed = (c[i].as_py() for c in batch.columns)
+                    state = _State(packed)
+                    for s, found in state.ask(level, model) if level else state.ask_words(slots):
+                        yield _message(block, s, found)
+
+        return run
 
     def answer(level: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -404,8 +428,7 @@ def score_documents(docs: DataFrame, depth: int = 2, smoothing: float = 2.0, lea
                     state._add(places[1], places[3])
                     yield state.rows(model)
                     return
-                for s, packed in state.ask(level + 1, *places, model):
-                    yield _message(current, s, packed)
+                state.select(level + 1, *places, model)
                 yield _message(current, -1, state.packed())
 
             for batch in batches:
@@ -422,31 +445,25 @@ def score_documents(docs: DataFrame, depth: int = 2, smoothing: float = 2.0, lea
 
         return run
 
-    def written(df: DataFrame, *old: str) -> str:
-        """Write a round's table, then drop those that it was made from."""
+    def written(df: DataFrame, old: list[str]) -> str:
+        """Write a table, then drop those that are done with."""
         path = fresh_path(spark, "suffix-tree")
         df.write.option("compression", "none").parquet(path)
         for o in old:
             _delete(spark, o)
         return path
 
-    def messages(df: DataFrame) -> DataFrame:
-        return df.withColumn("message", F.col("slot") >= 0)
-
-    read = lambda path: spark.read.schema(MESSAGE + ", message boolean").parquet(path)
-    sent, old = docs.mapInArrow(begin, MESSAGE), []
+    read = lambda path: spark.read.schema(MESSAGE).parquet(path)
+    states, old = docs.mapInArrow(begin, MESSAGE), []
     for level in range(depth + 1):
-        path = fresh_path(spark, "suffix-tree")
-        messages(sent).write.partitionBy("message").option("compression", "none").parquet(path)
-        del sent
-        for o in old:
-            _delete(spark, o)
+        path = written(states, old)
+        del states
         spark.sparkContext._jvm.System.gc()  # lets Spark remove the files of shuffles that are done with
-        answers = written(read(path).filter("message").drop("message").repartition("slot").mapInArrow(answer(level), MESSAGE), f"{path}/message=true")
-        spark.sparkContext._jvm.System.gc()
+        shared = spark.sparkContext.broadcast(dict(model))
+        answers = written(read(path).mapInArrow(ask(level, shared), MESSAGE).repartition("slot").mapInArrow(answer(level), MESSAGE), [])
         old = [path, answers]
-        answered = spark.read.schema(MESSAGE).parquet(answers)
-        sums = [_unpack(r[0]) for r in answered.filter("block = -1").select("packed").toLocalIterator()]
+        sums = [_unpack(r[0]) for r in read(answers).filter("block = -1").select("packed").toLocalIterator()]
+        spark.sparkContext._jvm.System.gc()
         if level == 0:
             model["total"], model["distinct"] = (sum(int(s[0][i]) for s in sums) for i in (0, 1))
             model["hot_from"] = max(least, HOT * model["total"] / slots)
@@ -458,10 +475,10 @@ def score_documents(docs: DataFrame, depth: int = 2, smoothing: float = 2.0, lea
             more = any(s[4][0] for s in sums)
         last = level == depth or not more
         shared = spark.sparkContext.broadcast(dict(model))
-        met = read(path).filter("not message").drop("message").unionByName(answered.filter("block <> -1")).repartition("block").sortWithinPartitions("block", "slot")
-        sent = met.mapInArrow(step(level, shared, last), SCORES if last else MESSAGE)
+        met = read(path).unionByName(read(answers).filter("block <> -1")).repartition("block").sortWithinPartitions("block", "slot")
+        states = met.mapInArrow(step(level, shared, last), SCORES if last else MESSAGE)
         if last:
-            return sent
+            return states
 
 
 def _delete(spark: SparkSession, path: str) -> None:

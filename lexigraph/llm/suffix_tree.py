@@ -20,26 +20,29 @@ Every round writes two tables to the shared folder, states and answers, and the
 
 from __future__ import annotations
 
+import gc
+import time
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import CACHES, fresh_path, only, slices
-from .similar import mix, slots_of
+from .common import fresh_path, only, slices
+from .similar import mix
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 #: Hashes of strings that no word can be, as they hold a space.
 END, START = (np.uint64(xxhash.xxh3_64_intdigest(x)) for x in (" end", " start"))
 #: Characters of a block; a longer text is a block of its own.
 BLOCK = 6 << 20
-#: Slots for each shuffle partition: a slot is unpacked whole, one at a time.
-SLOTS = 4
+#: Tokens of the table for each slot: a slot is unpacked whole, one at a time.
+SLOT = 1 << 19
 #: Slots of a hot context, and the share of a slot from which a context is hot.
 SALTS, HOT = 64, 0.25
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
@@ -47,52 +50,51 @@ MESSAGE = "block long, slot int, packed binary"
 _NONE = np.zeros(0, dtype=np.int64)
 
 
-class _Words(dict):
-    """Hashes of words; long words are not held."""
-
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh3_64_intdigest(word)
-        if len(word) <= 64:
-            self[word] = h
-        return h
-
-
-_words = _Words()
-CACHES.append(_words)
-
-
 def in_training(doc_id: int | None, folds: int = 5, held_out: int = 1) -> bool:
     return zlib.crc32(("" if doc_id is None else str(doc_id)).encode()) % folds != held_out
 
 
-def tokens(text: str | None) -> np.ndarray:
-    """Hashes of the words of a text, then the end."""
-    if len(_words) > 300_000:
-        _words.clear()
-    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    out = np.empty(len(words) + 1, dtype=np.uint64)
-    out[:-1] = np.fromiter(map(_words.__getitem__, words), dtype=np.uint64, count=len(words))
-    out[-1] = END
-    return out
+def tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct words' hashes, each token's number among them, and the number of tokens of each text; the end is the last token of a text."""
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(pa.array([t or "" for t in texts], pa.large_string())))
+    flat = parts.flatten()
+    full = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)
+    lengths = np.add.reduceat(full.astype(np.int64), parts.offsets.to_numpy()[:-1])
+    coded = flat.filter(pa.array(full)).dictionary_encode()
+    names = coded.dictionary.cast(pa.large_binary()).to_pylist()
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, names), dtype=np.uint64, count=len(names))
+    word = np.full(int(lengths.sum()) + len(texts), len(names), dtype=np.int64)
+    codes = coded.indices.to_numpy()
+    word[np.arange(len(codes)) + np.repeat(np.arange(len(texts)), lengths)] = codes
+    return np.append(hashes, END), word, lengths + 1
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
-    """Arrays, each with its type, as one compressed string; the first bytes of an array's values come first, then the second ones."""
-    out = b""
+    """Arrays, each with its type, as one compressed string; the low bytes of an array's values come first, then the next ones."""
+    head, body = "", []
     for a in arrays:
-        out += f"{a.dtype.str}:{len(a)};".encode()
-    return zstandard.ZstdCompressor(level=3).compress(out + b"\n" + b"".join(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.dtype.itemsize).T.tobytes() for a in arrays))
+        head += f"{a.dtype.str}:{len(a)};"
+        size = a.dtype.itemsize
+        if size == 1 or not len(a):
+            body.append(a.tobytes())
+        else:
+            whole = np.ascontiguousarray(a).view(f"<u{size}")
+            body += [(whole >> whole.dtype.type(8 * k)).astype(np.uint8).tobytes() for k in range(size)]
+    return zstandard.ZstdCompressor(level=3).compress(head.encode() + b"\n" + b"".join(body))
 
 
 def _unpack(raw: bytes) -> list[np.ndarray]:
     raw = zstandard.ZstdDecompressor().decompress(raw)
-    head, _, body = raw.partition(b"\n")
-    out, at = [], 0
-    for field in head.decode().split(";")[:-1]:
-        kind, n = field.split(":")
-        size = np.dtype(kind).itemsize * int(n)
-        out.append(np.frombuffer(body, dtype=np.uint8, count=size, offset=at).reshape(-1, int(n)).T.copy().view(kind).reshape(-1) if size else np.zeros(0, dtype=kind))
-        at += size
+    end = raw.index(b"\n")
+    out, at = [], end + 1
+    for field in raw[:end].decode().split(";")[:-1]:
+        kind, n = np.dtype(field.split(":")[0]), int(field.split(":")[1])
+        planes = np.frombuffer(raw, dtype=np.uint8, count=n * kind.itemsize, offset=at).reshape(kind.itemsize, n)
+        whole = planes[0].astype(f"<u{kind.itemsize}")
+        for k in range(1, kind.itemsize):
+            whole |= planes[k].astype(whole.dtype) << whole.dtype.type(8 * k)
+        out.append(whole.view(kind))
+        at += n * kind.itemsize
     return out
 
 
@@ -119,15 +121,27 @@ def _message(block: int, slot: int, packed: bytes) -> pa.RecordBatch:
 
 
 def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct values of an array by first occurrence, a place of each, and each place's number among them."""
+    """The distinct values of an array of unsigned integers, the first place of each, and each place's number among them."""
     if not len(x):
         return x, _NONE, _NONE
-    coded = pa.array(x).dictionary_encode()
-    run = coded.indices.to_numpy().astype(np.int64)
-    values = coded.dictionary.to_numpy()
-    one = np.empty(len(values), dtype=np.int64)
-    one[run[::-1]] = np.arange(len(run) - 1, -1, -1)
-    return values, one, run
+    bits = len(x).bit_length()
+    if int(x.max()) >> 64 - bits:  # no room for the places beside the values
+        coded = pa.array(x).dictionary_encode()
+        run, values = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_numpy()
+        one = np.empty(len(values), dtype=np.int64)
+        one[run[::-1]] = np.arange(len(run) - 1, -1, -1)
+        return values, one, run
+    both = np.sort(x.astype(np.uint64) << np.uint64(bits) | np.arange(len(x), dtype=np.uint64))
+    place, values = (both & np.uint64((1 << bits) - 1)).astype(np.int64), both >> np.uint64(bits)
+    new = np.concatenate([[True], values[1:] != values[:-1]])
+    run = np.empty(len(x), dtype=np.int64)
+    run[place] = np.cumsum(new) - 1
+    return values[new].astype(x.dtype), place[new], run
+
+
+def _order(x: np.ndarray) -> np.ndarray:
+    """The stable order of integers from 0 to 2 ** 32."""
+    return (np.sort(x.astype(np.uint64) << np.uint64(32) | np.arange(len(x), dtype=np.uint64)) & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
 def _short(p: np.ndarray) -> np.ndarray:
@@ -200,11 +214,13 @@ class _State:
     @classmethod
     def of(cls, ids: list, texts: list) -> "_State":
         self = cls()
-        streams = [tokens(t) for t in texts]
         self.ids, self.null = np.array([i or 0 for i in ids], dtype=np.int64), np.array([i is None for i in ids])
-        self.lengths, self.train = np.array([len(x) for x in streams]), np.array([in_training(i) for i in ids])
-        self.vocabulary, _, word = _distinct(np.concatenate(streams))
-        self._reorder(word, np.argsort(-np.bincount(word), kind="stable"))  # frequent words get small numbers
+        self.train = np.array([in_training(i) for i in ids])
+        vocabulary, word, self.lengths = tokens(texts)
+        order = np.argsort(-np.bincount(word, minlength=len(vocabulary)), kind="stable")  # frequent words get small numbers
+        rank = np.empty(len(order), dtype=np.uint32)
+        rank[order] = np.arange(len(order))
+        self.vocabulary, self.word = vocabulary[order], rank[word]
         self.base = self.score = np.zeros(len(ids))
         self.known = np.zeros(len(ids), dtype=np.int64)
         self.at = self.doc = self.offset = self.word[:0]
@@ -212,15 +228,10 @@ class _State:
         self.count, self.hot, self.rare = _NONE, self.single, np.zeros(len(self.word) // 8 + 1, dtype=np.uint8)
         return self
 
-    def _reorder(self, word: np.ndarray, order: np.ndarray) -> None:
-        rank = np.empty(len(order), dtype=np.uint32)
-        rank[order] = np.arange(len(order))
-        self.vocabulary, self.word = self.vocabulary[order], rank[word]
-
     def _slots(self, slots: int) -> tuple[np.ndarray, np.ndarray]:
         """The words' numbers in order of slots, and the bounds of these."""
         slot = (mix(self.vocabulary) % np.uint64(slots)).astype(np.int64)
-        order = np.argsort(slot, kind="stable")
+        order = _order(slot)
         return order, np.searchsorted(slot[order], np.arange(slots + 1))
 
     def ask_words(self, slots: int) -> Iterator[tuple[int, bytes]]:
@@ -300,28 +311,36 @@ class _State:
 
     def _pairs(self, level: int, at: np.ndarray, offset: np.ndarray, single: np.ndarray, slots: int, is_hot) -> tuple[np.ndarray, ...]:
         """Contexts and pairs of some places, in order of slots: the key of each run of pairs, each place's run, each pair's number for the places that send one; a place of each pair, its run and follower; slot and heat of each run."""
-        h = np.zeros(len(at), dtype=np.uint64)
-        for j in range(1, level + 1):
-            h = mix(h * _SPREAD + np.where(offset >= j, self.vocabulary[self.word[np.maximum(at - j, 0)]], START))
-        keys, one, context = _distinct(h)
+        if level == 1:
+            context = self.word[at - 1].astype(np.int64)
+            used = np.bincount(context, minlength=len(self.vocabulary)) > 0
+            keys, context = mix(self.vocabulary[used]), (np.cumsum(used) - 1)[context]
+            one = np.empty(len(keys), dtype=np.int64)
+            one[context] = np.arange(len(at))
+        else:
+            h = np.zeros(len(at), dtype=np.uint64)
+            for j in range(1, level + 1):
+                h = mix(h * _SPREAD + np.where(offset >= j, self.vocabulary[self.word[np.maximum(at - j, 0)]], START))
+            keys, one, context = _distinct(h)
         hot = is_hot(keys, one)
         sends = np.flatnonzero(~single)
-        _, first, pair = _distinct(context[sends].astype(np.uint64) << np.uint64(32) | self.word[at[sends]])
+        _, first, pair = _distinct(context[sends].astype(np.uint64) * np.uint64(len(self.vocabulary)) + self.word[at[sends]])
         first = sends[first]
         follower = (mix(self.vocabulary[self.word[at[first]]]) >> np.uint64(32)).astype(np.uint32)
         salted = context[first] * SALTS + np.where(hot[context[first]], follower % np.uint32(SALTS), 0)
         lone = np.ones(len(keys), dtype=bool)
         lone[context[first]] = False
-        runs, _, of = _distinct(np.concatenate([salted, np.flatnonzero(lone) * SALTS]))
+        runs, _, of = _distinct(np.concatenate([salted, np.flatnonzero(lone) * SALTS]).astype(np.uint64))
+        runs = runs.astype(np.int64)
         key = keys[runs // SALTS]
         slot = (mix(key + (runs % SALTS).astype(np.uint64) * _SPREAD) % np.uint64(slots)).astype(np.int64)
-        order = np.argsort(slot, kind="stable")
+        order = _order(slot)
         rank = np.empty(len(order), dtype=np.int64)
         rank[order] = np.arange(len(order))
         home = np.empty(len(keys), dtype=np.int64)
         home[runs[order] // SALTS] = np.arange(len(order))  # of a hot context any of its runs
         pair_run = rank[of[: len(first)]]
-        by_run = np.argsort(pair_run, kind="stable")
+        by_run = _order(pair_run)
         number = np.empty(len(first), dtype=np.int64)
         number[by_run] = np.arange(len(first))
         run = home[context]
@@ -374,14 +393,14 @@ def score_documents(docs: DataFrame, depth: int = 2, smoothing: float = 2.0, lea
     if least < 2:
         raise ValueError("a context seen once says nothing when it is left out itself: least must be 2 or more")
     spark = docs.sparkSession
-    slots = SLOTS * slots_of(docs)
     docs = docs.select("doc_id", "text", F.spark_partition_id().alias("part"))  # of the scan, wherever it stands in a plan
-    model = {"slots": slots, "depth": depth, "smoothing": smoothing, "least": least, "hot": np.zeros(0, dtype=np.uint64)}
+    model = {"depth": depth, "smoothing": smoothing, "least": least, "hot": np.zeros(0, dtype=np.uint64)}
 
     def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        only(_words)
+        only()
         for number, ids, texts in _blocks(batches):
-            yield _message(number, -1, _State.of(ids, texts).packed())
+            state = _State.of(ids, texts)
+            yield _message(number, -len(state.word), state.packed())
 
     def ask(level: int, shared):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -391,7 +410,7 @@ def score_documents(docs: DataFrame, depth: int = 2, smoothing: float = 2.0, lea
                 for i in range(batch.num_rows):
                     block, _, packed = (c[i].as_py() for c in batch.columns)
                     state = _State(packed)
-                    for s, found in state.ask(level, model) if level else state.ask_words(slots):
+                    for s, found in state.ask(level, model) if level else state.ask_words(model["slots"]):
                         yield _message(block, s, found)
 
         return run
@@ -458,15 +477,18 @@ def score_documents(docs: DataFrame, depth: int = 2, smoothing: float = 2.0, lea
     for level in range(depth + 1):
         path = written(states, old)
         del states
-        spark.sparkContext._jvm.System.gc()  # lets Spark remove the files of shuffles that are done with
+        _release(spark)
+        if level == 0:
+            tokens = -(read(path).agg(F.sum("slot")).first()[0] or 0)
+            model["slots"] = max(1, -(-tokens // SLOT))
         shared = spark.sparkContext.broadcast(dict(model))
         answers = written(read(path).mapInArrow(ask(level, shared), MESSAGE).repartition("slot").mapInArrow(answer(level), MESSAGE), [])
         old = [path, answers]
         sums = [_unpack(r[0]) for r in read(answers).filter("block = -1").select("packed").toLocalIterator()]
-        spark.sparkContext._jvm.System.gc()
+        _release(spark)
         if level == 0:
             model["total"], model["distinct"] = (sum(int(s[0][i]) for s in sums) for i in (0, 1))
-            model["hot_from"] = max(least, HOT * model["total"] / slots)
+            model["hot_from"] = max(least, HOT * model["total"] / model["slots"])
             more = True
         else:
             keys, place = np.unique(np.concatenate([np.zeros(0, dtype=np.uint64), *(s[0] for s in sums)]), return_inverse=True)
@@ -481,6 +503,13 @@ def score_documents(docs: DataFrame, depth: int = 2, smoothing: float = 2.0, lea
             return states
 
 
+def _release(spark: SparkSession) -> None:
+    """Let Spark remove the files of shuffles that are done with: it does so when the driver has collected what stood for them, and takes a moment."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    time.sleep(0.5)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)

@@ -178,6 +178,7 @@ def test_every_word_is_a_context(spark, table, prose):
 def test_hot_contexts_are_dealt_over_slots(spark, table, prose, monkeypatch):
     monkeypatch.setattr(suffix_tree, "HOT", 0.01)
     monkeypatch.setattr(suffix_tree, "BLOCK", 2000)
+    monkeypatch.setattr(suffix_tree, "SLOT", 500)
     rows = [(i, "the of " + prose(i % 17, 60 + i % 17) + " of the " + prose(1000 + i, 20)) for i in range(90)]
     want, states = deep_tree_by_hand(rows, 2)
     got = {r["doc_id"]: r["score"] for r in suffix_tree.score_documents(table(rows)).collect()}
@@ -195,6 +196,7 @@ def test_tests_use_exact_counts_of_rare_words(spark, table):
 
 def test_longer_contexts_by_hand(spark, table, prose, monkeypatch):
     monkeypatch.setattr(suffix_tree, "BLOCK", 2000)
+    monkeypatch.setattr(suffix_tree, "SLOT", 500)
     shared = " a b c d e "
     rows = [(i, prose(i % 17, 30) + " " + " ".join(f"{x} m n o p {y}" for x, y in (("left", "one"), ("right", "two"))) + shared + f"x{i % 3}" + shared + f"x{i % 3} " + prose(1000 + i, 20)) for i in range(90)] + [(200, None), (201, "left m n o p")]
     want, states = deep_tree_by_hand(rows, 8)

@@ -34,8 +34,8 @@ def cut(item: str, rate: float) -> tuple[int, list[tuple[int, str]]]:
     return budget, [(a, item[a:b]) for a, b in zip(bounds, bounds[1:])]
 
 
-def myers(item: str, text: str) -> tuple[int, int]:
-    """The least edit distance of ``item`` to any part of ``text``, and where the first such part ends."""
+def myers(item: str, text: str, anchored: bool = False) -> tuple[int, int]:
+    """The least edit distance of ``item`` to any part of ``text`` (anchored: to any beginning of it), and where the first such part ends."""
     peq: dict[str, int] = {}
     for i, c in enumerate(item):
         peq[c] = peq.get(c, 0) | 1 << i
@@ -52,7 +52,7 @@ def myers(item: str, text: str) -> tuple[int, int]:
             distance += 1
         elif down & high:
             distance -= 1
-        up, down = up << 1 & mask, down << 1 & mask
+        up, down = (up << 1 | anchored) & mask, down << 1 & mask
         plus = down | ~(vertical | up) & mask
         minus = up & vertical
         if distance < least:
@@ -101,7 +101,8 @@ class Finder:
                     exact = region.find(n)
                     distance, end = (0, exact + len(n)) if exact >= 0 else myers(n, region)
                     if distance <= budget and (found is None or distance < found[1]):
-                        found = (item_id, distance, budget, max(0, low + end - len(n)), low + end)
+                        length = len(n) if exact >= 0 else myers(n[::-1], region[:end][::-1], anchored=True)[1]
+                        found = (item_id, distance, budget, low + end - length, low + end)
                 if b is not None:
                     low, high = b - budget, b + len(n) + budget
             if found:

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHES, only, slices, stored
+from .common import CACHES, only, slices, stored, unused
 from .similar import KEYS, Sender, candidate_links, classes, is_wanted, mix, slots_of, verified, wanted_map
 from .components import components
 
@@ -27,10 +27,12 @@ LEVELS = 7
 
 
 class _Words(dict):
-    """Hashes of words; dropped when there are too many."""
+    """Hashes of words; dropped when there are too many, and long words are not held."""
 
     def __missing__(self, word: str) -> int:
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= 64:
+            self[word] = h
         return h
 
 
@@ -155,11 +157,12 @@ def keep_one(docs: DataFrame, n: int = 5, threshold: float = 0.8, trees: int = 2
     Of rows with equal id and text, one stays, or none.
     """
     facts = text_facts(docs, n, threshold, trees, recall)
+    key, node, worded, first, copied = unused(docs, "key", "node", "worded", "first", "copied")
     stays = facts.filter(~F.col("worded") | (F.col("head.text") == F.col("node"))).select(
-        F.col("node").alias("_node"), "worded", F.col("first_id").alias("_first"), (F.col("worded") & (F.col("n_copies") > 1)).alias("_copied")
+        F.col("node").alias(node), F.col("worded").alias(worded), F.col("first_id").alias(first), (F.col("worded") & (F.col("n_copies") > 1)).alias(copied)
     )
-    marked = docs.withColumn("_key", F.xxhash64("text"))
-    here = (F.col("_key") == F.col("_node")) & (~F.col("worded") | F.col("doc_id").eqNullSafe(F.col("_first")))
-    single = marked.join(stays.filter(~F.col("_copied")), here, "left_semi")
-    copied = marked.join(stored(stays.filter("_copied"), "copied-texts"), here, "left_semi").dropDuplicates(["_key", "doc_id"])
-    return single.unionByName(copied).select(*docs.columns)
+    marked = docs.withColumn(key, F.xxhash64("text"))
+    here = (F.col(key) == F.col(node)) & (~F.col(worded) | F.col("doc_id").eqNullSafe(F.col(first)))
+    single = marked.join(stays.filter(~F.col(copied)), here, "left_semi")
+    repeated = marked.join(stored(stays.filter(F.col(copied)), "copied-texts"), here, "left_semi").dropDuplicates([key, "doc_id"])
+    return single.unionByName(repeated).select(*docs.columns)

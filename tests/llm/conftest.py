@@ -28,7 +28,7 @@ def table(spark):
     def make(rows, extra=True):
         df = spark.createDataFrame([(i, t, "en", "s", len(t) if t else None) for i, t in rows], DOCUMENTS)
         if extra:
-            for c in ("size", "shard", "slot", "node", "root", "score", "rank", "key", "part", "removed_", "class_id"):
+            for c in ("size", "shard", "slot", "node", "root", "score", "rank", "key", "part", "removed_", "class_id", "_key", "worded", "_node", "_first", "_copied", "removed", "n_lines", "_id", "_row_key", "row_key", "lost", "first", "id", "block", "packed", "class", "at", "bytes"):
                 df = df.withColumn(c, df["doc_id"])
         return df
 

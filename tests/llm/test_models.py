@@ -29,6 +29,26 @@ def test_bit_parallel_distance(item, text):
     assert decontaminate.myers(item, text)[0] == infix_distance(item, text)
 
 
+def test_places_of_matches():
+    item = "abcdefghijklmnopqrstuvwxyz"
+    found = decontaminate.Finder([(1, item)], 0.1).find("xx " + item[:9] + "##" + item[9:] + " yy " + item[:-1])
+    assert found == [(1, 1, 2, 35, 60)]
+    assert decontaminate.Finder([(1, item)], 0.1).find("123" + item[:9] + "##" + item[9:] + "456") == [(1, 2, 2, 3, 31)]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text("abc", min_size=1, max_size=12), st.text("abc", max_size=30))
+def test_the_place_has_the_distance(item, text):
+    for i, d, _, start, stop in decontaminate.Finder([(0, item)], 0.3).find(text):
+        row = list(range(len(item) + 1))
+        for c in text[start:stop]:
+            new = [row[0] + 1]
+            for k, x in enumerate(item, 1):
+                new.append(min(new[-1] + 1, row[k] + 1, row[k - 1] + (x != c)))
+            row = new
+        assert row[-1] == d
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.text("ab", min_size=8, max_size=30), min_size=1, max_size=4), st.text("ab", max_size=80))
 def test_finder_loses_no_match(items, text):

@@ -1,6 +1,7 @@
 import corpus_pipeline
 import __spark_entry__
 from compare import SMALL, oracle, rows
+from pyspark.sql import functions as F
 
 from lexigraph.llm import decontaminate, packing
 from lexigraph.llm.queries import ORACLE_SQL, QUERIES
@@ -49,6 +50,21 @@ def test_stages_decide_as_meant(spark, prose, tmp_path):
     assert packed.groupby("sequence_id").length.sum().max() <= 1024
 
 
+def test_stages_keep_other_columns_and_take_empty_tables(spark, table, prose, tmp_path):
+    docs = table([(i, prose(i, 60)) for i in range(6)] + [(7, prose(3, 60)), (8, None), (None, ""), (2, prose(2, 60))]).withColumn("lang", F.lit("en"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, prose(5, 60)), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    before = {r["doc_id"]: r.asDict() for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, docs, str(tmp_path))
+        assert kept.columns == docs.columns and kept.schema == docs.schema, name
+        for r in kept.collect():
+            new, old = r.asDict(), before[r["doc_id"]]
+            assert all(new[c] == old[c] for c in docs.columns if c not in ("text", "n_chars")), name
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
 def test_test_table_contamination_equals_brute_force(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     items = spark.read.parquet(f"{SMALL}/benchmark.parquet")

@@ -1,7 +1,11 @@
 import math
+import random
 import zlib
 
 import numpy as np
+import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lexigraph.llm import search, sharding, urls
@@ -42,7 +46,7 @@ def test_large_components_and_small_tables(spark):
 
 def test_shards(spark, table, prose):
     rows = [(i, prose(i % 90, 5 + 3 * (i % 90))) for i in range(400)] + [(500 + i, "copy") for i in range(200)] + [(800, None), (801, None), (802, ""), (None, "x"), (7, "same id"), (7, "same id")]
-    got = sharding.lpt_shards(table(rows), 8, bundles=64, parts=7).toPandas()
+    got = sharding.lpt_shards(table(rows), 8, parts=7).toPandas()
     assert len(got) == len(rows)
     by_text = {}
     for r in got.itertuples():
@@ -57,6 +61,28 @@ def test_shards(spark, table, prose):
     assert sharding.lpt_shards(table([]), 8).count() == 0
 
 
+@pytest.mark.parametrize("precision", [12, 5])
+def test_shards_are_loaded_as_by_one_heap(spark, table, precision):
+    r = random.Random(4)
+    rows = [(i, "".join(r.choice("abcde") for _ in range(int(r.lognormvariate(3, 1)) + 3))) for i in range(1500)] + [(5000 + i, "copy of a text") for i in range(90)] + [(6000 + i, None) for i in range(500)]
+    got = sharding.lpt_shards(table(rows), 8, large=16, precision=precision, parts=7).toPandas()
+    assert len(got) == len(rows) and (got.groupby(["group_key", "text_crc32"]).shard.nunique() == 1).all()
+    groups = got.groupby(["group_key", "text_crc32"])["size"].sum().to_dict()
+    loads = [0.0] * 8
+    sharding.schedule(list(groups.items()), 8, loads)
+    mine = got.groupby("shard")["size"].sum()
+    if precision == 12:  # every size is a class of its own, so the loads are those of one heap over all groups
+        assert sorted(mine) == sorted(loads)
+    assert mine.max() - mine.min() <= max(loads) - min(loads) + 0.05 * mine.mean()
+
+
+@given(st.integers(0, 300), st.integers(1, 50), st.lists(st.integers(0, 400), min_size=1, max_size=9))
+def test_a_class_is_dealt_as_one_by_one(count, size, loads):
+    one, all_at_once = [float(x) for x in loads], [float(x) for x in loads]
+    sharding.schedule([(i, size) for i in range(count)], len(loads), one)
+    assert sum(sharding.deal(count, float(size), all_at_once)) == count and sorted(one) == sorted(all_at_once)
+
+
 def test_schedule_takes_the_least_loaded():
     assert sharding.schedule([(1, 7), (2, 5), (3, 4), (4, 3), (5, 1)], 2) == {1: 0, 2: 1, 3: 1, 4: 0, 5: 1}
 
@@ -76,3 +102,23 @@ def test_url_intervals(spark):
     a = "a.example.com"
     assert got == sorted([(1, True, a), (1, True, a), (2, False, None), (3, True, "example.com"), (4, False, None), (5, False, None), (6, False, None), (7, False, None), (8, False, None), (9, True, a), (10, False, None)], key=lambda x: (x[0], x[1]))
     assert urls.url_list_join(p, e.limit(0)).filter("blocked").count() == 0 and urls.url_list_join(p.limit(0), e).count() == 0
+
+
+def test_urls_equal_brute_force(spark):
+    r = random.Random(6)
+    hosts = ["a.b.com", "b.com", "com", "c.b.com", "x.org", "org"]
+    entries = [(r.choice(hosts), r.choice(["add", "remove"]), r.randrange(60)) for _ in range(40)]
+    pages = [(i, "http://" + r.choice(["", "www.", "z."]) + r.choice(hosts) + "/", r.randrange(60)) for i in range(300)]
+    want = []
+    for i, url, t in pages:
+        host, best = url[7:-1], None
+        for h in {e[0] for e in entries}:
+            past = [(at, a) for x, a, at in entries if x == h and at <= t]
+            if past and max(past)[1] == "add" and (host == h or host.endswith("." + h)):
+                best = max([best, h], key=lambda x: len(x or ""))
+        want.append((i, best))
+    at = F.col("t").cast("timestamp")
+    p = spark.createDataFrame(pages, "page_id int, url string, t long").select("page_id", "url", at.alias("fetched_at"))
+    e = spark.createDataFrame(entries, "host string, action string, t long").select("host", "action", at.alias("listed_at"))
+    for salts in (1, 5):
+        assert sorted((x["page_id"], x["matched"]) for x in urls.url_list_join(p.repartition(3), e, salts).collect()) == want

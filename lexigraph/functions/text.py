@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -207,6 +208,49 @@ def fixed_chunks(c: Column, size: int = 1000, overlap: int = 100) -> Column:
     return F.when(c.isNotNull(), numbered)
 
 
+#: Separators in order of preference.
+SEPARATORS = ["\n\n", "\n", ". ", " "]
+
+
+def best_split(text: str, most: int, separators: list[str] = SEPARATORS) -> int:
+    """Where to cut a text that is longer than ``most`` characters: after the last of the first separator that lies within it, else hard."""
+    if len(text) <= most:
+        return len(text)
+    for s in separators:
+        at = text.rfind(s, 0, most)
+        if at > 0:
+            return at + len(s)
+    return most
+
+
+def smart_chunks(c: Column, size: int = 1000) -> Column:
+    """Chunks cut at separators, each as long as ``size`` allows, without overlap: an array of trimmed texts; of a null text null."""
+
+    @F.pandas_udf("array<string>")
+    def run(texts: pd.Series) -> pd.Series:
+        out = []
+        for t in texts:
+            parts, at = [], 0
+            while t is not None and at < len(t):
+                n = best_split(t[at : at + size + 1], size)
+                parts.append(t[at : at + n].strip(SPACE))
+                at += n
+            out.append(None if t is None else [p for p in parts if p])
+        return pd.Series(out, dtype=object)
+
+    return run(chunk_ready(c))
+
+
+def leading_int(c: Column) -> Column:
+    """The number that a text begins with; 0 where it begins with none."""
+    return F.coalesce(F.nullif(F.regexp_extract(c, r"^(\d{1,18})", 1), F.lit("")).cast("long"), F.lit(0).cast("long"))
+
+
+def citation(path: Column, page: Column) -> Column:
+    """A file's name, with the page where it is known."""
+    return F.concat(file_name(path), F.when(leading_int(page) > 0, F.concat(F.lit(", page "), leading_int(page).cast("string"))).otherwise(""))
+
+
 def chunk_estimate(n: Column, size: int, overlap: int) -> Column:
     return F.when(n <= size, F.lit(1)).otherwise(F.floor((n - F.lit(overlap)) / F.lit(size - overlap)) + 1).cast("int")
 

@@ -184,6 +184,9 @@ def error_class(message: Column) -> Column:
 
 # query
 
+#: Tokens of graph queries that are looked for at once.
+TOKENS = 2000
+
 
 def match_score(name: Column, description: Column, confidence: Column, tokens: Column) -> Column:
     """How well an entity meets tokens: exact name 1, beginning .8, part .6, description .3 each; with coverage, and .3 of the confidence."""
@@ -197,8 +200,17 @@ def match_score(name: Column, description: Column, confidence: Column, tokens: C
 def entity_candidates(entities: DataFrame, queries: DataFrame, most: int = 60) -> DataFrame:
     """``query_id, tokens`` and the entity: those whose name or description holds a token, the ``most`` confident of each query."""
     asked = queries.select("query_id", T.graph_tokens(F.col("query")).alias("tokens")).filter(F.size("tokens") > 0)
+    words = asked.select(F.explode("tokens").alias("token")).distinct()
     text = F.lower(F.concat_ws("\n", "name", "description"))
-    found = entities.join(asked, F.exists("tokens", lambda t: text.contains(t)))
+    blocks = max(1, -(-words.count() // TOKENS))
+    met = None
+    for b in range(blocks):  # distinct tokens go to where the entities lie, a bounded number at a time
+        mine = [r["token"] for r in (words if blocks == 1 else words.filter(F.pmod(F.xxhash64("token"), F.lit(blocks)) == b)).collect()]
+        held = F.filter(F.lit(mine) if mine else F.array().cast("array<string>"), lambda t: text.contains(t))
+        part = entities.withColumn("token", F.explode(held))
+        met = part if met is None else met.unionByName(part)
+    pairs = met.join(asked.select("query_id", F.explode("tokens").alias("token")), "token").select("query_id", "entity_id").distinct()
+    found = pairs.join(asked, "query_id").join(entities, "entity_id")
     first = Window.partitionBy("query_id").orderBy(F.desc("confidence"), "entity_id")
     return found.withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= most).drop("_r")
 
@@ -282,3 +294,130 @@ def context(hits: DataFrame, entities: DataFrame, relations: DataFrame) -> DataF
     second = listed(relations, F.concat(F.lit("- "), "subject", F.lit(" → "), "predicate", F.lit(" → "), "object", F.lit("\n")), 15, "relationships")
     both = first.join(second, "query_id", "left")
     return both.select("query_id", F.concat(F.lit("## Entities\n"), "entities", F.when(F.col("relationships").isNotNull(), F.concat(F.lit("\n## Relationships\n"), "relationships")).otherwise("")).alias("context"))
+
+
+# point reads, filters, deletes, constraints
+
+
+def entity_by_name(entities: DataFrame, name: str) -> DataFrame:
+    """The one entity of a name, else the most confident whose name holds it; case counts in neither."""
+    low = F.lower("name")
+    exact = (low == name.lower()).cast("int")
+    return entities.filter(low.contains(name.lower())).orderBy(F.desc(exact), F.desc("confidence"), "entity_id").limit(1)
+
+
+def entity(entities: DataFrame, entity_id: str) -> DataFrame:
+    return entities.filter(F.col("entity_id") == entity_id)
+
+
+def find_entities(entities: DataFrame, name: str | None = None, kind: str | None = None, least: float = 0.0, document_id: str | None = None, limit: int = 50) -> DataFrame:
+    """Entities by part of the name, type, confidence and document (a column document_id or an array documents), the most confident first."""
+    out = entities.filter(F.col("confidence") >= least)
+    if name:
+        out = out.filter(F.lower("name").contains(name.lower()))
+    if kind:
+        out = out.filter(F.col("type") == kind)
+    if document_id:
+        out = out.filter(F.array_contains("documents", document_id) if "documents" in entities.columns else F.col("document_id") == document_id)
+    return out.orderBy(F.desc("confidence"), "entity_id").limit(limit)
+
+
+def put_relations(relations: DataFrame, new: DataFrame) -> DataFrame:
+    """``relations`` with new ones in the place of those of the same id; loops are refused."""
+    kept = new.filter(F.col("subject_id") != F.col("object_id"))
+    return relations.join(kept.select("relation_id").distinct(), "relation_id", "left_anti").unionByName(kept.dropDuplicates(["relation_id"]), allowMissingColumns=True)
+
+
+def detach(entities: DataFrame, relations: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The graph without the entities ``gone (entity_id)`` and the relations that touch them."""
+    ids = gone.select("entity_id").distinct()
+    left = relations.join(ids.select(F.col("entity_id").alias("subject_id")), "subject_id", "left_anti").join(ids.select(F.col("entity_id").alias("object_id")), "object_id", "left_anti")
+    return entities.join(ids, "entity_id", "left_anti"), left.select(*relations.columns)
+
+
+def entity_faults(entities: DataFrame) -> DataFrame:
+    """One row: how many entities break each rule."""
+    c = F.col("confidence")
+    return entities.agg(
+        F.count_if(F.coalesce("name", F.lit("")) == "").alias("no_name"), F.count_if(F.length("name") > 500).alias("long_name"), F.count_if(F.length("description") > 2000).alias("long_description"),
+        F.count_if(~F.coalesce(F.col("type").isin(list(V.ENTITY_ALIASES)), F.lit(False))).alias("bad_type"), F.count_if(~F.coalesce(c.between(0.0, 1.0), F.lit(False))).alias("bad_confidence"),
+    )
+
+
+def relation_faults(relations: DataFrame) -> DataFrame:
+    """One row: how many relations break each rule."""
+    c = F.col("confidence")
+    return relations.agg(
+        F.count_if(F.coalesce("subject_id", F.lit("")) == "").alias("no_subject"), F.count_if(F.coalesce("object_id", F.lit("")) == "").alias("no_object"),
+        F.count_if(~F.coalesce(F.col("predicate").isin(list(V.RELATION_ALIASES)), F.lit(False))).alias("bad_predicate"), F.count_if(~F.coalesce(c.between(0.0, 1.0), F.lit(False))).alias("bad_confidence"),
+    )
+
+
+# the extraction stage
+
+
+def extraction_prompt(title: Column, section: Column, content: Column, most_entities: int = 20, most_relations: int = 50, least: float = 0.7) -> Column:
+    """The text that asks a model for the entities and relations of a chunk, with its inputs made safe."""
+    kinds, links = ", ".join(V.ENTITY_ALIASES), ", ".join(V.RELATION_ALIASES)
+    safe = lambda c: prompt_safe(F.coalesce(c, F.lit("")))
+    return F.concat(
+        F.lit("List the entities that the text names, and how they relate.\n<document_context>\nDocument: "), safe(title), F.lit("\nSection: "), safe(section), F.lit("\n</document_context>\n<text_to_analyze>\n"), safe(content),
+        F.lit(f"\n</text_to_analyze>\n<extraction_rules>\nTypes of entities: {kinds}.\nTypes of relations: {links}.\nAt most {most_entities} entities and {most_relations} relations, each with a confidence of {least:.2f} to 1.\n</extraction_rules>\n<output_format>\nJSON: "),
+        F.lit('{"entities": [{"name", "type", "description", "confidence"}], "relations": [{"subject", "predicate", "object", "confidence"}]}\n</output_format>'),
+    )
+
+
+def valid_requests(chunks: DataFrame, most: int = 10_240) -> DataFrame:
+    """Chunks that may be asked about: with content, of a bounded number of bytes."""
+    return chunks.filter((F.coalesce("content", F.lit("")) != "") & (F.octet_length("content") <= most))
+
+
+def extract(responses: DataFrame, documents_of: DataFrame, least: float = 0.7) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Entities, relations and status rows of models' answers ``responses (chunk_id, raw, error)`` for chunks ``documents_of (chunk_id, document_id)``.
+
+    Entities are merged under canonical ids, relations kept once; a chunk is completed, or an error with its message.
+    """
+    parsed = parse_responses(responses.filter(F.col("error").isNull()), least).join(documents_of.select("chunk_id", "document_id"), "chunk_id")
+    e = parsed.select("chunk_id", "document_id", F.explode("entities").alias("e")).select("chunk_id", "document_id", "e.name", entity_type(F.col("e.type")).alias("type"), "e.description", "e.confidence")
+    good = valid_entities(e)
+    r = parsed.select("chunk_id", F.explode("relations").alias("r")).select("chunk_id", "r.subject", "r.predicate", "r.object", "r.confidence")
+    links = last_by(valid_relations(r, good), "relation_id", "confidence")
+    counts = good.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("entity_count"))
+    status = responses.join(parsed.select("chunk_id", "parsed"), "chunk_id", "left").join(counts, "chunk_id", "left")
+    done = F.col("error").isNull() & F.coalesce("parsed", F.lit(False))
+    message = F.when(~done, F.coalesce("error", F.lit("no JSON found")))
+    status = status.select("chunk_id", F.when(done, "completed").otherwise("error").alias("status"), F.coalesce("entity_count", F.lit(0)).alias("entity_count"), message.alias("error_message"))
+    return merge_entities(good.withColumn("seq", F.xxhash64("chunk_id", "name"))), links, status
+
+
+def retry_list(chunks: DataFrame, status: DataFrame, documents: DataFrame) -> DataFrame:
+    """``chunk_id, error_message, class, title``: chunks whose extraction failed, with their document's title where it is known."""
+    failed = chunks.select("chunk_id", "document_id").join(status.filter("status = 'error'").select("chunk_id", "error_message"), "chunk_id")
+    return failed.join(documents.select("document_id", "title"), "document_id", "left").select("chunk_id", "error_message", error_class(F.col("error_message")).alias("class"), "title")
+
+
+def retryable(kind: Column) -> Column:
+    """Whether another try may help: what the network or a cut answer caused."""
+    return kind.isin("Timeout", "Connection", "Incomplete JSON")
+
+
+def extraction_rates(chunks: DataFrame, status: DataFrame) -> DataFrame:
+    """One row: chunks, those completed, their share in percent, and entities for each completed chunk; null where there is nothing to divide by."""
+    both = chunks.select("chunk_id").join(status, "chunk_id", "left")
+    done = F.coalesce(F.col("status") == "completed", F.lit(False))
+    sums = both.agg(F.count(F.lit(1)).alias("chunks"), F.count_if(done).alias("completed"), F.sum(F.when(done, F.col("entity_count"))).alias("found"))
+    return sums.select("chunks", "completed", F.try_divide(F.lit(100.0) * F.col("completed"), F.col("chunks")).alias("percent"), F.try_divide(F.col("found").cast("double"), F.col("completed")).alias("entities_each"))
+
+
+def as_json(rows: DataFrame) -> Column:
+    """All columns of a row as JSON."""
+    return F.to_json(F.struct(*rows.columns))
+
+
+ENTITY = "entity_id string, name string, type string, description string, confidence double"
+RELATION = "relation_id string, subject_id string, predicate string, object_id string, confidence double"
+
+
+def from_json(c: Column, schema: str = ENTITY) -> Column:
+    """An entity or relation of its JSON; null where it is none."""
+    return F.from_json(c, schema)

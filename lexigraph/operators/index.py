@@ -55,6 +55,12 @@ def chunk_table(documents: DataFrame, size: int = 1000, overlap: int = 100) -> D
     )
 
 
+def search_rows(documents: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Chunks with what a search needs of their documents: ``chunk_id, document_id, chunk_index, content, title, path, source_id, mime_type``."""
+    facts = documents.select("document_id", *(c for c in ("title", "path", "source_id", "mime_type") if c in documents.columns))
+    return chunks.select("chunk_id", "document_id", "chunk_index", "content").join(facts, "document_id")
+
+
 def index_stats(documents: DataFrame, chunks: DataFrame) -> DataFrame:
     """One row: documents, chunks, sources and size of an index."""
     rows = documents.select(F.lit(1).alias("d"), F.lit(0).alias("c"), "source_id", F.col("size").cast("long").alias("size")).unionByName(

@@ -5,8 +5,15 @@ Components are accumulated as doubles. Null vectors and vectors of length zero h
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -18,18 +25,95 @@ def with_norm(vectors: DataFrame, vector: str = "embedding") -> DataFrame:
     return vectors.withColumn("norm", F.sqrt(dot(F.col(vector), F.col(vector)))).filter(F.col("norm") > 0)
 
 
+#: Query vectors of one block: it is broadcast, so a block holds at most so many, and a longer table makes several.
+BLOCK = 4096
+
+
+def _block(rows: list) -> dict[int, tuple[list[int], np.ndarray]]:
+    """Of vectors: for each length, their places and a matrix of unit rows; null vectors and those of length zero are left out."""
+    by_length: dict[int, list[int]] = {}
+    for i, v in enumerate(rows):
+        if v is not None and None not in v:
+            by_length.setdefault(len(v), []).append(i)
+    out = {}
+    for n, places in by_length.items():
+        m = np.array([rows[i] for i in places], dtype=np.float64)
+        norm = np.sqrt((m * m).sum(axis=1))
+        good = norm > 0
+        out[n] = ([i for i, g in zip(places, good) if g], m[good] / norm[good][:, None])
+    return out
+
+
+def _blocks(queries: DataFrame) -> Iterator:
+    """The query vectors in broadcast blocks of bounded size: ids, and matrices by length."""
+    spark = queries.sparkSession
+    blocks = max(1, -(-queries.count() // BLOCK))
+    for b in range(blocks):
+        mine = queries.select("query_id", "vector")
+        rows = (mine if blocks == 1 else mine.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)).collect()
+        yield spark.sparkContext.broadcast(([r["query_id"] for r in rows], _block([r["vector"] for r in rows])))
+
+
 def knn(vectors: DataFrame, queries: DataFrame, k: int = 10, offset: int = 0, least: float | None = None, skip_own: bool = False) -> DataFrame:
     """``query_id, vec_id, score, rank``: for each of ``queries (query_id, vector)`` its nearest of ``vectors (vec_id, embedding)`` by cosine.
 
-    The query table is the small side and is matched with every vector in place, then each task keeps its best of each query. Ties go to the smaller id.
+    Queries go out in blocks of bounded size; each task multiplies a block with its vectors, batch by batch, and hands on the best of each query. Ties go to the smaller id.
     """
-    asked = with_norm(queries.select("query_id", "vector"), "vector").select("query_id", "vector", F.col("norm").alias("query_norm"))
-    pairs = with_norm(vectors.select("vec_id", "embedding")).join(asked, (F.col("vec_id") != F.col("query_id")) if skip_own else F.lit(True))
-    scored = pairs.select("query_id", "vec_id", (dot(F.col("embedding"), F.col("vector")) / (F.col("norm") * F.col("query_norm"))).alias("score"))
-    if least is not None:
-        scored = scored.filter(F.col("score") >= least)
+    kinds = {f.name: f.dataType for f in (*queries.schema, *vectors.schema)}
+    schema = f"query_id {kinds['query_id'].simpleString()}, vec_id {kinds['vec_id'].simpleString()}, score double"
+    found = None
+    for shared in _blocks(queries):
+        part = vectors.select("vec_id", "embedding").mapInArrow(_nearest(shared, to_arrow_type(kinds["query_id"]), k + offset + 8, least, skip_own), schema)
+        found = part if found is None else found.unionByName(part)
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "vec_id")
-    return scored.withColumn("rank", F.row_number().over(order)).filter((F.col("rank") > offset) & (F.col("rank") <= offset + k))
+    return found.withColumn("rank", F.row_number().over(order)).filter((F.col("rank") > offset) & (F.col("rank") <= offset + k))
+
+
+def _nearest(shared, kind: pa.DataType, most: int, least: float | None, skip_own: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, blocks = shared.value
+        for batch in batches:
+            ids = batch.column(0)
+            order = pc.sort_indices(ids)  # rows in order of id, so that stable sorting breaks ties by it
+            ids, values = ids.take(order), batch.column(1).take(order).to_pylist()
+            names = ids.to_pylist()
+            for n, (places, m) in _block(values).items():
+                if n not in blocks:
+                    continue
+                of, q = blocks[n]
+                scores = q @ m.T
+                if skip_own:
+                    scores[np.array([[asked[i] == names[j] for j in places] for i in of], dtype=bool).reshape(scores.shape)] = -np.inf
+                best = np.argsort(-np.round(scores, 9), axis=1, kind="stable")[:, :most]
+                row, col = np.repeat(np.arange(len(of)), best.shape[1]), best.ravel()
+                score = scores[row, col]
+                keep = score > (-np.inf if least is None else np.nextafter(least, -np.inf))
+                row, col, score = row[keep], col[keep], score[keep]
+                yield pa.record_batch([pa.array([asked[of[i]] for i in row], kind), ids.take(pa.array([places[j] for j in col], pa.int64())), pa.array(score)], names=["query_id", "vec_id", "score"])
+
+    return run
+
+
+def band_counts(vectors: DataFrame, queries: DataFrame) -> DataFrame:
+    """``query_id, band, n``: how many vectors lie in each band of similarity to each query; batches send counts, not pairs."""
+    kind = queries.schema["query_id"].dataType
+
+    def counter(shared):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            asked, blocks = shared.value
+            for batch in batches:
+                for n, (_, m) in _block(batch.column(0).to_pylist()).items():
+                    of, q = blocks.get(n, ([], np.zeros((0, n))))
+                    scores = q @ m.T
+                    high, medium = (scores >= 0.8).sum(axis=1), ((scores >= 0.6) & (scores < 0.8)).sum(axis=1)
+                    counts = [high, medium, scores.shape[1] - high - medium]
+                    ids = pa.array([asked[i] for i in of] * 3, to_arrow_type(kind))
+                    yield pa.record_batch([ids, pa.array([b for b in ("high", "medium", "low") for _ in of]), pa.array(np.concatenate(counts).astype(np.int64))], names=["query_id", "band", "n"])
+
+        return run
+
+    parts = [vectors.select("embedding").mapInArrow(counter(shared), f"query_id {kind.simpleString()}, band string, n long") for shared in _blocks(queries)]
+    return reduce(DataFrame.unionByName, parts).filter("n > 0").groupBy("query_id", "band").agg(F.sum("n").alias("n"))
 
 
 def band(score: Column) -> Column:
@@ -52,3 +136,19 @@ def hashing_embedder(dimension: int = 64):
         return F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: F.aggregate(F.filter(slots, lambda s: s["slot"] == i), F.lit(0.0), lambda acc, s: acc + s["sign"]).cast("float"))
 
     return embed
+
+
+def entity_text(name: Column, description: Column) -> Column:
+    """What is embedded of an entity."""
+    return F.concat_ws(": ", name, F.nullif(description, F.lit("")))
+
+
+def entity_vectors(entities: DataFrame, embed) -> DataFrame:
+    """``vec_id, type, embedding`` of entities ``(entity_id, name, type, description)``."""
+    return entities.select(F.col("entity_id").alias("vec_id"), "type", embed(entity_text(F.col("name"), F.col("description"))).alias("embedding"))
+
+
+def entity_knn(vectors: DataFrame, queries: DataFrame, types: list[str] | None = None, limit: int = 20, least: float = 0.0) -> DataFrame:
+    """``query_id, entity_id, score, rank``: the nearest entities, of some types only where asked."""
+    mine = vectors.filter(F.col("type").isin(types)) if types else vectors
+    return knn(mine, queries, limit, least=least).withColumnRenamed("vec_id", "entity_id")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import values as V
-from ..operators import fusion, graph, lexical, query, results, vector
+from ..operators import fusion, graph, index, lexical, query, results, vector
 
 
 @dataclass
@@ -30,8 +30,10 @@ class SearchOptions:
     rerank: bool | None = None
     floor: float | None = None
     rerank_top: int | None = None
+    min_score: float = 0.0
     source_ids: list[str] = field(default_factory=list)
     mime_types: list[str] = field(default_factory=list)
+    path: str | None = None  # a part of the path, for semantic searches
 
     def filled(self) -> "SearchOptions":
         diversify, balance, rerank, floor, top = V.PRESETS[self.recall]
@@ -47,28 +49,66 @@ class KnowledgeBase:
     vectors: DataFrame | None = None
     entities: DataFrame | None = None
     relations: DataFrame | None = None
+    chunks: DataFrame | None = None
+    index: lexical.TextIndex | None = None
+    entity_vectors: DataFrame | None = None
 
-    def lexical(self, queries: DataFrame, options: SearchOptions = SearchOptions(), require_all: bool = True) -> DataFrame:
+    def units(self, options: SearchOptions = SearchOptions()) -> DataFrame:
+        """What is searched: chunks with what their documents say, where the collection has chunks, else documents as one chunk each."""
         docs = lexical.filtered(self.documents, options.source_ids, options.mime_types)
-        return lexical.ranked(lexical.matches(docs, queries, require_all), options.limit, options.offset)
+        if self.chunks is not None:
+            return index.search_rows(docs, self.chunks)
+        return docs.select("document_id", F.col("document_id").alias("chunk_id"), F.lit(0).alias("chunk_index"), "content", *(c for c in ("title", "path", "source_id", "mime_type") if c in docs.columns))
+
+    def matches(self, queries: DataFrame, options: SearchOptions = SearchOptions(), require_all: bool = True) -> DataFrame:
+        """``query_id, document_id, score``: from the stored index where there is one, else by reading the texts. The score of a document is that of its best chunk."""
+        units = self.units(options)
+        if self.index is not None:
+            found = self.index.matches(queries, require_all).join(units.select("chunk_id", "document_id", "chunk_index"), "chunk_id")
+        else:
+            found = lexical.matches(units, queries, require_all, key="chunk_id").join(units.select("chunk_id", "document_id", "chunk_index"), "chunk_id")
+        if options.min_score > 0:
+            found = found.filter(F.col("score") > options.min_score)
+        return found
+
+    def chunk_hits(self, queries: DataFrame, options: SearchOptions = SearchOptions(), require_all: bool = True) -> DataFrame:
+        """``query_id, chunk_id, document_id, chunk_index, score, rank, snippet, title, path``: a page of chunks for each query."""
+        hits = lexical.ranked(self.matches(queries, options, require_all), options.limit, options.offset, key="chunk_id")
+        texts = self.units(options).select(F.col("chunk_id").alias("_chunk"), "content", "title", "path")
+        words = queries.select("query_id", F.filter(F.split(F.lower("query"), r"\s+"), lambda w: w != "").alias("_words"))
+        return hits.join(texts, F.col("chunk_id") == F.col("_chunk")).join(words, "query_id").withColumn("snippet", T.snippet(F.col("content"), F.col("_words"))).drop("_chunk", "_words", "content")
+
+    def lexical(self, queries: DataFrame, options: SearchOptions = SearchOptions(), require_all: bool = True) -> DataFrame:
+        """``query_id, document_id, score, rank`` by each document's best chunk."""
+        best = self.matches(queries, options, require_all).groupBy("query_id", "document_id").agg(F.max("score").alias("score"))
+        return lexical.ranked(best, options.limit, options.offset)
 
     def semantic(self, vectors: DataFrame, options: SearchOptions = SearchOptions(), least: float = 0.0) -> DataFrame:
         """``vectors (query_id, vector)``; filters come before the nearest are taken."""
         mine = self.vectors
-        if options.source_ids or options.mime_types:
-            kept = lexical.filtered(self.documents, options.source_ids, options.mime_types).select(F.col("document_id").alias("vec_id"))
-            mine = mine.join(kept, "vec_id", "left_semi")
+        if options.source_ids or options.mime_types or options.path:
+            kept = lexical.filtered(self.documents, options.source_ids, options.mime_types)
+            if options.path:
+                kept = kept.filter(F.col("path").contains(options.path))
+            mine = mine.join(kept.select(F.col("document_id").alias("vec_id")), "vec_id", "left_semi")
         return vector.knn(mine, vectors, options.limit, options.offset, least).withColumnRenamed("vec_id", "document_id")
 
     def search(self, queries: DataFrame, vectors: DataFrame | None = None, options: SearchOptions = SearchOptions()) -> DataFrame:
-        """``query_id, document_id, score, strategies, rank`` of ``queries (query_id, query)``: fused, boosted, floored, reranked and diversified."""
+        """``query_id, document_id, score, strategies, rank`` of ``queries (query_id, query)``: fused, boosted, floored, reranked and diversified; the page that limit and offset ask for.
+
+        In lexical mode, and in semantic mode where there are no vectors, the lexical ranking stands as it is.
+        """
         o = options.filled()
-        wide = SearchOptions(limit=max(3 * o.limit, 30), source_ids=o.source_ids, mime_types=o.mime_types)
+        has_vectors = vectors is not None and self.vectors is not None
+        if o.mode == "lexical" or o.mode == "semantic" and not has_vectors:
+            return self.lexical(queries, o).select("query_id", "document_id", "score", "rank", F.lit(1).alias("strategies"))
+        page = o.limit + o.offset
+        wide = SearchOptions(limit=max(3 * page, 30), min_score=o.min_score, source_ids=o.source_ids, mime_types=o.mime_types, path=o.path)
         words = self.lexical(queries, wide)
         analysis = query.analyze(queries)
         if o.mode == "semantic":
             words = words.limit(0)
-        if vectors is None or self.vectors is None or o.mode == "lexical":
+        if not has_vectors:
             near = words.select("query_id", "document_id", "rank", "score").limit(0)
         else:
             fused = analysis.filter("mode = 'fusion'") if o.mode == "auto" else analysis
@@ -79,31 +119,56 @@ class KnowledgeBase:
             hits = hits.withColumn("score", F.col("score") * F.col("lexical_weight") + F.col("s") * F.col("semantic_weight")).drop("s", "semantic_weight", "lexical_weight")
         else:
             hits = fusion.rrf(words, near, o.semantic_weight)
-        facts = self.documents.select("document_id", "path", "title", F.substring("content", 1, 300).alias("snippet"))
-        hits = hits.join(facts, "document_id").join(analysis.select("query_id", "entities"), "query_id")
+        asked = queries.select("query_id", F.filter(F.split(F.lower("query"), r"\s+"), lambda w: w != "").alias("_words"))
+        hits = hits.join(self.documents.select("document_id", "path", "title", "content"), "document_id").join(asked, "query_id").withColumn("snippet", T.snippet(F.col("content"), F.col("_words"))).drop("content", "_words")
+        hits = hits.join(analysis.select("query_id", "entities"), "query_id")
         boosted = fusion.entity_boost(F.col("score"), F.col("entities"), F.concat_ws(" ", "snippet", "title", "path"))
         hits = hits.withColumn("score", fusion.agreement_boost(boosted, F.col("strategies"))).filter(F.col("score") >= o.floor)
         if o.rerank:
-            hits = fusion.rerank(hits, o.rerank_top)
+            hits = fusion.rerank(hits, max(o.rerank_top, page))
         if o.diversify:
-            picked = fusion.mmr(hits.select("query_id", "document_id", "score", "best_rank", "snippet"), o.limit, o.balance)
-            return picked.select("query_id", "document_id", "score", F.col("pick").alias("rank")).join(hits.select("query_id", "document_id", "strategies"), ["query_id", "document_id"])
-        return fusion.ranked(hits, o.limit).select("query_id", "document_id", "score", "rank", "strategies")
-
-    def search_with_fallback(self, queries: DataFrame, options: SearchOptions = SearchOptions()) -> DataFrame:
-        """Lexical hits of each query from the strictest level that has any, with ``level`` and its confidence."""
-        strict = lexical.matches(self.documents, queries, True)
-        loose = lexical.matches(self.documents, queries, False)
-        words = fusion.partial(lambda q: lexical.matches(self.documents, q, True), queries, limit=options.limit).drop("rank")
-        hits = lexical.ranked(fusion.fallback([strict, loose, words]), options.limit)
-        return hits.withColumn("confidence", fusion.fallback_confidence(F.col("level")))
+            picked = fusion.mmr(hits.select("query_id", "document_id", "score", "best_rank", "snippet"), page, o.balance)
+            out = picked.select("query_id", "document_id", "score", F.col("pick").alias("rank")).join(hits.select("query_id", "document_id", "strategies"), ["query_id", "document_id"])
+        else:
+            out = fusion.ranked(hits, page).select("query_id", "document_id", "score", "rank", "strategies")
+        return out.filter(F.col("rank") > o.offset)
+
+    def confidence(self, hits: DataFrame, queries: DataFrame, has_vectors: bool = True) -> DataFrame:
+        """``query_id, confidence`` of the hits of a search; ``none`` for queries without any."""
+        known = fusion.confidence(hits, 2 if has_vectors else 1)
+        return queries.select("query_id").join(known, "query_id", "left").fillna("none", ["confidence"])
+
+    def search_with_fallback(self, queries: DataFrame, options: SearchOptions = SearchOptions(), vectors: DataFrame | None = None) -> DataFrame:
+        """Hits of each query from the strictest level that has any: the search itself, any of its terms, single words. With ``level``, its confidence and a note."""
+        plain = lambda df: df.select("query_id", "document_id", "score")
+        primary = plain(self.search(queries, vectors, options)) if vectors is not None else plain(self.lexical(queries, options))
+        loose = self.matches(queries, options, False).groupBy("query_id", "document_id").agg(F.max("score").alias("score"))
+        words = fusion.partial(lambda q: self.matches(q, options).groupBy("query_id", "document_id").agg(F.max("score").alias("score")), queries, limit=options.limit).drop("rank")
+        hits = lexical.ranked(fusion.fallback([primary, loose, words]), options.limit)
+        note = F.when(F.col("level") == 1, "any of the words").when(F.col("level") == 2, "single words")
+        return hits.withColumn("confidence", fusion.fallback_confidence(F.col("level"))).withColumn("note", note)
 
     def search_with_context(self, queries: DataFrame, limit: int = 5) -> DataFrame:
-        """Documents with content for prompts, best first."""
-        hits = self.lexical(queries, SearchOptions(limit=3 * limit)).join(self.documents.select("document_id", "content"), "document_id")
-        parts = hits.select("query_id", "document_id", "score", F.lit(0).alias("chunk_index"), F.substring("content", 1, 1000).alias("snippet"))
-        merged = results.by_document(parts, self.documents)
-        return lexical.ranked(merged, limit)
+        """Documents with the text of the chunks that were hit, best first."""
+        hits = self.chunk_hits(queries, SearchOptions(limit=3 * limit))
+        texts = self.units().select(F.col("chunk_id"), F.col("content"))
+        parts = hits.drop("snippet").join(texts, "chunk_id").select("query_id", "document_id", "score", "chunk_index", F.col("content").alias("snippet"))
+        return lexical.ranked(results.by_document(parts, self.documents), limit)
+
+    def kb_search(self, queries: DataFrame, vectors: DataFrame | None = None, limit: int = 10, **options) -> DataFrame:
+        """The search tool: fifty hits at most, with fallback."""
+        return self.search_with_fallback(queries, SearchOptions(limit=min(max(limit, 1), 50), **options), vectors)
+
+    def stats(self) -> DataFrame:
+        """One row: documents, chunks, sources, bytes, entities and relations."""
+        none = self.documents.select("document_id").limit(0)
+        counts = index.index_stats(self.documents, none if self.chunks is None else self.chunks)
+        size = lambda df, name: (none if df is None else df).agg(F.count(F.lit(1)).alias(name))
+        return counts.crossJoin(size(self.entities, "entities")).crossJoin(size(self.relations, "relations"))  # single rows
+
+    def document_text(self, document_id: str) -> DataFrame:
+        """A document's text, from its chunks."""
+        return results.document_text(self.chunks.filter(F.col("document_id") == document_id))
 
     def get_document(self, document_id: str) -> DataFrame:
         return self.documents.filter(F.col("document_id") == document_id)
@@ -111,10 +176,18 @@ class KnowledgeBase:
     def sources(self) -> DataFrame:
         return self.documents.groupBy("source_id").agg(F.count(F.lit(1)).alias("doc_count")).orderBy("source_id")
 
-    def graph_query(self, queries: DataFrame, limit: int = 20, hops: int = 2, with_relations: bool = True) -> dict[str, DataFrame]:
-        """Entities, relations, and context of ``queries``; with more than one hop also what lies around the entities."""
+    def entities_of(self, queries: DataFrame, vectors: DataFrame | None = None, limit: int = 20) -> DataFrame:
+        """``query_id, entity_id, score, rank``: entities by words, fused with the nearest by vector where there are any."""
+        words = graph.search_entities(self.entities, queries, limit)
+        if vectors is None or self.entity_vectors is None:
+            return words
+        near = vector.entity_knn(self.entity_vectors, vectors, limit=limit)
+        return graph.fuse_entities(words, near, limit).join(self.entities.select("entity_id", "name", "type"), "entity_id")
+
+    def graph_query(self, queries: DataFrame, limit: int = 20, hops: int = 2, with_relations: bool = True, vectors: DataFrame | None = None) -> dict[str, DataFrame]:
+        """Entities, relations, and context of ``queries``; with more than one hop also what lies around the entities. At most 100 entities and five hops."""
         limit = min(limit, 100)
-        found = graph.search_entities(self.entities, queries, limit)
+        found = self.entities_of(queries, vectors, limit)
         linked = graph.relations_of(found, self.relations, self.entities) if with_relations else graph.relations_of(found.limit(0), self.relations, self.entities)
         out = {"entities": found, "relations": linked, "context": graph.context(found, self.entities, linked)}
         if hops > 1:

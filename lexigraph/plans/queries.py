@@ -11,7 +11,7 @@ from ..functions import text as T
 from ..functions import values as V
 from ..operators import chunkers, control, evaluate, fusion, graph, index, lexical, query, results, vector
 from ..streaming import events as stream_events
-from . import api
+from . import api, ingest
 from . import sql as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,14 +32,8 @@ def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """A table of fewer files than there are task slots, dealt out over all of them; others as they are."""
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(slots) if len(df.inputFiles()) < slots else df
-
-
 def docs(spark: SparkSession, sf: str) -> DataFrame:
-    return api.collection(spread(read(spark, sf, "documents")))
+    return api.collection(read(spark, sf, "documents"))
 
 
 def asked(spark: SparkSession, sf: str) -> DataFrame:
@@ -158,7 +152,7 @@ def _normal_space(e: str) -> str:
 
 @registered(f"SELECT doc_id, {_normal_space(S.replaced('text', [(p, ' ') for p in V.BOILERPLATE]))} AS content FROM documents")
 def clean_text(spark, sf):
-    return spread(read(spark, sf, "documents")).select("doc_id", T.clean(F.col("text")).alias("content"))
+    return read(spark, sf, "documents").select("doc_id", T.clean(F.col("text")).alias("content"))
 
 
 _PDF = [(r"(\w)-[ \t\n\f\r]*\n[ \t\n\f\r]*(\w)", "$1$2"), (r"(\w[A-Za-z])[ \t\n\f\r]*\n[ \t\n\f\r]*([a-z]\w)", "$1$2"), (r"(?m)^[ \t\n\f\r]*\d{1,4}[ \t\n\f\r]*$", ""), (r"\f", "\n")]
@@ -226,7 +220,7 @@ def tokenize_terms(spark, sf):
 
 @registered(f"SELECT term, count(DISTINCT doc_id) AS df, count(*) AS tf FROM (SELECT doc_id, unnest({S.tokens('text')}) AS term FROM documents) GROUP BY term")
 def term_df(spark, sf):
-    pairs = spread(read(spark, sf, "documents")).select("doc_id", F.explode(T.tokens(F.col("text"))).alias("term")).groupBy("term", "doc_id").count()
+    pairs = read(spark, sf, "documents").select("doc_id", F.explode(T.tokens(F.col("text"))).alias("term")).groupBy("term", "doc_id").count()
     return pairs.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("count").alias("tf"))
 
 
@@ -266,23 +260,59 @@ def bm25_filtered(spark, sf):
     return _shown(lexical.ranked(lexical.matches(some, asked(spark, sf), require_all=False).filter("score > 1.0"), 10, by=_order()))
 
 
+def _chunks(spark, sf):
+    d = docs(spark, sf)
+    return d, index.search_rows(d, index.chunk_table(d))
+
+
+def _shown_chunks(hits: DataFrame) -> DataFrame:
+    return hits.select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+
+
+def _chunk_order():
+    return [F.desc(F.round("score", 9)), F.col("chunk_id")]
+
+
+_CHUNK_PAGE = f"SELECT query_id, document_id AS chunk_id, round(score, 6) AS score, rank FROM {S.page(_ALL, 10, _ROUNDED)}"
+
+
+@registered(f"WITH {S.BM25_CHUNKS} {_CHUNK_PAGE}")
+def chunk_topk(spark, sf):
+    found = lexical.matches(_chunks(spark, sf)[1], asked(spark, sf), key="chunk_id")
+    return _shown_chunks(lexical.ranked(found, 10, by=_chunk_order()))
+
+
+@registered(f"WITH {S.BM25_CHUNKS} {_CHUNK_PAGE}")
+def stored_index_topk(spark, sf):
+    """The same from a stored index of words."""
+    built = lexical.TextIndex.build(_chunks(spark, sf)[1], ingest.fresh_folder(spark, "index"), stem=False)
+    built.optimise()
+    return _shown_chunks(lexical.ranked(built.matches(asked(spark, sf)), 10, by=_chunk_order()))
+
+
+@registered()
+def stemmed_index_topk(spark, sf):
+    """Chunks by a stored index of Porter stems; SQL has no stemmer."""
+    built = lexical.TextIndex.build(_chunks(spark, sf)[1], ingest.fresh_folder(spark, "index"))
+    return _shown_chunks(lexical.ranked(built.matches(asked(spark, sf)), 10, by=_chunk_order()))
+
+
 @registered(f"WITH {S.BM25} SELECT query_id, count(*) AS n FROM {_ALL} GROUP BY query_id")
 def match_count(spark, sf):
     return lexical.matches(docs(spark, sf), asked(spark, sf)).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-_SNIPPET = """(SELECT *, list_filter(list_transform(regexp_split_to_array(lower(query), '\\s+'), lambda t: {'at': strpos(lower(content), t), 'n': length(t)}), lambda p: p.at > 0 AND p.n > 0) AS ps FROM {src})"""
-
-
-@registered(
-    f"""WITH {S.BM25}, hit AS (SELECT h.query_id, h.document_id, d.content, a.query FROM {_ALL} h JOIN docs d USING (document_id) JOIN asked a USING (query_id)),
-placed AS {_SNIPPET.replace('{src}', 'hit')},
+def _snipped(src: str) -> str:
+    """CTEs that add the snippet around the first query word to ``src (query, content, ...)``; the last one is snipped."""
+    return f"""placed AS (SELECT *, list_filter(list_transform(regexp_split_to_array(lower(query), '\\s+'), lambda t: {{'at': strpos(lower(content), t), 'n': length(t)}}), lambda p: p.at > 0 AND p.n > 0) AS ps FROM {src}),
 first AS (SELECT *, list_min(list_transform(ps, lambda p: p.at)) AS at1 FROM placed),
 chosen AS (SELECT *, at1 - 1 AS pos, list_filter(ps, lambda p: p.at = at1)[1].n AS n FROM first),
-ends AS (SELECT *, greatest(pos - 150, 0) AS b, least(pos + n + 150, length(content)) AS e FROM chosen)
-SELECT query_id, document_id, CASE WHEN pos IS NULL THEN CASE WHEN length(content) <= 300 THEN content ELSE content[1:300] || '...' END
-  ELSE CASE WHEN b > 0 THEN '...' ELSE '' END || content[b + 1:e] || CASE WHEN e < length(content) THEN '...' ELSE '' END END AS snippet FROM ends"""
-)
+ends AS (SELECT *, greatest(pos - 150, 0) AS b, least(pos + n + 150, length(content)) AS e FROM chosen),
+snipped AS (SELECT *, CASE WHEN pos IS NULL THEN CASE WHEN length(content) <= 300 THEN content ELSE content[1:300] || '...' END
+  ELSE CASE WHEN b > 0 THEN '...' ELSE '' END || content[b + 1:e] || CASE WHEN e < length(content) THEN '...' ELSE '' END END AS snippet FROM ends)"""
+
+
+@registered(f"WITH {S.BM25}, hit AS (SELECT h.query_id, h.document_id, d.content, a.query FROM {_ALL} h JOIN docs d USING (document_id) JOIN asked a USING (query_id)), {_snipped('hit')} SELECT query_id, document_id, snippet FROM snipped")
 def snippet(spark, sf):
     d, q = docs(spark, sf), asked(spark, sf)
     return lexical.with_snippets(lexical.matches(d, q).select("query_id", "document_id"), d, q).select("query_id", "document_id", "snippet")
@@ -357,10 +387,7 @@ def similar_docs(spark, sf):
 
 @registered(f"WITH {S.VECTORS}, {S.NEAR} SELECT query_id, CASE WHEN score >= 0.8 THEN 'high' WHEN score >= 0.6 THEN 'medium' ELSE 'low' END AS band, count(*) AS n FROM near GROUP BY ALL")
 def score_bands(spark, sf):
-    e = read(spark, sf, "embeddings")
-    pairs = vector.with_norm(e).join(vector.with_norm(_centroids(spark, sf), "vector").withColumnRenamed("norm", "n2"))
-    score = vector.dot(F.col("embedding"), F.col("vector")) / (F.col("norm") * F.col("n2"))
-    return pairs.select("query_id", vector.band(score).alias("band")).groupBy("query_id", "band").agg(F.count(F.lit(1)).alias("n"))
+    return vector.band_counts(read(spark, sf, "embeddings"), _centroids(spark, sf))
 
 
 @registered(
@@ -425,14 +452,16 @@ def rrf_fusion(spark, sf):
 
 _BOOSTED = f"""{_FUSED}, turns AS (SELECT query_id, query FROM asked), {_ENTITY_SQL},
 named AS (SELECT query_id, list_sort(list_distinct(list_concat(one, many))) AS es FROM singles),
-full_text AS (SELECT f.*, n.es, lower(concat_ws(' ', d.content[1:300], d.title, d.path)) AS t FROM fused f JOIN docs d USING (document_id) JOIN named n USING (query_id)),
+texts AS (SELECT f.*, n.es, d.content, d.title, d.path, a.query FROM fused f JOIN docs d USING (document_id) JOIN named n USING (query_id) JOIN asked a USING (query_id)), {_snipped('texts')},
+full_text AS (SELECT *, lower(concat_ws(' ', snippet, title, path)) AS t FROM snipped),
 boosted AS (SELECT query_id, document_id, strategies, best_rank, similarity, score * least(3.0, list_product(list_concat([1.0], list_transform(es, lambda e: CASE WHEN contains(t, lower(e)) THEN CASE WHEN contains(e, ' ') THEN 1.5 ELSE 1.2 END ELSE 1.0 END)))) * (1 + 0.2 * strategies / 2) AS score FROM full_text)"""
 
 
 def _boosted(spark, sf):
     d, words, near = _two_lists(spark, sf)
-    named = query.analyze(asked(spark, sf)).select("query_id", "entities")
-    hits = fusion.rrf(words, near).join(d.select("document_id", "path", "title", F.substring("content", 1, 300).alias("snippet")), "document_id").join(named, "query_id")
+    q = asked(spark, sf)
+    named = query.analyze(q).select("query_id", "entities")
+    hits = lexical.with_snippets(fusion.rrf(words, near), d, q).join(d.select("document_id", "path", "title"), "document_id").join(named, "query_id")
     score = fusion.entity_boost(F.col("score"), F.col("entities"), F.concat_ws(" ", "snippet", "title", "path"))
     return hits.withColumn("score", fusion.agreement_boost(score, F.col("strategies")))
 
@@ -470,16 +499,16 @@ def hybrid_search(spark, sf):
 
 # results
 
-_HITS = f"""hit AS (SELECT m.query_id, c.document_id, c.chunk_index, c.content AS snippet, m.score FROM {_ALL} m JOIN chunks c USING (document_id))"""
+_HITS = f"""hit AS (SELECT m.query_id, c.document_id, c.chunk_index, c.content AS snippet, m.score FROM {_ALL} m JOIN chunks c ON c.chunk_id = m.document_id)"""
 
 
 def _chunk_hits(spark, sf):
-    d = docs(spark, sf)
-    found = lexical.matches(d, asked(spark, sf))
-    return d, found.join(index.chunk_table(d).select("document_id", "chunk_index", F.col("content").alias("snippet")), "document_id")
+    d, rows = _chunks(spark, sf)
+    found = lexical.matches(rows, asked(spark, sf), key="chunk_id")
+    return d, found.join(rows.select("chunk_id", "document_id", "chunk_index", F.col("content").alias("snippet")), "chunk_id")
 
 
-@registered(f"WITH {S.BM25}, {S.CHUNKS}, {_HITS} SELECT h.query_id, h.document_id, round(avg(h.score), 6) AS score, count(*) AS chunk_count, d.title, split_part(d.path, '/', -1) AS file FROM hit h JOIN docs d USING (document_id) GROUP BY h.query_id, h.document_id, d.title, d.path")
+@registered(f"WITH {S.BM25_CHUNKS}, {_HITS} SELECT h.query_id, h.document_id, round(avg(h.score), 6) AS score, count(*) AS chunk_count, d.title, split_part(d.path, '/', -1) AS file FROM hit h JOIN docs d USING (document_id) GROUP BY h.query_id, h.document_id, d.title, d.path")
 def results_by_document(spark, sf):
     d, hits = _chunk_hits(spark, sf)
     return results.by_document(hits, d).select("query_id", "document_id", F.round("score", 6).alias("score"), "chunk_count", "title", "file")
@@ -496,13 +525,15 @@ def result_boilerplate(spark, sf):
 
 
 @registered(
-    f"""WITH {S.BM25}, best AS (SELECT m.query_id, m.document_id, round(m.score, 9) AS s, '### ' || d.title || chr(10) || '*Source: ' || split_part(d.path, '/', -1) || '*' || chr(10) || chr(10) || d.content[1:200] || chr(10) AS b FROM {_ALL} m JOIN docs d USING (document_id))
+    f"""WITH {S.BM25_CHUNKS}, best AS (SELECT m.query_id, m.document_id, round(m.score, 9) AS s, '### ' || d.title || chr(10) || '*Source: ' || split_part(d.path, '/', -1) || '*' || chr(10) || chr(10) || c.content || chr(10) AS b FROM {S.page(_ALL, 10, _ROUNDED)} m JOIN chunks c ON c.chunk_id = m.document_id JOIN docs d ON d.document_id = c.document_id)
 SELECT query_id, '## Relevant Context' || chr(10) || chr(10) || string_agg(b, chr(10) || '---' || chr(10) || chr(10) ORDER BY s DESC, document_id) AS context FROM best GROUP BY query_id"""
 )
 def prompt_context(spark, sf):
-    d = docs(spark, sf)
-    facts = d.select("document_id", "title", T.file_name(F.col("path")).alias("file"), F.substring("content", 1, 200).alias("content"))
-    return results.prompt_context(lexical.matches(d, asked(spark, sf)).join(facts, "document_id"))
+    """The ten best chunks of each query, whole."""
+    rows = _chunks(spark, sf)[1]
+    hits = lexical.ranked(lexical.matches(rows, asked(spark, sf), key="chunk_id"), 10, by=_chunk_order())
+    facts = rows.select("chunk_id", "title", T.file_name(F.col("path")).alias("file"), "content")
+    return results.prompt_context(hits.join(facts, "chunk_id").withColumnRenamed("chunk_id", "document_id"))
 
 
 # graph
@@ -551,7 +582,22 @@ def entity_search(spark, sf):
     return graph.search_entities(e, q).select("query_id", "entity_id", "name", "type", F.round("score", 6).alias("score"), "rank")
 
 
-_OTHER = "other AS (SELECT * FROM (SELECT query_id, entity_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY confidence, entity_id) AS INTEGER) AS rank FROM cand) WHERE rank <= 10)"
+_OTHER = f"""{S.VECTORS}, evec AS (SELECT e.entity_id, v.v, e.type FROM vectors v JOIN entities e ON e.key = 'p' || (v.vec_id + 1)),
+near_e AS (SELECT 'g' || (q.query_id + 1) AS query_id, e.entity_id, list_cosine_similarity(e.v, q.vector) AS score FROM evec e CROSS JOIN asked_vectors q WHERE q.query_id < 5),
+other AS (SELECT * FROM (SELECT query_id, entity_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, entity_id) AS INTEGER) AS rank FROM near_e WHERE score >= 0) WHERE rank <= 20)"""
+
+
+def _entity_vectors(spark, sf, e):
+    """Part n + 1 has vector n; graph query n + 1 has the mean vector of label n."""
+    v = read(spark, sf, "embeddings").select(F.concat(F.lit("p"), (F.col("vec_id") + 1).cast("string")).alias("key"), "embedding")
+    asked_vectors = _centroids(spark, sf).filter("query_id < 5").select(F.concat(F.lit("g"), (F.col("query_id") + 1).cast("string")).alias("query_id"), "vector")
+    return v.join(e, "key").select(F.col("entity_id").alias("vec_id"), "type", "embedding"), asked_vectors
+
+
+@registered(f"WITH {S.GRAPH}, {_OTHER} SELECT query_id, entity_id, round(score, 6) AS score, rank FROM other")
+def entity_knn(spark, sf):
+    vectors, asked_vectors = _entity_vectors(spark, sf, _entities(spark, sf))
+    return vector.entity_knn(vectors, asked_vectors, ["technology"]).select("query_id", "entity_id", F.round("score", 6).alias("score"), "rank")
 
 
 @registered(
@@ -559,14 +605,42 @@ _OTHER = "other AS (SELECT * FROM (SELECT query_id, entity_id, CAST(row_number()
 SELECT query_id, entity_id, round(CAST(score AS DOUBLE), 9) AS score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(CAST(score AS DOUBLE), 12) DESC, least(a, b), entity_id) AS INTEGER) AS rank FROM both_lists) WHERE rank <= 20"""
 )
 def entity_hybrid(spark, sf):
-    """Entities by words, fused with a second list of the same candidates in rising confidence, in the place of a vector list."""
-    from pyspark.sql import Window
+    """Entities by words, fused with the nearest by vector."""
+    e, r, q = _graph(spark, sf)
+    vectors, asked_vectors = _entity_vectors(spark, sf, e)
+    kb = api.KnowledgeBase(docs(spark, sf), entities=e, relations=r, entity_vectors=vectors)
+    return kb.entities_of(q, asked_vectors).select("query_id", "entity_id", F.round("score", 9).alias("score"), "rank")
 
-    e, _, q = _graph(spark, sf)
-    words = graph.search_entities(e, q)
-    cut = graph.entity_candidates(e, q, 60)
-    other = cut.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("confidence", "entity_id"))).filter("rank <= 10")
-    return graph.fuse_entities(words, other.select("query_id", "entity_id", "rank")).select("query_id", "entity_id", F.round("score", 9).alias("score"), "rank")
+
+@registered(f"WITH {S.GRAPH} SELECT entity_id, name, type FROM entities WHERE contains(lower(name), 'asia') ORDER BY lower(name) = 'asia' DESC, confidence DESC, entity_id LIMIT 1")
+def entity_by_name(spark, sf):
+    return graph.entity_by_name(_entities(spark, sf), "Asia").select("entity_id", "name", "type")
+
+
+@registered(f"WITH {S.GRAPH} SELECT entity_id, name, confidence FROM entities WHERE contains(lower(name), 'blue') AND type = 'technology' AND confidence >= 0.7 ORDER BY confidence DESC, entity_id LIMIT 50")
+def entity_filter(spark, sf):
+    return graph.find_entities(_entities(spark, sf), "Blue", "technology", 0.7).select("entity_id", "name", "confidence")
+
+
+@registered(f"WITH {S.GRAPH}, gone AS (SELECT entity_id FROM entities WHERE description = 'nation') SELECT (SELECT count(*) FROM entities WHERE entity_id NOT IN (FROM gone)) AS entities, (SELECT count(*) FROM relations WHERE subject_id NOT IN (FROM gone) AND object_id NOT IN (FROM gone)) AS relations")
+def graph_detach(spark, sf):
+    e, r, _ = _graph(spark, sf)
+    left, links = graph.detach(e, r, e.filter("description = 'nation'").select("entity_id"))
+    return left.agg(F.count(F.lit(1)).alias("entities")).crossJoin(links.agg(F.count(F.lit(1)).alias("relations")))  # single rows
+
+
+@registered(f"WITH {S.GRAPH} SELECT count(*) FILTER (name = '') AS no_name, count(*) FILTER (length(name) > 500) AS long_name, count(*) FILTER (length(description) > 2000) AS long_description, count(*) FILTER (NOT list_contains({S.names(list(V.ENTITY_ALIASES))}, type)) AS bad_type, count(*) FILTER (confidence < 0 OR confidence > 1) AS bad_confidence FROM (SELECT CASE WHEN key LIKE 'r%' THEN '' ELSE name END AS name, CASE WHEN key LIKE 'n%' THEN 'land' ELSE type END AS type, description, confidence + 0.1 AS confidence FROM entities)")
+def entity_faults(spark, sf):
+    e = _entities(spark, sf)
+    worn = e.select(F.when(F.col("key").startswith("r"), "").otherwise(F.col("name")).alias("name"), F.when(F.col("key").startswith("n"), "land").otherwise(F.col("type")).alias("type"), "description", (F.col("confidence") + 0.1).alias("confidence"))
+    return graph.entity_faults(worn)
+
+
+@registered(f"WITH {S.GRAPH} SELECT count(*) FILTER (subject_id = '') AS no_subject, count(*) FILTER (object_id = '') AS no_object, count(*) FILTER (predicate = 'contains') AS bad_predicate, count(*) FILTER (confidence > 0.5) AS bad_confidence FROM relations")
+def relation_faults(spark, sf):
+    e = _entities(spark, sf)
+    r = _relations(spark, sf, e)
+    return graph.relation_faults(r.withColumn("predicate", F.when(F.col("predicate") == "contains", "holds").otherwise(F.col("predicate"))).withColumn("confidence", F.col("confidence") + 0.5))
 
 
 _RELATED = """touching AS (SELECT DISTINCT f.query_id, s.name AS subject, r.predicate, o.name AS object, r.confidence FROM relations r JOIN found f ON f.entity_id = r.subject_id OR f.entity_id = r.object_id JOIN entities s ON s.entity_id = r.subject_id JOIN entities o ON o.entity_id = r.object_id),
@@ -710,6 +784,123 @@ def prompt_safe(spark, sf):
     return read(spark, sf, "conversations").select("conv_id", "turn", graph.prompt_safe(F.concat_ws(": ", "role", "text")).alias("safe"))
 
 
+@registered(f"WITH {S.DOCS} SELECT d.doc_id AS chunk_id, CASE WHEN l.toxic = 1 THEN 'Connection' ELSE 'Incomplete JSON' END AS class, d.title, true AS again FROM labels l JOIN docs d USING (doc_id) WHERE l.quality = 0")
+def retry_list(spark, sf):
+    d = docs(spark, sf)
+    rows, status = _status(spark, sf)
+    chunks = rows.join(d.select(F.col("doc_id").alias("chunk_id"), "document_id"), "chunk_id")
+    return graph.retry_list(chunks, status, d).select("chunk_id", "class", "title", graph.retryable(F.col("class")).alias("again"))
+
+
+@registered("SELECT count(*) AS chunks, count(*) FILTER (quality = 1) AS completed, round(100.0 * count(*) FILTER (quality = 1) / count(*), 6) AS percent, round(sum(CASE WHEN quality = 1 THEN d.doc_id % 7 END) / count(*) FILTER (quality = 1), 6) AS entities_each FROM documents d LEFT JOIN labels l USING (doc_id)")
+def extraction_rates(spark, sf):
+    chunks, status = _status(spark, sf)
+    out = graph.extraction_rates(chunks, status.withColumn("entity_count", F.col("chunk_id") % 7))
+    return out.select("chunks", "completed", F.round("percent", 6).alias("percent"), F.round("entities_each", 6).alias("entities_each"))
+
+
+@registered(f"WITH {S.GRAPH} SELECT entity_id, name, confidence FROM entities")
+def entity_json(spark, sf):
+    """Entities as JSON, and back."""
+    e = _entities(spark, sf).select("entity_id", "name", "type", "description", "confidence")
+    return e.select(graph.from_json(graph.as_json(e)).alias("e")).select("e.entity_id", "e.name", "e.confidence")
+
+
+@registered()
+def extraction_prompts(spark, sf):
+    rows = read(spark, sf, "conversations")
+    return rows.select("conv_id", "turn", graph.extraction_prompt(F.col("role"), F.lit(""), F.col("text")).alias("prompt"))
+
+
+@registered()
+def extraction_stage(spark, sf):
+    """Answers about parts, half of them cut: what becomes of their chunks."""
+    p = read(spark, sf, "part")
+    answer = F.concat(F.lit('{"entities": [{"name": "'), "p_name", F.lit('", "type": "tool", "confidence": 0.9}], "relations": []'), F.when(F.col("p_size") % 2 == 0, F.lit("}")).otherwise(F.lit("")))
+    responses = p.select(F.col("p_partkey").alias("chunk_id"), answer.alias("raw"), F.when(F.col("p_size") == 3, "timeout").alias("error"))
+    return graph.extract(responses, p.select(F.col("p_partkey").alias("chunk_id"), F.col("p_brand").alias("document_id")))[2]
+
+
+# sources and sinks
+
+
+def _tables(spark, sf) -> ingest.Tables:
+    d = docs(spark, sf)
+    sources = d.select("source_id").distinct().withColumn("name", F.col("source_id")).unionByName(spark.createDataFrame([("empty", "empty")], "source_id string, name string"))
+    v = read(spark, sf, "embeddings").join(d.select(F.col("doc_id").alias("vec_id"), "document_id"), "vec_id").select(F.col("vec_id").cast("string").alias("vec_id"), "document_id", "embedding")
+    return ingest.Tables(sources, d, index.chunk_table(d), v)
+
+
+@registered(f"WITH {S.DOCS}, {S.CHUNKS}, s AS (SELECT DISTINCT source_id FROM docs UNION SELECT 'empty') SELECT source_id, CAST(coalesce((SELECT count(*) FROM docs d WHERE d.source_id = s.source_id), 0) AS BIGINT) AS doc_count, CAST(coalesce((SELECT count(*) FROM chunks JOIN docs d USING (document_id) WHERE d.source_id = s.source_id), 0) AS BIGINT) AS chunk_count, CAST(coalesce((SELECT sum(size) FROM docs d WHERE d.source_id = s.source_id), 0) AS BIGINT) AS size_bytes FROM s")
+def source_stats(spark, sf):
+    return ingest.refresh_stats(_tables(spark, sf)).select("source_id", "doc_count", "chunk_count", "size_bytes")
+
+
+_NEWER = S.DOCS.replace("docs AS", "docs0 AS", 1) + ", docs AS (SELECT * REPLACE (CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) THEN content || ' and more' ELSE content END AS content) FROM docs0)"
+
+
+@registered(f"WITH {_NEWER}, {S.CHUNKS}, v AS (SELECT vec_id FROM embeddings WHERE vec_id IN (SELECT doc_id FROM docs) AND vec_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)) SELECT (SELECT count(*) FROM docs) AS documents, (SELECT count(*) FROM chunks) AS chunks, (SELECT count(DISTINCT content) FROM chunks) AS texts, (SELECT count(*) FROM v) AS vectors")
+def document_sink(spark, sf):
+    """Documents of good quality come again with more text: their chunks are replaced, their vectors go."""
+    t = _tables(spark, sf)
+    new = t.documents.join(read(spark, sf, "labels").filter("quality = 1").select("doc_id"), "doc_id", "left_semi").withColumn("content", F.concat("content", F.lit(" and more")))
+    after = ingest.put_documents(t, new)
+    one = lambda df, c, name: df.agg(c.alias(name))
+    n = F.count(F.lit(1))
+    return one(after.documents, n, "documents").crossJoin(after.chunks.agg(n.alias("chunks"), F.countDistinct("content").alias("texts"))).crossJoin(one(after.vectors, n, "vectors"))  # single rows
+
+
+@registered("SELECT CAST(vec_id AS VARCHAR) AS vec_id, CASE WHEN vec_id % 3 = 0 THEN label + 2 ELSE label END AS label FROM embeddings")
+def vector_upsert(spark, sf):
+    v = read(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("vec_id"), "label")
+    third = v.filter("cast(vec_id as long) % 3 = 0")
+    twice = third.select("vec_id", (F.col("label") + 1).alias("label"), F.lit(1).alias("seq")).unionByName(third.select("vec_id", (F.col("label") + 2).alias("label"), F.lit(2).alias("seq")))
+    return ingest.upsert_vectors(v, twice, order="seq")
+
+
+@registered("SELECT vec_id, label FROM embeddings WHERE label NOT IN (2, 3)")
+def vector_delete(spark, sf):
+    return ingest.delete_vectors(read(spark, sf, "embeddings"), label=[2, 3])[0].select("vec_id", "label")
+
+
+@registered("SELECT count(*) AS vectors, max(len(embedding)) AS dimension, 'hashing' AS model, 'ready' AS status FROM embeddings")
+def vector_stats(spark, sf):
+    return ingest.vector_stats(read(spark, sf, "embeddings")).withColumn("dimension", F.col("dimension").cast("long"))
+
+
+@registered(f"WITH {S.DOCS}, {S.CHUNKS} SELECT chunk_id, 64 AS dimension FROM chunks")
+def vector_backfill(spark, sf):
+    """Every chunk gets a vector, of the hashing stand-in."""
+    t = _tables(spark, sf)
+    from dataclasses import replace
+
+    after = ingest.backfill(replace(t, vectors=t.vectors.limit(0)), vector.hashing_embedder(64))
+    return after.vectors.select(F.col("vec_id").alias("chunk_id"), F.size("embedding").alias("dimension"))
+
+
+@registered(f"WITH {S.DOCS}, {S.CHUNKS} SELECT c.chunk_id, d.source_id AS source, d.title FROM chunks c JOIN docs d USING (document_id)")
+def chunk_metadata(spark, sf):
+    t = _tables(spark, sf)
+    out = ingest.with_metadata(t.chunks, t.documents, F.create_map(F.lit("source"), F.col("source_id"), F.lit("title"), F.col("title")))
+    return out.select("chunk_id", F.col("metadata")["source"].alias("source"), F.col("metadata")["title"].alias("title"))
+
+
+@registered(f"WITH {S.DOCS}, {S.CHUNKS} SELECT chunk_id, chunk_index, content FROM chunks WHERE document_id = (SELECT min(document_id) FROM docs) ORDER BY chunk_index")
+def document_chunks(spark, sf):
+    t = _tables(spark, sf)
+    return ingest.get_chunks(t, t.documents.agg(F.min("document_id")).first()[0]).select("chunk_id", "chunk_index", "content")
+
+
+@registered("SELECT page_id, CAST(coalesce(TRY_CAST(nullif(regexp_extract(split_part(url, '/', -1), '^(\\d{1,18})', 1), '') AS BIGINT), 0) AS BIGINT) AS n, split_part(url, '/', -1) || CASE WHEN page_id > 0 THEN ', page ' || page_id ELSE '' END AS cited FROM pages")
+def citations(spark, sf):
+    return read(spark, sf, "pages").select("page_id", T.leading_int(T.file_name(F.col("url"))).alias("n"), T.citation(F.col("url"), F.col("page_id").cast("string")).alias("cited"))
+
+
+@registered()
+def chunk_smart(spark, sf):
+    return docs(spark, sf).select("document_id", F.posexplode(T.smart_chunks(F.col("content"))).alias("chunk_index", "content"))
+
+
 # evaluation, control, streams
 
 
@@ -730,7 +921,8 @@ def retrieval_metrics(spark, sf):
 
 
 @registered(
-    f"""WITH {S.BM25}, ranked AS (SELECT r.query_id, r.rank, d.path, lower(d.content[1:300]) AS t FROM {S.page(_ALL, 10, _ROUNDED)} r JOIN docs d USING (document_id)),
+    f"""WITH {S.BM25}, best AS (SELECT r.query_id, r.rank, d.path, d.content, a.query FROM {S.page(_ALL, 10, _ROUNDED)} r JOIN docs d USING (document_id) JOIN asked a USING (query_id)), {_snipped('best')},
+ranked AS (SELECT query_id, rank, path, lower(snippet) AS t FROM snipped),
 cases AS (SELECT item_id AS query_id, lower(split_part(text, ' ', 1)) AS must FROM benchmark),
 got AS (SELECT query_id, count(*) AS n, bool_or(rank <= 3 AND contains(path, 'src')) AS top, list(t) AS ts FROM ranked GROUP BY query_id)
 SELECT CAST(c.query_id AS VARCHAR) AS name, CASE WHEN coalesce(n, 0) < 1 THEN 'insufficient results' WHEN NOT top THEN 'expected document not in top results' WHEN len(list_filter(ts, lambda t: contains(t, must))) = 0 THEN 'missing required phrase: ' || split_part(b.text, ' ', 1)
@@ -738,7 +930,7 @@ SELECT CAST(c.query_id AS VARCHAR) AS name, CASE WHEN coalesce(n, 0) < 1 THEN 'i
 )
 def retrieval_eval(spark, sf):
     d, q = docs(spark, sf), asked(spark, sf)
-    hits = lexical.ranked(lexical.matches(d, q), 10, by=_order()).join(d.select("document_id", "path", F.substring("content", 1, 300).alias("snippet")), "document_id").withColumn("name", F.col("query_id").cast("string"))
+    hits = lexical.with_snippets(lexical.ranked(lexical.matches(d, q), 10, by=_order()), d, q).join(d.select("document_id", "path"), "document_id").withColumn("name", F.col("query_id").cast("string"))
     cases = read(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("name"), F.lit("src").alias("expected_top_doc"), F.array(F.split_part("text", F.lit(" "), F.lit(1))).alias("must_contain"), F.array(F.lit("license")).alias("must_not_contain"), F.lit(1).alias("min_results"), F.lit(3).alias("max_rank"))
     return evaluate.evaluate_cases(cases, hits).select("name", "reason")
 

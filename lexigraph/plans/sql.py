@@ -68,6 +68,10 @@ matched AS (SELECT t.query_id, p.document_id, sum(p.part) AS score, count(*) AS
 BM25 = ",\n".join([DOCS, ASKED, TERMS, POSTINGS, SCORED])
 
 
+#: The same over chunks: in these tables document_id is the chunk's id.
+BM25_CHUNKS = ",\n".join([DOCS, CHUNKS, "units AS (SELECT c.chunk_id AS document_id, c.content, d.title, d.path FROM chunks c JOIN docs d USING (document_id))", ASKED, TERMS, POSTINGS.replace("FROM docs)", "FROM units)", 1), SCORED])
+
+
 def page(source: str, limit: int = 10, order: str = "score DESC, document_id") -> str:
     return f"(SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY {order}) AS INTEGER) AS rank FROM {source}) WHERE rank <= {limit})"
 

@@ -116,8 +116,10 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list
         yield part << 24 | number, ids, texts
 
 
-def _message(block: int, slot: int, packed: bytes) -> pa.RecordBatch:
-    return pa.record_batch([pa.array([block]), pa.array([slot], pa.int32()), pa.array([packed], pa.binary())], names=["block", "slot", "packed"])
+def _messages(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    """Rows of MESSAGE as one batch: what a block sends, or a slot answers, is of bounded size."""
+    blocks, slots, packed = zip(*rows) if rows else ((), (), ())
+    return pa.record_batch([pa.array(blocks, pa.int64()), pa.array(slots, pa.int32()), pa.array(packed, pa.binary())], names=["block", "slot", "packed"])
 
 
 def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -400,18 +402,18 @@ def score_documents(docs: DataFrame, depth: int = 2, smoothing: float = 2.0, lea
         only()
         for number, ids, texts in _blocks(batches):
             state = _State.of(ids, texts)
-            yield _message(number, -len(state.word), state.packed())
+            yield _messages([(number, -len(state.word), state.packed())])
 
     def ask(level: int, shared):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             only()
             model = shared.value
             for batch in batches:
-                for i in range(batch.num_rows):
+                for i in range(batch.num_rows):  # one state at a time
                     block, _, packed = (c[i].as_py() for c in batch.columns)
                     state = _State(packed)
-                    for s, found in state.ask(level, model) if level else state.ask_words(model["slots"]):
-                        yield _message(block, s, found)
+                    found = state.ask(level, model) if level else state.ask_words(model["slots"])
+                    yield _messages([(block, s, packed) for s, packed in found])
 
         return run
 
@@ -420,16 +422,13 @@ def score_documents(docs: DataFrame, depth: int = 2, smoothing: float = 2.0, lea
             only()
             held: dict[int, list] = {}
             for batch in batches:
-                for i in range(batch.num_rows):
-                    block, slot, packed = (c[i].as_py() for c in batch.columns)
+                for block, slot, packed in zip(*(c.to_pylist() for c in batch.columns)):
                     held.setdefault(slot, []).append((block, packed))
             for slot in list(held):
                 rows = held.pop(slot)
                 messages = [r[1] for r in rows]
                 answers, sums = weigh_contexts(messages, smoothing, least, divergence) if level else count_words(messages)
-                for (block, _), packed in zip(rows, answers):
-                    yield _message(block, slot, packed)
-                yield _message(-1, slot, sums)
+                yield _messages([*((block, slot, packed) for (block, _), packed in zip(rows, answers)), (-1, slot, sums)])
 
         return run
 
@@ -448,11 +447,10 @@ def score_documents(docs: DataFrame, depth: int = 2, smoothing: float = 2.0, lea
                     yield state.rows(model)
                     return
                 state.select(level + 1, *places, model)
-                yield _message(current, -1, state.packed())
+                yield _messages([(current, -1, state.packed())])
 
             for batch in batches:
-                for i in range(batch.num_rows):
-                    number, slot, packed = (c[i].as_py() for c in batch.columns)
+                for number, slot, packed in zip(*(c.to_pylist() for c in batch.columns)):
                     if number != current:
                         yield from done()
                         current, state, answers = number, None, {}

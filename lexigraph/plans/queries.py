@@ -32,8 +32,14 @@ def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table of fewer files than there are task slots, dealt out over all of them, as a file of one row group can't be read by several tasks; others as they are."""
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(slots) if len(df.inputFiles()) < slots else df
+
+
 def docs(spark: SparkSession, sf: str) -> DataFrame:
-    return api.collection(read(spark, sf, "documents"))
+    return api.collection(spread(read(spark, sf, "documents")))
 
 
 def asked(spark: SparkSession, sf: str) -> DataFrame:
@@ -152,7 +158,7 @@ def _normal_space(e: str) -> str:
 
 @registered(f"SELECT doc_id, {_normal_space(S.replaced('text', [(p, ' ') for p in V.BOILERPLATE]))} AS content FROM documents")
 def clean_text(spark, sf):
-    return read(spark, sf, "documents").select("doc_id", T.clean(F.col("text")).alias("content"))
+    return spread(read(spark, sf, "documents")).select("doc_id", T.clean(F.col("text")).alias("content"))
 
 
 _PDF = [(r"(\w)-[ \t\n\f\r]*\n[ \t\n\f\r]*(\w)", "$1$2"), (r"(\w[A-Za-z])[ \t\n\f\r]*\n[ \t\n\f\r]*([a-z]\w)", "$1$2"), (r"(?m)^[ \t\n\f\r]*\d{1,4}[ \t\n\f\r]*$", ""), (r"\f", "\n")]
@@ -220,7 +226,7 @@ def tokenize_terms(spark, sf):
 
 @registered(f"SELECT term, count(DISTINCT doc_id) AS df, count(*) AS tf FROM (SELECT doc_id, unnest({S.tokens('text')}) AS term FROM documents) GROUP BY term")
 def term_df(spark, sf):
-    pairs = read(spark, sf, "documents").select("doc_id", F.explode(T.tokens(F.col("text"))).alias("term")).groupBy("term", "doc_id").count()
+    pairs = spread(read(spark, sf, "documents")).select("doc_id", F.explode(T.tokens(F.col("text"))).alias("term")).groupBy("term", "doc_id").count()
     return pairs.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("count").alias("tf"))
 
 

@@ -1,10 +1,11 @@
 """N-gram Jaccard self-join of documents with a MinHash LSH forest.
 
 A document is the set of its word n-grams (words are split at white space; fewer words than n make one n-gram of all). Each tree of the forest reads the document's
-MinHash values, one byte of each level, as a label; sorted labels are a prefix trie. Labels that agree in a prefix are candidates. From the longest prefix on, the length
-is shortened until a pair at the threshold agrees in some tree with the target recall. All pairs of the candidate components are then verified exactly.
+MinHash values, one byte of each level, as a label; sorted labels are a prefix trie. Every document walks up the tries from whole labels, and whoever agrees with it in the
+prefix is a candidate. It shortens the prefix until partners of the least similarity that a set of its size can have, at or above the threshold, are met in some tree with the
+target recall: small sets stop early, as few of their possible similarities are near the threshold. All pairs of the candidate components are then verified exactly.
 
-Equal texts are one node and count as linked documents. Null texts and texts without words are linked with nothing, and are their own class. Repeated rows are separate documents.
+Equal texts (by 128 bits of hash) are one node and count as linked documents. Null texts and texts without words are linked with nothing, and are their own class. Repeated rows are separate documents.
 A null ``doc_id`` keeps its row; classes take the least id. An empty table gives no rows. Other columns of the input are not looked at. Texts are taken whole.
 """
 
@@ -12,10 +13,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import CACHES, only, slices, stored, unused
@@ -26,6 +29,11 @@ from .components import components
 LEVELS = 7
 
 
+def identity() -> tuple[Column, Column]:
+    """Two hashes of the text, from different seeds."""
+    return F.xxhash64("text"), F.xxhash64(F.lit(1), F.col("text"))
+
+
 class _Words(dict):
     """Hashes of words; dropped when there are too many, and long words are not held."""
 
@@ -66,7 +74,21 @@ def prefix_length(trees: int, threshold: float, recall: float, longest: int = LE
     return length
 
 
-def labels(sets: list[np.ndarray], trees: int, levels: int) -> np.ndarray:
+@lru_cache(maxsize=1 << 16)
+def least_similarity(size: int, threshold: float) -> float:
+    """The least Jaccard similarity at or above the threshold that a set of ``size`` members can have with any set."""
+    common = np.arange(np.ceil(threshold * size - 1e-9), size + 1)
+    other = np.floor(common / threshold + common - size + 1e-9)
+    return float(np.min(common / (size + other - common)))
+
+
+@lru_cache(maxsize=1 << 16)
+def stop_of(size: int, trees: int, threshold: float, recall: float) -> int:
+    """Bits of the prefix at which a set of ``size`` members ends its walk."""
+    return 8 + 8 * prefix_length(trees, least_similarity(size, threshold), recall)
+
+
+def labels(sets: list[np.ndarray], trees: int, levels: int = LEVELS) -> np.ndarray:
     """Trie labels, one row per set and one column per tree: the tree's number, then one byte of each MinHash value."""
     out = np.zeros((len(sets), trees), dtype=np.uint64)
     if not sets:
@@ -86,15 +108,24 @@ def labels(sets: list[np.ndarray], trees: int, levels: int) -> np.ndarray:
 
 
 def text_facts(docs: DataFrame, n: int, threshold: float, trees: int, recall: float) -> DataFrame:
-    """One row per distinct text: ``node`` (its xxhash64), whether it has words, its copies, links and first id, and the first text and id of its class."""
-    levels = prefix_length(trees, threshold, recall)
-    bits = 8 + 8 * levels
+    """One row per distinct text: ``hash`` and ``check``, ``node`` (its number), whether it has words, its copies, links and first id, and the first id and text of its class (``head``)."""
+    lengths = tuple(8 + 8 * n for n in range(LEVELS, prefix_length(trees, threshold, recall) - 1, -1))
     slots = slots_of(docs)
-    keyed = docs.select("doc_id", F.xxhash64("text").alias("node"), "text")
+    hash, check = identity()
+    hashed = docs.select("doc_id", hash.alias("hash"), check.alias("check"), "text")
+    distinct = stored(hashed.groupBy("hash", "check").agg(F.count(F.lit(1)).alias("n_copies"), F.min("doc_id").alias("first_id"), F.max(F.col("text").rlike(r"\S")).alias("worded")), "copies")
+    # Texts that share the first hash only: all but one get a number of their own. There are hardly ever any.
+    twins = distinct.groupBy("hash").agg(F.min("check").alias("low"), F.max("check").alias("high")).filter("low < high").select("hash", "low")
+    twins = stored(distinct.join(twins, "hash").filter("check > low").select("hash", "check", F.xxhash64(F.lit(2), "hash", "check").alias("node")), "twins")
+
+    def with_node(df: DataFrame) -> DataFrame:
+        return df.join(twins, ["hash", "check"], "left").withColumn("node", F.coalesce("node", "hash"))
+
+    keyed, copies = with_node(hashed), with_node(distinct)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only(_words)
-        sender, seen = Sender(slots, bits), set()
+        sender, seen = Sender(slots, lengths), set()
         for nodes, texts in slices(batches, 1, limit=1 << 19):
             new = {}
             for node, t in zip(nodes, texts):
@@ -104,12 +135,12 @@ def text_facts(docs: DataFrame, n: int, threshold: float, trees: int, recall: fl
             if len(seen) > 250_000:
                 seen.clear()
             if new:
-                keys = labels(shingles(list(new.values()), n), trees, levels)
-                yield from sender.add(keys, np.repeat(np.array(list(new), dtype=np.int64)[:, None], trees, axis=1))
+                sets = shingles(list(new.values()), n)
+                stops = np.array([stop_of(len(s), trees, threshold, recall) for s in sets], dtype=np.uint8)
+                yield from sender.add(labels(sets, trees), np.repeat(np.array(list(new), dtype=np.int64), trees), np.repeat(stops, trees))
         yield from sender.flush()
 
-    near = stored(components(candidate_links(keyed.select("node", "text").mapInArrow(send, KEYS), bits), shrink=False), "candidates")
-    copies = stored(keyed.groupBy("node").agg(F.count(F.lit(1)).alias("n_copies"), F.min("doc_id").alias("first_id"), F.max(F.col("text").rlike(r"\S")).alias("worded")), "copies")
+    near = stored(components(candidate_links(keyed.select("node", "text").mapInArrow(send, KEYS), lengths), shrink=False), "candidates")
     wanted = wanted_map(near)
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,7 +162,7 @@ def text_facts(docs: DataFrame, n: int, threshold: float, trees: int, recall: fl
     known = stored(copies.join(classes(found), "node", "left").withColumn("root", F.coalesce("root", "node")), "classes")
     least = stored(known.groupBy("root").agg(F.min(F.struct(F.col("first_id").isNull(), F.col("first_id").alias("id"), F.col("node").alias("text"))).alias("head")), "class-heads")
     facts = known.join(least, "root").join(counts, "node", "left")
-    return stored(facts.select("node", F.coalesce("worded", F.lit(False)).alias("worded"), "n_copies", "first_id", "head", F.coalesce("others", F.lit(0)).alias("others")), "facts")
+    return stored(facts.select("hash", "check", "node", F.coalesce("worded", F.lit(False)).alias("worded"), "n_copies", "first_id", "head", F.coalesce("others", F.lit(0)).alias("others")), "facts")
 
 
 def ngram_jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, trees: int = 24, recall: float = 0.999) -> DataFrame:
@@ -142,7 +173,8 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, tree
     """
     facts = text_facts(docs, n, threshold, trees, recall)
     worded = F.col("worded")
-    return docs.select("doc_id", F.xxhash64("text").alias("node")).join(facts, "node").select(
+    hash, check = identity()
+    return docs.select("doc_id", hash.alias("hash"), check.alias("check")).join(facts, ["hash", "check"]).select(
         "doc_id",
         F.when(worded, F.col("head.id")).otherwise(F.col("doc_id")).alias("class_id"),
         F.when(worded, F.col("others") + F.col("n_copies") - 1).otherwise(F.lit(0)).cast("long").alias("n_links"),
@@ -157,12 +189,13 @@ def keep_one(docs: DataFrame, n: int = 5, threshold: float = 0.8, trees: int = 2
     Of rows with equal id and text, one stays, or none.
     """
     facts = text_facts(docs, n, threshold, trees, recall)
-    key, node, worded, first, copied = unused(docs, "key", "node", "worded", "first", "copied")
+    key, more, one, two, worded, first, copied = unused(docs, "key", "more", "one", "two", "worded", "first", "copied")
     stays = facts.filter(~F.col("worded") | (F.col("head.text") == F.col("node"))).select(
-        F.col("node").alias(node), F.col("worded").alias(worded), F.col("first_id").alias(first), (F.col("worded") & (F.col("n_copies") > 1)).alias(copied)
+        F.col("hash").alias(one), F.col("check").alias(two), F.col("worded").alias(worded), F.col("first_id").alias(first), (F.col("worded") & (F.col("n_copies") > 1)).alias(copied)
     )
-    marked = docs.withColumn(key, F.xxhash64("text"))
-    here = (F.col(key) == F.col(node)) & (~F.col(worded) | F.col("doc_id").eqNullSafe(F.col(first)))
+    hash, check = identity()
+    marked = docs.withColumn(key, hash).withColumn(more, check)
+    here = (F.col(key) == F.col(one)) & (F.col(more) == F.col(two)) & (~F.col(worded) | F.col("doc_id").eqNullSafe(F.col(first)))
     single = marked.join(stays.filter(~F.col(copied)), here, "left_semi")
-    repeated = marked.join(stored(stays.filter(F.col(copied)), "copied-texts"), here, "left_semi").dropDuplicates([key, "doc_id"])
+    repeated = marked.join(stored(stays.filter(F.col(copied)), "copied-texts"), here, "left_semi").dropDuplicates([key, more, "doc_id"])
     return single.unionByName(repeated).select(*docs.columns)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .common import stored
 from .components import LINKS, UnionFind, components, link_batch
 
-KEYS = "slot int, linked boolean, a binary, b binary"
+KEYS = "slot int, linked boolean, a binary, b binary, stops binary"
 #: (key, node) pairs that a task holds before it sends them on.
 HELD = 1 << 19
 #: Bits of the map of wanted nodes: its size is fixed, and with it that of the broadcast.
@@ -37,28 +37,46 @@ def _runs(keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, dtype=np.int64)
 
 
-def _linked(keys: np.ndarray, nodes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of pairs, one for each key prefix; and the links of the other nodes to it."""
+def _linked(keys: np.ndarray, nodes: np.ndarray, stops: np.ndarray, lengths: tuple[int, ...]) -> tuple[np.ndarray, ...]:
+    """Walk up the trie of sorted keys, from the longest prefix length (in bits) to the shortest.
+
+    Nodes whose keys agree in a prefix become one entry where one of them still asks at this length, that is, where its stop isn't above it; entries that have
+    stopped all stay apart, but are there to be found. Returns the keys, nodes and stops that are left, and the links of the others to them.
+    """
     order = np.lexsort((nodes, keys))
-    keys, nodes = keys[order], nodes[order]
-    starts = _runs(keys >> np.uint64(64 - bits))
-    head = np.repeat(nodes[starts], np.diff(np.append(starts, len(keys))))
-    off = head != nodes
-    return keys[starts], nodes[starts], nodes[off], head[off]
+    keys, nodes, stops = keys[order], nodes[order], stops[order]
+    a, b = [nodes[:0]], [nodes[:0]]
+    for bits in lengths if len(keys) else ():
+        starts = _runs(keys >> np.uint64(64 - bits))
+        counts = np.diff(np.append(starts, len(keys)))
+        least = np.minimum.reduceat(stops, starts)
+        asked = least <= bits
+        stops[starts[asked]] = least[asked]
+        head = np.repeat(starts, counts)
+        gone = np.repeat(asked, counts)
+        gone[starts] = False
+        off = gone & (nodes != nodes[head])
+        a.append(nodes[off])
+        b.append(nodes[head[off]])
+        keys, nodes, stops = keys[~gone], nodes[~gone], stops[~gone]
+    return keys, nodes, stops, np.concatenate(a), np.concatenate(b)
 
 
 class Sender:
-    """Gathers a task's pairs and packs them by slot."""
+    """Gathers a task's pairs and packs them by slot. Keys that agree in the shortest of ``lengths`` bits share a slot."""
 
-    def __init__(self, slots: int, bits: int = 64):
-        self.slots, self.bits = slots, bits
+    def __init__(self, slots: int, lengths: tuple[int, ...] = (64,)):
+        self.slots, self.lengths = slots, lengths
         self.keys: list[np.ndarray] = []
         self.nodes: list[np.ndarray] = []
+        self.stops: list[np.ndarray] = []
         self.size = 0
 
-    def add(self, keys: np.ndarray, nodes: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def add(self, keys: np.ndarray, nodes: np.ndarray, stops: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+        """``stops``: the prefix length at which each pair's walk ends, in bits; by default the shortest."""
         self.keys.append(keys.ravel())
         self.nodes.append(nodes.ravel())
+        self.stops.append(np.full(keys.size, self.lengths[-1], dtype=np.uint8) if stops is None else stops.ravel())
         self.size += keys.size
         if self.size >= HELD:
             yield from self.flush()
@@ -66,42 +84,43 @@ class Sender:
     def flush(self) -> Iterator[pa.RecordBatch]:
         if not self.size:
             return
-        keys, nodes, a, b = _linked(np.concatenate(self.keys), np.concatenate(self.nodes), self.bits)
-        self.keys, self.nodes, self.size = [], [], 0
-        slot = (mix(keys >> np.uint64(64 - self.bits)) % np.uint64(self.slots)).astype(np.int64)
+        keys, nodes, stops, a, b = _linked(np.concatenate(self.keys), np.concatenate(self.nodes), np.concatenate(self.stops), self.lengths)
+        self.keys, self.nodes, self.stops, self.size = [], [], [], 0
+        slot = (mix(keys >> np.uint64(64 - self.lengths[-1])) % np.uint64(self.slots)).astype(np.int64)
         order = np.argsort(slot, kind="stable")
-        slot, keys, nodes = slot[order], keys[order], nodes[order]
+        slot, keys, nodes, stops = slot[order], keys[order], nodes[order], stops[order]
         bounds = np.searchsorted(slot, np.arange(self.slots + 1))
-        rows = [(s, False, keys[i:j].tobytes(), nodes[i:j].tobytes()) for s, (i, j) in enumerate(zip(bounds, bounds[1:])) if j > i]
+        rows = [(s, False, keys[i:j].tobytes(), nodes[i:j].tobytes(), stops[i:j].tobytes()) for s, (i, j) in enumerate(zip(bounds, bounds[1:])) if j > i]
         if len(a):
             pairs = np.unique(np.stack([a, b], axis=1), axis=0)
-            rows += [(at // 4096 % self.slots, True, pairs[at : at + 4096, 0].tobytes(), pairs[at : at + 4096, 1].tobytes()) for at in range(0, len(pairs), 4096)]
-        kinds = [pa.int32(), pa.bool_(), pa.binary(), pa.binary()]
-        yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["slot", "linked", "a", "b"])
+            rows += [(at // 4096 % self.slots, True, pairs[at : at + 4096, 0].tobytes(), pairs[at : at + 4096, 1].tobytes(), b"") for at in range(0, len(pairs), 4096)]
+        kinds = [pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary()]
+        yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["slot", "linked", "a", "b", "stops"])
 
 
 def slots_of(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def candidate_links(sent: DataFrame, bits: int = 64) -> DataFrame:
-    """``a, b``: links between the nodes whose keys agree in their first ``bits`` bits; sorted keys stand for a trie."""
+def candidate_links(sent: DataFrame, lengths: tuple[int, ...] = (64,)) -> DataFrame:
+    """``a, b``: links between the nodes whose keys agree in a prefix at which one of them asks; sorted keys stand for a trie."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
         sets = UnionFind()
         for batch in batches:
-            for slot, linked, a, b in zip(*(c.to_pylist() for c in batch.columns)):
+            for slot, linked, a, b, stops in zip(*(c.to_pylist() for c in batch.columns)):
                 if linked:
                     for x, y in zip(np.frombuffer(a, dtype="<i8").tolist(), np.frombuffer(b, dtype="<i8").tolist()):
                         sets.link(x, y)
                 else:
-                    held.setdefault(slot, []).append((a, b))
+                    held.setdefault(slot, []).append((a, b, stops))
         for slot in list(held):
             rows = held.pop(slot)
             keys = np.frombuffer(b"".join(r[0] for r in rows), dtype="<u8")
             nodes = np.frombuffer(b"".join(r[1] for r in rows), dtype="<i8")
-            _, _, x, y = _linked(keys, nodes, bits)
+            stops = np.frombuffer(b"".join(r[2] for r in rows), dtype=np.uint8)
+            _, _, _, x, y = _linked(keys, nodes, stops, lengths)
             for p, q in zip(x.tolist(), y.tolist()):
                 sets.link(p, q)
         yield link_batch(sets.links())

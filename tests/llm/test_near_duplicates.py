@@ -1,7 +1,10 @@
 import itertools
 import random
 
-from lexigraph.llm import lines, ngram_join
+import numpy as np
+from pyspark.sql import functions as F
+
+from lexigraph.llm import lines, ngram_join, similar
 from lexigraph.llm.components import UnionFind, components
 
 
@@ -90,6 +93,57 @@ def test_prefixes_are_shortened_to_the_recall():
     assert 1 - (1 - 0.8**n) ** 24 >= 0.999 > 1 - (1 - 0.8 ** (n + 1)) ** 24
 
 
+def test_walks_stop_where_the_least_similarity_allows():
+    for m in range(1, 60):
+        values = [i / (m + n - i) for n in range(1, 90) for i in range(min(m, n) + 1)]
+        assert abs(ngram_join.least_similarity(m, 0.8) - min(v for v in values if v >= 0.8 - 1e-9)) < 1e-9
+    assert ngram_join.stop_of(3, 24, 0.8, 0.999) == ngram_join.stop_of(7, 24, 0.8, 0.999) == 64 and ngram_join.stop_of(5000, 24, 0.8, 0.999) == 56
+
+
+def test_tries_link_whom_a_walker_meets():
+    r = random.Random(5)
+    for trial in range(60):
+        rows = [(r.randrange(3) << 56 | r.randrange(2) << 48 | r.randrange(2) << 8 | r.randrange(3), i, r.choice([16, 56, 64])) for i in range(r.randrange(1, 40))]
+        want = UnionFind()
+        for (k, a, s), (m, b, t) in itertools.combinations(rows, 2):
+            if k >> 64 - min(s, t) == m >> 64 - min(s, t):
+                want.link(a, b)
+        keys, nodes, stops = (np.array(c, dtype=d) for c, d in zip(zip(*rows), (np.uint64, np.int64, np.uint8)))
+        got = UnionFind()
+        half = len(rows) // 2  # two tasks, then the slots
+        left = [similar._linked(keys[i], nodes[i], stops[i], (64, 56, 16)) for i in (slice(0, half), slice(half, None))]
+        whole = similar._linked(*(np.concatenate(c) for c in list(zip(*left))[:3]), (64, 56, 16))
+        for _, _, _, a, b in [*left, whole]:
+            for x, y in zip(a.tolist(), b.tolist()):
+                got.link(x, y)
+        assert [got.find(i) for i in nodes.tolist()] == [want.find(i) for i in nodes.tolist()]
+
+
+def test_recall_at_the_threshold():
+    """Random pairs of similarity 0.8 to 0.82, short and long: at least 99.5 of 100 meet in a tree, at the stop of either."""
+    r = np.random.default_rng(11)
+    met = total = 0
+    for size, pairs in ((9, 700), (150, 700), (5000, 60)):
+        for _ in range(pairs):
+            same = -(-8 * size // 9)
+            both = r.integers(0, 1 << 63, 2 * size - same, dtype=np.uint64)
+            a, b = both[:size], np.concatenate([both[:same], both[size:]])
+            assert 0.8 <= same / len(both) < 0.83
+            x, y = ngram_join.labels([a, b], 24)
+            shift = np.uint64(64 - ngram_join.stop_of(size, 24, 0.8, 0.999))
+            met, total = met + bool((x >> shift == y >> shift).any()), total + 1
+    assert met / total >= 0.995
+
+
+def test_texts_of_one_hash_stay_apart(spark, table, monkeypatch):
+    """As if the first hash of all texts were the same."""
+    monkeypatch.setattr(ngram_join, "identity", lambda: (F.lit(7).cast("long"), F.xxhash64(F.lit(1), F.col("text"))))
+    rows = [(1, "a b c d e f"), (2, "a b c d e f"), (3, "quite another text of words"), (4, None), (5, "")]
+    got = {r["doc_id"]: (r["class_id"], r["n_links"], r["n_copies"]) for r in ngram_join.ngram_jaccard_join(table(rows)).collect()}
+    assert got == {1: (1, 1, 2), 2: (1, 1, 2), 3: (3, 0, 1), 4: (4, 0, 1), 5: (5, 0, 1)}
+    assert sorted(r["doc_id"] for r in ngram_join.keep_one(table(rows)).collect()) == [1, 3, 4, 5]
+
+
 def line_sets(texts, n=8):
     return {t: {t[i : i + n] for i in range(max(1, len(t) - n + 1))} for t in texts}
 

@@ -184,6 +184,14 @@ def test_repeated_rows_keep_the_same_lines(spark, table):
     assert [r["removed"] for r in got] == [[], [], [0]]
 
 
+def test_lines_of_one_hash_stay_apart(spark, table, monkeypatch):
+    real = lines.line_node
+    monkeypatch.setattr(lines, "line_node", lambda line: 7 if line.startswith("hash") else real(line))
+    rows = [(1, "hash of one kind"), (2, "hash of a very different other kind"), (3, "hash of one kind\nmore")]
+    got = {r["doc_id"]: r["removed"] for r in lines.dedup_lines(table(rows)).collect()}
+    assert got == {1: [], 2: [], 3: [0]}
+
+
 def test_signatures_overlap_between_short_and_long_lines():
     r = random.Random(8)
     a = "".join(r.choice("abcdefghijklmnop") for _ in range(230))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from itertools import permutations
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, lines, ngram_join, packing, search, sharding, store, suffix_tree, urls
+from . import decontaminate, filter_audit, language, lines, ngram_join, packing, ranked_search, search, sharding, store, suffix_tree, urls
 from .common import fold_of, table
 
 
@@ -99,6 +101,55 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
+
+
+_TERMS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+OP11_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS row_no, doc_id, {_TERMS} AS terms FROM documents WHERE text IS NOT NULL),
+sized AS (SELECT row_no, doc_id, terms, len(terms) AS n FROM d WHERE len(terms) > 0),
+facts AS (SELECT count(*) AS documents, CAST(sum(n) AS BIGINT) AS total FROM sized),
+asked AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest({_TERMS}) AS term FROM (SELECT DISTINCT item_id, text FROM benchmark)) GROUP BY ALL),
+postings AS (SELECT row_no, term, count(*) AS tf FROM (SELECT row_no, unnest(terms) AS term FROM sized) WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+weights AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * documents + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM postings, facts GROUP BY term, documents),
+scored AS (
+  SELECT a.item_id, s.row_no, s.doc_id, CAST(sum(a.times * w.w * ((1000000000 * p.tf) // (1000 * p.tf + 12 * (75 + (25 * s.n * f.documents) // f.total)))) AS BIGINT) AS score
+  FROM asked a JOIN weights w USING (term) JOIN postings p USING (term) JOIN sized s USING (row_no), facts f GROUP BY ALL)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scored WHERE score > 0) WHERE rank <= 20
+"""
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+#: Every order is applied to every document.
+OP12_SQL = rf"""
+WITH texts AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
+words AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, min(doc_id) OVER (PARTITION BY text) AS first_id FROM texts),
+failed AS (
+  SELECT doc_id, part,
+         CASE WHEN len(w) < 50 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 'B' ELSE '' END
+         || CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text) THEN 'C' ELSE '' END
+         || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN first_id < doc_id THEN 'E' ELSE '' END AS fails,
+         doc_id IN (SELECT l.doc_id FROM labels l WHERE quality = 1 AND l.doc_id IS NOT NULL) AS good, doc_id IN (SELECT l.doc_id FROM labels l WHERE toxic = 1 AND l.doc_id IS NOT NULL) AS bad
+  FROM words),
+steps AS (
+  SELECT o AS filter_order, CAST(i AS INTEGER) AS step, o[i] AS letter, o[1:i - 1] AS earlier
+  FROM (VALUES {", ".join(f"('{''.join(p)}')" for p in permutations("ABCDE"))}) v(o), range(1, 6) r(i)),
+judged AS (
+  SELECT part, filter_order, step, letter, good, bad, fails, contains(fails, letter) AS own, regexp_matches(fails, '[' || earlier || '_]') AS gone
+  FROM failed, steps),
+counted AS (
+  SELECT part, filter_order, step, letter, count(*) FILTER (NOT gone AND NOT own) AS kept, count(*) FILTER (NOT gone AND own) AS removed, count(*) FILTER (gone AND own) AS redundant,
+         count(*) FILTER (fails = letter) AS unique_fails, count(*) FILTER (NOT gone AND own AND good) AS good_lost, count(*) FILTER (NOT gone AND own AND bad) AS toxic_lost
+  FROM judged GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley FROM counted
+"""
+
+
 QUERIES = {
     "op1_token_store": op1_token_store,
     "op2_topk_search": op2_topk_search,
@@ -110,6 +161,8 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_edit_decontamination": op9_edit_decontamination,
     "op10_language_id": op10_language_id,
+    "op11_ranked_search": op11_ranked_search,
+    "op12_filter_audit": op12_filter_audit,
 }
 
 OP2_SQL = """
@@ -123,4 +176,4 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 5
 """
 
-ORACLE_SQL = {"op2_topk_search": OP2_SQL, "op7_url_list_join": OP7_SQL}
+ORACLE_SQL = {"op2_topk_search": OP2_SQL, "op7_url_list_join": OP7_SQL, "op11_ranked_search": OP11_SQL, "op12_filter_audit": OP12_SQL}

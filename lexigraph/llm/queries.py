@@ -7,7 +7,7 @@ from itertools import permutations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, filter_audit, language, lines, ngram_join, packing, ranked_search, search, sharding, store, suffix_tree, urls
+from . import collisions, decontaminate, filter_audit, language, lines, ngram_join, packing, ranked_search, search, sharding, store, suffix_tree, urls
 from .common import fold_of, table
 
 
@@ -150,6 +150,10 @@ SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lo
 """
 
 
+def op13_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collisions.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_token_store": op1_token_store,
     "op2_topk_search": op2_topk_search,
@@ -163,6 +167,7 @@ QUERIES = {
     "op10_language_id": op10_language_id,
     "op11_ranked_search": op11_ranked_search,
     "op12_filter_audit": op12_filter_audit,
+    "op13_minhash_dedup": op13_minhash_dedup,
 }
 
 OP2_SQL = """

@@ -30,7 +30,7 @@ FACTS = "doc_id long, one long, two long, n_shingles long, low long, high long,
 #: Coordinate-value pairs whose frequencies are broadcast at most, and the least frequency that counts.
 FREQUENT, LEAST = 100_000, 64
 #: Signatures of a list, and sets and their members of a component, that are compared in one piece.
-LIST_ROWS, SET_ROWS, SET_SIZE = 4096, 1024, 1 << 20
+LIST_ROWS, SET_ROWS, SET_SIZE = 4096, 256, 1 << 20
 
 
 def sets_of(texts: list[bytes | None], n: int) -> list[np.ndarray]:

@@ -26,11 +26,11 @@ from .grouped import group_links
 from .ngram_join import _words, identity, shingles
 from .similar import is_wanted, mix, wanted_map
 
-FACTS = "doc_id long, one long, two long, n_shingles long, low long, high long, signature binary"
+FACTS = "doc_id long, one long, two long, n_shingles long, low long, high long, signature binary, brief binary"
 #: Coordinate-value pairs whose frequencies are broadcast at most, and the least frequency that counts.
 FREQUENT, LEAST = 100_000, 64
 #: Signatures of a list, and sets and their members of a component, that are compared in one piece.
-LIST_ROWS, SET_ROWS, SET_SIZE = 4096, 256, 1 << 20
+LIST_ROWS, SET_ROWS, SET_SIZE = 4096, 512, 1 << 20
 
 
 def sets_of(texts: list[bytes | None], n: int) -> list[np.ndarray]:
@@ -69,14 +69,16 @@ def _facts(n: int, coordinates: int):
             worded = [i for i, s in enumerate(sets) if len(s)]
             marks = np.full((len(sets), 2), 0, dtype="<i8")
             payloads: list[bytes | None] = [None] * len(sets)
+            briefs: list[bytes | None] = [None] * len(sets)
             if worded:
                 for i, row in zip(worded, signatures([sets[i] for i in worded], coordinates)):
                     marks[i] = np.frombuffer(xxhash.xxh3_128_digest(sets[i].tobytes()), dtype="<i8")
                     payloads[i] = row.tobytes()
+                    briefs[i] = row.astype(np.uint8).tobytes()
             empty = np.array([p is None for p in payloads], dtype=bool)
             marks[empty, 0] = np.array(ones, dtype=np.int64)[empty]  # they match nothing, and are dealt out all the same
             columns = [pa.array(ids, pa.int64()), pa.array(ones, pa.int64()), pa.array(twos, pa.int64()), pa.array([len(s) for s in sets], pa.int64())]
-            yield pa.record_batch([*columns, pa.array(marks[:, 0]), pa.array(marks[:, 1], mask=empty), pa.array(payloads, pa.binary())], names=[f.split()[0] for f in FACTS.split(", ")])
+            yield pa.record_batch([*columns, pa.array(marks[:, 0]), pa.array(marks[:, 1], mask=empty), pa.array(payloads, pa.binary()), pa.array(briefs, pa.binary())], names=[f.split()[0] for f in FACTS.split(", ")])
 
     return run
 
@@ -145,8 +147,10 @@ def _shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def collided(matches: int):
+    """Counts collisions in the low bytes of signatures: never fewer than there are, and few more."""
+
     def compare(payloads: list[bytes]):
-        m = np.frombuffer(b"".join(payloads), dtype="<u4").reshape(len(payloads), -1)
+        m = np.frombuffer(b"".join(payloads), dtype=np.uint8).reshape(len(payloads), -1)
         return lambda i, js: (m[js] == m[i]).sum(axis=1) >= matches
 
     return compare
@@ -186,13 +190,13 @@ def near_duplicates(docs: DataFrame, n: int = 3, percent: int = 85, coordinates:
     texts = docs.select("doc_id", one.alias("one"), two.alias("two"), "text")
     facts = stored(texts.mapInArrow(_facts(n, coordinates), FACTS), "facts")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "one", "two")).alias("first")
-    distinct = facts.filter("signature is not null").groupBy("low", "high").agg(first, F.any_value("signature").alias("signature"))
-    nodes = stored(distinct.select(F.monotonically_increasing_id().alias("node"), "low", "high", "first", "signature"), "nodes")
+    distinct = facts.filter("signature is not null").groupBy("low", "high").agg(first, F.any_value("signature").alias("signature"), F.any_value("brief").alias("brief"))
+    nodes = stored(distinct.select(F.monotonically_increasing_id().alias("node"), "low", "high", "first", "signature", "brief"), "nodes")
 
     shared = spark.sparkContext.broadcast(frequent_pairs(nodes))
     postings = nodes.select("node", "signature").mapInArrow(_prefixes(shared, coordinates - matches + 1), "key long, node long")
     lists = postings.repartition("key").sortWithinPartitions("key").mapInArrow(_shared_keys, "group long, node long")
-    lists = stored(lists.join(nodes.select("node", "signature"), "node").select("group", "node", F.lit(1).alias("size"), F.col("signature").alias("payload")), "lists")
+    lists = stored(lists.join(nodes.select("node", "brief"), "node").select("group", "node", F.lit(1).alias("size"), F.col("brief").alias("payload")), "lists")
     near = stored(components(group_links(lists, collided(matches), LIST_ROWS, LIST_ROWS)), "candidates")
 
     source = lambda: F.xxhash64("doc_id", "one", "two")

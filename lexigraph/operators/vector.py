@@ -29,29 +29,71 @@ def with_norm(vectors: DataFrame, vector: str = "embedding") -> DataFrame:
 BLOCK = 4096
 
 
-def _block(rows: list) -> dict[int, tuple[list[int], np.ndarray]]:
-    """Of vectors: for each length, their places and a matrix of unit rows; null vectors and those of length zero are left out."""
-    by_length: dict[int, list[int]] = {}
-    for i, v in enumerate(rows):
-        if v is not None and None not in v:
-            by_length.setdefault(len(v), []).append(i)
+def unit_rows(column: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Of a column of vectors: for each length, the places and a matrix of unit rows; null vectors, those with null or NaN components, and those of length zero are left out."""
+    lengths = pc.fill_null(pc.list_value_length(column), -1).to_numpy(zero_copy_only=False)
+    values = column.flatten().to_numpy(zero_copy_only=False)
+    starts = np.cumsum(np.maximum(lengths, 0)) - np.maximum(lengths, 0)
     out = {}
-    for n, places in by_length.items():
-        m = np.array([rows[i] for i in places], dtype=np.float64)
+    for n in np.unique(lengths[lengths > 0]).tolist():
+        places = np.flatnonzero(lengths == n)
+        m = values[starts[places][:, None] + np.arange(n)].astype(np.float64)
         norm = np.sqrt((m * m).sum(axis=1))
         good = norm > 0
-        out[n] = ([i for i, g in zip(places, good) if g], m[good] / norm[good][:, None])
+        out[n] = (places[good], m[good] / norm[good][:, None])
     return out
 
 
+def plain(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Ids as an array that can be compared and sorted: whole numbers, or objects."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.to_numpy(zero_copy_only=False) if pa.types.is_integer(column.type) and not column.null_count else np.array(column.to_pylist(), dtype=object)
+
+
+class Best:
+    """The best rows of each query that a task has met: higher scores first, ties (to nine digits) by the smaller id."""
+
+    def __init__(self, most: int):
+        self.most, self.held, self.size, self.limit = most, [], 0, 1 << 18
+
+    def add(self, query: np.ndarray, score: np.ndarray, ids: np.ndarray, more: np.ndarray | None = None) -> None:
+        self.held.append((query, score, ids, np.zeros(len(ids), dtype=np.int64) if more is None else more))
+        self.size += len(query)
+        if self.size > self.limit:
+            self.held, self.size = [self.rows()], 0
+            self.size = len(self.held[0][0])
+            self.limit = max(1 << 18, 2 * self.size)
+
+    def rows(self) -> tuple[np.ndarray, ...]:
+        if not self.held:
+            return (np.zeros(0, dtype=np.int64), np.zeros(0), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))
+        query, score, ids, more = (np.concatenate(c) for c in zip(*self.held))
+        place = ids if ids.dtype != object else np.unique(ids, return_inverse=True)[1]
+        order = np.lexsort((place, -np.round(score, 9), query))
+        query = query[order]
+        first = np.concatenate([[True], query[1:] != query[:-1]]) if len(query) else np.zeros(0, dtype=bool)
+        start = np.flatnonzero(first)
+        keep = np.arange(len(query)) - np.repeat(start, np.diff(np.append(start, len(query)))) < self.most
+        order = order[keep]
+        return query[keep], score[order], ids[order], more[order]
+
+
+def top_of(scores: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column numbers of the ``most`` highest scores of each row, and of all that tie with the last of them to nine digits."""
+    if scores.shape[1] > most:
+        last = np.partition(scores, scores.shape[1] - most, axis=1)[:, scores.shape[1] - most]
+        return np.nonzero((scores >= last[:, None] - 1e-9) & np.isfinite(scores))
+    return np.nonzero(np.isfinite(scores))
+
+
 def _blocks(queries: DataFrame) -> Iterator:
     """The query vectors in broadcast blocks of bounded size: ids, and matrices by length."""
     spark = queries.sparkSession
     blocks = max(1, -(-queries.count() // BLOCK))
     for b in range(blocks):
         mine = queries.select("query_id", "vector")
-        rows = (mine if blocks == 1 else mine.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)).collect()
-        yield spark.sparkContext.broadcast(([r["query_id"] for r in rows], _block([r["vector"] for r in rows])))
+        rows = (mine if blocks == 1 else mine.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)).toArrow()
+        yield spark.sparkContext.broadcast((plain(rows.column(0)), unit_rows(rows.column(1).combine_chunks())))
 
 
 def knn(vectors: DataFrame, queries: DataFrame, k: int = 10, offset: int = 0, least: float | None = None, skip_own: bool = False) -> DataFrame:
@@ -63,8 +105,12 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int = 10, offset: int = 0, le
     schema = f"query_id {kinds['query_id'].simpleString()}, vec_id {kinds['vec_id'].simpleString()}, score double"
     found = None
     for shared in _blocks(queries):
-        part = vectors.select("vec_id", "embedding").mapInArrow(_nearest(shared, to_arrow_type(kinds["query_id"]), k + offset + 8, least, skip_own), schema)
+        part = vectors.select("vec_id", "embedding").mapInArrow(_nearest(shared, to_arrow_type(kinds["query_id"]), k + offset, least, skip_own), schema)
         found = part if found is None else found.unionByName(part)
+    return page(found, k, offset)
+
+
+def page(found: DataFrame, k: int, offset: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter((F.col("rank") > offset) & (F.col("rank") <= offset + k))
 
@@ -72,24 +118,22 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int = 10, offset: int = 0, le
 def _nearest(shared, kind: pa.DataType, most: int, least: float | None, skip_own: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked, blocks = shared.value
+        best, id_kind = Best(most), pa.int64()
         for batch in batches:
-            ids = batch.column(0)
-            order = pc.sort_indices(ids)  # rows in order of id, so that stable sorting breaks ties by it
-            ids, values = ids.take(order), batch.column(1).take(order).to_pylist()
-            names = ids.to_pylist()
-            for n, (places, m) in _block(values).items():
+            names, id_kind = plain(batch.column(0)), batch.column(0).type
+            for n, (places, m) in unit_rows(batch.column(1)).items():
                 if n not in blocks:
                     continue
                 of, q = blocks[n]
                 scores = q @ m.T
                 if skip_own:
-                    scores[np.array([[asked[i] == names[j] for j in places] for i in of], dtype=bool).reshape(scores.shape)] = -np.inf
-                best = np.argsort(-np.round(scores, 9), axis=1, kind="stable")[:, :most]
-                row, col = np.repeat(np.arange(len(of)), best.shape[1]), best.ravel()
-                score = scores[row, col]
-                keep = score > (-np.inf if least is None else np.nextafter(least, -np.inf))
-                row, col, score = row[keep], col[keep], score[keep]
-                yield pa.record_batch([pa.array([asked[of[i]] for i in row], kind), ids.take(pa.array([places[j] for j in col], pa.int64())), pa.array(score)], names=["query_id", "vec_id", "score"])
+                    scores[asked[of][:, None] == names[places][None, :]] = -np.inf
+                if least is not None:
+                    scores[scores < least] = -np.inf
+                row, col = top_of(scores, most)
+                best.add(of[row], scores[row, col], names[places[col]])
+        query, score, ids, _ = best.rows()
+        yield pa.record_batch([pa.array(asked[query].tolist(), kind), pa.array(ids.tolist(), id_kind), pa.array(score)], names=["query_id", "vec_id", "score"])
 
     return run
 
@@ -102,12 +146,12 @@ def band_counts(vectors: DataFrame, queries: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             asked, blocks = shared.value
             for batch in batches:
-                for n, (_, m) in _block(batch.column(0).to_pylist()).items():
-                    of, q = blocks.get(n, ([], np.zeros((0, n))))
+                for n, (_, m) in unit_rows(batch.column(0)).items():
+                    of, q = blocks.get(n, (np.zeros(0, dtype=np.int64), np.zeros((0, n))))
                     scores = q @ m.T
                     high, medium = (scores >= 0.8).sum(axis=1), ((scores >= 0.6) & (scores < 0.8)).sum(axis=1)
                     counts = [high, medium, scores.shape[1] - high - medium]
-                    ids = pa.array([asked[i] for i in of] * 3, to_arrow_type(kind))
+                    ids = pa.array(asked[of].tolist() * 3, to_arrow_type(kind))
                     yield pa.record_batch([ids, pa.array([b for b in ("high", "medium", "low") for _ in of]), pa.array(np.concatenate(counts).astype(np.int64))], names=["query_id", "band", "n"])
 
         return run

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import values as V
-from ..operators import chunkers, control, evaluate, fusion, graph, index, lexical, query, results, vector
+from ..operators import chunkers, control, evaluate, fusion, graph, index, lexical, query, results, vector, vector_index
 from ..streaming import events as stream_events
 from . import api, ingest
 from . import sql as S
@@ -380,6 +380,21 @@ def knn_filtered(spark, sf):
     return _neighbours(vector.knn(mine, _centroids(spark, sf), 10))
 
 
+def _vector_index(spark, sf):
+    return vector_index.VectorIndex.build(spread(read(spark, sf, "embeddings")), ingest.fresh_folder(spark, "vectors"))
+
+
+@registered()
+def knn_indexed(spark, sf):
+    """The second page from an index, of vectors of some labels. SQL has no such index; the tests measure its recall."""
+    return _neighbours(_vector_index(spark, sf).search(_centroids(spark, sf), 10, 5, where=F.col("label") % 2 == 0))
+
+
+@registered(_near(10, 5, "WHERE vec_id IN (SELECT e.vec_id FROM embeddings e WHERE label % 2 = 0)"))
+def knn_indexed_exact(spark, sf):
+    return _neighbours(_vector_index(spark, sf).search(_centroids(spark, sf), 10, 5, where=F.col("label") % 2 == 0, exact=True))
+
+
 @registered(
     """WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), q AS (SELECT min(vec_id) AS query_id FROM v GROUP BY label),
 near AS (SELECT q.query_id, v.vec_id, list_cosine_similarity(v.v, a.v) AS score FROM q JOIN v a ON a.vec_id = q.query_id JOIN v ON v.vec_id <> q.query_id)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import values as V
-from ..operators import chunkers, control, evaluate, fusion, graph, index, lexical, query, results, vector, vector_index
+from ..operators import chunkers, control, evaluate, fusion, graph, index, lexical, query, results, segments, vector, vector_index
 from ..streaming import events as stream_events
 from . import api, ingest
 from . import sql as S
@@ -303,6 +303,34 @@ def stemmed_index_topk(spark, sf):
     return _shown_chunks(lexical.ranked(built.matches(asked(spark, sf)), 10, by=_chunk_order()))
 
 
+def _segmented(spark, stem=False):
+    return segments.SegmentedIndex.create(spark, ingest.fresh_folder(spark, "segments"), stem=stem)
+
+
+@registered(f"WITH {S.BM25_CHUNKS} {_CHUNK_PAGE}")
+def wand_topk(spark, sf):
+    """Chunks by block-max skipping, from an index of one segment."""
+    return _shown_chunks(_segmented(spark).put(_chunks(spark, sf)[1]).search(asked(spark, sf), 10))
+
+
+@registered(f"WITH {S.BM25_CHUNKS} SELECT query_id, document_id AS chunk_id, round(score, 6) AS score, rank FROM {S.page('matched', 10, _ROUNDED)}")
+def wand_topk_or(spark, sf):
+    return _shown_chunks(_segmented(spark).put(_chunks(spark, sf)[1]).search(asked(spark, sf), 10, require_all=False))
+
+
+_CHANGED = S.BM25.replace(f"{S.DOCS},", S.DOCS.replace("docs AS", "docs0 AS", 1) + ", docs AS (SELECT * REPLACE (CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) THEN content || ' and more' ELSE content END AS content) FROM docs0 WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)),", 1)
+
+
+@registered(f"WITH {_CHANGED} SELECT query_id, document_id, round(score, 6) AS score, rank FROM {S.page('matched', 10, _ROUNDED)}")
+def index_after_changes(spark, sf):
+    """Two puts, of which the second replaces documents, a removal and a merge of the smaller segments: as if the documents that are left were indexed afresh."""
+    d = docs(spark, sf).join(read(spark, sf, "labels").select("doc_id", "quality"), "doc_id", "left")
+    built = segments.SegmentedIndex.create(spark, ingest.fresh_folder(spark, "segments"), key="document_id", stem=False)
+    built = built.put(d.filter("doc_id % 2 = 0")).put(d.filter("doc_id % 2 = 1"))
+    built = built.put(d.filter("quality = 1").withColumn("content", F.concat("content", F.lit(" and more")))).remove(d.filter("quality = 0").select("document_id"))
+    return _shown(built.merge(2).search(asked(spark, sf), 10, require_all=False))
+
+
 @registered(f"WITH {S.BM25} SELECT query_id, count(*) AS n FROM {_ALL} GROUP BY query_id")
 def match_count(spark, sf):
     return lexical.matches(docs(spark, sf), asked(spark, sf)).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))

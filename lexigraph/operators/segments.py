@@ -309,8 +309,10 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.record_batch([pa.array(list(total), pa.int32()), pa.array(list(total.values()), pa.int64())], names=["term_no", "n"])
 
 
-def best_places(terms: list[Term], idf: list[float], mean: float, most: int, require_all: bool, dead: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """The places and scores of the best documents, and the number of postings that were scored. Intervals between the bounds of blocks are taken in order of the most that they could give."""
+def best_places(terms: list[Term], idf: list[float], mean: float, most: int, require_all: bool, dead: np.ndarray, floor: float = -np.inf) -> tuple[np.ndarray, np.ndarray, int]:
+    """The places and scores of the best documents, and the number of postings that were scored. Intervals between the bounds of blocks are taken in order of the most that they could give; those that
+    can't reach ``floor``, or the page, or could only tie with its last document from places behind it, are left out.
+    """
     bounds = np.unique(np.concatenate([np.concatenate([t.first, t.last + 1]) for t in terms]))
     block, most_of = np.empty((len(terms), len(bounds)), dtype=np.int64), np.zeros((len(terms), len(bounds)))
     for i, t in enumerate(terms):
@@ -325,11 +327,17 @@ def best_places(terms: list[Term], idf: list[float], mean: float, most: int, req
     step, at = 4, 0
     while at < len(order):
         some = order[at : at + step]
+        at, step = at + step, step * 2
+        could = np.round(total[some] + 1e-12, 9)
+        reach = could >= np.round(floor, 9)
         if len(scores) >= most:
-            some = some[total[some] >= scores[-1] - 1e-9]
-            if not len(some):
+            last = np.round(scores[-1], 9)
+            reach &= (could > last) | (could == last) & (bounds[some] < places[-1])
+            if could[0] < last:
                 break
-        at, step = at + step, step * 2
+        some = some[reach]
+        if not len(some):
+            continue
         found, parts = [], []
         for i, t in enumerate(terms):
             for s in some:
@@ -354,6 +362,7 @@ def _searcher(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         queries, idf, mean, most, require_all = shared.value
         names = [f.split()[0] for f in HITS.split(", ")]
+        tops = [np.zeros(0)] * len(queries)  # the best scores of the task's shards so far
         for (segment, shard), dead, rows in _by_unit(batches):
             terms = {t: Term(r, dead) for t, r in rows.items() if t in idf}
             out: list[list] = [[] for _ in range(5)]
@@ -362,7 +371,8 @@ def _searcher(shared):
                 mine = [t for t in own if t in terms]
                 if not mine or require_all and len(mine) < len(own):
                     continue
-                places, scores, n = best_places([terms[t] for t in mine], [idf[t] for t in mine], mean, most, require_all, dead)
+                places, scores, n = best_places([terms[t] for t in mine], [idf[t] for t in mine], mean, most, require_all, dead, tops[q][0] if len(tops[q]) >= most else -np.inf)
+                tops[q] = np.sort(np.concatenate([tops[q], scores]))[-most:]
                 postings, scored = postings + sum(terms[t].n for t in mine), scored + n
                 for c, x in zip(out, ([q] * len(places), places, scores)):
                     c.extend(x)

@@ -169,7 +169,7 @@ class VectorIndex:
         centres = cells.column("centre").combine_chunks().flatten().to_numpy().reshape(-1, b["width"])
         return centres, cells.column("radius").to_numpy(), cells.column("n").to_numpy(), np.array(b["books"]).reshape(b["parts"], b["codes"], b["width"] // b["parts"])
 
-    def search(self, queries: DataFrame, k: int = 10, offset: int = 0, least: float | None = None, where: Column | None = None, probes: int | None = None, rerank: int = 8, exact: bool = False) -> DataFrame:
+    def search(self, queries: DataFrame, k: int = 10, offset: int = 0, least: float | None = None, where: Column | str | None = None, probes: int | None = None, rerank: int = 8, exact: bool = False) -> DataFrame:
         """``query_id, vec_id, score, rank`` of ``queries (query_id, vector)``; ``where`` is a condition on the payload and holds before the nearest are taken.
 
         ``probes`` cells are read for each query, by default as many as calibration asks for; a condition makes neighbours rarer, so its share of the rows is counted first. The exact scores of the best ``rerank * (k + offset)``

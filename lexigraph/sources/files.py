@@ -9,6 +9,7 @@ import io
 import re
 import xml.etree.ElementTree as ET
 import zipfile
+import zlib
 from functools import reduce
 
 import pandas as pd
@@ -48,7 +49,7 @@ def archive_text(content: bytes, kind: str) -> str | None:
     try:
         with zipfile.ZipFile(io.BytesIO(content)) as z:
             root = ET.fromstring(z.read("word/document.xml" if kind == "docx" else "content.xml"))
-    except (zipfile.BadZipFile, KeyError, ET.ParseError, ValueError):
+    except (zipfile.BadZipFile, zlib.error, EOFError, NotImplementedError, RuntimeError, KeyError, ET.ParseError, ValueError):  # damaged, encrypted, unknown compression, not the format
         return None
     body = root if kind == "docx" else next((e for e in root.iter() if e.tag.rpartition("}")[2] == "body"), root)
     out: list[str] = []
@@ -69,10 +70,9 @@ def converted_rtf(c):
     return T.trimmed(F.regexp_replace(F.regexp_replace(c, r"(?m)(?d)^(###.*|-\*-.*)$\n?", ""), r"<[^>]*>", ""))
 
 
-def scan(spark: SparkSession, folder: str, patterns: list[str] | None = None, excludes: list[str] | None = None) -> DataFrame:
-    """``path, name, size, modified_at, content`` of the files of a folder and those below it, by name pattern, without excluded folders."""
+def chosen(files: DataFrame, folder: str, patterns: list[str] | None = None, excludes: list[str] | None = None) -> DataFrame:
+    """``path, name, size, modified_at, content`` of rows of Spark's binary-file source, by name pattern, without excluded folders below ``folder``."""
     patterns, excludes = patterns or V.DEFAULT_PATTERNS, excludes if excludes is not None else V.DEFAULT_EXCLUDES
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     base = F.regexp_replace("path", r"^[a-z]+:(//)?", "")
     below = F.slice(F.split(base, "/"), 1, F.size(F.split(base, "/")) - 1)
     root = len(re.sub(r"^[a-z]+:(//)?", "", folder).rstrip("/").split("/"))
@@ -83,6 +83,11 @@ def scan(spark: SparkSession, folder: str, patterns: list[str] | None = None, ex
     return out.filter(F.col("length") <= MOST_BYTES).select("path", "name", F.col("length").alias("size"), F.col("modificationTime").alias("modified_at"), "content")
 
 
+def scan(spark: SparkSession, folder: str, patterns: list[str] | None = None, excludes: list[str] | None = None) -> DataFrame:
+    """``path, name, size, modified_at, content`` of the files of a folder and those below it. Where only names and times are asked for, no file is opened."""
+    return chosen(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder), folder, patterns, excludes)
+
+
 def documents(files: DataFrame, source_id: str) -> DataFrame:
     """Cleaned documents of scanned files: ``document_id, source_id, path, title, mime_type, size, modified_at, hash, content``."""
     ext = T.extension(F.col("path"))

@@ -69,7 +69,7 @@ class Manifests:
 
 @dataclass
 class SnapshotStore:
-    """Tables by name, in versions."""
+    """Tables by name, in versions. A table is a list of parts, and of keys that are gone from the parts before a number: a change writes what it brings, and nothing else."""
 
     spark: SparkSession
     folder: str
@@ -82,31 +82,71 @@ class SnapshotStore:
         """The number of the last version; 0 where there is none."""
         return self.manifests.latest()[0]
 
+    def _begin(self, batch: str | None, base: int | None) -> tuple[int | None, int, dict]:
+        if batch is not None and (done := self.manifests.of_batch(batch)) is not None:
+            return done, 0, {}
+        version, state = self.manifests.latest()
+        if base is not None and base != version:
+            raise Conflict(f"made from version {base}, but the last one is {version}")
+        return None, version, state
+
+    def _written(self, name: str, df: DataFrame, partition: str | None = None) -> str:
+        path = f"{self.folder}/data/{name}-{uuid.uuid4().hex}"
+        files.write_table(df, path, partition)
+        return path
+
     def commit(self, tables: dict[str, DataFrame], batch: str | None = None, partition: dict[str, str] | None = None, base: int | None = None) -> int:
-        """A new version with these tables; those that aren't given stay as they are. A batch that is committed already is not committed again. Returns the version.
+        """A new version in which these tables have these rows and no others; tables that aren't given stay as they are. A batch that is committed already is not committed again. Returns the version.
 
         ``base`` is the version that the tables were made from, the last one by default.
         """
-        if batch is not None and (done := self.manifests.of_batch(batch)) is not None:
+        done, version, state = self._begin(batch, base)
+        if done is not None:
             return done
-        version, state = self.manifests.latest()
-        if base is not None and base != version:
-            raise Conflict(f"made from version {base}, but the last one is {version}")
         for name, df in tables.items():
-            path = f"{self.folder}/data/{name}-{uuid.uuid4().hex}"
-            files.write_table(df, path, (partition or {}).get(name))
-            state[name] = {"path": path, "schema": df.schema.jsonValue()}
+            state[name] = {"schema": df.schema.jsonValue(), "parts": [{"number": version + 1, "path": self._written(name, df, (partition or {}).get(name))}], "gone": []}
+        return self.manifests.commit(version, state, batch)
+
+    def change(self, put: dict[str, DataFrame], gone: dict[str, DataFrame], batch: str | None = None, base: int | None = None) -> int:
+        """A new version: rows whose keys are in ``gone`` (one column, named as the table's) leave, then those of ``put`` come. Work and files grow with the change, not with the tables."""
+        done, version, state = self._begin(batch, base)
+        if done is not None:
+            return done
+        for name, keys in gone.items():
+            if name in state:
+                entry = {"key": keys.columns[0], "kind": keys.schema[0].dataType.simpleString(), "before": version + 1, "path": self._written(f"{name}-gone", keys.distinct())}
+                state[name] = state[name] | {"gone": [*state[name]["gone"], entry]}
+        for name, df in put.items():
+            mine = state.get(name, {"schema": df.schema.jsonValue(), "parts": [], "gone": []})
+            columns = StructType.fromJson(mine["schema"]).names
+            state[name] = mine | {"parts": [*mine["parts"], {"number": version + 1, "path": self._written(name, df.select(*columns))}]}
         return self.manifests.commit(version, state, batch)
 
+    def _table(self, entry: dict) -> DataFrame:
+        schema = StructType.fromJson(entry["schema"])
+        out = None
+        for part in entry["parts"]:
+            df = self.spark.read.schema(schema).parquet(part["path"]).select(*(f"`{c}`" for c in schema.names))
+            for g in entry["gone"]:
+                if g["before"] > part["number"]:
+                    df = df.join(self.spark.read.schema(f"`{g['key']}` {g['kind']}").parquet(g["path"]), g["key"], "left_anti")
+            df = df.select(*(f"`{c}`" for c in schema.names))
+            out = df if out is None else out.unionByName(df)
+        return self.spark.createDataFrame([], schema) if out is None else out
+
     def read(self, name: str, version: int | None = None) -> DataFrame:
         """A table of a version, the last one by default; the DataFrame stays with that version."""
-        state = self.manifests.latest()[1] if version is None else self.manifests.state(version)
-        return self.spark.read.schema(StructType.fromJson(state[name]["schema"])).parquet(state[name]["path"])
+        return self._table((self.manifests.latest()[1] if version is None else self.manifests.state(version))[name])
 
     def tables(self, version: int | None = None) -> dict[str, DataFrame]:
         """All tables of one version."""
         state = self.manifests.latest()[1] if version is None else self.manifests.state(version)
-        return {name: self.spark.read.schema(StructType.fromJson(t["schema"])).parquet(t["path"]) for name, t in state.items()}
+        return {name: self._table(t) for name, t in state.items()}
+
+    def compact(self, partition: dict[str, str] | None = None) -> int:
+        """A new version with the same rows, each table in one part. Reads get slower with every change until then."""
+        version = self.latest()
+        return self.commit(self.tables(version), partition=partition, base=version)
 
     def diff(self, name: str, old: int, new: int, key: str) -> DataFrame:
         """``key, change`` between two versions of a table: added, updated or removed rows; keys are unique."""
@@ -117,10 +157,10 @@ class SnapshotStore:
         return both.select(key, change.alias("change")).filter("change is not null")
 
     def clean(self, keep: int = 2) -> int:
-        """Empty the folders that none of the last ``keep`` versions names; returns how many. Readers of older versions, and they alone, lose their tables."""
-        rows = [(r["version"], json.loads(r["state"])) for r in self.manifests.rows().orderBy("version").collect()]
-        kept = {t["path"] for _, state in rows[-keep:] for t in state.values()}
-        gone = {t["path"]: t["schema"] for _, state in rows[:-keep] for t in state.values() if t["path"] not in kept}
-        for path, schema in gone.items():
-            self.spark.createDataFrame([], StructType.fromJson(schema)).write.mode("overwrite").parquet(path)
+        """Empty the folders that none of the last ``keep`` versions names; returns how many. Readers of older versions, and they alone, lose rows."""
+        states = [json.loads(r["state"]) for r in self.manifests.rows().orderBy("version").collect()]
+        named = lambda some: {x["path"] for state in some for t in state.values() for x in (*t["parts"], *t["gone"])}
+        gone = named(states[:-keep]) - named(states[-keep:])
+        for path in gone:
+            self.spark.range(0).write.mode("overwrite").parquet(path)
         return len(gone)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 # File patterns and excluded folders of a source.
 DEFAULT_PATTERNS = [
     "*.md", "*.txt", "*.rst", "*.go", "*.py", "*.js", "*.ts", "*.java", "*.rs", "*.rb", "*.c", "*.cpp", "*.h", "*.hpp", "*.cs", "*.swift", "*.kt",
@@ -139,9 +141,22 @@ TRANSITIONS = {
     "STOPPING": ["STOPPED"], "STOPPED": ["STARTING", "REMOVING", "UPDATING"], "UPDATING": ["INSTALLED", "BLOCKED"], "DISABLED": ["INSTALLED", "REMOVING"],
     "REMOVING": ["REMOVED"], "REMOVED": [],
 }
-# Letters with marks, and the letters that stand for them in the index.
-MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+
+
+def _folded() -> tuple[str, str]:
+    """Letters that the index writes without their mark, and what stands for them: letters that decompose into a letter and one mark, and other forms of small letters. Marks that stand alone are dropped, as nothing stands for them."""
+    letters, marks = {}, set()
+    for code in range(0x80, 0x2000):
+        c = chr(code)
+        d = unicodedata.normalize("NFD", c.casefold() if len(c.casefold()) == 1 else c)
+        if unicodedata.category(c) == "Ll" and (len(d) == 1 or len(d) == 2 and d[0].isascii() and unicodedata.combining(d[1])):
+            letters[c] = d[0]
+        marks |= {x for x in unicodedata.normalize("NFD", c)[1:] if "\u0300" <= x < "\u0370"}
+    pairs = {c: d for c, d in letters.items() if c != d}
+    return "".join(pairs) + "".join(sorted(marks)), "".join(pairs.values())
+
+
+MARKED, PLAIN = _folded()
 # Starts of functions and classes by extension (function, class), on a line without the space around it.
 CODE_STARTS = {
     ".go": (r"^func\s+", r"^type\s+\w+\s+struct"),

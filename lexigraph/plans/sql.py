@@ -45,7 +45,7 @@ CHUNKS = f"""chunks AS (
 
 
 def tokens(e: str) -> str:
-    return rf"list_filter(regexp_split_to_array(translate(lower(coalesce({e}, '')), '{V.MARKED}', '{V.PLAIN}'), '[^\p{{L}}\p{{N}}]+'), lambda t: t <> '')"
+    return rf"list_filter(regexp_split_to_array(strip_accents(lower(coalesce({e}, ''))), '[^\p{{L}}\p{{N}}]+'), lambda t: t <> '')"
 
 
 #: The query table of the lexical searches: the first three words of every benchmark item.

@@ -173,3 +173,8 @@ CODE_STARTS = {
     ".h": (r"^\w+[\s\*]+\w+\s*\([^)]*\)\s*\{?$", r"^class\s+\w+|^struct\s+\w+"),
     ".hpp": (r"^\w+[\s\*]+\w+\s*\([^)]*\)\s*\{?$", r"^class\s+\w+|^struct\s+\w+"),
 }
+
+# Paths that are never granted, paths below them that may be, and folders of a home that are never granted.
+FORBIDDEN_PATHS = ["/", "/etc", "/var", "/root", "/System", "/Library", "/private", "C:\\Windows", "C:\\Program Files", "C:\\ProgramData"]
+ALLOWED_PATHS = ["/tmp", "/var/folders", "/private/var/folders", "/var/tmp"]
+FORBIDDEN_IN_HOME = [".ssh", ".gnupg", ".aws", ".config/gcloud", ".azure", ".kube", ".docker", "Library/Keychains", "AppData/Roaming"]

@@ -53,8 +53,24 @@ def markdown_sections(content: Column) -> Column:
     return F.transform(_grouped(F.split(content, "\n"), heading), lambda b: F.struct(b["kind"].alias("kind"), F.array_join(b["lines"], "\n").alias("content")))
 
 
+def _line_paragraphs(content: Column) -> Column:
+    """Lines joined until a blank one, or until one that ends with a full stop, makes more than 100 characters and is followed by a capital. A leading byte of C2 to DE, but D7, counts as a capital."""
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
+    closed = lambda s: F.when(s["open"] == "", s["done"]).otherwise(F.concat(s["done"], F.array(s["open"])))
+
+    def add(s: Column, line: Column) -> Column:
+        ends = s["open"].endswith(".") & (F.length(s["open"]) > 100) & line.rlike(r"^[A-Z\u0080-\u05BF\u0600-\u07BF]")
+        end = (line == "") | ends
+        done, rest = F.when(end, closed(s)).otherwise(s["done"]), F.when(end, "").otherwise(s["open"])
+        return F.struct(done.alias("done"), F.when(rest == "", line).when(line == "", rest).otherwise(F.concat(rest, F.lit(" "), line)).alias("open"))
+
+    return F.aggregate(F.transform(F.split(content, "\n"), T.trimmed), start, add, closed)
+
+
 def pdf_paragraphs(content: Column) -> Column:
-    return F.filter(F.transform(F.split(content, r"\n{2,}"), T.trimmed), lambda p: F.length(p) > 20)
+    """Blocks between blank lines of more than 20 characters; where a text of more than 500 has fewer than three of them, its lines joined to paragraphs follow."""
+    blocks = F.filter(F.transform(F.split(content, r"\n{2,}"), T.trimmed), lambda p: F.length(p) > 20)
+    return F.when((F.size(blocks) < 3) & (F.length(content) > 500), F.concat(blocks, _line_paragraphs(content))).otherwise(blocks)
 
 
 def packed(parts: Column, size: int, glue: str = "\n\n") -> Column:
@@ -73,17 +89,16 @@ def chunk_by_type(documents: DataFrame, size: int = 1000, overlap: int = 100) ->
     text = T.chunk_ready(F.col("content"))
     kind, ext = T.content_type(F.col("path")), T.extension(F.col("path"))
     typed = documents.select("document_id", kind.alias("kind"), ext.alias("ext"), text.alias("content")).filter(F.col("content") != "")
-    small = typed.filter(F.length("content") <= size).select("document_id", F.array(F.struct(F.lit("").alias("kind"), F.col("content"))).alias("blocks"), F.lit(False).alias("fixed"))
-    large = typed.filter(F.length("content") > size)
     one = lambda c: F.struct(F.lit("").alias("kind"), c.alias("content"))
-    branches = [
-        small,
-        large.filter("kind = 'code'").select("document_id", code_blocks(F.col("content"), F.col("ext")).alias("blocks"), F.lit(True).alias("fixed")),
-        large.filter("kind = 'markdown'").select("document_id", markdown_sections(F.col("content")).alias("blocks"), F.lit(False).alias("fixed")),
-        large.filter("kind = 'pdf'").select("document_id", F.transform(packed(pdf_paragraphs(T.pdf_text(F.col("content"))), size), one).alias("blocks"), F.lit(False).alias("fixed")),
-        large.filter("kind = 'text'").select("document_id", F.array(one(F.col("content"))).alias("blocks"), F.lit(False).alias("fixed")),
-    ]
-    blocks = reduce(DataFrame.unionByName, branches).select("document_id", "fixed", F.posexplode("blocks").alias("b", "block"))
+    content = F.col("content")
+    large = (
+        F.when(F.col("kind") == "code", code_blocks(content, F.col("ext")))
+        .when(F.col("kind") == "markdown", markdown_sections(content))
+        .when(F.col("kind") == "pdf", F.transform(packed(pdf_paragraphs(T.pdf_text(content)), size), one))
+        .otherwise(F.array(one(content)))
+    )
+    cut_up = typed.select("document_id", ((F.col("kind") == "code") & (F.length(content) > size)).alias("fixed"), F.when(F.length(content) <= size, F.array(one(content))).otherwise(large).alias("blocks"))
+    blocks = cut_up.select("document_id", "fixed", F.posexplode("blocks").alias("b", "block"))
     body = F.col("block.content")
     fixed = F.transform(T.fixed_chunks(body, size, overlap), lambda c: c["content"])
     cut = F.when(F.length(body) <= size, F.array(T.trimmed(body))).when(F.col("fixed"), fixed).otherwise(T.sentence_chunks(body, size, overlap))

@@ -40,3 +40,21 @@ def metrics(hits: DataFrame, relevant: DataFrame, k: int = 10) -> DataFrame:
         F.coalesce(1.0 / F.col("first"), F.lit(0.0)).alias("reciprocal_rank"),
         (F.coalesce("dcg", F.lit(0.0)) / ideal).alias("ndcg"),
     )
+
+
+def holding(documents: DataFrame, items: DataFrame) -> DataFrame:
+    """``query_id, document_id``: the documents ``(document_id, content)`` whose text holds the whole text of an item ``(query_id, text)``.
+
+    What stands between the first and the last space of an item is whole words in every text that holds it. Candidates are the documents with the longest of these words; only they are searched. Items
+    without such a word are looked for in every document.
+    """
+    words = F.split("text", " ")
+    inner = F.filter(F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0))), lambda w: w != "")
+    anchored = items.filter("text <> ''").select("query_id", "text", F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"].alias("word"))
+    known = anchored.filter("word is not null")
+    here = documents.select("document_id", "content", F.explode(F.array_distinct(F.split("content", " "))).alias("word")).join(known.select("word").distinct(), "word", "left_semi")
+    met = here.join(known, "word").filter(F.contains("content", F.col("text"))).select("query_id", "document_id")
+    short = anchored.filter("word is null")
+    if short.isEmpty():
+        return met
+    return met.unionByName(documents.join(short, F.contains("content", F.col("text"))).select("query_id", "document_id"))

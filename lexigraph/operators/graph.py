@@ -6,6 +6,7 @@ Scores are positive, higher is better; names match by Unicode lower case. Edges
 from __future__ import annotations
 
 import json
+from math import isfinite
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import values as V
+from ..sources.shared import written
 from .fusion import RANK_CONSTANT
 
 # extraction
@@ -91,6 +93,8 @@ def parse_response(raw: str | None) -> dict | None:
         return None
     try:
         found, _ = json.JSONDecoder(strict=False).raw_decode(raw[start:])
+    except RecursionError:  # nested too deeply to be an answer
+        return None
     except ValueError:
         found = _salvage(raw[start:])
     return found if isinstance(found, dict) else None
@@ -103,6 +107,8 @@ def _salvage(raw: str) -> dict | None:
     while begin >= 0 and end > begin:
         try:
             return {"entities": json.loads(raw[begin : end + 1] + "]", strict=False), "relations": []}
+        except RecursionError:
+            return None
         except ValueError:
             end = raw.rfind("}", 0, end)
     return None
@@ -118,9 +124,16 @@ def _as_text(x) -> str | None:
 
 def _as_confidence(x) -> float:
     try:
-        return float(x)
-    except (TypeError, ValueError):
+        number = float(x)
+    except (TypeError, ValueError, OverflowError):
         return 0.8
+    return number if isfinite(number) else 0.8
+
+
+def _listed(answer: dict | None, name: str) -> list[dict]:
+    """The objects of a list of the answer; anything else is none."""
+    found = (answer or {}).get(name)
+    return [x for x in found if isinstance(x, dict)] if isinstance(found, list) else []
 
 
 def parse_responses(responses: DataFrame, least: float = 0.7, most_entities: int = 20, most_relations: int = 50) -> DataFrame:
@@ -131,8 +144,8 @@ def parse_responses(responses: DataFrame, least: float = 0.7, most_entities: int
         rows = []
         for r in raw:
             d = parse_response(r)
-            e = [{"name": _as_text(x.get("name")), "type": _as_text(x.get("type")), "description": _as_text(x.get("description")), "confidence": _as_confidence(x.get("confidence"))} for x in (d or {}).get("entities") or [] if isinstance(x, dict)]
-            s = [{"subject": _as_text(x.get("subject")), "predicate": _as_text(x.get("predicate")), "object": _as_text(x.get("object")), "confidence": _as_confidence(x.get("confidence"))} for x in (d or {}).get("relations") or [] if isinstance(x, dict)]
+            e = [{"name": _as_text(x.get("name")), "type": _as_text(x.get("type")), "description": _as_text(x.get("description")), "confidence": _as_confidence(x.get("confidence"))} for x in _listed(d, "entities")]
+            s = [{"subject": _as_text(x.get("subject")), "predicate": _as_text(x.get("predicate")), "object": _as_text(x.get("object")), "confidence": _as_confidence(x.get("confidence"))} for x in _listed(d, "relations")]
             rows.append((e, s) if d is not None else (None, None))
         return pd.DataFrame(rows, columns=["entities", "relations"])
 
@@ -184,8 +197,24 @@ def error_class(message: Column) -> Column:
 
 # query
 
-#: Tokens of graph queries that are looked for at once.
-TOKENS = 2000
+#: Postings lists that are intersected for a token, the shortest ones.
+LISTS = 3
+
+
+def grams(c: Column) -> Column:
+    """The distinct pieces of two and three characters of a text."""
+    cut = lambda n: F.when(F.length(c) >= n, F.transform(F.sequence(F.lit(1), F.length(c) - (n - 1)), lambda i: F.substr(c, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(cut(2), cut(3)))
+
+
+def entity_text(entities: DataFrame) -> Column:
+    """What tokens of a query are looked for in."""
+    return F.lower(F.concat_ws("\n", "name", "description"))
+
+
+def gram_postings(entities: DataFrame) -> DataFrame:
+    """``gram, entity_id``: an index of names and descriptions that can be stored and given to searches."""
+    return entities.select("entity_id", F.explode(grams(entity_text(entities))).alias("gram"))
 
 
 def match_score(name: Column, description: Column, confidence: Column, tokens: Column) -> Column:
@@ -197,30 +226,33 @@ def match_score(name: Column, description: Column, confidence: Column, tokens: C
     return F.when(F.size(tokens) == 0, confidence).otherwise(0.7 * total * (0.5 + 0.5 * hit / F.size(tokens)) + 0.3 * confidence)
 
 
-def entity_candidates(entities: DataFrame, queries: DataFrame, most: int = 60) -> DataFrame:
-    """``query_id, tokens`` and the entity: those whose name or description holds a token, the ``most`` confident of each query."""
+def entity_candidates(entities: DataFrame, queries: DataFrame, most: int = 60, postings: DataFrame | None = None) -> DataFrame:
+    """``query_id, tokens`` and the entity: those whose name or description holds a token, the ``most`` confident of each query.
+
+    A token's pieces (of three characters; of two, if it has no more) are looked up in ``postings``; entities that are in the shortest of their lists are candidates, and only in these the token is looked for.
+    """
     asked = queries.select("query_id", T.graph_tokens(F.col("query")).alias("tokens")).filter(F.size("tokens") > 0)
     words = asked.select(F.explode("tokens").alias("token")).distinct()
-    text = F.lower(F.concat_ws("\n", "name", "description"))
-    blocks = max(1, -(-words.count() // TOKENS))
-    met = None
-    for b in range(blocks):  # distinct tokens go to where the entities lie, a bounded number at a time
-        mine = [r["token"] for r in (words if blocks == 1 else words.filter(F.pmod(F.xxhash64("token"), F.lit(blocks)) == b)).collect()]
-        held = F.filter(F.lit(mine) if mine else F.array().cast("array<string>"), lambda t: text.contains(t))
-        part = entities.withColumn("token", F.explode(held))
-        met = part if met is None else met.unionByName(part)
-    pairs = met.join(asked.select("query_id", F.explode("tokens").alias("token")), "token").select("query_id", "entity_id").distinct()
-    found = pairs.join(asked, "query_id").join(entities, "entity_id")
+    pieces = words.select("token", F.explode(F.filter(grams(F.col("token")), lambda g: (F.length(g) == 3) | (F.length("token") == 2))).alias("gram"))
+    lists = written((gram_postings(entities) if postings is None else postings).join(pieces.select("gram").distinct(), "gram", "left_semi"), "gram-postings")
+    sizes = lists.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    rarest = Window.partitionBy("token").orderBy(F.coalesce("n", F.lit(0)), "gram")
+    chosen = pieces.join(sizes, "gram", "left").withColumn("_r", F.row_number().over(rarest)).filter(F.col("_r") <= LISTS)
+    asked_lists = chosen.groupBy("token").agg(F.count(F.lit(1)).alias("lists"))
+    met = chosen.join(lists, "gram").groupBy("token", "entity_id").agg(F.count(F.lit(1)).alias("n")).join(asked_lists, "token").filter(F.col("n") == F.col("lists"))
+    held = met.select("token", "entity_id").join(entities, "entity_id").filter(F.contains(entity_text(entities), F.col("token"))).select("token", "entity_id", "confidence")
+    pairs = held.join(asked.select("query_id", F.explode("tokens").alias("token")), "token").select("query_id", "entity_id", "confidence").distinct()
     first = Window.partitionBy("query_id").orderBy(F.desc("confidence"), "entity_id")
-    return found.withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= most).drop("_r")
+    best = pairs.withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= most).select("query_id", "entity_id")
+    return best.join(asked, "query_id").join(entities, "entity_id")
 
 
-def search_entities(entities: DataFrame, queries: DataFrame, limit: int = 20) -> DataFrame:
+def search_entities(entities: DataFrame, queries: DataFrame, limit: int = 20, postings: DataFrame | None = None) -> DataFrame:
     """``query_id, entity_id, name, type, score, rank``: entities whose name or description holds a token of ``queries (query_id, query)``.
 
-    As many as three times the limit (fifty at least) of the most confident are scored. Each query is compared with each entity once, where it lies; the query table is the small side.
+    As many as three times the limit (fifty at least) of the most confident are scored.
     """
-    cut = entity_candidates(entities, queries, max(3 * limit, 50))
+    cut = entity_candidates(entities, queries, max(3 * limit, 50), postings)
     scored = cut.withColumn("score", match_score(F.col("name"), F.col("description"), F.col("confidence"), F.col("tokens")))
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "entity_id")
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit).select("query_id", "entity_id", "name", "type", "score", "rank")
@@ -261,13 +293,16 @@ def neighbours(seeds: DataFrame, relations: DataFrame, entities: DataFrame, limi
 
 
 def k_hop(seeds: DataFrame, relations: DataFrame, hops: int = 2) -> DataFrame:
-    """``seed, entity_id, hops``: everything within ``hops`` steps (1 to 5), with the least number of steps; not the seed itself."""
-    edges = undirected(relations)
-    reached = seeds.select(F.col("entity_id").alias("seed"), "entity_id").distinct().withColumn("hops", F.lit(0))
-    frontier = reached
+    """``seed, entity_id, hops``: everything within ``hops`` steps (1 to 5), with the least number of steps; not the seed itself.
+
+    Edges and each step's new pairs are written, so that a step reads what was found and not how it was found.
+    """
+    edges = written(undirected(relations), "edges")
+    frontier = seeds.select(F.col("entity_id").alias("seed"), "entity_id").distinct().withColumn("hops", F.lit(0))
+    reached = frontier
     for step in range(1, min(max(hops, 1), 5) + 1):
         out = frontier.join(edges, F.col("entity_id") == F.col("a")).select("seed", F.col("b").alias("entity_id")).distinct()
-        frontier = out.join(reached.select("seed", "entity_id"), ["seed", "entity_id"], "left_anti").withColumn("hops", F.lit(step))
+        frontier = written(out.join(reached.select("seed", "entity_id"), ["seed", "entity_id"], "left_anti").withColumn("hops", F.lit(step)), "frontier")
         reached = reached.unionByName(frontier)
     return reached.filter("hops > 0")
 

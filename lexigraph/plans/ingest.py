@@ -5,8 +5,6 @@ Tables are DataFrames; every function returns new ones and changes none. A row t
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
@@ -17,6 +15,7 @@ from ..functions import text as T
 from ..functions import values as V
 from ..operators import index
 from ..sources import files
+from ..sources.shared import fresh_folder  # noqa: F401  for callers
 
 SOURCES = "source_id string, path string, name string, patterns array<string>, excludes array<string>, sync_mode string, status string"
 DOCUMENTS = "document_id string, source_id string, path string, title string, mime_type string, size long, modified_at timestamp, hash string, content string"
@@ -26,16 +25,6 @@ VECTORS = "vec_id string, document_id string, embedding array<float>"
 Embedder = Callable[[Column], Column]
 
 
-def fresh_folder(spark: SparkSession, label: str) -> str:
-    """A folder that no other run uses, below the one that the cluster shares (spark.checkpoint.dir); on a single machine a temporary one will do."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="lexigraph-")
-    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
-
 @dataclass
 class Tables:
     """The tables of a collection."""

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import values as V
 from ..operators import chunkers, control, evaluate, fusion, graph, index, lexical, query, results, segments, vector, vector_index
+from ..sources.shared import written
+from ..sources.snapshots import SnapshotStore
 from ..streaming import events as stream_events
 from . import api, ingest
 from . import sql as S
@@ -553,6 +555,7 @@ _HITS = f"""hit AS (SELECT m.query_id, c.document_id, c.chunk_index, c.content A
 
 def _chunk_hits(spark, sf):
     d, rows = _chunks(spark, sf)
+    rows = written(rows, "chunks")
     found = lexical.matches(rows, asked(spark, sf), key="chunk_id")
     return d, found.join(rows.select("chunk_id", "document_id", "chunk_index", F.col("content").alias("snippet")), "chunk_id")
 
@@ -899,6 +902,18 @@ def document_sink(spark, sf):
     return one(after.documents, n, "documents").crossJoin(after.chunks.agg(n.alias("chunks"), F.countDistinct("content").alias("texts"))).crossJoin(one(after.vectors, n, "vectors"))  # single rows
 
 
+@registered("SELECT d.doc_id, CASE WHEN l.quality = 1 THEN 'updated' ELSE 'removed' END AS change FROM documents d JOIN labels l USING (doc_id) WHERE l.quality IN (0, 1) UNION ALL SELECT item_id + 1000000000 AS doc_id, 'added' AS change FROM benchmark")
+def snapshot_diff(spark, sf):
+    """A versioned store before and after a change: good documents get more text, bad ones go, benchmark items come."""
+    d = read(spark, sf, "documents").select("doc_id", "text")
+    store = SnapshotStore(spark, ingest.fresh_folder(spark, "store"))
+    first = store.commit({"documents": d})
+    judged = d.join(read(spark, sf, "labels").select("doc_id", "quality"), "doc_id")
+    longer = judged.filter("quality = 1").select("doc_id", F.concat("text", F.lit(" and more")).alias("text"))
+    new = read(spark, sf, "benchmark").select((F.col("item_id") + 1000000000).alias("doc_id"), "text")
+    return store.diff("documents", first, store.change({"documents": longer.unionByName(new)}, {"documents": judged.filter("quality in (0, 1)").select("doc_id")}), "doc_id")
+
+
 @registered("SELECT CAST(vec_id AS VARCHAR) AS vec_id, CASE WHEN vec_id % 3 = 0 THEN label + 2 ELSE label END AS label FROM embeddings")
 def vector_upsert(spark, sf):
     v = read(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("vec_id"), "label")
@@ -964,7 +979,7 @@ SELECT t.query_id, round(coalesce(p.found, 0) / 10.0, 6) AS precision, round(coa
 def retrieval_metrics(spark, sf):
     d = docs(spark, sf)
     hits = lexical.ranked(lexical.matches(d, asked(spark, sf), require_all=False), 10, by=_order())
-    holds = d.join(read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text"), F.col("content").contains(F.col("text"))).select("query_id", "document_id")
+    holds = evaluate.holding(d, read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text"))
     out = evaluate.metrics(hits, holds, 10)
     return out.select("query_id", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "reciprocal_rank", "ndcg")))
 
@@ -993,10 +1008,25 @@ def policy_eval(spark, sf):
     return control.decide(e, rules, grants).select("request_id", "decision")
 
 
-@registered()
+#: States that the types of events stand for.
+_STATES = {"click": "STARTING", "error": "DEGRADED", "purchase": "STOPPING", "signup": "INSTALLED", "view": "RUNNING"}
+_STATE_SQL = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _STATES.items()) + " ELSE 'STOPPED' END"
+_LAWFUL = ", ".join(f"('{a}', '{b}')" for a, ends in V.TRANSITIONS.items() for b in ends)
+
+
+@registered(
+    f"""WITH s AS (SELECT user_id, {_STATE_SQL} AS to_status, lag({_STATE_SQL}) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS from_status FROM events), lawful(a, b) AS (VALUES {_LAWFUL})
+SELECT from_status, to_status, (from_status, to_status) IN (SELECT (a, b) FROM lawful) AS lawful, count(*) AS n, count(DISTINCT user_id) AS users FROM s WHERE from_status IS NOT NULL GROUP BY ALL"""
+)
 def state_transitions(spark, sf):
-    states = spark.createDataFrame([(s,) for s in V.TRANSITIONS], "from_status string")
-    return control.check_transitions(states.withColumn("to_status", F.explode(F.array(*map(F.lit, V.TRANSITIONS)))))
+    """Consecutive events of a user as changes of state: each kind of change once, with how often it occurs."""
+    state = F.lit("STOPPED")
+    for kind, name in _STATES.items():
+        state = F.when(F.col("event_type") == kind, name).otherwise(state)
+    before = F.lag("to_status").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    changes = read(spark, sf, "events").select("user_id", "ts", "event_id", state.alias("to_status")).select("user_id", "to_status", before.alias("from_status")).filter("from_status is not null")
+    counted = changes.groupBy("from_status", "to_status").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("user_id").alias("users"))
+    return control.check_transitions(counted).select("from_status", "to_status", "lawful", "n", "users")
 
 
 @registered("SELECT CAST(time_bucket(INTERVAL 1 HOUR, ts) AS TIMESTAMP) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")

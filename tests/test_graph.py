@@ -1,7 +1,8 @@
 import io
 import zipfile
 
-from lexigraph.operators import control, graph
+from lexigraph.functions import text as T
+from lexigraph.operators import chunkers, control, evaluate, graph
 from lexigraph.sources import files
 from pyspark.sql import functions as F
 
@@ -88,3 +89,83 @@ def test_folders(spark, tmp_path):
     assert set(got) == {"a.md", "b.txt", "d.docx", "e.odt", "bad.docx"}
     assert (got["a.md"]["title"], got["a.md"]["content"], got["a.md"]["mime_type"]) == ("Title one", "# Title one\n\nBody text.", "text/markdown")
     assert got["d.docx"]["content"] == "First\nSecond" and got["e.odt"]["content"] == "One two" and got["bad.docx"]["content"] is None
+
+
+def test_forbidden_paths_and_rules(spark):
+    paths = {"/etc/passwd": True, "/": True, "/srv": False, "/tmp/x": False, "/var/tmp/y": False, "/var/tmp/../log": True, "/var//lib/": True, "/variable": False, "~/.ssh/id": True, "~/notes": False, "/home/me/.aws": True, "/home/me/./.config/gcloud/x": True, None: None}
+    df = spark.createDataFrame([(p,) for p in paths], "p string")
+    assert {r["p"]: r["bad"] for r in df.select("p", control.forbidden_path(F.col("p"), "/home/me").alias("bad")).collect()} == paths
+    requests = spark.createDataFrame([(1, "i", "filesystem", "/etc/x"), (2, "i", "filesystem", "/data"), (3, "i", "network", "bad"), (4, "i", "network", "odd"), (5, "j", "network", "odd"), (6, None, None, None)], "request_id long, instance_id string, kind string, target string")
+    rules = spark.createDataFrame([(0, "network", "^bad$", "deny", "never"), (5, "network", "o.d", "warn", "odd one")], "priority int, kind string, pattern string, decision string, reason string")
+    grants = spark.createDataFrame([("i", "filesystem", "/etc/x"), ("i", "network", "bad"), ("j", "network", "odd")], "instance_id string, kind string, target string")
+    got = {r["request_id"]: (r["decision"], r["reason"]) for r in control.decide(requests, rules, grants).collect()}
+    assert got == {1: ("deny", "Forbidden filesystem access requested"), 2: ("allow", "No policy violations"), 3: ("deny", "never"), 4: ("warn", "odd one"), 5: ("allow", "No policy violations"), 6: ("allow", "No policy violations")}
+
+
+def test_answers_that_are_none(spark):
+    answers = ['{"entities": 5}', '{"entities": {"name": "x"}, "relations": "y"}', "{" + '"a":[' * 100_000, '{"entities": [{"name": "n", "type": "tool", "confidence": NaN}, {"name": "m", "confidence": Infinity}, 7]}', None, '{"entities": [{"name": "k", "confidence": "0.9"}]}']
+    rows = graph.parse_responses(spark.createDataFrame(list(enumerate(answers)), "chunk_id long, raw string")).orderBy("chunk_id").collect()
+    assert [r["parsed"] for r in rows] == [True, True, False, True, False, True]
+    assert [(e["name"], e["confidence"]) for r in rows for e in r["entities"] or []] == [("n", 0.8), ("m", 0.8), ("k", 0.9)]
+
+
+def test_entities_are_found_by_pieces_of_their_texts(spark):
+    names = ["Alpha Centauri", "alphabet", "xalphax", "Go", "goal", "C", "Ünïcode alp", "", "beta"]
+    e = spark.createDataFrame([(f"e{i}", n, "concept", "the golden ph" if n == "beta" else None, 0.5 + i / 100) for i, n in enumerate(names)], "entity_id string, name string, type string, description string, confidence double")
+    q = spark.createDataFrame([(1, "alpha"), (2, "go"), (3, "golden beta"), (4, "zzz"), (5, ""), (6, "alp ha")], "query_id long, query string")
+    expected = set()
+    for r in q.select("query_id", T.graph_tokens(F.col("query")).alias("t")).collect():
+        for x in e.collect():
+            text = (x["name"] + "\n" + (x["description"] or "")).lower()
+            if any(t in text for t in r["t"]):
+                expected.add((r["query_id"], x["entity_id"]))
+    found = {(r["query_id"], r["entity_id"]) for r in graph.search_entities(e, q).collect()}
+    assert found == expected
+    assert found == {(r["query_id"], r["entity_id"]) for r in graph.search_entities(e, q, postings=graph.gram_postings(e)).collect()}
+    assert "NestedLoop" not in graph.search_entities(e, q)._jdf.queryExecution().toString()
+
+
+def test_scans_grow_linearly_with_hops(spark):
+    r = spark.createDataFrame([(f"e{i}", f"e{i + 1}") for i in range(8)], "subject_id string, object_id string")
+    s = spark.createDataFrame([("e0",)], "entity_id string")
+    scans = [graph.k_hop(s, r, h)._jdf.queryExecution().executedPlan().toString().count("Scan") for h in (2, 3, 4, 5)]
+    assert len({b - a for a, b in zip(scans, scans[1:])}) == 1 and scans[-1] <= 12
+    assert {x["entity_id"]: x["hops"] for x in graph.k_hop(s, r, 5).collect()} == {f"e{i}": i for i in range(1, 6)}
+
+
+def test_documents_that_hold_an_item(spark):
+    d = spark.createDataFrame([("a", "one two three four"), ("b", "bone two threefold"), ("c", "two\nthree four"), ("d", "")], "document_id string, content string")
+    items = spark.createDataFrame([(1, "one two three"), (2, "two three"), (3, "two"), (4, ""), (5, None), (6, "x two y"), (7, " four")], "query_id long, text string")
+    assert {(r["query_id"], r["document_id"]) for r in evaluate.holding(d, items).collect()} == {(1, "a"), (1, "b"), (2, "a"), (2, "b"), (3, "a"), (3, "b"), (3, "c"), (7, "a"), (7, "c")}
+
+
+def test_damaged_archives_have_no_text():
+    def archive(text, method=zipfile.ZIP_DEFLATED):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", method) as z:
+            z.writestr("word/document.xml", text)
+        return bytearray(out.getvalue())
+
+    good = archive("<d><p><t>Hello there</t></p></d>" * 1)
+    assert files.archive_text(bytes(good), "docx") == "Hello there"
+    damaged, encrypted, unknown = bytearray(good), bytearray(good), bytearray(good)
+    begin = damaged.index(b"word/document.xml") + len("word/document.xml")
+    damaged[begin : begin + 12] = b"\xff" * 12
+    for central in (encrypted, unknown):
+        local, entry = central.index(b"PK\x03\x04"), central.index(b"PK\x01\x02")
+        if central is encrypted:
+            central[local + 6] |= 1
+            central[entry + 8] |= 1
+        else:
+            central[local + 8], central[entry + 10] = 77, 77
+    for bad in (damaged, encrypted, unknown, good[:40], b"", b"no archive"):
+        assert files.archive_text(bytes(bad), "docx") is None
+
+
+def test_pdf_lines_become_paragraphs_where_blank_lines_are_missing(spark):
+    long = "This line goes on for quite a while so that the paragraph is long enough to end here, at last, after its hundredth character."
+    text = f"{long}\nNext one starts.\nand goes on\n\n{long}\nlower case goes on\n" + "x" * 300
+    got = spark.createDataFrame([(text,), ("short",)], "t string").select(chunkers.pdf_paragraphs(F.col("t")).alias("p")).collect()
+    blocks = [b.strip() for b in text.split("\n\n")]
+    assert got[0]["p"] == blocks + [long, "Next one starts. and goes on", f"{long} lower case goes on {'x' * 300}"]
+    assert got[1]["p"] == []

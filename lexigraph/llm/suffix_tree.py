@@ -80,7 +80,7 @@ def _pack(*arrays: np.ndarray) -> bytes:
         else:
             whole = np.ascontiguousarray(a).view(f"<u{size}")
             body += [(whole >> whole.dtype.type(8 * k)).astype(np.uint8).tobytes() for k in range(size)]
-    return zstandard.ZstdCompressor(level=3).compress(head.encode() + b"\n" + b"".join(body))
+    return zstandard.ZstdCompressor(level=1).compress(head.encode() + b"\n" + b"".join(body))
 
 
 def _unpack(raw: bytes) -> list[np.ndarray]:

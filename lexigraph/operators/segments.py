@@ -13,6 +13,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.snapshots import Manifests
-from .lexical import B, FIELD_WEIGHTS, K1, LEAST_IDF, _keys, _prefix_lengths, field_tokens, query_terms
+from .lexical import B, FIELD_WEIGHTS, K1, LEAST_IDF, _keys, field_tokens, query_terms
 from .vector import page
 
 BLOCK = 128
@@ -229,9 +230,16 @@ class SegmentedIndex:
         for r in rows:
             asked.setdefault(r["query_id"], []).append(number.setdefault((r["term"], r["is_prefix"]), len(number)))
         named = self.spark.createDataFrame([(t, p, i) for (t, p), i in number.items()], "term string, is_prefix boolean, term_no int")
-        known = self._read("tokens").select("token").distinct()
-        meant = known.select("token", F.explode(_keys(F.col("token"), _prefix_lengths(named))).alias("k")).select("token", "k.term", "k.is_prefix").join(named, ["term", "is_prefix"])
-        units = self._read("blocks").join(meant.select("token", "term_no", (~F.col("is_prefix")).alias("plain")), "token").select(*(f.split()[0] for f in UNITS.split(", ")))
+        # A block of queries has a bounded number of terms: they select their blocks where these are read. Both passes below read what was found.
+        exact = [t for t, p in number if not p]
+        begun = [t for t, p in number if p]
+        lengths = sorted({len(t) for t in begun})
+        answers = F.filter(_keys(F.col("token"), lengths), lambda k: F.when(k["is_prefix"], k["term"].isin(begun)).otherwise(k["term"].isin(exact)))
+        mine = reduce(lambda a, b: a | b, [F.col("token").isin(exact), *(F.substring("token", 1, n).isin([t for t in begun if len(t) == n]) for n in lengths)])
+        blocks = self._read("blocks").filter(mine).select("*", F.explode(answers).alias("k")).select("*", "k.term", "k.is_prefix").join(F.broadcast(named), ["term", "is_prefix"])
+        looked = self._path("looked-up")
+        blocks.withColumn("plain", ~F.col("is_prefix")).select(*(f.split()[0] for f in UNITS.split(", "))).write.parquet(looked)
+        units = self.spark.read.schema(UNITS).parquet(looked)
         dead = self.tombstones().groupBy("segment", "shard").agg(F.sort_array(F.collect_list("place")).alias("p"))  # at most the documents of a shard
         gone = dead.select("segment", "shard", F.lit(-1).alias("term_no"), F.lit(False).alias("plain"), F.size("p").alias("n"), F.lit(0).alias("first"), F.lit(0).alias("last"), F.lit(0.0).alias("most"), F.lit(0.0).alias("shortest"), F.to_binary(F.array_join(F.transform("p", lambda x: F.lpad(F.hex(x), 8, "0")), ""), F.lit("hex")).alias("places"), F.lit(b"").alias("tfs"), F.lit(b"").alias("lengths"))
         dealt = units.unionByName(gone).repartition("segment", "shard").sortWithinPartitions("segment", "shard", "term_no", "first")

@@ -202,9 +202,9 @@ LISTS = 3
 
 
 def grams(c: Column) -> Column:
-    """The distinct pieces of two and three characters of a text."""
+    """The distinct pieces of one, two and three characters of a text."""
     cut = lambda n: F.when(F.length(c) >= n, F.transform(F.sequence(F.lit(1), F.length(c) - (n - 1)), lambda i: F.substr(c, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.concat(cut(2), cut(3)))
+    return F.array_distinct(F.concat(cut(1), cut(2), cut(3)))
 
 
 def entity_text(entities: DataFrame) -> Column:
@@ -226,29 +226,53 @@ def match_score(name: Column, description: Column, confidence: Column, tokens: C
     return F.when(F.size(tokens) == 0, confidence).otherwise(0.7 * total * (0.5 + 0.5 * hit / F.size(tokens)) + 0.3 * confidence)
 
 
+def looked_for(queries: DataFrame) -> DataFrame:
+    """``query_id, tokens, needles, by_name`` of ``queries (query_id, query)``: the texts that make an entity a candidate.
+
+    With ``hints`` (an array column, where there is one) these are parts of names; else the tokens; without tokens the whole query. A query without any text finds nothing.
+    """
+    none = F.array().cast("array<string>")
+    tokens = F.coalesce(T.graph_tokens(F.col("query")), none)
+    hints = F.coalesce(F.array_distinct(F.filter(F.transform("hints", lambda h: F.lower(h)), lambda h: h != "")), none) if "hints" in queries.columns else none
+    whole = F.when(F.col("query") != "", F.array(F.lower("query"))).otherwise(none)
+    return queries.select("query_id", tokens.alias("tokens"), hints.alias("_hints"), whole.alias("_whole")).select(
+        "query_id", "tokens", F.when(F.size("_hints") > 0, F.col("_hints")).when(F.size("tokens") > 0, F.col("tokens")).otherwise(F.col("_whole")).alias("needles"), (F.size("_hints") > 0).alias("by_name")
+    )
+
+
+def of_sources(entities: DataFrame, documents: DataFrame, source_ids: list[str]) -> DataFrame:
+    """The entities that a document of these sources holds: ``document_id`` of an entity, or one of its array ``documents``."""
+    mine = documents.filter(F.col("source_id").isin(source_ids)).select("document_id").distinct()
+    if "documents" not in entities.columns:
+        return entities.join(mine, "document_id", "left_semi")
+    held = entities.select("entity_id", F.explode("documents").alias("document_id")).join(mine, "document_id", "left_semi").select("entity_id").distinct()
+    return entities.join(held, "entity_id", "left_semi")
+
+
 def entity_candidates(entities: DataFrame, queries: DataFrame, most: int = 60, postings: DataFrame | None = None) -> DataFrame:
-    """``query_id, tokens`` and the entity: those whose name or description holds a token, the ``most`` confident of each query.
+    """``query_id, tokens`` and the entity: those that hold what is looked for (``looked_for``), the ``most`` confident of each query.
 
-    A token's pieces (of three characters; of two, if it has no more) are looked up in ``postings``; entities that are in the shortest of their lists are candidates, and only in these the token is looked for.
+    The pieces of a needle (of three characters; shorter ones, if it has no more) are looked up in ``postings``; entities that are in the shortest of their lists are candidates, and only in these the needle is looked for.
     """
-    asked = queries.select("query_id", T.graph_tokens(F.col("query")).alias("tokens")).filter(F.size("tokens") > 0)
-    words = asked.select(F.explode("tokens").alias("token")).distinct()
-    pieces = words.select("token", F.explode(F.filter(grams(F.col("token")), lambda g: (F.length(g) == 3) | (F.length("token") == 2))).alias("gram"))
+    asked = looked_for(queries).filter(F.size("needles") > 0)
+    words = asked.select(F.explode("needles").alias("token")).distinct()
+    pieces = words.select("token", F.explode(F.filter(grams(F.col("token")), lambda g: F.length(g) == F.least(F.length("token"), F.lit(3)))).alias("gram"))
     lists = written((gram_postings(entities) if postings is None else postings).join(pieces.select("gram").distinct(), "gram", "left_semi"), "gram-postings")
     sizes = lists.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     rarest = Window.partitionBy("token").orderBy(F.coalesce("n", F.lit(0)), "gram")
     chosen = pieces.join(sizes, "gram", "left").withColumn("_r", F.row_number().over(rarest)).filter(F.col("_r") <= LISTS)
     asked_lists = chosen.groupBy("token").agg(F.count(F.lit(1)).alias("lists"))
     met = chosen.join(lists, "gram").groupBy("token", "entity_id").agg(F.count(F.lit(1)).alias("n")).join(asked_lists, "token").filter(F.col("n") == F.col("lists"))
-    held = met.select("token", "entity_id").join(entities, "entity_id").filter(F.contains(entity_text(entities), F.col("token"))).select("token", "entity_id", "confidence")
-    pairs = held.join(asked.select("query_id", F.explode("tokens").alias("token")), "token").select("query_id", "entity_id", "confidence").distinct()
+    held = met.select("token", "entity_id").join(entities, "entity_id").filter(F.contains(entity_text(entities), F.col("token"))).select("token", "entity_id", "confidence", F.contains(F.lower("name"), F.col("token")).alias("in_name"))
+    wanted = asked.select("query_id", "by_name", F.explode("needles").alias("token"))
+    pairs = held.join(wanted, "token").filter(F.col("in_name") | ~F.col("by_name")).select("query_id", "entity_id", "confidence").distinct()
     first = Window.partitionBy("query_id").orderBy(F.desc("confidence"), "entity_id")
     best = pairs.withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= most).select("query_id", "entity_id")
-    return best.join(asked, "query_id").join(entities, "entity_id")
+    return best.join(asked.select("query_id", "tokens"), "query_id").join(entities, "entity_id")
 
 
 def search_entities(entities: DataFrame, queries: DataFrame, limit: int = 20, postings: DataFrame | None = None) -> DataFrame:
-    """``query_id, entity_id, name, type, score, rank``: entities whose name or description holds a token of ``queries (query_id, query)``.
+    """``query_id, entity_id, name, type, score, rank``: entities whose name or description holds a token of ``queries (query_id, query)``; with hints, whose name holds a hint.
 
     As many as three times the limit (fifty at least) of the most confident are scored.
     """
@@ -431,9 +455,42 @@ def retry_list(chunks: DataFrame, status: DataFrame, documents: DataFrame) -> Da
     return failed.join(documents.select("document_id", "title"), "document_id", "left").select("chunk_id", "error_message", error_class(F.col("error_message")).alias("class"), "title")
 
 
+#: Classes of errors after which another try may help.
+RETRYABLE = ("Timeout", "Connection", "Incomplete JSON")
+
+
 def retryable(kind: Column) -> Column:
     """Whether another try may help: what the network or a cut answer caused."""
-    return kind.isin("Timeout", "Connection", "Incomplete JSON")
+    return kind.isin(*RETRYABLE)
+
+
+#: Answers after which a chunk isn't asked about again; seconds of the longest wait.
+ATTEMPTS, LONGEST_WAIT = 5, 16
+
+
+def status_upsert(history: DataFrame, most: int = ATTEMPTS) -> DataFrame:
+    """``chunk_id, status, attempts, entity_count, error_message, updated_at, wait_seconds`` of all answers ``history (chunk_id, at, status, entity_count, error_message)``.
+
+    The last answer wins; of answers at one time a completed one, then that of more entities, then that of the greater message. The wait before the next attempt doubles with each answer; it is null where another one is of no use, or was the last.
+    """
+    rank = F.struct("at", (F.col("status") == "completed").alias("done"), F.coalesce("entity_count", F.lit(-1)).alias("n"), F.coalesce("error_message", F.lit("")).alias("m"))
+    last = history.groupBy("chunk_id").agg(F.count(F.lit(1)).cast("int").alias("attempts"), F.max_by(F.struct("at", "status", "entity_count", "error_message"), rank).alias("r"))
+    rows = last.select("chunk_id", "r.status", "attempts", "r.entity_count", "r.error_message", F.col("r.at").alias("updated_at"))
+    again = (F.col("status") == "error") & retryable(error_class(F.coalesce("error_message", F.lit("")))) & (F.col("attempts") < most)
+    return rows.withColumn("wait_seconds", F.when(again, F.least(F.pow(F.lit(2.0), F.col("attempts") - 1), F.lit(float(LONGEST_WAIT))).cast("int")))
+
+
+def answer_order(answer: tuple) -> tuple:
+    """The order of ``status_upsert`` for one answer ``(at, status, entity_count, error_message)``."""
+    at, status, count, message = answer
+    return at, status == "completed", -1 if count is None else count, message or ""
+
+
+def wait_of(status: str, message: str | None, attempts: int, most: int = ATTEMPTS) -> int | None:
+    """The wait of ``status_upsert`` for one row."""
+    low = (message or "").lower()
+    kind = next((name for name, marks in V.ERROR_CLASSES if any(m in low for m in marks)), "Other")
+    return min(1 << (attempts - 1), LONGEST_WAIT) if status == "error" and kind in RETRYABLE and attempts < most else None
 
 
 def extraction_rates(chunks: DataFrame, status: DataFrame) -> DataFrame:

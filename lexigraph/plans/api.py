@@ -176,18 +176,23 @@ class KnowledgeBase:
     def sources(self) -> DataFrame:
         return self.documents.groupBy("source_id").agg(F.count(F.lit(1)).alias("doc_count")).orderBy("source_id")
 
-    def entities_of(self, queries: DataFrame, vectors: DataFrame | None = None, limit: int = 20) -> DataFrame:
-        """``query_id, entity_id, score, rank``: entities by words, fused with the nearest by vector where there are any."""
-        words = graph.search_entities(self.entities, queries, limit)
+    def entities_of(self, queries: DataFrame, vectors: DataFrame | None = None, limit: int = 20, source_ids: list[str] | None = None) -> DataFrame:
+        """``query_id, entity_id, score, rank``: entities by words or hints, fused with the nearest by vector where there are any. Entities of other sources leave before either is taken."""
+        mine = graph.of_sources(self.entities, self.documents, source_ids) if source_ids else self.entities
+        words = graph.search_entities(mine, queries, limit)
         if vectors is None or self.entity_vectors is None:
             return words
-        near = vector.entity_knn(self.entity_vectors, vectors, limit=limit)
+        known = self.entity_vectors.join(mine.select(F.col("entity_id").alias("vec_id")), "vec_id", "left_semi") if source_ids else self.entity_vectors
+        near = vector.entity_knn(known, vectors, limit=limit)
         return graph.fuse_entities(words, near, limit).join(self.entities.select("entity_id", "name", "type"), "entity_id")
 
-    def graph_query(self, queries: DataFrame, limit: int = 20, hops: int = 2, with_relations: bool = True, vectors: DataFrame | None = None) -> dict[str, DataFrame]:
-        """Entities, relations, and context of ``queries``; with more than one hop also what lies around the entities. At most 100 entities and five hops."""
+    def graph_query(self, queries: DataFrame, limit: int = 20, hops: int = 2, with_relations: bool = True, vectors: DataFrame | None = None, source_ids: list[str] | None = None) -> dict[str, DataFrame]:
+        """Entities, relations, and context of ``queries (query_id, query)``, with names to look for in an array column ``hints`` where there is one; with more than one hop also what lies around the entities. At most 100 entities and five hops.
+
+        ``source_ids`` are the sources whose entities may be found; relations and what lies around may lead out of them.
+        """
         limit = min(limit, 100)
-        found = self.entities_of(queries, vectors, limit)
+        found = self.entities_of(queries, vectors, limit, source_ids)
         linked = graph.relations_of(found, self.relations, self.entities) if with_relations else graph.relations_of(found.limit(0), self.relations, self.entities)
         out = {"entities": found, "relations": linked, "context": graph.context(found, self.entities, linked)}
         if hops > 1:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import values as V
-from ..operators import index
+from ..operators import embedding, index
 from ..sources import files
 from ..sources.shared import fresh_folder  # noqa: F401  for callers
 
@@ -141,6 +141,13 @@ def backfill(tables: Tables, embed: Embedder) -> Tables:
     return replace(tables, vectors=tables.vectors.unionByName(embedded(missing, embed)))
 
 
+def vectorize(tables: Tables, load: Callable[[], embedding.Model], name: str, size: int = 20, isolate: bool = False) -> tuple[Tables, embedding.Vectorized]:
+    """The tables with vectors of those chunks that have none and that the model ``name`` could embed; and its vectors, failures and counts. What failed is taken again by the next call."""
+    missing = tables.chunks.join(tables.vectors.select(F.col("vec_id").alias("chunk_id")), "chunk_id", "left_anti")
+    done = embedding.vectorize(missing, load, name, carry=["document_id"], size=size, isolate=isolate)
+    return replace(tables, vectors=tables.vectors.unionByName(done.vectors)), done
+
+
 def vector_stats(vectors: DataFrame, model: str = "hashing") -> DataFrame:
     """One row: ``vectors, dimension, model, status``."""
     counted = vectors.agg(F.count(F.lit(1)).alias("vectors"), F.max(F.size("embedding")).alias("dimension"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import values as V
-from ..operators import chunkers, control, evaluate, fusion, graph, index, lexical, query, results, segments, vector, vector_index
+from ..operators import chunkers, control, embedding, evaluate, fusion, graph, index, lexical, query, results, segments, vector, vector_index
 from ..sources.shared import written
 from ..sources.snapshots import SnapshotStore
 from ..streaming import events as stream_events
@@ -634,6 +634,30 @@ def entity_search(spark, sf):
     return graph.search_entities(e, q).select("query_id", "entity_id", "name", "type", F.round("score", 6).alias("score"), "rank")
 
 
+#: Queries with names to look for: as parts of names, none, none and no tokens either, with one of a single character.
+_HINTED = [("h1", "what lies near", ["asia", "EUROPE", ""]), ("h2", "blue bolt", []), ("h3", "The", None), ("h4", "machinery", ["Customer#00000000"]), ("h5", "", ["7"]), ("h6", "", None)]
+_HINT_SOURCES = ["src2", "src3", "src7"]
+_HINTS_SQL = ", ".join(f"({S.lit(i)}, {S.lit(q)}, {S.names([h for h in hints or [] if h]) if any(hints or []) else 'CAST([] AS VARCHAR[])'})" for i, q, hints in _HINTED)
+
+
+@registered(
+    f"""WITH {S.GRAPH}, {S.DOCS}, kept AS (SELECT e.* FROM entities e JOIN docs d ON d.doc_id = CAST(substr(e.key, 2) AS BIGINT) WHERE d.source_id IN ({', '.join(map(S.lit, _HINT_SOURCES))})),
+tok AS (SELECT query_id, query, hints, {S.graph_tokens('query')} AS tokens FROM (VALUES {_HINTS_SQL}) asked(query_id, query, hints)),
+cand AS (SELECT * FROM (SELECT t.query_id, t.tokens, e.*, row_number() OVER (PARTITION BY t.query_id ORDER BY e.confidence DESC, e.entity_id) AS r FROM kept e JOIN tok t
+  ON CASE WHEN len(t.hints) > 0 THEN len(list_filter(t.hints, lambda h: contains(lower(e.name), lower(h)))) > 0 WHEN len(t.tokens) > 0 THEN len(list_filter(t.tokens, lambda w: contains(lower(e.name || chr(10) || e.description), w))) > 0 ELSE t.query <> '' AND contains(lower(e.name || chr(10) || e.description), lower(t.query)) END) WHERE r <= 60),
+{S.ENTITY_SCORES} SELECT query_id, entity_id, name, type, round(score, 6) AS score, rank FROM found"""
+)
+def graph_query_hinted(spark, sf):
+    """Entities of three sources by hints; an entity belongs to the document with its number."""
+    e, r, _ = _graph(spark, sf)
+    d = docs(spark, sf)
+    placed = e.withColumn("doc_id", F.substring("key", 2, 20).cast("long")).join(d.select("doc_id", "document_id"), "doc_id", "left").drop("doc_id")
+    kb = api.KnowledgeBase(d, entities=placed, relations=r)
+    q = spark.createDataFrame(_HINTED, "query_id string, query string, hints array<string>")
+    found = kb.graph_query(q, hops=1, source_ids=_HINT_SOURCES)["entities"]
+    return found.select("query_id", "entity_id", "name", "type", F.round("score", 6).alias("score"), "rank")
+
+
 _OTHER = f"""{S.VECTORS}, evec AS (SELECT e.entity_id, v.v, e.type FROM vectors v JOIN entities e ON e.key = 'p' || (v.vec_id + 1)),
 near_e AS (SELECT 'g' || (q.query_id + 1) AS query_id, e.entity_id, list_cosine_similarity(e.v, q.vector) AS score FROM evec e CROSS JOIN asked_vectors q WHERE q.query_id < 5),
 other AS (SELECT * FROM (SELECT query_id, entity_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, entity_id) AS INTEGER) AS rank FROM near_e WHERE score >= 0) WHERE rank <= 20)"""
@@ -823,6 +847,47 @@ def error_categories(spark, sf):
     return status.groupBy(graph.error_class(F.col("error_message")).alias("class")).agg(F.count(F.lit(1)).alias("n"))
 
 
+_ANSWER = {"purchase": None, "signup": None, "error": "Connection refused", "view": "timeout", "click": "no such model"}
+_ANSWER_SQL = "CASE event_type " + " ".join(f"WHEN '{k}' THEN {S.lit(v)}" for k, v in _ANSWER.items() if v) + " END"
+
+
+@registered(
+    f"""WITH a AS (SELECT user_id, ts, event_id % 7 AS n, {_ANSWER_SQL} AS m FROM events), r AS (SELECT *, count(*) OVER (PARTITION BY user_id) AS attempts, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, m IS NULL DESC, n DESC, coalesce(m, '') DESC) AS k FROM a)
+SELECT user_id AS chunk_id, CASE WHEN m IS NULL THEN 'completed' ELSE 'error' END AS status, CAST(attempts AS INTEGER) AS attempts, CAST(n AS INTEGER) AS entity_count, m AS error_message, ts AS updated_at,
+CASE WHEN m IN ('Connection refused', 'timeout') AND attempts < 70 THEN CAST(least(pow(2, attempts - 1), 16) AS INTEGER) ELSE 0 END AS wait_seconds FROM r WHERE k = 1"""
+)
+def status_upsert(spark, sf):
+    """Events of a user as answers about a chunk: its status, attempts, and the wait before the next one."""
+    message = F.lit(None).cast("string")
+    for kind, text in _ANSWER.items():
+        message = F.when(F.col("event_type") == kind, F.lit(text)).otherwise(message)
+    history = read(spark, sf, "events").select(F.col("user_id").alias("chunk_id"), F.col("ts").alias("at"), message.alias("error_message"), F.pmod("event_id", F.lit(7)).cast("int").alias("entity_count"))
+    history = history.withColumn("status", F.when(F.col("error_message").isNull(), "completed").otherwise("error"))
+    return graph.status_upsert(history, 70).fillna(0, ["wait_seconds"]).withColumn("updated_at", F.col("updated_at").cast("timestamp_ntz"))
+
+
+def _letters():
+    """A stand-in for a model with a limit: how often each letter occurs in a text of at most 8,000 characters."""
+
+    def model(texts):
+        if any(len(t) > 8000 for t in texts):
+            raise ValueError("a text is too long")
+        return [[float(t.count(chr(97 + i))) for i in range(26)] for t in texts]
+
+    return model
+
+
+_BAD = "text IS NULL OR length(text) > 8000"
+
+
+@registered(f"SELECT doc_id, CASE WHEN {_BAD} THEN 0 ELSE 26 END AS dimension, CASE WHEN {_BAD} THEN 0 ELSE CAST(length(text) - length(replace(text, 'e', '')) AS INTEGER) END AS letter_e, CASE WHEN text IS NULL THEN 'no text' WHEN length(text) > 8000 THEN 'ValueError: a text is too long' END AS error FROM documents")
+def embed_failures(spark, sf):
+    """Documents in batches of twenty, of which those that fail by themselves are failures."""
+    done = embedding.vectorize(spread(read(spark, sf, "documents")), _letters, "letters", "doc_id", "text", size=20, isolate=True)
+    good = done.vectors.select(F.col("vec_id").alias("doc_id"), F.size("embedding").alias("dimension"), F.get("embedding", F.lit(4)).cast("int").alias("letter_e"), F.lit(None).cast("string").alias("error"))
+    return good.unionByName(done.failures.select(F.col("vec_id").alias("doc_id"), F.lit(0).alias("dimension"), F.lit(0).alias("letter_e"), "error"))
+
+
 def _safe_sql(e: str) -> str:
     e = f"CASE WHEN length({e}) > 5000 THEN {e}[1:5000] || '...' ELSE {e} END"
     for d in V.DANGEROUS:

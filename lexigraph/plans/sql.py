@@ -118,9 +118,11 @@ def graph_tokens(e: str) -> str:
     return rf"list_filter(regexp_split_to_array(regexp_replace(lower({e}), '[^a-z0-9\-\s]', ' ', 'g'), '\s+'), lambda w: w <> '' AND NOT list_contains({names(V.STOP_WORDS)}, w) AND (length(w) > 2 OR regexp_matches(w, '^[a-z]{{2}}\z')))"
 
 
+#: Scores of the candidates ``cand``, and the best twenty of each query.
+ENTITY_SCORES = """each AS (SELECT *, list_transform(tokens, lambda w: CASE WHEN lower(name) = w THEN 1.0 WHEN starts_with(lower(name), w) THEN 0.8 WHEN contains(lower(name), w) THEN 0.6 WHEN contains(lower(description), w) THEN 0.3 ELSE 0.0 END) AS s FROM cand),
+scored AS (SELECT query_id, entity_id, name, type, confidence, CASE WHEN len(s) = 0 THEN confidence ELSE 0.7 * CAST(list_sum(s) AS DOUBLE) * (0.5 + 0.5 * len(list_filter(s, lambda x: x > 0)) / len(s)) + 0.3 * confidence END AS score FROM each),
+found AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, entity_id) AS INTEGER) AS rank FROM scored) WHERE rank <= 20)"""
 ENTITY_HITS = f"""tok AS (SELECT query_id, {graph_tokens('query')} AS tokens FROM asked),
 cand AS (SELECT * FROM (SELECT t.query_id, t.tokens, e.*, row_number() OVER (PARTITION BY t.query_id ORDER BY e.confidence DESC, e.entity_id) AS r
   FROM entities e JOIN tok t ON len(t.tokens) > 0 AND len(list_filter(t.tokens, lambda w: contains(lower(e.name || chr(10) || e.description), w))) > 0) WHERE r <= 60),
-each AS (SELECT *, list_transform(tokens, lambda w: CASE WHEN lower(name) = w THEN 1.0 WHEN starts_with(lower(name), w) THEN 0.8 WHEN contains(lower(name), w) THEN 0.6 WHEN contains(lower(description), w) THEN 0.3 ELSE 0.0 END) AS s FROM cand),
-scored AS (SELECT query_id, entity_id, name, type, confidence, 0.7 * CAST(list_sum(s) AS DOUBLE) * (0.5 + 0.5 * len(list_filter(s, lambda x: x > 0)) / len(s)) + 0.3 * confidence AS score FROM each),
-found AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, entity_id) AS INTEGER) AS rank FROM scored) WHERE rank <= 20)"""
+{ENTITY_SCORES}"""

@@ -1,6 +1,7 @@
 import io
 import zipfile
 
+from lexigraph.plans import api
 from lexigraph.functions import text as T
 from lexigraph.operators import chunkers, control, evaluate, graph
 from lexigraph.sources import files
@@ -169,3 +170,26 @@ def test_pdf_lines_become_paragraphs_where_blank_lines_are_missing(spark):
     blocks = [b.strip() for b in text.split("\n\n")]
     assert got[0]["p"] == blocks + [long, "Next one starts. and goes on", f"{long} lower case goes on {'x' * 300}"]
     assert got[1]["p"] == []
+
+
+def test_hints_and_sources(spark):
+    e = spark.createDataFrame(
+        [("e0", "Alpha", "tool", "beta", 0.9, ["d1"]), ("e1", "Beta", "tool", "alpha", 0.8, ["d1", "d2"]), ("e2", "C", "tool", None, 0.7, ["d2"]), ("e3", "The Who", "tool", None, 0.6, ["d3"]), ("e4", "x%y", "tool", None, 0.5, [])],
+        "entity_id string, name string, type string, description string, confidence double, documents array<string>",
+    )
+    d = spark.createDataFrame([("d1", "s1"), ("d2", "s2"), ("d3", "s1")], "document_id string, source_id string")
+    q = spark.createDataFrame([(1, "beta", ["ALPHA"]), (2, "alpha", [""]), (3, "the", None), (4, None, ["c"]), (5, "", []), (6, "zz", ["%"]), (7, "the", ["alpha", None, "beta"])], "query_id long, query string, hints array<string>")
+
+    def found(entities):
+        out = {}
+        for r in graph.search_entities(entities, q).orderBy("query_id", "rank").collect():
+            out.setdefault(r["query_id"], []).append(r["entity_id"])
+        return out
+
+    assert found(e) == {1: ["e0"], 2: ["e0", "e1"], 3: ["e3"], 4: ["e2"], 6: ["e4"], 7: ["e0", "e1"]}
+    assert found(graph.of_sources(e, d, ["s2"])) == {2: ["e1"], 4: ["e2"], 7: ["e1"]}
+    kb = api.KnowledgeBase(d, entities=e, relations=spark.createDataFrame([("e1", "uses", "e0", 0.5)], "subject_id string, predicate string, object_id string, confidence double"))
+    out = kb.graph_query(q, source_ids=["s2"])
+    assert {(r["query_id"], r["object"]) for r in out["relations"].collect()} == {(2, "Alpha"), (7, "Alpha")}
+    assert {r["entity_id"] for r in out["around"].collect()} == {"e0"}
+    assert kb.graph_query(q, source_ids=["none"])["entities"].count() == 0

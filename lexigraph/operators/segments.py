@@ -37,6 +37,31 @@ def part_of(idf: float, tf: np.ndarray, dl: np.ndarray, mean: float) -> np.ndarr
     return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / mean))
 
 
+def _counted(stem: bool):
+    """Rows ``key, dl, occurrences`` as ``key, dl, tokens, tfs``: each token (or stem) of a document once, with the sum of its weights."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from ..functions.stemmer import stem as stem_of
+
+        for batch in batches:
+            key, dl, lists = batch.columns
+            found = lists.flatten()
+            coded = pc.struct_field(found, "token").dictionary_encode()
+            names, code = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+            if stem:
+                stems = pa.array([stem_of(t) for t in names.to_pylist()], pa.string()).dictionary_encode()
+                names, code = stems.dictionary, stems.indices.to_numpy().astype(np.int64)[code]
+            row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(lists).to_numpy())
+            pairs, of = np.unique(row * max(len(names), 1) + code, return_inverse=True)
+            tf = np.bincount(of, weights=pc.struct_field(found, "weight").to_numpy(), minlength=len(pairs))
+            ends = np.cumsum(np.bincount(pairs // max(len(names), 1), minlength=batch.num_rows))
+            offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
+            tokens = names.take(pa.array(pairs % max(len(names), 1)))
+            yield pa.record_batch([key, dl, pa.ListArray.from_arrays(offsets, tokens), pa.ListArray.from_arrays(offsets, pa.array(tf, pa.float64()))], names=["key", "dl", "tokens", "tfs"])
+
+    return run
+
+
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Blocks of rows ``token, shard, place, tf, dl`` that come sorted by these."""
     held: list[pa.RecordBatch] = []
@@ -144,22 +169,15 @@ class SegmentedIndex:
         """The index with ``documents`` (the key, and the fields), in the place of what it holds of these keys. Keys are unique."""
         key = self.state["key"]
         path = self._path("segment")
-        field_tokens(documents, self.state["weights"], key).withColumnRenamed(key, "key").write.parquet(f"{path}/split")
-        number = self._write(self.spark.read.parquet(f"{path}/split"), path, self.state["stem"])
-        return self._commit(self.state | {"segments": [*self.state["segments"], number], "tombstones": self.state["tombstones"] + self._tombstone(documents.select(key)), "next": self.state["next"] + 1}, batch)
-
-    def _write(self, split: DataFrame, path: str, stem: bool) -> dict:
-        """A segment of ``split (key, dl, occurrences)``; its entry in the manifest."""
+        found = field_tokens(documents, self.state["weights"], key).withColumnRenamed(key, "key")
+        schema = f"key {found.schema['key'].dataType.simpleString()}, dl int, tokens array<string>, tfs array<double>"
+        found.mapInArrow(_counted(self.state["stem"]), schema).write.parquet(f"{path}/split")
+        split = self.spark.read.schema(schema).parquet(f"{path}/split")
         self._place(split.select("key", "dl"), path)
-        pairs = split.select("key", F.explode("occurrences").alias("o")).groupBy("key", F.col("o.token").alias("token")).agg(F.sum("o.weight").alias("tf"))
-        if stem:
-            from ..functions.stemmer import stemmed
-
-            pairs.write.parquet(f"{path}/words")
-            words = self.spark.read.parquet(f"{path}/words")
-            stems = words.select("token").distinct().withColumn("stem", stemmed(F.col("token")))
-            pairs = words.join(stems, "token").groupBy("key", F.col("stem").alias("token")).agg(F.sum("tf").alias("tf"))
-        return self._blocks(pairs, path)
+        # Documents meet their places as rows; only then their tokens become rows, which are shuffled once.
+        placed = split.drop("dl").join(self.spark.read.parquet(f"{path}/documents"), "key").select("shard", "place", "dl", F.explode(F.arrays_zip("tokens", "tfs")).alias("o"))
+        entry = self._blocks(placed.select("o.tokens", "shard", "place", "o.tfs", "dl").toDF("token", "shard", "place", "tf", "dl"), path)
+        return self._commit(self.state | {"segments": [*self.state["segments"], entry], "tombstones": self.state["tombstones"] + self._tombstone(documents.select(key)), "next": self.state["next"] + 1}, batch)
 
     def _place(self, documents: DataFrame, path: str) -> None:
         n = documents.count()
@@ -167,13 +185,12 @@ class SegmentedIndex:
         dealt = documents.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int"))
         dealt.withColumn("place", (F.row_number().over(Window.partitionBy("shard").orderBy("key")) - 1).cast("int")).select("key", F.col("dl").cast("long").alias("dl"), "shard", "place").write.parquet(f"{path}/documents")
 
-    def _blocks(self, pairs: DataFrame, path: str) -> dict:
-        placed = self.spark.read.parquet(f"{path}/documents")
-        rows = pairs.join(placed, "key").select("token", "shard", "place", F.col("tf").cast("double").alias("tf"), "dl")
+    def _blocks(self, rows: DataFrame, path: str) -> dict:
+        """The blocks of ``rows (token, shard, place, tf, dl)`` and the tokens of a segment whose documents are written; its entry in the manifest."""
         rows.repartitionByRange("token", "shard").sortWithinPartitions("token", "shard", "place").mapInArrow(_pack, BLOCKS).write.parquet(f"{path}/blocks")
         blocks = self.spark.read.parquet(f"{path}/blocks")
         blocks.groupBy("token").agg(F.sum("n").alias("df")).repartitionByRange("token").sortWithinPartitions("token").write.parquet(f"{path}/tokens")
-        facts = placed.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("length")).first()
+        facts = self.spark.read.parquet(f"{path}/documents").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("length")).first()
         return {"number": self.state["next"], "path": path, "documents": facts["n"], "length": facts["length"]}
 
     def merge(self, most: int | None = None, batch: str | None = None) -> SegmentedIndex:
@@ -187,7 +204,7 @@ class SegmentedIndex:
         self._place(living.select("key", "dl"), path)
         postings = self._read("blocks").filter(F.col("segment").isin(numbers)).select("segment", "shard", "token", "places", "tfs").mapInArrow(_unpacked, "segment int, shard int, token string, place int, tf double")
         kept = postings.join(living.select("segment", "shard", "place", "key"), ["segment", "shard", "place"]).select("key", "token", "tf")
-        entry = self._blocks(kept, path)
+        entry = self._blocks(kept.join(self.spark.read.parquet(f"{path}/documents"), "key").select("token", "shard", "place", "tf", "dl"), path)
         left = self._path("tombstones")
         self.tombstones().filter(~F.col("segment").isin(numbers)).write.parquet(left)
         rest = self.spark.read.schema("segment int, shard int, place int, dl long").parquet(left).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("length")).first()

@@ -2,28 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 
 
-def sync_diff(scan: DataFrame, known: DataFrame, rebuild: bool = False) -> DataFrame:
-    """``path, status``: added, updated, unchanged, deleted or error.
+STATUSES = ("added", "updated", "unchanged", "deleted", "error")
+
+
+def sync_diff(scan: DataFrame, known: DataFrame, rebuild: bool = False, keys: tuple[str, ...] = ("path",)) -> DataFrame:
+    """``path, status``: added, updated, unchanged, deleted or error. Of several sources, ``keys`` names a path's source as well.
 
     ``scan (path, hash)``: a null hash is a file that could not be read; it is an error, not a deletion.
     ``known (path, hash)``. With ``rebuild`` all files that are known and readable are updated.
     """
-    both = scan.select("path", F.col("hash").alias("new"), F.lit(True).alias("seen")).join(known.select("path", F.col("hash").alias("old"), F.lit(True).alias("held")), "path", "full_outer")
+    both = scan.select(*keys, F.col("hash").alias("new"), F.lit(True).alias("seen")).join(known.select(*keys, F.col("hash").alias("old"), F.lit(True).alias("held")), list(keys), "full_outer")
     status = (
         F.when(F.col("seen").isNull(), "deleted").when(F.col("new").isNull(), "error").when(F.col("held").isNull(), "added").when((F.col("new") != F.col("old")) | F.lit(rebuild), "updated").otherwise("unchanged")
     )
-    return both.select("path", status.alias("status"))
+    return both.select(*keys, status.alias("status"))
 
 
 def sync_summary(diff: DataFrame) -> DataFrame:
     """One row: the number of paths of each status."""
-    return diff.agg(*(F.count_if(F.col("status") == s).alias(s) for s in ("added", "updated", "unchanged", "deleted", "error")))
+    return diff.agg(*sync_counts())
+
+
+def sync_counts() -> list[Column]:
+    """The number of rows of each status, as aggregates."""
+    return [F.count_if(F.col("status") == s).alias(s) for s in STATUSES]
 
 
 def upsert(table: DataFrame, new: DataFrame, key: str) -> DataFrame:

@@ -8,14 +8,14 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import values as V
 from ..operators import embedding, index
 from ..sources import files
-from ..sources.shared import fresh_folder  # noqa: F401  for callers
+from ..sources.shared import fresh_folder, written  # noqa: F401  for callers
 
 SOURCES = "source_id string, path string, name string, patterns array<string>, excludes array<string>, sync_mode string, status string"
 DOCUMENTS = "document_id string, source_id string, path string, title string, mime_type string, size long, modified_at timestamp, hash string, content string"
@@ -157,26 +157,50 @@ def vector_stats(vectors: DataFrame, model: str = "hashing") -> DataFrame:
 # synchronisation
 
 
+def _found(spark: SparkSession, source: Row) -> str:
+    """Where the cleaned documents of a source's folder were written: the folder is scanned once, and what is compared is what is put."""
+    found = files.documents(files.scan(spark, source["path"], source["patterns"], source["excludes"]), source["source_id"])
+    path = fresh_folder(spark, "found")
+    found.withColumn("hash", F.when(F.col("content").isNotNull(), F.col("hash"))).write.parquet(path)
+    return path
+
+
+def _synchronised(tables: Tables, found: dict[str, str], rebuild: bool, embed: Embedder | None) -> tuple[Tables, DataFrame, dict[str, int]]:
+    """The tables brought up to the written documents of some sources (by source id), the written status of each path, and the numbers of paths by status, which the job that writes them counts.
+
+    A path that several of the sources have changed or added goes to the one of the greatest id.
+    """
+    every = tables.documents.sparkSession.read.schema(DOCUMENTS).parquet(*found.values())
+    mine = tables.documents.filter(F.col("source_id").isin(list(found)))
+    seen = Observation()
+    diff = written(index.sync_diff(every, mine, rebuild, ("source_id", "path")).observe(seen, *index.sync_counts()), "status")
+    gone = mine.join(diff.filter("status = 'deleted'"), ["source_id", "path"], "left_semi").select("document_id")
+    owners = diff.filter("status in ('added', 'updated')").groupBy("path").agg(F.max("source_id").alias("source_id"))
+    fresh = every.join(owners, ["source_id", "path"], "left_semi")
+    return put_documents(remove_documents(tables, gone), fresh.select(*tables.documents.columns), embed), diff, seen.get
+
+
 def sync_source(tables: Tables, source_id: str, rebuild: bool = False, embed: Embedder | None = None) -> tuple[Tables, DataFrame]:
-    """Bring the tables up to a source's folder: files are scanned, cleaned and compared by hash; new and changed ones are chunked and put, vanished ones removed. And the numbers of paths by status."""
+    """Bring the tables up to a source's folder: files are scanned once, cleaned and compared by hash; new and changed ones are chunked and put, vanished ones removed. And the numbers of paths by status."""
     source = get_source(tables.sources, source_id)
     spark = tables.documents.sparkSession
-    found = files.documents(files.scan(spark, source["path"], source["patterns"], source["excludes"]), source_id)
-    mine = tables.documents.filter(F.col("source_id") == source_id)
-    diff = index.sync_diff(found.select("path", F.when(F.col("content").isNotNull(), F.col("hash")).alias("hash")), mine.select("path", "hash"), rebuild)
-    gone = mine.join(diff.filter("status = 'deleted'").select("path"), "path", "left_semi").select("document_id")
-    fresh = found.join(diff.filter("status in ('added', 'updated')").select("path"), "path", "left_semi")
-    return put_documents(remove_documents(tables, gone), fresh.select(*tables.documents.columns), embed), index.sync_summary(diff)
+    after, _, counts = _synchronised(tables, {source_id: _found(spark, source)}, rebuild, embed)
+    return after, spark.createDataFrame([tuple(counts[s] for s in index.STATUSES)], ", ".join(f"{s} long" for s in index.STATUSES))
 
 
 def sync_all(tables: Tables, rebuild: bool = False, embed: Embedder | None = None) -> tuple[Tables, dict[str, Row | Exception]]:
-    """All active sources, one after the other; a source that fails keeps its rows, and the error stands in its place in the results."""
+    """All active sources: each folder is scanned once, and all are compared and put in one plan; a source that fails keeps its rows, and the error stands in its place in the results."""
     results: dict[str, Row | Exception] = {}
+    spark = tables.documents.sparkSession
+    found: dict[str, str] = {}
     for source in list_sources(tables.sources.filter("status = 'active'")).collect():  # folders that someone registered
         try:
-            after, summary = sync_source(tables, source["source_id"], rebuild, embed)
-            results[source["source_id"]] = summary.first()
-            tables = after
+            found[source["source_id"]] = _found(spark, source)
         except Exception as error:  # a folder that can't be read must not stop the others
             results[source["source_id"]] = error
-    return tables, results
+    if not found:
+        return tables, results
+    after, diff, _ = _synchronised(tables, found, rebuild, embed)
+    counted = {r["source_id"]: r for r in diff.groupBy("source_id").agg(*index.sync_counts()).collect()}  # one row a source
+    none = Row(*index.STATUSES)(*(0 for _ in index.STATUSES))
+    return after, results | {s: Row(**{k: counted[s][k] for k in index.STATUSES}) if s in counted else none for s in found}

@@ -1,6 +1,6 @@
 """Folders of files as documents: scan, text extraction, and the tables of a collection.
 
-A folder is read with Spark's binary-file source, so any store that Spark reads will do. Extraction never stops at a bad file: its text is null.
+A mounted folder is read with the data source ``folder``, which enters no excluded folder; any other store that Spark reads with Spark's binary-file source. Extraction never stops at a bad file: its text is null.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import values as V
+from . import folder as folders
 
 #: Fixed value: the largest file that is read.
 MOST_BYTES = 100 * 1024 * 1024
@@ -83,9 +84,16 @@ def chosen(files: DataFrame, folder: str, patterns: list[str] | None = None, exc
     return out.filter(F.col("length") <= MOST_BYTES).select("path", "name", F.col("length").alias("size"), F.col("modificationTime").alias("modified_at"), "content")
 
 
-def scan(spark: SparkSession, folder: str, patterns: list[str] | None = None, excludes: list[str] | None = None) -> DataFrame:
-    """``path, name, size, modified_at, content`` of the files of a folder and those below it. Where only names and times are asked for, no file is opened."""
-    return chosen(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder), folder, patterns, excludes)
+def scan(spark: SparkSession, folder: str, patterns: list[str] | None = None, excludes: list[str] | None = None, content: bool = True, paths: list[str] | None = None) -> DataFrame:
+    """``path, name, size, modified_at, content, error`` of the files of a folder and those below it, or of those of ``paths`` among them; without ``content`` that column is null and no file is opened.
+
+    In a mounted folder (a plain path, or one of ``file:``), excluded folders are not entered, and a file that can't be read is a row with its error. Other stores are listed whole by Spark, and there such a file ends the job.
+    """
+    patterns, excludes = patterns or V.DEFAULT_PATTERNS, excludes if excludes is not None else V.DEFAULT_EXCLUDES
+    if folder.startswith(("/", "file:")):
+        return folders.read(spark, folder, patterns, excludes, MOST_BYTES, content, paths=paths)
+    found = chosen(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder if paths is None else paths), folder, patterns, excludes)
+    return found.withColumn("error", F.lit(None).cast("string")) if content else found.withColumns({"content": F.lit(None).cast("binary"), "error": F.lit(None).cast("string")})
 
 
 def documents(files: DataFrame, source_id: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Watched folders: new files come as a stream, changes and deletions from a listing, both into a versioned store.
 
 The stream is Spark's file source; every micro-batch is one change of the store, committed under the source and the batch's number, so a batch that is run again after a stop is not applied again. The file source reports a path once
-only. ``sweep`` therefore compares the names, sizes and times of all files with the store: files that changed are read again, and documents whose files are gone are removed. It is meant to be called now and then, and opens no file
+only, and no empty file. ``sweep`` therefore compares the names, sizes and times of all files with the store: files that changed are read again, and documents whose files are gone are removed. It is meant to be called now and then, and opens no file
 but those that changed.
 """
 
@@ -60,10 +60,10 @@ def sweep(store: SnapshotStore, source: Row, embed: ingest.Embedder | None = Non
     """Bring the store up to the files that changed or vanished; numbers of documents by what became of them."""
     opened(store)
     spark = store.spark
-    listed = files.scan(spark, source["path"], source["patterns"], source["excludes"]).select("path", F.col("size").alias("_size"), F.col("modified_at").alias("_at"))
+    listed = files.scan(spark, source["path"], source["patterns"], source["excludes"], content=False).select("path", F.col("size").alias("_size"), F.col("modified_at").alias("_at"), F.lit(True).alias("_there"))
     known = store.read("documents").filter(F.col("source_id") == source["source_id"]).select("document_id", "path", "size", "modified_at")
     both = listed.join(known, "path", "full_outer")
-    status = F.when(F.col("_at").isNull(), "deleted").when(F.col("document_id").isNull(), "added").when((F.col("_at") != F.col("modified_at")) | (F.col("_size") != F.col("size")), "updated")
+    status = F.when(F.col("_there").isNull(), "deleted").when(F.col("document_id").isNull(), "added").when((F.col("_at") != F.col("modified_at")) | (F.col("_size") != F.col("size")), "updated")
     path = ingest.fresh_folder(spark, "listing")
     both.select("path", "document_id", status.alias("status")).filter("status is not null").write.parquet(path)
     diff = spark.read.schema("path string, document_id string, status string").parquet(path)
@@ -74,8 +74,7 @@ def sweep(store: SnapshotStore, source: Row, embed: ingest.Embedder | None = Non
     documents, held = None, []
 
     def some() -> DataFrame:
-        read = files.chosen(spark.read.format("binaryFile").load(held), source["path"], source["patterns"], source["excludes"])
-        return files.documents(read, source["source_id"])
+        return files.documents(files.scan(spark, source["path"], source["patterns"], source["excludes"], paths=held), source["source_id"])
 
     for r in names.toLocalIterator():
         held.append(r["path"])

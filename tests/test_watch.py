@@ -70,3 +70,19 @@ def test_a_watched_folder_equals_a_synchronised_one(spark, tmp_path, folder, mon
     store.compact()
     store.clean(keep=1)
     assert shown(store.read("documents")) == before
+
+
+def test_sweep_takes_empty_files_and_keeps_what_it_cannot_read(spark, tmp_path, folder):
+    source = ingest.register_source(ingest.Tables.empty(spark).sources, f"file://{tmp_path}/src").first()
+    store = SnapshotStore(spark, f"file://{tmp_path}/store")
+    for name, text in {"a.md": "Text.", "b.md": "Other.", "empty.md": ""}.items():
+        folder(name, text)
+    assert watch.sweep(store, source) == {"added": 3, "error": 0}
+    assert watch.sweep(store, source) == {}
+    (tmp_path / "src" / "b.md").unlink()
+    (tmp_path / "src" / "b.md").symlink_to(tmp_path / "nowhere")
+    assert watch.sweep(store, source) == {}
+    assert shown(store.read("documents")) == [("a.md", "Text."), ("b.md", "Other."), ("empty.md", "")]
+    (tmp_path / "src" / "new.md").symlink_to(tmp_path / "nowhere")
+    assert watch.sweep(store, source) == {"added": 1, "error": 1}
+    assert len(shown(store.read("documents"))) == 3

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import values as V
-from ..operators import chunkers, control, embedding, evaluate, fusion, graph, index, lexical, query, results, segments, vector, vector_index
+from ..operators import chunkers, control, dictionary, embedding, evaluate, fusion, graph, index, lexical, query, results, segments, vector, vector_index
 from ..sources.shared import written
 from ..sources.snapshots import SnapshotStore
 from ..streaming import events as stream_events
@@ -364,6 +364,16 @@ def suggest_titles(spark, sf):
     return lexical.suggest(docs(spark, sf), "th")
 
 
+@registered(
+    f"""WITH {S.DOCS}, typed AS (SELECT item_id AS query_id, substr(({S.tokens('text')})[1], 1, 2) AS prefix FROM benchmark), words AS (SELECT title, unnest({S.tokens('title')}) AS token FROM docs),
+hit AS (SELECT DISTINCT query_id, title FROM typed JOIN words ON starts_with(token, prefix)) SELECT query_id, title, CAST(row_number() OVER (PARTITION BY query_id ORDER BY title) AS INTEGER) AS rank FROM hit QUALIFY rank <= 5"""
+)
+def suggest_indexed(spark, sf):
+    """Titles for the first two characters of each benchmark item, from a sorted table of the titles' words."""
+    typed = read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.substring(F.get(T.tokens(F.col("text")), F.lit(0)), 1, 2).alias("prefix"))
+    return dictionary.TitleIndex.build(docs(spark, sf), ingest.fresh_folder(spark, "titles")).suggest_each(typed)
+
+
 @registered(
     f"WITH {S.BM25}, loose AS (SELECT query_id, document_id, score, 1 AS level FROM matched WHERE query_id NOT IN (SELECT query_id FROM {_ALL})), picked AS (SELECT query_id, document_id, score, 0 AS level FROM {_ALL} UNION ALL SELECT * FROM loose) SELECT query_id, document_id, round(score, 6) AS score, rank, CAST(level AS INTEGER) AS level, CASE level WHEN 1 THEN 'low' END AS confidence FROM {S.page('picked', 10, _ROUNDED)}"
 )

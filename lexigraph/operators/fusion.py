@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -50,6 +50,13 @@ def ranked(hits: DataFrame, limit: int | None = None) -> DataFrame:
     return out if limit is None else out.filter(F.col("rank") <= limit)
 
 
+def floored(hits: DataFrame, floor: float, seen: Observation | None = None) -> DataFrame:
+    """The hits whose score is ``floor`` or more, all if it isn't above zero. ``seen`` gets ``before`` and ``rejected`` from the job that reads the hits; without a score a hit is rejected."""
+    below = ~F.coalesce(F.col("score") >= floor, F.lit(False)) if floor > 0 else F.lit(False)
+    counted = hits if seen is None else hits.observe(seen, F.count(F.lit(1)).alias("before"), F.count_if(below).alias("rejected"))
+    return counted.filter(~below) if floor > 0 else counted
+
+
 def rerank(hits: DataFrame, top: int = 30) -> DataFrame:
     """The ``top`` hits of each query, with scores raised by their similarity, where it is known."""
     return ranked(hits, top).withColumn("score", F.col("score") * (1 + F.coalesce("similarity", F.lit(0.0)))).drop("rank")

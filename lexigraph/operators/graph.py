@@ -159,11 +159,31 @@ def parse_responses(responses: DataFrame, least: float = 0.7, most_entities: int
 
 def merge_entities(mentions: DataFrame) -> DataFrame:
     """One row per canonical entity of ``mentions (name, type, description, confidence, document_id, seq)``: first name, longest description, most confidence, all documents."""
+    return _merged(mentions, F.array_sort(F.collect_set("document_id")).alias("documents"))
+
+
+def _merged(mentions: DataFrame, *more: Column) -> DataFrame:
     keyed = mentions.withColumn("entity_id", T.entity_id(F.col("name"), F.col("type")))
     best = F.max_by("description", F.struct(F.length("description"), -F.col("seq")))
-    return keyed.groupBy("entity_id").agg(
-        F.min_by("name", "seq").alias("name"), F.first("type").alias("type"), best.alias("description"), F.max("confidence").alias("confidence"), F.array_sort(F.collect_set("document_id")).alias("documents"), F.count(F.lit(1)).alias("mentions")
-    )
+    return keyed.groupBy("entity_id").agg(F.min_by("name", "seq").alias("name"), F.first("type").alias("type"), best.alias("description"), F.max("confidence").alias("confidence"), *more, F.count(F.lit(1)).alias("mentions"))
+
+
+def canonical_entities(mentions: DataFrame) -> DataFrame:
+    """As ``merge_entities``, without the documents: a row stays small, however many documents name its entity. ``entity_sources`` has them."""
+    return _merged(mentions)
+
+
+def entity_sources(mentions: DataFrame) -> DataFrame:
+    """``entity_id, document_id, mentions, confidence``: one row for each entity and document that names it; mentions without a document are no source."""
+    keyed = mentions.filter("document_id is not null").select(T.entity_id(F.col("name"), F.col("type")).alias("entity_id"), "document_id", "confidence")
+    return keyed.groupBy("entity_id", "document_id").agg(F.count(F.lit(1)).alias("mentions"), F.max("confidence").alias("confidence"))
+
+
+def without_documents(entities: DataFrame, relations: DataFrame, sources: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Entities, relations and sources without the documents of ``gone``: an entity goes with the last document that names it, a relation with either of its entities. An entity that never had a source stays."""
+    left = sources.join(gone.select("document_id").distinct(), "document_id", "left_anti").select(*sources.columns)
+    orphans = sources.select("entity_id").distinct().join(left.select("entity_id").distinct(), "entity_id", "left_anti")
+    return (*detach(entities, relations, orphans), left)
 
 
 def duplicate_entities(entities: DataFrame) -> DataFrame:

@@ -7,12 +7,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import values as V
 from ..operators import fusion, graph, index, lexical, query, results, vector
+from ..sources.shared import written
 
 
 @dataclass
@@ -93,9 +94,10 @@ class KnowledgeBase:
             mine = mine.join(kept.select(F.col("document_id").alias("vec_id")), "vec_id", "left_semi")
         return vector.knn(mine, vectors, options.limit, options.offset, least).withColumnRenamed("vec_id", "document_id")
 
-    def search(self, queries: DataFrame, vectors: DataFrame | None = None, options: SearchOptions = SearchOptions()) -> DataFrame:
+    def search(self, queries: DataFrame, vectors: DataFrame | None = None, options: SearchOptions = SearchOptions(), seen: Observation | None = None) -> DataFrame:
         """``query_id, document_id, score, strategies, rank`` of ``queries (query_id, query)``: fused, boosted, floored, reranked and diversified; the page that limit and offset ask for.
 
+        ``seen`` is told how many hits there were before the floor, and how many it rejected, by the job that writes those that are left; without it nothing is written.
         In lexical mode, and in semantic mode where there are no vectors, the lexical ranking stands as it is.
         """
         o = options.filled()
@@ -123,7 +125,9 @@ class KnowledgeBase:
         hits = hits.join(self.documents.select("document_id", "path", "title", "content"), "document_id").join(asked, "query_id").withColumn("snippet", T.snippet(F.col("content"), F.col("_words"))).drop("content", "_words")
         hits = hits.join(analysis.select("query_id", "entities"), "query_id")
         boosted = fusion.entity_boost(F.col("score"), F.col("entities"), F.concat_ws(" ", "snippet", "title", "path"))
-        hits = hits.withColumn("score", fusion.agreement_boost(boosted, F.col("strategies"))).filter(F.col("score") >= o.floor)
+        hits = fusion.floored(hits.withColumn("score", fusion.agreement_boost(boosted, F.col("strategies"))), o.floor, seen)
+        if seen is not None:
+            hits = written(hits, "floored")
         if o.rerank:
             hits = fusion.rerank(hits, max(o.rerank_top, page))
         if o.diversify:

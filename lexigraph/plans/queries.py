@@ -537,7 +537,7 @@ _TOP = f"{_BOOSTED}, floored AS (SELECT * FROM (SELECT *, row_number() OVER (PAR
 
 @registered(f"WITH {_TOP} SELECT query_id, document_id, round(CAST(score * (1 + coalesce(similarity, 0)) AS DOUBLE), 9) AS score FROM floored")
 def floor_rerank(spark, sf):
-    return fusion.rerank(_boosted(spark, sf).filter("score >= 0.008"), 20).select("query_id", "document_id", F.round("score", 9).alias("score"))
+    return fusion.rerank(fusion.floored(_boosted(spark, sf), 0.008), 20).select("query_id", "document_id", F.round("score", 9).alias("score"))
 
 
 @registered(f"WITH {_TOP}, n AS (SELECT query_id, count(*) AS n, count(*) FILTER (strategies >= 2) AS a FROM floored GROUP BY query_id) SELECT query_id, CASE WHEN a >= n // 2 THEN 'very_high' WHEN a > 0 THEN 'high' ELSE 'medium' END AS confidence FROM n")
@@ -792,6 +792,25 @@ def entity_merge(spark, sf):
     return graph.merge_entities(m).withColumn("documents", F.array_join("documents", ","))
 
 
+_SOURCES = f"{_MENTIONS}, m AS (SELECT *, {S.hash_id('ent_', "trim(lower(name)) || '|' || kind")} AS entity_id FROM mentions), sources AS (SELECT entity_id, document_id, count(*) AS mentions, max(CAST(confidence AS DOUBLE)) AS confidence FROM m GROUP BY ALL)"
+
+
+@registered(f"WITH {_SOURCES} SELECT * FROM sources")
+def entity_sources(spark, sf):
+    return graph.entity_sources(_mentions(spark, sf).withColumnRenamed("kind", "type"))
+
+
+@registered(f"WITH {_SOURCES}, kept AS (SELECT * FROM sources WHERE document_id NOT LIKE 'Brand#1%') SELECT entity_id, min(trim(lower(m.name))) AS name, count(DISTINCT kept.document_id) AS sources FROM kept JOIN m USING (entity_id) GROUP BY entity_id")
+def entities_after_removal(spark, sf):
+    """The entities that are left, and by how many documents, once a group of documents has gone."""
+    m = _mentions(spark, sf).withColumnRenamed("kind", "type")
+    links = spark.createDataFrame([], "relation_id string, subject_id string, predicate string, object_id string, confidence double")
+    gone = m.filter("document_id like 'Brand#1%'").select("document_id")
+    entities, _, sources = graph.without_documents(graph.canonical_entities(m), links, graph.entity_sources(m), gone)
+    left = sources.groupBy("entity_id").agg(F.count(F.lit(1)).alias("sources"))
+    return entities.select("entity_id", T.canonical_name(F.col("name")).alias("name")).join(left, "entity_id")
+
+
 @registered(f"WITH {_MENTIONS} SELECT trim(lower(name)) AS name_key, kind AS type, count(*) AS copies, arg_min(name, {{'c': -CAST(confidence AS DOUBLE), 'n': name}}) AS canonical_name, arg_max(description, {{'n': length(description), 'd': description}}) AS description FROM mentions GROUP BY 1, 2 HAVING count(*) > 1")
 def entity_dedupe(spark, sf):
     return graph.duplicate_entities(_mentions(spark, sf).withColumnRenamed("kind", "type"))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import slices
+from .common import release, slices
 from .tokens import encoder
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -126,6 +126,7 @@ def pack_documents(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", capac
                 tokens += len(stream) + 1
             if tokens >= block:
                 yield from flush()
+                release()
         if held:
             yield from flush()
 

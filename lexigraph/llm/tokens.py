@@ -14,7 +14,6 @@ import re
 from array import array
 
 import numpy as np
-import regex
 
 from .common import CACHES, only
 
@@ -26,10 +25,11 @@ _SPACED_WORD = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
 _WORD = re.compile(f"[^{_SPACE}]+")
 #: Words of these characters are normalised by lower case alone: ASCII and the letters of Latin-1.
 _PLAIN = re.compile(f"[{_SPACE}!-~À-ÖØ-öø-ÿ]+")
-# The patterns by which the pre-tokenizers of the two vocabularies split.
+# The patterns by which the pre-tokenizers of the two vocabularies split, for plain words: these have no other letters and numbers.
+_L, _N = "A-Za-zÀ-ÖØ-öø-ÿ", "0-9"
 _SPLITS = {
-    True: regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"),
-    False: regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"),
+    True: re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^\s{_L}{_N}]+"),
+    False: re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^\s{_L}{_N}]+|\s+(?!\S)|\s+"),
 }
 #: Longer words are not held in the caches, so that these are bounded in characters too.
 LONGEST = 64
@@ -48,15 +48,23 @@ _LETTERS = _byte_letters()
 
 
 class _Cache(dict):
-    """Ids of strings in two generations: what is used again moves to the younger one, the older one is dropped when that is full."""
+    """Ids of strings in two generations: what is used again moves to the younger one, the older one is dropped when that is full.
 
-    def __init__(self, make, keep: int):
+    With ``marks``, a string enters only when it, or another of the same mark, has been asked for before: most words of a corpus occur once.
+    """
+
+    def __init__(self, make, keep: int, marks: int = 0):
         self.make, self.keep, self.older = make, keep, {}
+        self.marks, self.marked = bytearray(marks), 0
 
     def __missing__(self, key: str) -> bytes:
         ids = self.older.get(key)
         if ids is None:
             ids = self.make(key)
+            if self.marks and not self.marks[at := hash(key) % len(self.marks)]:
+                self.marks[at] = 1
+                self.marked += 1
+                return ids
         if len(key) <= LONGEST:
             self[key] = ids
         return ids
@@ -66,6 +74,8 @@ class _Cache(dict):
             self.older.clear()
             self.older.update(self)
             self.clear()
+        if self.marked > len(self.marks) // 2:
+            self.marks, self.marked = bytearray(len(self.marks)), 0
 
 
 def encoder(name: str) -> "WordEncoder":
@@ -81,7 +91,7 @@ def encoder(name: str) -> "WordEncoder":
 class WordEncoder:
     """Ids of texts as numpy arrays; ``keep`` bounds the words, and the pieces, held in each of the two generations of their cache."""
 
-    def __init__(self, name: str, keep: int = 500_000):
+    def __init__(self, name: str, keep: int = 400_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -97,7 +107,7 @@ class WordEncoder:
         self.dropped_space = normalizer is not None  # then white space leaves no ids and case is dropped, else it joins the next word
         self.units = (_WORD if self.dropped_space else _SPACED_WORD).findall
         self.split = _SPLITS[self.dropped_space].findall
-        self.words, self.pieces = _Cache(self._word, keep), _Cache(self._piece, keep)
+        self.words, self.pieces = _Cache(self._word, keep, 1 << 22), _Cache(self._piece, keep)
         self.caches = [self.words, self.words.older, self.pieces, self.pieces.older]
 
     def _whole(self, text: str) -> bytes:
@@ -111,7 +121,7 @@ class WordEncoder:
         return array("I", [t.id for t in self.merge(letters)]).tobytes()
 
     def _word(self, word: str) -> bytes:
-        if not _PLAIN.fullmatch(word):
+        if not (word.isascii() and word.isprintable() or _PLAIN.fullmatch(word)):
             return self._whole(word)
         return b"".join(map(self.pieces.__getitem__, self.split(word.lower() if self.dropped_space else word)))
 

@@ -139,3 +139,15 @@ def test_packed_documents(spark, table, prose):
     one = got[got.doc_id == 32]
     assert all(zlib.crc32(ids[32][s : s + n].tobytes()) == c for s, n, c in zip(one.start, one.length, one.ids_crc32))
     assert packing.pack_documents(table([])).count() == 0
+
+
+def test_words_met_once_are_not_held():
+    """A worker's memory goes to words that come again; most words of a corpus don't."""
+    encode = WordEncoder("byte_bpe_50k.json")
+    once = [f"w{i}x y{i}" for i in range(1000)]
+    first = encode.encode(once)
+    assert len(encode.words) < 20
+    again = encode.encode(once)
+    assert all((a == b).all() for a, b in zip(first, again)) and len(encode.words) > 1900
+    assert all((a == b).all() for a, b in zip(again, encode.encode(once)))
+    assert encode.words.keep + encode.pieces.keep <= 800_000

@@ -2,6 +2,7 @@ import itertools
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from lexigraph.llm import lines, ngram_join, similar
@@ -197,3 +198,29 @@ def test_signatures_overlap_between_short_and_long_lines():
     a = "".join(r.choice("abcdefghijklmnop") for _ in range(230))
     values, owner = lines.signatures([a, a[:150], a + a])
     assert list(owner).count(0) == 2 and list(owner).count(1) == 1 and list(owner).count(2) == 1 and len(values) == 4
+
+
+@pytest.mark.parametrize("key", [(1, 0, 0), (1, 0, 1)])
+def test_few_sets_have_the_links_of_many(key, monkeypatch):
+    rng = np.random.default_rng(5)
+    for _ in range(60):
+        base = rng.integers(0, 1 << 60, rng.integers(0, 40)).astype(np.uint64)
+        sets = [np.unique(np.where(rng.random(len(base)) < 0.1, rng.integers(0, 1 << 60, len(base)).astype(np.uint64), base)) for _ in range(rng.integers(2, similar.FEW + 1))]
+        rows = [(int(rng.integers(-(1 << 60), 1 << 60)), int(rng.integers(0, 2)), int(rng.integers(1, 5)), "") for _ in sets]
+        few = similar._compare(rows, key, sets, 0.8)
+        with monkeypatch.context() as m:
+            m.setattr(similar, "FEW", 0)
+            assert sorted(few, key=str) == sorted(similar._compare(rows, key, sets, 0.8), key=str)
+
+
+def test_groups_that_are_compared_share_calls():
+    """Sets of many small groups are made together, and each group is compared by itself."""
+    calls = []
+
+    def shingles(texts):
+        calls.append(len(texts))
+        return lines.shingles(texts)
+
+    groups = [((g, 0, 0), [(10 * g + i, 0, 1, f"line of group {g:05d} " * 3 + "." * i) for i in range(2)]) for g in range(50)]
+    found = list(similar.compared(groups, shingles, 0.8))
+    assert calls == [100] and sorted(f for f in found if f[1] is not None) == [(10 * g + 1, 10 * g, 0) for g in range(50)]

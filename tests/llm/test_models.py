@@ -1,5 +1,7 @@
 import math
+import os
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -225,3 +227,22 @@ def test_longer_contexts_by_hand(spark, table, prose, monkeypatch):
         monkeypatch.setattr(suffix_tree, "HOT", hot)
         got = {r["doc_id"]: r["score"] for r in suffix_tree.score_documents(table(rows), depth=8).collect()}
         assert all(math.isclose(got[i], x, rel_tol=1e-5) for i, x in want.items())
+
+
+def test_rounds_have_slots_for_what_they_test_and_leave_no_shuffle_files(spark, table, prose, monkeypatch):
+    models, broadcast = [], type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, x: models.append(x) or broadcast(self, x))
+    monkeypatch.setattr(suffix_tree, "SLOT", 500)
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    size = lambda f: os.path.getsize(f) if os.path.exists(f) else 0
+    files = lambda: {f for f in disk.getAllFiles().mkString(" ").split() if "shuffle_" in f and size(f) > 500}  # noqa: E731  # but for sums
+    setting = spark.conf.get(suffix_tree._CLEANUP, None)
+    docs, before = table([(i, prose(i, 120)) for i in range(100)] + [(i, prose(7, 120)) for i in range(200, 203)]), files()
+    scored = suffix_tree.score_documents(docs, depth=8)
+    for _ in range(50):  # executors remove them without being waited for
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    slots = [m["slots"] for m in models[::2]]
+    assert not files() - before and spark.conf.get(suffix_tree._CLEANUP, None) == setting
+    assert slots[1] > 10 and slots[-1] * 5 < slots[1] and len(scored.collect()) == 103

@@ -14,6 +14,8 @@ import re
 from array import array
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from .common import CACHES, only
 
@@ -121,22 +123,51 @@ class WordEncoder:
         return array("I", [t.id for t in self.merge(letters)]).tobytes()
 
     def _word(self, word: str) -> bytes:
+        if not word:
+            return b""
         if not (word.isascii() and word.isprintable() or _PLAIN.fullmatch(word)):
             return self._whole(word)
-        return b"".join(map(self.pieces.__getitem__, self.split(word.lower() if self.dropped_space else word)))
+        if self.dropped_space:
+            word = word.lower()
+        letters = word[1:] if word[0] == " " else word
+        if letters.isalpha():  # then the pattern leaves it whole
+            return self.pieces[word]
+        if letters[:-1].isalpha() and not letters[-1].isalnum():  # letters and one sign
+            return self.pieces[word[:-1]] + self.pieces[word[-1]]
+        return b"".join(map(self.pieces.__getitem__, self.split(word)))
+
+    def _by_words(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of texts whose white space leaves none: each distinct word is looked up once."""
+        parts = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
+        coded = parts.flatten().dictionary_encode()
+        found = list(map(self.words.__getitem__, coded.dictionary.to_numpy(zero_copy_only=False)))
+        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
+        word = coded.indices.to_numpy()
+        n, first = sizes[word], (np.cumsum(sizes) - sizes)[word]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        ids = np.frombuffer(b"".join(found), dtype="<u4")[np.repeat(first - ends[:-1], n) + np.arange(ends[-1])]
+        bounds = ends[parts.offsets.to_numpy()]
+        return [ids[i:j] for i, j in zip(bounds, bounds[1:])]
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text, as unsigned 32-bit integers; a null text has none."""
         self.words.age()
         self.pieces.age()
         get, units = self.words.__getitem__, self.units
-        out = []
+        out: list = []
+        plain: list[int] = []
         for t in texts:
             if not t:
                 raw = b""
-            elif _OTHER_SPACE.search(t) or any(s in t for s in self.special):
+            elif not t.isascii() and _OTHER_SPACE.search(t) or any(s in t for s in self.special):
                 raw = self._whole(t)
+            elif self.dropped_space:
+                raw = b""
+                plain.append(len(out))
             else:
                 raw = b"".join(map(get, units(t)))
             out.append(np.frombuffer(raw, dtype="<u4"))
+        if plain:
+            for i, ids in zip(plain, self._by_words([texts[i] for i in plain])):
+                out[i] = ids
         return out

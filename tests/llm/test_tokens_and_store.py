@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lexigraph.llm import packing, store
+from lexigraph.llm import packing, store, tokens
 from lexigraph.llm.tokens import WordEncoder, encoder
 
 
@@ -151,3 +151,21 @@ def test_words_met_once_are_not_held():
     assert all((a == b).all() for a, b in zip(first, again)) and len(encode.words) > 1900
     assert all((a == b).all() for a, b in zip(again, encode.encode(once)))
     assert encode.words.keep + encode.pieces.keep <= 800_000
+
+
+def test_each_distinct_word_of_a_run_is_looked_up_once():
+    encoder, asked = tokens.WordEncoder("word_bpe_49k.json"), []
+
+    class Counting(tokens._Cache):
+        def __getitem__(self, key):
+            asked.append(key)
+            return super().__getitem__(key)
+
+    encoder.words = Counting(encoder._word, 100, 1 << 10)
+    texts = ["Some words, some WORDS it's (its) é É. a1b2 'quoted' x' \x1c", None, "", " \t\n", "words\x0bcafé's end ", "some words", "x <|endoftext|> y", "日本 words,"] * 3
+    for _ in range(3):
+        asked.clear()
+        got = encoder.encode(texts)
+        assert [g.tolist() for g in got] == [encoder.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+        assert len(asked) == len(set(asked)) > 10
+    assert encoder.encode([]) == [] and encoder.encode([None])[0].tolist() == []

@@ -224,3 +224,40 @@ def test_groups_that_are_compared_share_calls():
     groups = [((g, 0, 0), [(10 * g + i, 0, 1, f"line of group {g:05d} " * 3 + "." * i) for i in range(2)]) for g in range(50)]
     found = list(similar.compared(groups, shingles, 0.8))
     assert calls == [100] and sorted(f for f in found if f[1] is not None) == [(10 * g + 1, 10 * g, 0) for g in range(50)]
+
+
+def test_line_deduplication_leaves_no_shuffle_files_before_it_is_read(spark):
+    def kept():
+        files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {n for i in range(files.size()) if (n := files.apply(i).getName()).startswith("shuffle_") and n.endswith(".data")}
+
+    docs = spark.createDataFrame([(i, f"a line that many documents share, word for word\nline of its own number {i * 7919}") for i in range(60)], "doc_id long, text string")
+    before = kept()
+    left = lines.dedup_lines(docs)
+    assert not kept() - before
+    assert left.filter("size(removed) > 0").count() == 59
+
+
+def test_large_components_meet_by_rare_values_with_the_links_of_all_pairs(spark, monkeypatch):
+    r = random.Random(5)
+    words = [f"w{i}" for i in range(40)]
+    texts = {}
+    for i in range(120):
+        base = [r.choice(words) for _ in range(14)]
+        for k in range(r.randint(1, 4)):
+            texts[" ".join(base[: 14 - k] + [f"x{i}y{k}"] * (k > 1))] = i
+    rows = [(i % 2, n, 1, t) for n, (t, i) in enumerate(texts.items())]
+    make = lambda t: lines.shingles(t, 8)
+    table = spark.createDataFrame(rows, "root long, node long, weight long, text string")
+    every = components(similar.in_tiles(table.withColumn("tiles", F.lit(3)), make, 0.8).filter("b is not null").select("a", "b"))
+    some = components(similar.in_prefixes(table, make, 0.8))
+    as_set = lambda df: {tuple(x) for x in df.collect()}
+    assert as_set(every) and as_set(every) == as_set(some)
+
+
+def test_line_deduplication_gives_the_same_by_rare_values(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"line {i % 7} of a text that goes on and on, number {i // 3}, in the same words\nanother one {i}") for i in range(200)], "doc_id long, text string")
+    removed = lambda: sorted((x["doc_id"], x["removed"]) for x in lines.dedup_lines(docs).collect())
+    before = removed()
+    monkeypatch.setattr(similar, "MOST_TILES", 0)
+    assert removed() == before and any(x for _, x in before)

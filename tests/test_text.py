@@ -120,3 +120,22 @@ def test_structured_chunks(spark):
     assert [b for _, b, _ in got["g"]] == ["", "function", "function", "function", "class"] and got["g"][1][2].startswith("func f0")
     assert [b for _, b, _ in got["m"]] == ["", "Part 0", "Part 1", "Part 2"]
     assert all(len(c) <= 1000 for x in got.values() for _, _, c in x) and [i for i, *_ in got["p"]] == list(range(len(got["p"])))
+
+
+def test_long_texts_are_cut_and_embedded_in_time(spark):
+    import time
+
+    from lexigraph.operators import vector
+
+    text = "some words of a long text, one after the other.\n" * 40_000
+    begin = time.time()
+    got = one(spark, T.fixed_chunks(F.col("t")), t=text)
+    assert len(got) == -(-(len(text.strip()) - 1000) // 900) + 2 and got[5]["content"] == text.strip()[4500:5500].strip(" \n")
+    vectors = one(spark, vector.hashing_embedder(64)(F.col("t")), t="A b a c")
+    tokens = one(spark, F.transform(T.tokens(F.col("t")), lambda x: F.struct(F.pmod(F.xxhash64(x), F.lit(64)), F.pmod(F.hash(x), F.lit(2)))), t="A b a c")
+    expected = [0.0] * 64
+    for slot, less in tokens:
+        expected[slot] += -1.0 if less else 1.0
+    assert vectors == expected and sum(map(abs, one(spark, vector.hashing_embedder(64)(F.col("t")), t=None))) == 0
+    one(spark, F.size(vector.hashing_embedder(64)(F.col("t"))), t=text)
+    assert time.time() - begin < 60

@@ -3,7 +3,7 @@
 A put writes one new segment with its documents and marks the older rows of the same keys as dead; a removal only marks. Nothing that exists is rewritten but by ``merge``. Each version of the index is a manifest: its segments with
 their numbers and lengths of documents, and the tombstones; readers pin one.
 
-Within a segment documents are dealt to shards of bounded size and numbered in order of their keys. The postings of a token in a shard are cut into blocks, each with its first and last document, its largest weight and its shortest
+Within a segment documents are in shards of bounded size, runs of the tasks that read them (or, after a merge, dealt by key), and numbered in order of their keys. The postings of a token in a shard are cut into blocks, each with its first and last document, its largest weight and its shortest
 document. A search scores intervals of documents in the order of the most that their blocks could give, and stops at the first interval that can't reach the worst of the page; blocks of intervals that are never reached stay packed.
 Scores, document frequencies and lengths are those of the living documents, so a search finds what it would find in an index built afresh.
 """
@@ -22,13 +22,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.snapshots import Manifests
-from .lexical import B, FIELD_WEIGHTS, K1, LEAST_IDF, _keys, field_tokens, query_terms
+from . import inverted
+from .inverted import BLOCKS
+from .lexical import B, FIELD_WEIGHTS, K1, LEAST_IDF, _keys, query_terms
 from .vector import page
 
 BLOCK = 128
 #: Documents of a shard, as expected; queries that are answered together.
 SHARD, QUERIES = 1 << 16, 4096
-BLOCKS = "shard int, token string, block int, n int, first int, last int, most double, shortest double, places binary, tfs binary, lengths binary"
 UNITS = "segment int, shard int, term_no int, plain boolean, n int, first int, last int, most double, shortest double, places binary, tfs binary, lengths binary"
 HITS = "query_no long, segment int, shard int, place long, score double, scored long, postings long"
 
@@ -37,31 +38,6 @@ def part_of(idf: float, tf: np.ndarray, dl: np.ndarray, mean: float) -> np.ndarr
     return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / mean))
 
 
-def _counted(stem: bool):
-    """Rows ``key, dl, occurrences`` as ``key, dl, tokens, tfs``: each token (or stem) of a document once, with the sum of its weights."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from ..functions.stemmer import stem as stem_of
-
-        for batch in batches:
-            key, dl, lists = batch.columns
-            found = lists.flatten()
-            coded = pc.struct_field(found, "token").dictionary_encode()
-            names, code = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
-            if stem:
-                stems = pa.array([stem_of(t) for t in names.to_pylist()], pa.string()).dictionary_encode()
-                names, code = stems.dictionary, stems.indices.to_numpy().astype(np.int64)[code]
-            row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(lists).to_numpy())
-            pairs, of = np.unique(row * max(len(names), 1) + code, return_inverse=True)
-            tf = np.bincount(of, weights=pc.struct_field(found, "weight").to_numpy(), minlength=len(pairs))
-            ends = np.cumsum(np.bincount(pairs // max(len(names), 1), minlength=batch.num_rows))
-            offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
-            tokens = names.take(pa.array(pairs % max(len(names), 1)))
-            yield pa.record_batch([key, dl, pa.ListArray.from_arrays(offsets, tokens), pa.ListArray.from_arrays(offsets, pa.array(tf, pa.float64()))], names=["key", "dl", "tokens", "tfs"])
-
-    return run
-
-
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Blocks of rows ``token, shard, place, tf, dl`` that come sorted by these."""
     held: list[pa.RecordBatch] = []
@@ -129,10 +105,19 @@ class SegmentedIndex:
         """``blocks``, ``documents`` or ``tokens`` of all segments, with their number."""
         out = None
         for s in self.state["segments"]:
-            df = self.spark.read.parquet(f"{s['path']}/{name}").withColumn("segment", F.lit(s["number"]))
+            if name == "blocks":  # a segment that was put has packed runs, a merged one has blocks
+                df = self.spark.read.schema(BLOCKS).parquet(self._blocks_of(s["path"])).filter("token is not null")
+            else:
+                df = self.spark.read.parquet(f"{s['path']}/{name}")
+            df = df.withColumn("segment", F.lit(s["number"]))
             out = df if out is None else out.unionByName(df)
         return out
 
+    def _blocks_of(self, path: str) -> str:
+        jvm = self.spark.sparkContext._jvm
+        packed = jvm.org.apache.hadoop.fs.Path(f"{path}/packed")
+        return f"{path}/packed" if packed.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(packed) else f"{path}/blocks"
+
     def tombstones(self) -> DataFrame:
         """``segment, shard, place, dl`` of the dead documents."""
         paths = [t["path"] for t in self.state["tombstones"]]
@@ -169,14 +154,8 @@ class SegmentedIndex:
         """The index with ``documents`` (the key, and the fields), in the place of what it holds of these keys. Keys are unique."""
         key = self.state["key"]
         path = self._path("segment")
-        found = field_tokens(documents, self.state["weights"], key).withColumnRenamed(key, "key")
-        schema = f"key {found.schema['key'].dataType.simpleString()}, dl int, tokens array<string>, tfs array<double>"
-        found.mapInArrow(_counted(self.state["stem"]), schema).write.parquet(f"{path}/split")
-        split = self.spark.read.schema(schema).parquet(f"{path}/split")
-        self._place(split.select("key", "dl"), path)
-        # Documents meet their places as rows; only then their tokens become rows, which are shuffled once.
-        placed = split.drop("dl").join(self.spark.read.parquet(f"{path}/documents"), "key").select("shard", "place", "dl", F.explode(F.arrays_zip("tokens", "tfs")).alias("o"))
-        entry = self._blocks(placed.select("o.tokens", "shard", "place", "o.tfs", "dl").toDF("token", "shard", "place", "tf", "dl"), path)
+        inverted.write(documents, path, key, self.state["weights"], self.state["stem"], BLOCK, SHARD)
+        entry = self._entry(path, self.spark.read.parquet(f"{path}/packed"))
         return self._commit(self.state | {"segments": [*self.state["segments"], entry], "tombstones": self.state["tombstones"] + self._tombstone(documents.select(key)), "next": self.state["next"] + 1}, batch)
 
     def _place(self, documents: DataFrame, path: str) -> None:
@@ -188,8 +167,10 @@ class SegmentedIndex:
     def _blocks(self, rows: DataFrame, path: str) -> dict:
         """The blocks of ``rows (token, shard, place, tf, dl)`` and the tokens of a segment whose documents are written; its entry in the manifest."""
         rows.repartitionByRange("token", "shard").sortWithinPartitions("token", "shard", "place").mapInArrow(_pack, BLOCKS).write.parquet(f"{path}/blocks")
-        blocks = self.spark.read.parquet(f"{path}/blocks")
-        blocks.groupBy("token").agg(F.sum("n").alias("df")).repartitionByRange("token").sortWithinPartitions("token").write.parquet(f"{path}/tokens")
+        return self._entry(path, self.spark.read.parquet(f"{path}/blocks"))
+
+    def _entry(self, path: str, blocks: DataFrame) -> dict:
+        blocks.filter("token is not null").groupBy("token").agg(F.sum("n").alias("df")).repartitionByRange("token").sortWithinPartitions("token").write.parquet(f"{path}/tokens")
         facts = self.spark.read.parquet(f"{path}/documents").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("length")).first()
         return {"number": self.state["next"], "path": path, "documents": facts["n"], "length": facts["length"]}
 

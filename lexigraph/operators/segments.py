@@ -21,6 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import shuffles_dropped
 from ..sources.snapshots import Manifests
 from . import inverted
 from .inverted import BLOCKS
@@ -236,19 +237,21 @@ class SegmentedIndex:
         mine = reduce(lambda a, b: a | b, [F.col("token").isin(exact), *(F.substring("token", 1, n).isin([t for t in begun if len(t) == n]) for n in lengths)])
         blocks = self._read("blocks").filter(mine).select("*", F.explode(answers).alias("k")).select("*", "k.term", "k.is_prefix").join(F.broadcast(named), ["term", "is_prefix"])
         looked = self._path("looked-up")
-        blocks.withColumn("plain", ~F.col("is_prefix")).select(*(f.split()[0] for f in UNITS.split(", "))).write.parquet(looked)
+        blocks.withColumn("plain", ~F.col("is_prefix")).select(*(f.split()[0] for f in UNITS.split(", "))).write.option("compression", "zstd").parquet(looked)
         units = self.spark.read.schema(UNITS).parquet(looked)
         dead = self.tombstones().groupBy("segment", "shard").agg(F.sort_array(F.collect_list("place")).alias("p"))  # at most the documents of a shard
         gone = dead.select("segment", "shard", F.lit(-1).alias("term_no"), F.lit(False).alias("plain"), F.size("p").alias("n"), F.lit(0).alias("first"), F.lit(0).alias("last"), F.lit(0.0).alias("most"), F.lit(0.0).alias("shortest"), F.to_binary(F.array_join(F.transform("p", lambda x: F.lpad(F.hex(x), 8, "0")), ""), F.lit("hex")).alias("places"), F.lit(b"").alias("tfs"), F.lit(b"").alias("lengths"))
         dealt = units.unionByName(gone).repartition("segment", "shard").sortWithinPartitions("segment", "shard", "term_no", "first")
-        df = {r["term_no"]: r["n"] for r in dealt.mapInArrow(_frequencies, "term_no int, n long").groupBy("term_no").agg(F.sum("n").alias("n")).collect()}  # one row for each term of the block
+        with shuffles_dropped(self.spark):
+            df = {r["term_no"]: r["n"] for r in dealt.mapInArrow(_frequencies, "term_no int, n long").groupBy("term_no").agg(F.sum("n").alias("n")).collect()}  # one row for each term of the block
         n, mean = self.counts()
         idf = {t: max(float(np.log((n - d + 0.5) / (d + 0.5))), LEAST_IDF) for t, d in df.items() if d}
         ids = list(asked)
         shared = self.spark.sparkContext.broadcast(([asked[q] for q in ids], idf, mean, most, require_all))
         out = dealt.mapInArrow(_searcher(shared), HITS)
         path = self._path("hits")
-        out.write.parquet(path)
+        with shuffles_dropped(self.spark):
+            out.write.parquet(path)
         out = self.spark.read.schema(HITS).parquet(path)
         names = self.spark.createDataFrame(list(enumerate(ids)), f"query_no long, query_id {queries.schema['query_id'].dataType.simpleString()}")
         return out.join(names, "query_no", "left").select("query_id", "segment", "shard", "place", "score", "scored", "postings")
